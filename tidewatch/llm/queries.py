@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import mixing, quality
+from tidewatch.llm import bpe, mixing, quality, url_filter
 from tidewatch.llm._shared import table
 
 QUERIES = {
+    "op5_byte_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
     "op9_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+    "op10_url_filter": lambda spark, d: url_filter.query(table(spark, d, "pages")),
 }
 
-ORACLES = {"op6_quality_rules": quality.SQL}
+ORACLES = {"op6_quality_rules": quality.SQL, "op10_url_filter": url_filter.SQL}
