@@ -26,7 +26,7 @@ CHUNK = 16_384
 ROUNDS = 24
 SEED = 20240229
 #: Documents that one bucket of a source's order holds, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Column:
@@ -96,7 +96,7 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
     sources, _ = materialise(sources, "mix-sources")
     # order within a source: by bucket of a hash, then by row within the bucket; buckets get offsets from their sums
     rows = sized.count()
-    buckets = max(1, -(-rows // BUCKET_ROWS)) * 4
+    buckets = max(1, -(-rows // BUCKET_ROWS))
     keys = [f"in_{c}" for c in rest if c == "doc_id"] + ["__text"]
     sized = sized.withColumn("__bucket", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets)))
     sums = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
