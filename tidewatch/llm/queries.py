@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, huffman, mixing, quality, url_filter
+from tidewatch.llm import bpe, huffman, kd_shards, mixing, quality, url_filter
 from tidewatch.llm._shared import table
 
 QUERIES = {
+    "op7_kd_shards": lambda spark, d: kd_shards.query(table(spark, d, "documents")),
     "op3_huffman_ids": lambda spark, d: huffman.query(table(spark, d, "documents")),
     "op5_byte_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
