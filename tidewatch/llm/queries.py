@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, huffman, kd_shards, language, mixing, quality, url_filter
+from tidewatch.llm import bpe, huffman, kd_shards, language, mixing, ngram_join, quality, url_filter
 from tidewatch.llm._shared import table
 
 QUERIES = {
+    "op2_ngram_join": lambda spark, d: ngram_join.query(table(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language.query(spark, table(spark, d, "documents"), table(spark, d, "pages")),
     "op7_kd_shards": lambda spark, d: kd_shards.query(table(spark, d, "documents")),
     "op3_huffman_ids": lambda spark, d: huffman.query(table(spark, d, "documents")),
