@@ -11,7 +11,6 @@ a time in a table and runs from all checkpoints of a block at once.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm._bytes import hash_runs, runs, text_bytes
 from tidewatch.llm._shared import materialise, remove, scratch_path, ship
 from tidewatch.llm.bpe import slices
 
@@ -32,9 +32,12 @@ STRIDE = 128
 #: Ids after which a block is closed, at the end of a document.
 BLOCK_IDS = 1 << 19
 END_ID = 2
-#: Words that a worker keeps encoded, and the longest that it keeps.
-CACHE, CACHED_CHARS = 800_000, 48
-WINDOW = 1 << 20
+#: Words after which a worker starts its table anew.
+WORDS = 1_500_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -130,15 +133,17 @@ class Book:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file of the word-end kind, through a cache of words.
+    """Ids of whole texts by a tokenizer file of the word-end kind, through a table of words.
 
     The file's pre-tokens never cross a blank or a line feed, and its
     normalisation (composition, then lower case) acts on each character between
-    them alone, so a text's ids are its words' ids one after another. In
-    Latin-1 texts, which hold nothing to compose, words are lower-cased and a
-    full stop or comma between a letter and a blank is split off first. New
-    words are encoded by the tokenizers library: those of letters only in one
-    text, cut apart after ids that end a word, all others one by one.
+    them alone, so a text's ids are its words' ids one after another. In texts
+    without characters from U+0300 on, which hold nothing to compose, A to Z
+    are lower-cased, and a full stop or comma between a letter or digit and a
+    blank is a word of its own. Words are found and hashed as numpy arrays; the
+    tokenizers library encodes each new one: those of letters only in one text,
+    cut apart after ids that end a word, all others one by one. Words are told
+    apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -150,51 +155,92 @@ class Encoder:
         self.kind = "<u2" if self.n_ids <= 1 << 16 else "<u4"
         self.ends_word = np.zeros(self.n_ids, bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {"": b""}
-        self.stop = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
-
-    def _words(self, text: str) -> Iterator[list[str]]:
-        at = 0
-        while at < len(text):
-            end = text.find(" ", at + WINDOW) if len(text) - at > WINDOW else -1
-            end = len(text) if end < 0 else end
-            part = text[at:end]
-            try:
-                part.encode("latin-1")
-                part = self.stop.sub(r" \1", part.lower())
-            except UnicodeEncodeError:
-                pass
-            yield part.replace("\n", " ").split(" ")
-            at = end + 1
-
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        plain = [w for w in words if w.isalpha()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.begin = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, self.kind)
+        self.n_words = self.n_used = 0
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        """Encode new words and append their ids to the table."""
+        texts = [w.decode() for w in words]
+        plain = [k for k, w in enumerate(texts) if w.isalpha()]
+        rest = range(len(texts))
         if plain:
-            ids = np.asarray(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.kind)
+            ids = np.asarray(self.tokenizer.encode(" ".join([texts[k] for k in plain]), add_special_tokens=False).ids, self.kind)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(plain):  # each word was one pre-token
-                data, wide = ids.tobytes(), ids.itemsize
-                cuts = (ends * wide).tolist()
-                yield from zip(plain, [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True)
-                words = [w for w in words if not w.isalpha()]
-        for word, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            yield word, np.asarray(x.ids, self.kind).tobytes()
-
-    def encode_all(self, texts: list[str], end_id: int) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        split = [list(self._words(text)) for text in texts]
-        missing = set()
-        for windows in split:
-            for found in windows:
-                missing.update(found)
-        missing.difference_update(self.cache)
-        rare = {}
-        for word, ids in self._encoded(sorted(missing)):
-            (self.cache if len(word) <= CACHED_CHARS else rare)[word] = ids
-        get = self.cache.__getitem__ if not rare else (lambda w: rare[w] if w in rare else self.cache[w])
-        last = np.asarray([end_id], self.kind).tobytes()
-        return [b"".join([b"".join(map(get, found)) for found in windows]) + last for windows in split]
+                self._append([hashes[k] for k in plain], ids, np.diff(ends, prepend=0))
+                rest = sorted(set(rest).difference(plain))
+        if rest:
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
+            self._append([hashes[k] for k in rest], np.asarray([i for x in coded for i in x], self.kind), np.array([len(x) for x in coded], np.int64))
+
+    def _append(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = self.n_words + len(counts), self.n_used + len(ids)
+        if n > len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * n), np.resize(self.count, 2 * n)
+        if m > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * m)
+        self.begin[self.n_words : n] = self.n_used + np.cumsum(counts) - counts
+        self.count[self.n_words : n] = counts
+        self.ids[self.n_used : m] = ids
+        self.place.update(zip(hashes, range(self.n_words, n), strict=True))
+        self.n_words, self.n_used = n, m
+
+    def _prepared(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes lower-cased, and the places of stops and commas that are words of their own, in texts that allow both."""
+        high = np.concatenate([[0], np.cumsum(data >= 0xCC, dtype=np.int64)])
+        plain_text = high[bounds[1:]] == high[bounds[:-1]]
+        if not plain_text.all():
+            allowed = np.repeat(plain_text, np.diff(bounds))
+            lowered = np.where(allowed, _LOWER[data], data)
+        else:
+            allowed, lowered = None, _LOWER[data]
+        at = np.flatnonzero((data == 0x2E) | (data == 0x2C))
+        at = at[at > 1]
+        if len(at):
+            ended = np.zeros(len(data) + 1, bool)
+            ended[bounds] = True
+            begun = ended[at] | ended[at - 1]  # a text begins here or one byte before
+            last, before = data[at - 1], data[at - 2]
+            letter = _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+            following = np.where(at + 1 < len(data), data[np.minimum(at + 1, len(data) - 1)], 0x20)
+            blank = (following == 0x20) | (following == 0x0A) | ended[at + 1]
+            fits = letter & blank & ~begun
+            if allowed is not None:
+                fits &= allowed[at]
+            at = at[fits]
+        return lowered, at
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """The ids of each text of an Arrow column and ``end_id`` after them, as integers of ``kind``."""
+        if self.n_words > WORDS:
+            self._forget()
+        raw, bounds = text_bytes(texts)
+        data, stops = self._prepared(raw, bounds)
+        starts, ends, first = runs((raw != 0x20) & (raw != 0x0A), bounds, stops)
+        hashes, some, which = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
+        slots = [self.place.get(h, -1) for h in hashes.tolist()]
+        new = [k for k, s in enumerate(slots) if s < 0]
+        if new:
+            view = data.tobytes()
+            spans = zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)
+            named = hashes[new].tolist()
+            self._learn(named, [view[a:b] for a, b in spans])
+            for k, h in zip(new, named, strict=True):
+                slots[k] = self.place[h]
+        word = np.asarray(slots, np.int64)[which] if len(slots) else np.zeros(0, np.int64)
+        counts = self.count[word]
+        stop = np.cumsum(counts)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.ids[np.repeat(self.begin[word] - (stop - counts), counts) + np.arange(total)]
+        at = np.concatenate([[0], stop])[first]
+        packed, wide, last = ids.tobytes(), ids.itemsize, np.asarray([end_id], self.kind).tobytes()
+        return [packed[a * wide : b * wide] + last for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)
@@ -215,7 +261,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_i
         wide = int(own.kind[-1])
         for batch in batches:
             for part in slices(batch, "__text", 1 << 21):
-                ids = own.encode_all([t or "" for t in part.column("__text").to_pylist()], end_id)
+                ids = own.encode_all(part.column("__text"), end_id)
                 yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["__key", "n_tokens", "ids"])
 
     ship(docs.sparkSession)

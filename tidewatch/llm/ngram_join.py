@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm._bytes import PRIME, SPACE, hash_runs, mixed, runs, text_bytes
 from tidewatch.llm._shared import fresh, materialise, ship
 from tidewatch.llm.bpe import slices
 from tidewatch.llm.components import connected_components
@@ -31,11 +32,6 @@ RECALL, MOST_HASHES = 0.9999, 192
 BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 1_000_000
 #: Dropped rows up to which they are broadcast.
 BROADCAST_ROWS = 500_000
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows to a band, thus the fewest false candidates, that reach ``recall`` within ``most`` hashes."""
     best = None
@@ -49,48 +45,11 @@ def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int =
     return best
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers of an odd number, or of its inverse, modulo 2^64."""
-    if len(_powers[kind]) < n:
-        base = PRIME if kind == "up" else np.uint64(pow(int(PRIME), -1, 1 << 64))
-        _powers[kind] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
-    return _powers[kind][:n]
-
-
-def word_hashes(column: pa.Array, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words, first word of each text and the end), words being runs of non-space bytes."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    size = int(offsets[-1] - offsets[0])
-    data = np.frombuffer(column.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.zeros(0, np.uint8)
-    bounds = offsets - offsets[0]
-    inside = ~_SPACE[data]
-    edge = np.zeros(size + 1, bool)
-    edge[bounds] = True
-    before = np.concatenate([[False], inside[:-1]]) if size else inside
-    after = np.concatenate([inside[1:], [False]]) if size else inside
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # pieces of whole words bound the memory for long texts
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + piece)))
-        low, high = starts[at], ends[to - 1]
-        values = (data[low:high].astype(np.uint64) + np.uint64(1)) * _power("up", high - low)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = _mixed((sums[e] - sums[s]) * _power("down", high - low)[s])
-        at = to
-    return out, np.searchsorted(starts, bounds)
+    data, bounds = text_bytes(column)
+    starts, ends, first = runs(~SPACE[data], bounds)
+    return hash_runs(data, starts, ends), first
 
 
 def ngrams(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +72,7 @@ def ngrams(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
         for h in hashes[first[i] : first[i + 1]]:
             x = np.uint64((int(x) * int(PRIME) + int(h)) & (1 << 64) - 1)
         grams[start[i]] = x
-    return _mixed(grams), start
+    return mixed(grams), start
 
 
 def minhashes(grams: np.ndarray, start: np.ndarray, n_hashes: int) -> np.ndarray:
@@ -134,7 +93,7 @@ def band_hashes(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
     x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * PRIME, (len(mins), bands)).copy()
     values = mins.reshape(len(mins), bands, rows).astype(np.uint64)
     for k in range(rows):
-        x = _mixed(x * PRIME + values[:, :, k])
+        x = mixed(x * PRIME + values[:, :, k])
     return x.view(np.int64)
 
 
