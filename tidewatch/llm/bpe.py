@@ -139,8 +139,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
         at = end
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids, decoded): each whole text's ids (little-endian unsigned 32-bit) and the bytes decoded from them.
+def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = True) -> DataFrame:
+    """(key, n_tokens, ids, exact[, decoded]): each whole text's ids (little-endian unsigned 32-bit), whether they decode to its bytes, and those bytes.
 
     A null text counts as empty and has no ids; repeated rows come back apiece;
     an empty table gives an empty result; other columns are ignored.
@@ -150,15 +150,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
         own = codec(path, pattern)
         for batch in batches:
             for part in slices(batch, "__text", 1 << 21):
-                ids = [own.encode(t or "") for t in part.column("__text").to_pylist()]
-                counts = [len(x) // 4 for x in ids]
-                decoded = [b"".join(own.decode(x)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["__key", "n_tokens", "ids", "decoded"])
+                texts = part.column("__text").to_pylist()
+                ids = [own.encode(t or "") for t in texts]
+                back = [b"".join(own.decode(x)) for x in ids]
+                exact = [b == (t or "").encode() for b, t in zip(back, texts, strict=True)]
+                columns = [part.column("__key"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(exact)]
+                if decoded:
+                    columns.append(pa.array(back, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["__key", "n_tokens", "ids", "exact", "decoded"][: len(columns)])
 
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"__key {kind}, n_tokens long, ids binary, decoded binary")
-    return out.withColumnRenamed("__key", key)
+    schema = f"__key {kind}, n_tokens long, ids binary, exact boolean" + ", decoded binary" * decoded
+    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__key", key)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -163,6 +163,25 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop(uid, "__uid", "__source", "start")
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix as whole documents, with the columns of ``docs``: each row as often as the mix takes its words.
+
+    A row of ``size`` words of which ``taken`` are taken comes taken / size
+    times, the fraction rounded up or down by a hash of its key, so that sums
+    stay near the targets. Rows of one key, text and source share what they
+    are given.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    mixed = mix(docs.select(F.col(key).alias("key"), h.alias("hash"), F.col(text).alias("text"), F.col(source).alias("source")))
+    share = mixed.groupBy("in_key", "in_hash", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
+    k, t, s, n = fresh(docs, "key_", "hash_", "source_", "times_")
+    whole = F.col("taken") / F.col("size")
+    lucky = F.pmod(F.xxhash64("in_key", "in_hash", F.lit(SEED)), F.lit(1 << 20)) < (whole - F.floor(whole)) * (1 << 20)
+    share = share.select(F.col("in_key").alias(k), F.col("in_hash").alias(t), F.col("source").alias(s), (F.floor(whole) + lucky.cast("long")).cast("int").alias(n)).where(F.col(n) > 0)
+    joined = docs.join(share, F.col(key).eqNullSafe(F.col(k)) & (h == F.col(t)) & F.col(source).eqNullSafe(F.col(s)))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     mixed = mix(docs.select("doc_id", "text", "source"))
     return mixed.select(F.col("in_doc_id").alias("doc_id"), "size", "source_size", "target", "taken")

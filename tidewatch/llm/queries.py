@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import ann, bpe, huffman, kd_shards, language, mixing, ngram_join, quality, url_filter
+from tidewatch.llm import ann, bpe, huffman, kd_shards, language, mixing, ngram_join, quality, token_counts, url_filter
 from tidewatch.llm._shared import table
 
 QUERIES = {
+    "op4_token_counts": lambda spark, d: token_counts.query(table(spark, d, "documents")),
     "op1_balanced_lists": lambda spark, d: ann.query(table(spark, d, "embeddings")),
     "op2_ngram_join": lambda spark, d: ngram_join.query(table(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language.query(spark, table(spark, d, "documents"), table(spark, d, "pages")),
