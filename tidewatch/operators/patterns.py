@@ -68,15 +68,17 @@ def gap_sessions(df: DataFrame, key: str, gap: int, name: str, ts: str = "timest
     return df.withColumn(name, F.sum(new).over(w))
 
 
-def bucketed(df: DataFrame, keys: list[str], within: int, ts: str = "timestamp") -> DataFrame:
+def bucketed(df: DataFrame, within: int, ts: str = "timestamp", backward: bool = False) -> DataFrame:
     """Rows with ``bucket`` and ``anchor``: each row stands in its time bucket as an anchor and in the one before as context.
 
     A forward frame of ``within`` microseconds of an anchor lies in its bucket,
     so (key, bucket) can be a partition: a busy key is cut into pieces of
-    bounded time, not left to one task.
+    bounded time, not left to one task. With ``backward`` the context goes to
+    the bucket after, for frames that look back.
     """
     own = F.floor(micros(ts) / within).cast("long")
-    both = F.array(F.struct(own.alias("bucket"), F.lit(True).alias("anchor")), F.struct((own - 1).alias("bucket"), F.lit(False).alias("anchor")))
+    other = own + 1 if backward else own - 1
+    both = F.array(F.struct(own.alias("bucket"), F.lit(True).alias("anchor")), F.struct(other.alias("bucket"), F.lit(False).alias("anchor")))
     return df.withColumn("__b", F.explode(both)).withColumn("bucket", F.col("__b.bucket")).withColumn("anchor", F.col("__b.anchor")).drop("__b")
 
 
