@@ -9,7 +9,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at a time, so that a long text's arrays stay bounded.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

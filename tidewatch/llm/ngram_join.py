@@ -29,7 +29,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Chance that a pair at exactly SIMILARITY shares a band, and the most hash functions spent on it.
 RECALL, MOST_HASHES = 0.9999, 192
 #: Members and n-grams that a block holds, about.
-BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 1_000_000
+BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 400_000
 #: Dropped rows up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -214,14 +214,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     texts, _ = materialise(texts, "texts")
     spread = texts.select("rep", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select(F.col("bucket").alias("b"), "leader")
-    stars = spread.join(buckets, F.col("bucket") == F.col("b")).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    # both joins shuffle at every size: what they move follows the input, with no jump where a side outgrows a broadcast
+    stars = spread.join(buckets.hint("merge"), F.col("bucket") == F.col("b")).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     clusters = connected_components(stars).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
     members = texts.select("rep", "body", "n_grams").join(clusters, F.col("rep") == F.col("member")).drop("member")
     members, _ = materialise(members, "members")
     sizes = members.groupBy(F.col("cluster").alias("c")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_grams") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
     placed = members.join(sizes, F.col("cluster") == F.col("c")).select(F.col("rep").alias("doc_"), F.col("body").alias("body_"), "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("side"))
     bodies = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    bodies = bodies.join(placed, (F.col("rep") == F.col("doc_")) & (F.md5("text") == F.col("body_")))
+    bodies = bodies.join(placed.hint("shuffle_hash"), (F.col("rep") == F.col("doc_")) & (F.md5("text") == F.col("body_")))
 
     def grams_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
