@@ -19,7 +19,7 @@ def angle() -> Column:
 
 def moments(events: DataFrame, least: int = LEAST) -> DataFrame:
     """(user_id, n, mean_angle, resultant): the mean direction and resultant length of a user's hours; flat below ``least`` events."""
-    one = events.groupBy("user_id").agg(F.count("*").alias("n"), F.avg(F.cos(angle())).alias("c"), F.avg(F.sin(angle())).alias("s"))
+    one = events.groupBy("user_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.cos(angle())), 12) + 0.0).alias("c"), (F.round(F.avg(F.sin(angle())), 12) + 0.0).alias("s"))  # opposite hours cancel out exactly
     enough = F.col("n") >= least
     mu = F.pmod(F.atan2("s", "c"), F.lit(2 * math.pi))
     return one.select("user_id", "n", F.when(enough, mu).otherwise(0.0).alias("mean_angle"), F.when(enough, F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s"))).otherwise(0.0).alias("resultant"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import rules
-from tidewatch.plans import queries_features, queries_rules, queries_scores
+from tidewatch.plans import queries_engine, queries_features, queries_rules, queries_scores
 from tidewatch.sources.readers import stream_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (queries_rules, queries_features, queries_scores):
+for _part in (queries_rules, queries_features, queries_scores, queries_engine):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

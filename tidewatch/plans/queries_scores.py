@@ -172,12 +172,12 @@ SELECT user_id, n_events, n_anomalies, round(m + 3e-9, 6) AS mean_score, round(l
     "score_distribution": f"""WITH {RAW}, q AS (SELECT count(a) AS n, avg(a) AS mean, stddev_pop(a) AS std, min(a) AS least, max(a) AS most, quantile_cont(a, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS q FROM raw)
 SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least, round(most, 6) AS most, {', '.join(f'round(q[{i + 1}], 6) AS p{p}' for i, p in enumerate((1, 5, 10, 25, 50, 75, 90, 95, 99)))} FROM q""",
     "cyclic_features": f"""WITH {EVENTS} SELECT event_index, {', '.join(f"round({f}({v} * 2 * pi() / {p}), 6) + 0 AS {n}_{f}" for n, v, p in (('hour', 'hour(timestamp)', 24), ('day', '(isodow(timestamp) - 1)', 7), ('month', '(month(timestamp) - 1)', 12)) for f in ('sin', 'cos'))} FROM ev""",
-    "von_mises_moments": f"""WITH {EVENTS}, m AS (SELECT user_id, count(*) AS n, avg(cos({_ANGLE})) AS c, avg(sin({_ANGLE})) AS s FROM ev GROUP BY 1)
+    "von_mises_moments": f"""WITH {EVENTS}, m AS (SELECT user_id, count(*) AS n, round(avg(cos({_ANGLE})), 12) + 0 AS c, round(avg(sin({_ANGLE})), 12) + 0 AS s FROM ev GROUP BY 1)
 SELECT user_id, n, round(CASE WHEN n >= 10 THEN {_mod('atan2(s, c)')} ELSE 0 END, 5) AS mean_angle, round(CASE WHEN n >= 10 THEN sqrt(c * c + s * s) ELSE 0 END, 5) AS resultant FROM m""",
     "online_von_mises": f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER ({O}) AS i FROM ev)
 SELECT x.event_index, x.user_id, round(sum(pow(0.995, x.i - y.i) * cos((hour(y.timestamp) + minute(y.timestamp) / 60.0) * 2 * pi() / 24)), 5) AS c, round(sum(pow(0.995, x.i - y.i) * sin((hour(y.timestamp) + minute(y.timestamp) / 60.0) * 2 * pi() / 24)), 5) AS s, round(sum(pow(0.995, x.i - y.i)), 5) AS w
 FROM r x JOIN r y ON x.user_id = y.user_id AND y.i <= x.i GROUP BY x.event_index, x.user_id""",
-    "drift_alerts": f"""WITH {EVENTS}, m AS (SELECT user_id, strftime(timestamp, '%Y-%m-%d') AS day, avg(cos({_ANGLE})) AS c, avg(sin({_ANGLE})) AS s FROM ev GROUP BY ALL),
+    "drift_alerts": f"""WITH {EVENTS}, m AS (SELECT user_id, strftime(timestamp, '%Y-%m-%d') AS day, round(avg(cos({_ANGLE})), 12) + 0 AS c, round(avg(sin({_ANGLE})), 12) + 0 AS s FROM ev GROUP BY ALL),
 g AS (SELECT user_id, day, degrees({_mod('atan2(s, c)')}) AS d FROM m), h AS (SELECT *, abs(d - lag(d) OVER o) AS x, abs(d - first(d) OVER o) AS y FROM g WINDOW o AS (PARTITION BY user_id ORDER BY day)),
 v AS (SELECT *, avg(least(x, 360 - x)) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS vel, least(y, 360 - y) AS mv FROM h)
 SELECT user_id, day, CASE WHEN mv >= 90 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, round(vel, 4) AS velocity, round(mv, 4) AS moved FROM v WHERE x IS NOT NULL AND (mv >= 90 OR vel >= 30)""",
