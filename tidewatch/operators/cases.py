@@ -82,7 +82,7 @@ EXPECTED = {
 
 def detection(cases: DataFrame, synthetic: DataFrame, injection: str) -> DataFrame:
     """Whether cases hold injected events (event_index of ``synthetic``), and one of the type expected for the injection."""
-    members = cases.select("case_id", "case_type", F.explode(F.split("representatives", ",")).cast("long").alias("__i"))
+    members = cases.select("case_id", "case_type", F.explode(F.transform(F.split("representatives", ","), lambda x: x.cast("long"))).alias("__i"))
     hit = members.join(synthetic.select(F.col("event_index").alias("__i")), "__i", "left_semi").select("case_id", "case_type").distinct()
     expected = EXPECTED.get(injection, "coordinated_identity_campaign_case")
     return hit.agg(F.count("*").alias("synthetic_cases"), F.coalesce(F.max((F.col("case_type") == expected).cast("int")), F.lit(0)).alias("matches_expected")).withColumn("expected_case_type", F.lit(expected))
