@@ -7,6 +7,9 @@ cluster sees. Only a local master may fall back to a temporary folder.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -76,9 +79,16 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers: texts are long, and both sides hold a batch twice.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers of the session's executors, once per application."""
+    """Hand this package to the Python workers of the session's executors, once per application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(limit))) != BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     if f"ship-{sc.applicationId}" in _roots:
         return
     root = Path(__file__).resolve().parents[1]
@@ -90,6 +100,15 @@ def ship(spark: SparkSession) -> None:
     _roots[f"ship-{sc.applicationId}"] = str(target)
 
 
+def trim() -> None:
+    """Give freed memory of a Python worker back to the system: workers live on between tasks beside the executor's heap."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._shared import ship
+from tidewatch.llm._shared import ship, trim
 
 #: Characters above Latin-1: none is white space or sentencepiece's own space mark.
 SHIFT = 0x100
 #: Pre-tokens that a worker keeps encoded, and the longest that it keeps.
-CACHE, CACHED_CHARS = 150_000, 48
+CACHE, CACHED_CHARS = 50_000, 32
 #: Characters of a text that are split into pre-tokens at a time.
 WINDOW = 1 << 20
 
@@ -137,6 +137,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, end - at)
         at = end
+    trim()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = True) -> DataFrame:
@@ -149,7 +150,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 21):
+            for part in slices(batch, "__text", 1 << 20):
                 texts = part.column("__text").to_pylist()
                 ids = [own.encode(t or "") for t in texts]
                 back = [b"".join(own.decode(x)) for x in ids]
@@ -171,7 +172,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 21):
+            for part in slices(batch, "__text", 1 << 20):
                 counts, ids_sha, decoded_sha = [], [], []
                 for t in part.column("__text").to_pylist():
                     ids = own.encode(t or "")

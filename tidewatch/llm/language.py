@@ -26,6 +26,8 @@ from tidewatch.llm.bpe import slices
 #: Labelled rows that the models are fitted on at most, chosen by a hash of their keys.
 SAMPLE_ROWS = 2000
 BUCKETS = 1 << 16
+#: Trigrams that each language's counts are scaled to.
+TOTAL = 1_000_000.0
 #: Trigrams that a text counts for at most, and the share of each: neighbouring trigrams repeat one another.
 EFFECTIVE, TEMPER = 400, 0.25
 #: How often a declaration and a suffix name the true language.
@@ -61,7 +63,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(b) < 3:
         codes = np.zeros(0, np.uint32)
     else:
-        codes = (b[:-2] * 40503 ^ b[1:-1] * 34283 ^ b[2:] * 52391) & (BUCKETS - 1)
+        codes = (((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)) >> 16
     first = offsets[:-1] - offsets[0]
     return codes, first, np.maximum(first, offsets[1:] - offsets[0] - 2)
 
@@ -76,8 +78,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     table = np.zeros((len(languages), BUCKETS), np.float32)
     for i, language in enumerate(languages):
         codes, first, end = trigrams(pa.array(sample[text][sample[label] == language].tolist(), pa.large_string()))
-        counts = sum((np.bincount(codes[a:z], minlength=BUCKETS) for a, z in zip(first, end, strict=True)), np.zeros(BUCKETS)) + 0.5
-        table[i] = np.log(counts / counts.sum())
+        counts = sum((np.bincount(codes[a:z], minlength=BUCKETS) for a, z in zip(first, end, strict=True)), np.zeros(BUCKETS))
+        # brought to one total, so that a trigram that no language has speaks for none of them
+        scaled = counts * (TOTAL / max(counts.sum(), 1.0)) + 0.5
+        table[i] = np.log(scaled / (TOTAL + 0.5 * BUCKETS))
     return Model(languages, table)
 
 
