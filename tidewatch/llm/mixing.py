@@ -119,7 +119,9 @@ def slot_table(sources: DataFrame, shard_slots: int = 4096, seed: int = SEED) ->
     """
     total = F.lit(max(1, sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]))
     some = sources.where(F.col("n_slots") > 0).select("source", "n_blocks", "n_slots", "first_slot")
-    chunks = some.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1, F.lit(CHUNK)))).repartition("source", "from")
+    # a fixed number of partitions: chunks are a few bytes each, which AQE would put into one task
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = some.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1, F.lit(CHUNK)))).repartition(tasks, "source", "from")
     drawn = chunks.withColumn("number", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, F.col("n_slots")) - 1)))
     drawn = drawn.withColumn("pass", F.floor(F.col("number") / F.col("n_blocks")))
     slot = permuted(F.col("first_slot") + F.col("number"), total, F.lit(seed))
@@ -156,7 +158,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     placed, _ = materialise(placed.withColumn(uid, F.monotonically_increasing_id()), "mix-placed")
     used = uses(sources, seed).withColumnRenamed("source", "__source")
     cut = fragments(placed.select(uid, "source", "size", "start"), block)
-    joined = cut.join(used, cut["source"].eqNullSafe(used["__source"]) & (cut["block"] == used["block"]))
+    # sizes of what comes from the slots are estimated from the few source rows, so the join is told to shuffle
+    joined = cut.join(used.hint("merge"), cut["source"].eqNullSafe(used["__source"]) & (cut["block"] == used["block"]))
     taken = joined.groupBy(F.col(uid).alias("__uid")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     small = sources.select(F.col("source").alias("__source"), "source_size", "target")
     out = placed.join(taken, F.col(uid) == F.col("__uid"), "left").join(F.broadcast(small), F.col("source").eqNullSafe(F.col("__source")), "left")
@@ -178,7 +181,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     whole = F.col("taken") / F.col("size")
     lucky = F.pmod(F.xxhash64("in_key", "in_hash", F.lit(SEED)), F.lit(1 << 20)) < (whole - F.floor(whole)) * (1 << 20)
     share = share.select(F.col("in_key").alias(k), F.col("in_hash").alias(t), F.col("source").alias(s), (F.floor(whole) + lucky.cast("long")).cast("int").alias(n)).where(F.col(n) > 0)
-    joined = docs.join(share, F.col(key).eqNullSafe(F.col(k)) & (h == F.col(t)) & F.col(source).eqNullSafe(F.col(s)))
+    joined = docs.join(share.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(k)) & (h == F.col(t)) & F.col(source).eqNullSafe(F.col(s)))
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
