@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import HIGH_RISK_COUNTRIES, clamp01, country_distance_km, flag, median
-from tidewatch.operators.patterns import MINUTE, SLOT, before, first_seen, gap_sessions, micros, prior_distinct, span, with_order
+from tidewatch.operators.patterns import BASE, MINUTE, SLOT, before, first_seen, gap_sessions, micros, prior_distinct, span, with_order
 from tidewatch.operators.rules import is_failure
 
 USER = "user_id"
@@ -69,12 +69,15 @@ def recent(df: DataFrame, key: str, within: int, values: dict[str, Column], ties
     t = time if time is not None else micros()
     lists = [F.when(F.col(key).isNotNull(), v).alias(n) for n, v in values.items()]
     staged = df.select("*", *[e.alias(f"__v_{n}") for n, e in zip(values, lists, strict=True)], t.alias("__t"))
-    tie = Window.partitionBy(key, "__t").orderBy(micros(), "event_index")
-    staged = staged.withColumn("__k", (F.col("__t") - 946_684_800_000_000) * SLOT + F.least(F.row_number().over(tie) - 1, F.lit(SLOT // 2 - 1)))
     own = F.floor(F.col("__t") / within).cast("long")
     both = F.array(F.struct(own.alias("b"), F.lit(True).alias("a")), F.struct((own + 1).alias("b"), F.lit(False).alias("a")))
-    w = Window.partitionBy(key, "__b").orderBy("__k").rangeBetween(-span(within), -1)
     placed = staged.withColumn("__e", F.explode(both)).withColumn("__b", F.col("__e.b"))
+    # one partitioning by (key, bucket) serves the order key and the frames
+    rows = Window.partitionBy(key, "__b").orderBy("__t", micros(), "event_index")
+    times = Window.partitionBy(key, "__b").orderBy("__t")
+    tie = F.least(F.row_number().over(rows) - F.rank().over(times), F.lit(SLOT // 2 - 1))
+    placed = placed.withColumn("__k", (F.col("__t") - BASE) * SLOT + tie)
+    w = Window.partitionBy(key, "__b").orderBy("__k").rangeBetween(-span(within), -1)
     placed = placed.select("*", *[F.collect_list(f"__v_{n}").over(w).alias(n) for n in values]).where("__e.a")
     return placed.drop("__e", "__b", "__k", "__t", *[f"__v_{n}" for n in values])
 

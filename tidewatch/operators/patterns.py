@@ -23,10 +23,16 @@ def micros(ts: str | Column = "timestamp") -> Column:
     return F.unix_micros(ts)
 
 
+def _tie(part: list[str], ts: Column, index: str) -> Column:
+    """A row's place among the rows of its partition at the same time; both windows share one sort."""
+    rows = Window.partitionBy(*part).orderBy(ts, index)
+    times = Window.partitionBy(*part).orderBy(ts)
+    return F.least(F.row_number().over(rows) - F.rank().over(times), F.lit(SLOT // 2 - 1))
+
+
 def with_order(df: DataFrame, key: str, name: str = "ord", ts: str = "timestamp", index: str = "event_index") -> DataFrame:
     """``df`` with the order key of each row within its ``key``."""
-    tie = Window.partitionBy(key, ts).orderBy(index)
-    return df.withColumn(name, (micros(ts) - BASE) * SLOT + F.least(F.row_number().over(tie) - 1, F.lit(SLOT // 2 - 1)))
+    return df.withColumn(name, (micros(ts) - BASE) * SLOT + _tie([key], F.col(ts), index))
 
 
 def span(us: int) -> int:
@@ -82,17 +88,44 @@ def bucketed(df: DataFrame, within: int, ts: str = "timestamp", backward: bool =
     return df.withColumn("__b", F.explode(both)).withColumn("bucket", F.col("__b.bucket")).withColumn("anchor", F.col("__b.anchor")).drop("__b")
 
 
+def ordered_buckets(df: DataFrame, key: str, within: int, name: str = "ord", ts: str = "timestamp", index: str = "event_index", backward: bool = False) -> DataFrame:
+    """``bucketed`` rows with their order key, all of it over the one partitioning by (key, bucket)."""
+    placed = bucketed(df, within, ts, backward)
+    return placed.withColumn(name, (micros(ts) - BASE) * SLOT + _tie([key, "bucket"], F.col(ts), index))
+
+
+#: Windows of time to a coarse bucket, over which chains of bursts are numbered.
+COARSE = 4096
+
+
+def chains(candidates: DataFrame, keys: list[str], within: int, ts: str = "timestamp") -> DataFrame:
+    """``candidates`` with ``__chain``: the time at which their chain began; a chain ends where the next candidate is further than ``within``.
+
+    Starts are found in time buckets, and the latest start before a row in
+    coarse buckets with a carry from earlier ones, so that no window runs over
+    all candidates of a key.
+    """
+    near = Window.partitionBy(*keys, "bucket").orderBy("__us").rangeBetween(-within, -1)
+    rows = bucketed(candidates.withColumn("__us", micros(ts)), within, ts, backward=True)
+    rows = rows.withColumn("__start", F.when(F.count(F.lit(1)).over(near) == 0, F.col("__us"))).where("anchor").drop("bucket", "anchor")
+    rows = rows.withColumn("__part", F.floor(F.col("__us") / (within * COARSE)).cast("long"))
+    names = [f"__c_{k}" for k in keys]
+    ends = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__part").alias("__p")).agg(F.max("__start").alias("__m"))
+    earlier = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carry", F.max("__m").over(earlier)).drop("__m")
+    here = Window.partitionBy(*keys, "__part").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
+    on = [F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)] + [F.col("__part") == F.col("__p")]
+    joined = rows.withColumn("__here", F.max("__start").over(here)).join(ends, on)
+    return joined.withColumn("__chain", F.coalesce("__here", "__carry")).drop("__us", "__start", "__part", "__p", "__here", "__carry", *names)
+
+
 def greedy_bursts(candidates: DataFrame, keys: list[str], within: int, ts: str = "timestamp", order: str = "ord") -> DataFrame:
     """The candidates that a scan by time would emit which, after each burst, skips all rows up to its end.
 
     A candidate is a row from which the window of ``within`` microseconds
     qualifies; whether it does is independent of the scan, so only times are
-    folded. Chains end where candidates are further apart than the window and
-    are folded apart.
+    folded, chain by chain: 16 bytes for each candidate of a chain.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    apart = F.coalesce((micros(ts) - F.lag(micros(ts)).over(w) > within).cast("int"), F.lit(0))
-    chained = candidates.withColumn("__chain", F.sum(apart).over(w))
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), micros(ts).alias("t"))))
     start = F.struct(F.lit(-(1 << 62)).alias("free"), F.array().cast("array<bigint>").alias("taken"))
 
@@ -100,7 +133,7 @@ def greedy_bursts(candidates: DataFrame, keys: list[str], within: int, ts: str =
         take = r["t"] > a["free"]
         return F.struct(F.when(take, r["t"] + within).otherwise(a["free"]).alias("free"), F.when(take, F.concat(a["taken"], F.array(r["o"]))).otherwise(a["taken"]).alias("taken"))
 
-    taken = chained.groupBy(*keys, "__chain").agg(F.aggregate(rows, start, step)["taken"].alias("__taken"))
+    taken = chains(candidates.select(*keys, ts, order), keys, within, ts).groupBy(*keys, "__chain").agg(F.aggregate(rows, start, step)["taken"].alias("__taken"))
     taken = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], F.explode("__taken").alias("__o"))
     on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(order) == F.col("__o")]
     return candidates.join(taken, on, "left_semi")

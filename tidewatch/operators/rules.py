@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.patterns import DAY, MINUTE, before, bucketed, first_seen, greedy_bursts, last_before, micros, onward, with_order
+from tidewatch.operators.patterns import DAY, MINUTE, before, first_seen, greedy_bursts, last_before, micros, onward, ordered_buckets, with_order
 from tidewatch.sources.schema import FAILURES
 
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], str]] = {}
@@ -50,7 +50,7 @@ def burst_candidates(events: DataFrame, keys: list[str], within: int, aggregates
     if where is not None:
         rows = rows.where(where)
     one = rows.withColumn("__key", F.concat_ws("\u0001", *keys)) if len(keys) > 1 else rows.withColumn("__key", F.col(keys[0]))
-    placed = bucketed(with_order(one, "__key"), within)
+    placed = ordered_buckets(one, "__key", within)
     w = onward(["__key", "bucket"], within)
     return placed.select("*", *[f(w).alias(n) for n, f in aggregates.items()]).where("anchor").drop("bucket", "anchor")
 
@@ -210,12 +210,7 @@ def correlate_by_ip(events: DataFrame, min_users: int = 3, window_minutes: int =
 def correlate_by_timing(events: DataFrame, min_users: int = 3, window_minutes: int = 5) -> DataFrame:
     """Clusters of events of several users within a short window, whatever else they share."""
     w = window_minutes * MINUTE
-    rows = events.withColumn("everyone", F.lit("all"))
-    # one key for all rows would order them in one task: ties are told apart by index within time buckets instead
-    slot = rows.withColumn("__key", F.lit("all")).withColumn("__bucket", F.floor(micros() / w).cast("long"))
-    tie = Window.partitionBy("__bucket", "timestamp").orderBy("event_index")
-    slot = slot.withColumn("ord", (micros() - 946_684_800_000_000) * 2048 + F.least(F.row_number().over(tie) - 1, F.lit(1023)))
-    placed = bucketed(slot, w)
+    placed = ordered_buckets(events.withColumn("__key", F.lit("all")), "__key", w)
     v = onward(["bucket"], w)
     found = placed.select("*", F.count(F.lit(1)).over(v).alias("n"), _users(v).alias("names"), F.size(F.collect_set("ip_address").over(v)).alias("ips")).where("anchor").drop("bucket", "anchor")
     found = greedy_bursts(found.where(F.size("names") >= min_users), ["__key"], w)
