@@ -52,6 +52,7 @@ def keyed_rows(docs: DataFrame, dims: tuple[str, ...], text: str, key: str, n_le
     piece_bytes = max(1.0, TOLERANCE * total / n_leaves)
     groups = base.groupBy("crc", "hash", "size").agg(F.count("*").alias("copies"), *[F.min(f"x{i}").alias(f"g{i}") for i in n])
     groups = groups.select(F.col("crc").alias("c"), F.col("hash").alias("h"), F.col("size").alias("s"), F.least(F.ceil(F.col("copies") * F.col("size") / piece_bytes), F.lit(1 << PIECE_BITS)).alias("pieces"), *[f"g{i}" for i in n])
+    groups, groups_path = materialise(groups, "kd-groups")  # a table, so that AQE can split the rows of a large group in the join
     joined = base.join(groups, (base["crc"] == groups["c"]) & (base["hash"] == groups["h"]) & (base["size"] == groups["s"]))
     piece = F.pmod(F.xxhash64("doc"), F.greatest(F.col("pieces"), F.lit(1)))
     tail = F.shiftleft(F.col("crc"), PIECE_BITS) + piece
@@ -61,7 +62,7 @@ def keyed_rows(docs: DataFrame, dims: tuple[str, ...], text: str, key: str, n_le
         scaled = F.lit(0) if low is None or low == high else F.coalesce(F.floor((F.col(f"g{i}") - low) / (high - low) * GRID), F.lit(0))
         keys.append(F.shiftleft(scaled.cast("long"), HASH_BITS + PIECE_BITS) + tail)
     rows, rows_path = materialise(joined.select("doc", "size", "crc", F.array(*keys).alias("keys")), "kd-rows")
-    remove(docs.sparkSession, base_path)
+    remove(docs.sparkSession, base_path, groups_path)
     return rows, [rows_path]
 
 
