@@ -170,6 +170,7 @@ def maintain(docs: DataFrame, versions: dict[str, str], pattern: str, path: str
     rollup.commit("1-load", inserts(counted, first, F.get("counts", F.lit(0))))
     rollup.commit("2-revision", revised)
     kept = counted.groupBy(F.col("body").alias("b")).agg(F.min("doc").alias("kept"))
+    kept, _ = materialise(kept, "kept")  # a table, so that AQE can split the rows of a large group in the join
     copies = counted.join(kept, F.col("body") == F.col("b")).where("doc > kept")
     now = F.when(foreign, second).otherwise(first)
     tokens = F.when(foreign, F.get("counts", F.lit(1))).otherwise(F.get("counts", F.lit(0)))
