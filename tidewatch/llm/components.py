@@ -18,6 +18,7 @@ from tidewatch.llm._shared import materialise, remove
 def _least(edges: DataFrame) -> DataFrame:
     """(u, v) edges with ``m``: the smallest of u and all its v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least, _ = materialise(least, "least")  # a table, so that both sides of the join have shuffles of their own, which AQE can split
     return edges.join(least, edges["u"] == least["w"]).select("u", "v", "m")
 
 
