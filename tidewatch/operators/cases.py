@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +25,22 @@ SCORES = ("takeover_score", "takeover_sequence_score", "campaign_score", "passwo
 
 
 def aggregate(signals: DataFrame, minutes: int = 30) -> DataFrame:
-    """Cases of four types from events with identity signals and is_anomaly, joined while steps stay within the window."""
-    out = []
-    for kind, which, key, window, several in _kinds(minutes):
-        rows = signals.where(which).withColumn("__key", F.concat_ws("\u0001", *key))
-        w = Window.partitionBy("__key").orderBy("timestamp", "event_index")
-        new = F.coalesce((micros() - F.lag(micros()).over(w) > window * MINUTE).cast("int"), F.lit(0))
-        rows = rows.withColumn("__case", F.sum(new).over(w)).withColumn("__score", F.greatest(*SCORES))
-        names = lambda c: F.concat_ws(",", F.sort_array(F.collect_set(c)))
-        built = rows.groupBy("__key", "__case").agg(
+    """Cases of four types from events with identity signals and is_anomaly, joined while steps stay within the window.
+
+    An event is marked with all types that it belongs to in one pass, so the
+    signals are computed once and one shuffle by (type, key) builds all cases.
+    """
+    marks = [F.when(which, F.struct(F.lit(kind).alias("case_type"), F.concat_ws("\u0001", *key).alias("__key"), F.lit(window * MINUTE).alias("__gap"), F.lit(2 if several else 1).alias("__least"))) for kind, which, key, window, several in _kinds(minutes)]
+    columns = ("event_index", "timestamp", "user_id", "session_id", "ip_address", "asn", "device_fingerprint", "user_agent")
+    rows = signals.select(*columns, F.greatest(*SCORES).alias("__score"), F.inline(F.filter(F.array(*marks), lambda x: x.isNotNull())))
+    w = Window.partitionBy("case_type", "__key").orderBy("timestamp", "event_index")
+    new = F.coalesce((micros() - F.lag(micros()).over(w) > F.col("__gap")).cast("int"), F.lit(0))
+    names = lambda c: F.concat_ws(",", F.sort_array(F.collect_set(c)))
+    built = (
+        rows.withColumn("__case", F.sum(new).over(w))
+        .groupBy("case_type", "__key", "__case")
+        .agg(
+            F.max("__least").alias("__least"),
             F.sort_array(F.collect_set("event_index")).alias("indices"),
             F.max("__score").alias("score"),
             micros(F.min("timestamp")).alias("first_seen"),
@@ -44,29 +49,26 @@ def aggregate(signals: DataFrame, minutes: int = 30) -> DataFrame:
             *[names(c).alias(n) for c, n in (("user_id", "users"), ("session_id", "sessions"), ("ip_address", "ips"), ("asn", "asns"))],
             F.concat_ws(",", F.array_sort(F.array_union(F.collect_set("device_fingerprint"), F.collect_set("user_agent")))).alias("devices"),
         )
-        if several:
-            built = built.where("n_users >= 2")
-        n = F.size("indices")
-        digest = F.substring(F.sha1(F.concat(F.lit(f"{kind}:"), F.concat_ws(",", F.transform("indices", lambda x: x.cast("string"))))), 1, 12)
-        out.append(
-            built.select(
-                F.concat(F.lit(f"{kind}:"), digest).alias("case_id"),
-                F.lit(kind).alias("case_type"),
-                case_severity(F.col("score"), n).alias("severity"),
-                confidence_band(F.col("score")).alias("confidence"),
-                "score",
-                n.alias("n_events"),
-                "first_seen",
-                "last_seen",
-                "users",
-                "sessions",
-                "ips",
-                "devices",
-                "asns",
-                F.concat_ws(",", F.transform(F.slice("indices", 1, 12), lambda x: x.cast("string"))).alias("representatives"),
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+        .where("n_users >= __least")
+    )
+    n = F.size("indices")
+    digest = F.substring(F.sha1(F.concat("case_type", F.lit(":"), F.concat_ws(",", F.transform("indices", lambda x: x.cast("string"))))), 1, 12)
+    return built.select(
+        F.concat("case_type", F.lit(":"), digest).alias("case_id"),
+        "case_type",
+        case_severity(F.col("score"), n).alias("severity"),
+        confidence_band(F.col("score")).alias("confidence"),
+        "score",
+        n.alias("n_events"),
+        "first_seen",
+        "last_seen",
+        "users",
+        "sessions",
+        "ips",
+        "devices",
+        "asns",
+        F.concat_ws(",", F.transform(F.slice("indices", 1, 12), lambda x: x.cast("string"))).alias("representatives"),
+    )
 
 
 EXPECTED = {

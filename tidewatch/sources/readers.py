@@ -154,7 +154,12 @@ def read_indicators(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as canonical events: types, places and devices are derived from its columns."""
+    """The ``events`` table as canonical events: types, places and devices are derived from its columns.
+
+    Its times have no zone and are read as UTC, which this sets for the session.
+    """
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return adapt(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
