@@ -38,7 +38,7 @@ def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Co
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1)) if not inverse else F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1))
 
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(F.xxhash64(key, r) - x, n)
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)  # the inner one keeps the difference from overflowing
         bit = F.xxhash64(key, r, F.greatest(x, other)).bitwiseAND(F.lit(1))
         return F.when(bit == 1, other).otherwise(x)
 
