@@ -125,6 +125,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(value: F.Column, body) -> F.Column:
+    """``body(value)`` with ``value`` computed once: a lambda over a one-element array binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text) -> F.Column:
     """The words of a text as an array; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+"), "")

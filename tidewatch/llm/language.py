@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._shared import fresh, materialise, ship
+from tidewatch.llm._shared import fresh, let, materialise, ship
 from tidewatch.llm.bpe import slices
 
 #: Labelled rows that the models are fitted on at most, chosen by a hash of their keys.
@@ -117,9 +117,8 @@ def scored(df: DataFrame, model: Model, text: str, out: str, keep_text: bool = T
 
 
 def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+    powers = let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -152,9 +151,9 @@ def host_priors(rows: DataFrame, host: str, logs: str, n: int) -> DataFrame:
     ``rows`` has a host and text likelihoods. Sums are combined before the
     shuffle, so a host with a third of all rows is one small row per task.
     """
-    p = _softmax(F.col(logs))
-    sums = [F.sum(p[i]).alias(f"c{i}") for i in range(n)]
-    hosts = rows.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host_")).agg(F.count("*").alias("n_host"), *sums)
+    rows = rows.where(F.col(host).isNotNull()).select(F.col(host).alias("host_"), _softmax(F.col(logs)).alias("p"))
+    sums = [F.sum(F.get("p", F.lit(i))).alias(f"c{i}") for i in range(n)]
+    hosts = rows.groupBy("host_").agg(F.count("*").alias("n_host"), *sums)
     add = [F.sum(f"c{i}").alias(f"d{i}") for i in range(n)]
     domains = hosts.groupBy(domain_of(F.col("host_")).alias("domain_")).agg(F.sum("n_host").alias("n_domain"), *add)
     whole = domains.agg(F.sum("n_domain").alias("n_all"), *[F.sum(f"d{i}").alias(f"a{i}") for i in range(n)])
@@ -174,23 +173,25 @@ def fused(rows: DataFrame, priors: DataFrame, model: Model, host: str, declared:
     right = priors.select(F.col("host_").alias(at), F.struct("n_host", "c_host", "prior").alias(prior))
     joined = rows.join(right if priors.count() > BROADCAST_HOSTS else F.broadcast(right), F.col(host) == F.col(at), "left")
     known = F.col(prior)
-    own = _softmax(F.col(logs))
-    shrunk = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.log((F.get(known["c_host"], i) - F.get(own, i) + SHRINK * F.get(known["prior"], i) + 1e-6) / (known["n_host"] - 1 + SHRINK)))
+    def log_prior(own: Column) -> Column:
+        rest = lambda i: F.get(known["c_host"], i) - F.get(own, i) + SHRINK * F.get(known["prior"], i) + 1e-6
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.log(rest(i) / (known["n_host"] - 1 + SHRINK)))
+
+    shrunk = F.when(known.isNotNull(), let(_softmax(F.col(logs)), log_prior))
     flat = F.array(*[F.lit(0.0)] * n)
     evidence = [F.col(logs), F.coalesce(shrunk, flat)]
     if declared:
         evidence.append(_vote(F.col(declared), model.languages, DECLARED))
     if suffix:
         evidence.append(_vote(F.col(suffix), model.languages, SUFFIX))
-    posterior = _softmax(reduce(_plus, evidence))
     names = F.array(*[F.lit(x) for x in model.languages])
-    (p,) = fresh(joined, "posterior_")
-    joined = joined.withColumn(p, posterior)
-    best = F.array_max(p)
-    language = F.element_at(names, F.array_position(p, best).cast("int"))
     read = F.exists(logs, lambda x: x != 0)
-    judged = F.struct(F.when(read, language).alias("language"), F.round(best, 6).alias("posterior"), (read & (best >= LEAST_POSTERIOR)).alias("kept"))
-    return joined.withColumn(out, judged).drop(p, at, prior)
+
+    def judged(posterior: Column) -> Column:
+        language = lambda best: F.element_at(names, F.array_position(posterior, best).cast("int"))
+        return let(F.array_max(posterior), lambda best: F.struct(F.when(read, language(best)).alias("language"), F.round(best, 6).alias("posterior"), (read & (best >= LEAST_POSTERIOR)).alias("kept")))
+
+    return joined.withColumn(out, let(_softmax(reduce(_plus, evidence)), judged)).drop(at, prior)
 
 
 def visible_text(html: Column) -> Column:

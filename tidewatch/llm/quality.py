@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._shared import SPACE_CLASS, WORD, fresh, words
+from tidewatch.llm._shared import SPACE_CLASS, WORD, fresh, let, words
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -89,11 +89,6 @@ def repeated_windows(w: Column, width: int = 3, few: int = 48) -> Column:
     return let(let(hashes, places), covered).cast("long")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: a lambda over a one-element array binds it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def features(text: Column) -> Column:
     """All counts of one text as a struct of longs; null counts as a text without words.
 
