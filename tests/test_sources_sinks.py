@@ -50,20 +50,20 @@ def test_indicators(spark, tmp_path):
 @pytest.fixture()
 def results(events):  # noqa: F811
     df = events([("a|b=c\nd", 0, {}), ("bob", 1, {})])
-    return df.withColumns({"score": F.lit(-0.6), "is_anomaly": F.col("event_index") == 0})
+    return df.withColumns({"score": F.lit(-0.6), "confidence": F.lit(0.9), "is_anomaly": F.col("event_index") == 0})
 
 
 def test_lines_are_sanitised(results):
     (line,) = [r["value"] for r in formats.cef(results).collect()]
-    assert "\n" not in line and r"suser=a\|b\=c d src=" in line and "|10|" in line
+    assert "\n" not in line and r"suser=a\|b\=c d cs1=login" in line and "|10|" in line
     (line,) = [r["value"] for r in formats.syslog(results).collect()]
-    assert line.startswith("<82>1 2026-01-01T09:00:00.000Z") and "\n" not in line
+    assert line.startswith("<82>1 2026-01-01T09:00:00Z - tidewatch") and "\n" not in line
     objects = [r["value"] for r in formats.stix_objects(results).collect()]
     assert json.loads(formats.stix_bundle(objects))["objects"][0]["x_event_type"] == "login"
 
 
 def test_reports_and_envelopes(spark, results, tmp_path):
-    summary = spark.createDataFrame([("u", 10, 6, 0.6, "critical")], "user_id string, n_events long, n_anomalies long, anomaly_rate double, risk string")
+    summary = spark.createDataFrame([("u", 10, 6, 0.6, -0.2, "critical")], "user_id string, n_events long, n_anomalies long, anomaly_rate double, min_score double, risk string")
     assert "| u | 10 | 6 | 60.00% | critical | F |" in formats.report(summary)
     assert formats.timeline(results).splitlines()[9].endswith("2")
     assert formats.unwrap(formats.envelope("x", {"a": 1})) == {"a": 1} and formats.unwrap([1]) == [1]

@@ -69,10 +69,14 @@ def median(sorted_values: Column) -> Column:
     return F.when(n % 2 == 1, middle).otherwise((F.get(sorted_values, F.floor(n / 2).cast("int") - 1) + middle) / 2)
 
 
-def risk_grade(rate: Column) -> Column:
-    """A to F by the rate of anomalies."""
-    grades = ((0.5, "F"), (0.2, "D"), (0.1, "C"), (0.05, "B"))
-    return reduce(lambda c, g: c.when(rate > g[0], g[1]), grades[1:], F.when(rate > grades[0][0], grades[0][1])).otherwise("A")
+def risk_grade(rate: Column, least: Column) -> Column:
+    """A to F by the rate of anomalies and the lowest score."""
+    limits = ((0.5, -0.5, "F"), (0.3, -0.3, "D"), (0.15, -0.15, "C"), (0.05, -0.05, "B"))
+    found = None
+    for high, low, grade in limits:
+        hit = (rate > high) | (least < low)
+        found = F.when(hit, grade) if found is None else found.when(hit, grade)
+    return found.otherwise("A")
 
 
 def case_severity(score: Column, events: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_INDEX = 1_000_000_000_000
-#: Address blocks that no ordinary login comes from.
+#: Address blocks that injected attackers come from.
 BLOCKS = ("185.220.101", "91.240.118", "45.155.205", "193.32.162")
 
 

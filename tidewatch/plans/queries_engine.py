@@ -11,7 +11,6 @@ from tidewatch.operators import features
 from tidewatch.operators.inject import TYPES, inject
 from tidewatch.plans.queries_scores import RAW, models, rounded
 from tidewatch.plans.sql import EVENTS
-from tidewatch.sinks import formats
 from tidewatch.sources.readers import stream_table
 
 FEATURES = ["a", "b", "c"]
@@ -45,13 +44,8 @@ def _threats(s, d):
     return df.select("event_index", "is_threat_ip", "is_threat_asn")
 
 
-def _syslog(s, d):
-    df = stream_table(s, d).withColumn("score", -F.col("session_duration_seconds") / 100).withColumn("is_anomaly", F.col("score") < -1)
-    return formats.syslog(df)
-
-
 def _known_vectors(s, d):
-    """Exact nearest neighbours by Euclidean distance: queries in one block against all rows, the five nearest each."""
+    """How many vectors there are, how many lengths, and their mean square."""
     rows = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
     return rows.agg(F.count("*").alias("n"), F.count_distinct(F.size("embedding")).alias("lengths"), F.round(F.avg(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("mean_square"))
 
@@ -66,7 +60,6 @@ QUERIES = {
     "type_counts": lambda s, d: stream_table(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("success"), 1)).alias("successes")),
     "event_predicates": lambda s, d: stream_table(s, d).select("event_index", flag(F.col("event_type").isin("failed_login", "mfa_failure")).alias("is_failure"), (F.weekday("timestamp") >= 5).alias("is_weekend"), F.hour("timestamp").cast("long").alias("hour")),
     "threat_flags": _threats,
-    "syslog_lines": _syslog,
     "vector_stats": _known_vectors,
     **{f"inject_{k}": _injected(k) for k in TYPES},
 }
@@ -82,6 +75,5 @@ SELECT event_index, string_agg(f, ',' ORDER BY i) AS top FROM r WHERE i <= 2 GRO
     "type_counts": f"WITH {EVENTS} SELECT event_type, count(*) AS n, count(*) FILTER (success) AS successes FROM ev GROUP BY 1",
     "event_predicates": f"WITH {EVENTS} SELECT event_index, failed::INT::DOUBLE AS is_failure, isodow(timestamp) >= 6 AS is_weekend, hour(timestamp) AS hour FROM ev",
     "threat_flags": f"WITH {EVENTS}, s AS (SELECT *, {_SEEN} AS seen FROM ev) SELECT event_index, (seen AND ip_address = '10.0.0.3')::INT::DOUBLE AS is_threat_ip, (seen AND asn = 'AS64501')::INT::DOUBLE AS is_threat_asn FROM s",
-    "syslog_lines": f"""WITH {EVENTS}, s AS (SELECT *, -session_duration_seconds / 100 AS score FROM ev) SELECT '<82>1 ' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.') || lpad((us // 1000 % 1000)::VARCHAR, 3, '0') || 'Z localhost tidewatch - anomaly [auth user="' || user_id || '" type="' || event_type || '" score="' || printf('%.4f', score) || '"]' AS value FROM s WHERE score < -1""",
     "vector_stats": "SELECT count(*) AS n, count(DISTINCT len(embedding)) AS lengths, round(avg(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS mean_square FROM embeddings",
 }

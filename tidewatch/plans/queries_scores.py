@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalar import angular_distance, case_severity, confidence_band, cyclic, log_safe, risk_grade
+from tidewatch.functions.scalar import angular_distance, case_severity, confidence_band, cyclic, risk_grade
 from tidewatch.operators import cases, circular, evaluate, identity, monitor, scoring
 from tidewatch.plans.sql import EVENTS, user_order
+from tidewatch.sinks import formats
 from tidewatch.sources.readers import stream_table
 
 O = user_order()  # noqa: E741
@@ -67,10 +68,12 @@ def _cases(s, d):
     return cases.aggregate(df)
 
 
-def _cef(s, d):
-    ev = stream_table(s, d).where("event_type = 'failed_login'")
-    line = F.concat(F.lit("CEF:0|tidewatch|auth|1|"), F.col("event_type"), F.lit("|login|"), F.when(F.col("session_duration_seconds") > 50, "8").otherwise("5"), F.lit("|suser="), log_safe(F.col("user_id")), F.lit(" src="), log_safe(F.col("ip_address")), F.lit(" rt="), F.unix_millis("timestamp").cast("string"))
-    return ev.select("event_index", line.alias("line"))
+def _lines(write):
+    def run(s, d):
+        df = stream_table(s, d).withColumn("score", -F.col("session_duration_seconds") / 130)
+        return write(df.withColumns({"is_anomaly": F.col("score") < -0.3, "confidence": F.lit(0.5)}))
+
+    return run
 
 
 def _drift(s, d):
@@ -94,7 +97,7 @@ QUERIES = {
     "score_pipeline": _pipeline,
     "sensitivity": lambda s, d: rounded(scoring.sensitivity(normalised(s, d), "a")),
     "scorer": lambda s, d: rounded(_scored(s, d).select("event_index", "is_anomaly", "confidence", "percentile_rank", (F.col("user_baseline") + TIE).alias("user_baseline"))),
-    "user_summary": lambda s, d: rounded(scoring.user_summary(_scored(s, d), "score").withColumn("grade", risk_grade(F.round("anomaly_rate", 6))).withColumn("mean_score", F.col("mean_score") + TIE)),
+    "user_summary": lambda s, d: rounded(scoring.user_summary(_scored(s, d), "score").withColumn("grade", risk_grade(F.round("anomaly_rate", 6), F.col("min_score") / 100)).withColumn("mean_score", F.col("mean_score") + TIE)),
     "score_distribution": lambda s, d: rounded(scoring.distribution(models(s, d), "a")),
     "cyclic_features": lambda s, d: rounded(stream_table(s, d).select("event_index", *[x.alias(f"{n}_{f}") for n, v, p in (("hour", F.hour("timestamp"), 24), ("day", F.weekday("timestamp"), 7), ("month", F.month("timestamp") - 1, 12)) for f, x in zip(("sin", "cos"), cyclic(v.cast("double"), p), strict=True)])),
     "von_mises_moments": lambda s, d: rounded(circular.moments(stream_table(s, d)), 5),
@@ -114,7 +117,8 @@ QUERIES = {
     "detection_rates": lambda s, d: rounded(evaluate.detection_rates(models(s, d).withColumn("truth", F.col("event_type") == "failed_login"), "b", "truth")),
     "robustness": lambda s, d: rounded(evaluate.robustness(normalised(s, d).withColumns({"truth": F.col("event_type") == "failed_login", "e": scoring.vote(MODELS)}).withColumn("flag", F.col("e") >= 0.6), MODELS, "e", "flag", "truth")),
     "slices": lambda s, d: rounded(evaluate.slices(normalised(s, d), {"failures": F.col("event_type").isin("failed_login", "mfa_failure"), "night": F.hour("timestamp") < 6, "no_mfa": ~F.col("mfa_used"), "all": F.lit(True)}, "a", "b", "success")),
-    "cef_lines": _cef,
+    "cef_lines": _lines(formats.cef),
+    "syslog_lines": _lines(formats.syslog),
     "case_bands": lambda s, d: normalised(s, d).select("event_index", case_severity(F.col("a"), F.floor(F.col("b") * 9)).alias("severity"), confidence_band(F.col("a")).alias("confidence"), F.round(angular_distance(F.col("c") * 360, F.col("b") * 360), 6).alias("apart")),
 }
 
@@ -168,7 +172,7 @@ SELECT round(q, 6) AS contamination, round(x, 6) AS threshold, round((SELECT avg
     "user_summary": f"""WITH {_SCORED}, s AS (SELECT user_id, count(*) AS n_events, count(*) FILTER (is_anomaly) AS n_anomalies, avg(score) AS m, min(score) AS lo, max(score) AS hi, stddev_pop(score) AS sd FROM res GROUP BY 1), r AS (SELECT *, n_anomalies / n_events AS rate FROM s)
 SELECT user_id, n_events, n_anomalies, round(m + 3e-9, 6) AS mean_score, round(lo, 6) AS min_score, round(hi, 6) AS max_score, round(sd, 6) AS std_score, round(rate, 6) AS anomaly_rate,
  CASE WHEN rate > 0.5 OR lo < -0.5 THEN 'critical' WHEN rate > 0.2 OR m < -0.1 THEN 'high' WHEN rate > 0.05 OR n_anomalies > 0 THEN 'medium' ELSE 'low' END AS risk,
- CASE WHEN round(rate, 6) > 0.5 THEN 'F' WHEN round(rate, 6) > 0.2 THEN 'D' WHEN round(rate, 6) > 0.1 THEN 'C' WHEN round(rate, 6) > 0.05 THEN 'B' ELSE 'A' END AS grade FROM r""",
+ CASE WHEN round(rate, 6) > 0.5 OR lo / 100 < -0.5 THEN 'F' WHEN round(rate, 6) > 0.3 OR lo / 100 < -0.3 THEN 'D' WHEN round(rate, 6) > 0.15 OR lo / 100 < -0.15 THEN 'C' WHEN round(rate, 6) > 0.05 OR lo / 100 < -0.05 THEN 'B' ELSE 'A' END AS grade FROM r""",
     "score_distribution": f"""WITH {RAW}, q AS (SELECT count(a) AS n, avg(a) AS mean, stddev_pop(a) AS std, min(a) AS least, max(a) AS most, quantile_cont(a, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS q FROM raw)
 SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least, round(most, 6) AS most, {', '.join(f'round(q[{i + 1}], 6) AS p{p}' for i, p in enumerate((1, 5, 10, 25, 50, 75, 90, 95, 99)))} FROM q""",
     "cyclic_features": f"""WITH {EVENTS} SELECT event_index, {', '.join(f"round({f}({v} * 2 * pi() / {p}), 6) + 0 AS {n}_{f}" for n, v, p in (('hour', 'hour(timestamp)', 24), ('day', '(isodow(timestamp) - 1)', 7), ('month', '(month(timestamp) - 1)', 12)) for f in ('sin', 'cos'))} FROM ev""",
@@ -206,7 +210,8 @@ SELECT count(*) AS n_events, count(*) FILTER (e >= 0.6) AS n_flagged, count(*) F
  round(count(*) FILTER (NOT truth AND e >= 0.6) / count(*) FILTER (NOT truth), 6) AS false_positive_rate, round(avg(h), 6) AS entropy_mean, round(stddev_pop(h), 6) AS entropy_std, round(avg(v), 6) AS variance_mean, round(avg(e), 6) AS ensemble_mean FROM x""",
     "slices": f"""WITH {NORM}, m AS (SELECT *, unnest([CASE WHEN failed THEN 'failures' END, CASE WHEN hour(timestamp) < 6 THEN 'night' END, CASE WHEN NOT mfa_used THEN 'no_mfa' END, 'all']) AS slice FROM nrm)
 SELECT slice, count(*) AS n, round(avg(success::INT), 6) AS flagged_share, round(avg(a), 6) AS mean_score, round(avg(b), 6) AS mean_baseline FROM m WHERE slice IS NOT NULL GROUP BY 1""",
-    "cef_lines": f"""WITH {EVENTS} SELECT event_index, 'CEF:0|tidewatch|auth|1|' || event_type || '|login|' || CASE WHEN session_duration_seconds > 50 THEN '8' ELSE '5' END || '|suser=' || user_id || ' src=' || ip_address || ' rt=' || (us // 1000) AS line FROM ev WHERE event_type = 'failed_login'""",
+    "cef_lines": f"""WITH {EVENTS}, s AS (SELECT *, -session_duration_seconds / 130 AS score FROM ev) SELECT 'CEF:0|tidewatch|tidewatch|1.0|anomaly|behavioural anomaly|' || CASE WHEN score < -0.4 THEN 10 WHEN score < -0.2 THEN 7 WHEN score < -0.1 THEN 5 ELSE 3 END || '|rt=' || strftime(timestamp, '%b %d %Y %H:%M:%S') || ' suser=' || user_id || ' cs1=' || event_type || ' cs1Label=EventType cfp1=' || printf('%.6f', score) || ' cfp1Label=AnomalyScore cfp2=0.5000 cfp2Label=Confidence' AS value FROM s WHERE score < -0.3""",
+    "syslog_lines": f"""WITH {EVENTS}, s AS (SELECT *, -session_duration_seconds / 130 AS score FROM ev) SELECT '<' || CASE WHEN score < -0.4 THEN 82 WHEN score < -0.2 THEN 83 WHEN score < -0.1 THEN 84 ELSE 86 END || '>1 ' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') || ' - tidewatch - - - user=' || user_id || ' event=' || event_type || ' score=' || printf('%.4f', score) || ' confidence=0.50 anomaly=true' AS value FROM s WHERE score < -0.3""",
     "case_bands": f"""WITH {NORM} SELECT event_index, CASE WHEN a >= 0.85 OR floor(b * 9) >= 8 THEN 'critical' WHEN a >= 0.7 OR floor(b * 9) >= 5 THEN 'high' WHEN a >= 0.55 OR floor(b * 9) >= 3 THEN 'medium' ELSE 'low' END AS severity,
  CASE WHEN a >= 0.85 THEN 'very_high' WHEN a >= 0.7 THEN 'high' WHEN a >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, round(least(abs(c - b) * 360, 360 - abs(c - b) * 360), 6) AS apart FROM nrm""",
 }

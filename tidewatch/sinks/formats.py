@@ -13,33 +13,39 @@ from tidewatch.functions.scalar import log_safe, risk_grade
 
 
 def severity_number(score: Column) -> Column:
-    """0 to 10 from a score whose low values are anomalous."""
-    return F.when(score < -0.5, 10).when(score < -0.3, 8).when(score < -0.1, 6).when(score < 0, 4).otherwise(2)
+    """3 to 10 from a score whose low values are anomalous."""
+    return F.when(score < -0.4, 10).when(score < -0.2, 7).when(score < -0.1, 5).otherwise(3)
 
 
 def cef(results: DataFrame, product: str = "tidewatch") -> DataFrame:
-    """One CEF line per anomaly; every value is sanitised."""
+    """One CEF line per anomaly (score, confidence); every text is sanitised."""
     c = F.col
     line = F.concat(
-        F.lit(f"CEF:0|{product}|{product}|1.0|ANOMALY|"), log_safe(c("event_type")), F.lit("|"), severity_number(c("score")).cast("string"),
-        F.lit("|suser="), log_safe(c("user_id")), F.lit(" src="), log_safe(c("ip_address")), F.lit(" rt="), F.date_format("timestamp", "MMM dd yyyy HH:mm:ss"),
-        F.lit(" cs1Label=score cs1="), F.format_string("%.4f", c("score")),
+        F.lit(f"CEF:0|{product}|{product}|1.0|anomaly|behavioural anomaly|"), severity_number(c("score")).cast("string"),
+        F.lit("|rt="), F.date_format("timestamp", "MMM dd yyyy HH:mm:ss"), F.lit(" suser="), log_safe(c("user_id")), F.lit(" cs1="), log_safe(c("event_type")),
+        F.lit(" cs1Label=EventType cfp1="), F.format_string("%.6f", c("score")), F.lit(" cfp1Label=AnomalyScore cfp2="), F.format_string("%.4f", c("confidence")), F.lit(" cfp2Label=Confidence"),
     )
     return results.where("is_anomaly").select(line.alias("value"))
 
 
 def cef_rules(matches: DataFrame, product: str = "tidewatch") -> DataFrame:
-    number = F.when(F.col("severity") == "critical", "10").when(F.col("severity") == "high", "8").when(F.col("severity") == "medium", "5").otherwise("3")
-    line = F.concat(F.lit(f"CEF:0|{product}|{product}|1.0|"), log_safe(F.col("rule_id")), F.lit("|rule match|"), number, F.lit("|suser="), log_safe(F.col("users")), F.lit(" cnt="), F.col("n_events").cast("string"), F.lit(" msg="), log_safe(F.col("details")))
+    """One CEF line per rule match, five of its users at most named."""
+    number = F.when(F.col("severity") == "critical", "10").when(F.col("severity") == "high", "7").when(F.col("severity") == "medium", "5").otherwise("3")
+    at = F.date_format(F.timestamp_micros("matched_at"), "MMM dd yyyy HH:mm:ss")
+    users = log_safe(F.concat_ws(",", F.slice(F.split("users", ","), 1, 5)))
+    rule = log_safe(F.col("rule_id"))
+    line = F.concat(F.lit(f"CEF:0|{product}|{product}|1.0|"), rule, F.lit("|"), F.replace(rule, F.lit("_"), F.lit(" ")), F.lit("|"), number, F.lit("|rt="), at, F.lit(" suser="), users, F.lit(" cs1="), rule, F.lit(" cs1Label=RuleID cnt="), F.col("n_events").cast("string"), F.lit(" msg="), log_safe(F.col("details"), 200))
     return matches.select(line.alias("value"))
 
 
-def syslog(results: DataFrame, host: str = "localhost", app: str = "tidewatch") -> DataFrame:
+def syslog(results: DataFrame, app: str = "tidewatch") -> DataFrame:
     """One RFC 5424 line per anomaly, facility 10."""
-    level = F.when(F.col("score") < -0.5, 2).when(F.col("score") < -0.3, 3).when(F.col("score") < -0.1, 4).otherwise(5)
-    quoted = lambda x: F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r'([\\"\]])', r"\\$1")
-    line = F.concat(F.lit("<"), (80 + level).cast("string"), F.lit(">1 "), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(f" {host} {app} - anomaly [auth user=\""), quoted(F.col("user_id")), F.lit('" type="'), quoted(F.col("event_type")), F.lit('" score="'), F.format_string("%.4f", F.col("score")), F.lit('"]'))
-    return results.where("is_anomaly").select(F.regexp_replace(line, r"[\r\n]+", " ").alias("value"))
+    level = F.when(F.col("score") < -0.4, 2).when(F.col("score") < -0.2, 3).when(F.col("score") < -0.1, 4).otherwise(6)
+    line = F.concat(
+        F.lit("<"), (80 + level).cast("string"), F.lit(">1 "), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(f" - {app} - - - user="), log_safe(F.col("user_id")), F.lit(" event="), log_safe(F.col("event_type")),
+        F.lit(" score="), F.format_string("%.4f", F.col("score")), F.lit(" confidence="), F.format_string("%.2f", F.col("confidence")), F.lit(" anomaly=true"),
+    )
+    return results.where("is_anomaly").select(line.alias("value"))
 
 
 def stix_objects(results: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def report(summary: DataFrame, top: int = 20, title: str = "Risk report") -> str
     """A Markdown report of the ``top`` users by anomaly rate, with totals over all."""
     totals = summary.agg(F.count("*").alias("users"), F.sum("n_events").alias("events"), F.sum("n_anomalies").alias("anomalies")).first()
     rate = (totals["anomalies"] or 0) / max(totals["events"] or 0, 1)
-    rows = summary.withColumn("grade", risk_grade(F.col("anomaly_rate"))).orderBy(F.desc("anomaly_rate"), "user_id").limit(top).collect()
+    rows = summary.withColumn("grade", risk_grade(F.col("anomaly_rate"), F.col("min_score"))).orderBy(F.desc("anomaly_rate"), "user_id").limit(top).collect()
     lines = [f"# {title}", "", f"{totals['users']} users, {totals['events'] or 0} events, {totals['anomalies'] or 0} anomalies ({rate:.2%}).", "", "| user | events | anomalies | rate | risk | grade |", "|-|-|-|-|-|-|"]
     lines += [f"| {r['user_id']} | {r['n_events']} | {r['n_anomalies']} | {r['anomaly_rate']:.2%} | {r['risk']} | {r['grade']} |" for r in rows]
     return "\n".join(lines) + "\n"
