@@ -118,6 +118,7 @@ def test_models_find_planted_outliers(spark):
         worst = [r["event_index"] for r in model.score(df).orderBy("score").limit(6).collect()]
         assert set(worst) == set(range(6)), type(model)
     forest = outliers.IsolationForest(trees=20).fit(df, ["a", "b", "c", "d"])
+    assert outliers.inspect(forest.dumps())["trees"] == 20
     same = outliers.IsolationForest.loads(forest.dumps()).score(df)
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, outliers.IsolationForest(trees=20).fit(df, ["a", "b", "c", "d"]).score(df).collect()))
     top = df.select(outliers.explain(["a", "b"], outliers.Scaler().fit(df, ["a", "b"]), 1).alias("t")).first()["t"][0]
@@ -143,16 +144,21 @@ def test_injections_are_seeded_and_marked(events):  # noqa: F811
 def test_hijack_becomes_a_case(events):  # noqa: F811
     df = events([("a", 60 * i, {"session_id": f"s{i}"}) for i in range(6)])
     mixed = inject(df, "session_hijack")
+    assert "identity_takeover_score" in identity.signals(mixed).select(identity.signal_map().alias("m")).first()["m"]
     signals = identity.signals(mixed).withColumn("is_anomaly", F.col("takeover_score") >= 0.5)
     found = cases.aggregate(signals)
     got = cases.detection(found, mixed.where("synthetic"), "session_hijack").first()
     assert got["synthetic_cases"] > 0 and got["matches_expected"] == 1
 
 
-def test_feedback(spark):
+def test_feedback(spark, tmp_path):
     rows = [(f"e{i}", "fp", a, "u1") for i in range(6) for a in ("x", "y")] + [(f"e{i}", "tp", "z", "u1") for i in range(6)]
     df = spark.createDataFrame(rows, "event_id string, verdict string, analyst_id string, user_id string").withColumn("at", F.lit("2026-01-01").cast("timestamp"))
     assert monitor.confirmed(df).count() == 6
+    monitor.append_feedback(df, str(tmp_path / "fb"))
+    monitor.append_feedback(df.withColumn("verdict", F.lit("odd")), str(tmp_path / "fb"))
+    assert spark.read.parquet(str(tmp_path / "fb")).count() == 18
+    assert monitor.feedback_summary(df).first()["fp"] == 12
     assert monitor.false_positive_rates(df).first()["fp_rate"] == 1.0
     assert [r["analyst_id"] for r in monitor.poisoning_analysts(df).collect()] == ["z"]
     assert monitor.confirmed_since(df, "fp", "2025-01-01").count() == 6

@@ -289,6 +289,38 @@ def triage_features(df: DataFrame) -> DataFrame:
     )
 
 
+TRIAGE = ("f_score", "f_excess", "f_nll", "f_jsd", "f_hour", "f_day", "f_success", "f_mfa", "f_agent")
+
+
+def triage(features: DataFrame, weights: dict[str, float], bias: float = 0.0) -> DataFrame:
+    """(event_index, fp_probability, confidence) of a logistic triage model over the nine columns; confidence is twice the distance from one half."""
+    z = sum((F.col(c) * float(weights.get(c, 0.0)) for c in TRIAGE), F.lit(float(bias)))
+    p = 1 / (1 + F.exp(-z))
+    return features.select("event_index", p.alias("fp_probability"), (F.abs(p - 0.5) * 2).alias("confidence"))
+
+
+def onnx_triage(features: DataFrame, path: str) -> DataFrame:
+    """The same from an ONNX model file of nine inputs and the probability as its last output; needs onnxruntime on the executors."""
+
+    @F.pandas_udf("double")
+    def predict(*columns: pd.Series) -> pd.Series:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(path)
+        x = np.column_stack([c.to_numpy(np.float32) for c in columns])
+        out = np.asarray(session.run(None, {session.get_inputs()[0].name: x})[-1])
+        return pd.Series(out.reshape(len(x), -1)[:, -1].astype(float))
+
+    p = predict(*[F.col(c) for c in TRIAGE])
+    return features.select("event_index", p.alias("fp_probability")).withColumn("confidence", F.abs(F.col("fp_probability") - 0.5) * 2)
+
+
+def inspect(text: str) -> dict:
+    """What a saved forest holds: features, trees, nodes, threshold."""
+    raw = json.loads(text)
+    return {"features": raw["features"], "trees": len(raw["forest"]), "nodes": sum(len(t["feature"]) for t in raw["forest"]), "threshold": raw["offset"]}
+
+
 def topology_lifetimes(df: DataFrame, features: list[str], most: int = 2000, seed: int = 42) -> list[float]:
     """Lifetimes of the zeroth persistent homology of a bounded sample under the range-scaled city-block distance: its spanning tree's edges."""
     rows = numeric(df, features).orderBy(F.xxhash64(F.lit(seed), "event_index")).limit(most).toPandas()[features].to_numpy(float)

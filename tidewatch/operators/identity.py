@@ -314,3 +314,8 @@ def build(events: DataFrame) -> DataFrame:
     """event_index, user_id, the signals rounded to six places, and their reasons."""
     df = signals(events)
     return df.select("event_index", USER, *[F.round(c, 6).alias(c) for c in SIGNALS], reasons().alias("reasons"))
+
+
+def signal_map(prefix: str = "identity_") -> Column:
+    """All signals of a row as a map from their prefixed names, for results that carry them along."""
+    return F.map_from_arrays(F.array(*[F.lit(prefix + c) for c in SIGNALS]), F.array(*[F.round(c, 6) for c in SIGNALS]))

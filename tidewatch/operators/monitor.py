@@ -107,6 +107,22 @@ def at_least(severity: Column, least: str) -> Column:
     return F.element_at(order, severity) >= SEVERITIES.index(least)
 
 
+VERDICTS = ("fp", "tp", "unsure")
+
+
+def append_feedback(records: DataFrame, path: str) -> None:
+    """Add verdicts (event_id, verdict, analyst_id, user_id, at) to a table; rows with an unknown verdict or no event are left out."""
+    kept = records.where(F.col("verdict").isin(*VERDICTS) & F.col("event_id").isNotNull())
+    kept.select("event_id", "verdict", F.coalesce("analyst_id", F.lit("anon")).alias("analyst_id"), "user_id", "at").write.mode("append").parquet(path)
+
+
+def feedback_summary(feedback: DataFrame) -> DataFrame:
+    """One row: how many verdicts there are of each kind, and the share of false positives."""
+    counts = [F.count(F.when(F.col("verdict") == v, 1)) for v in VERDICTS]
+    total = F.count("*")
+    return feedback.agg(total.alias("total"), *[c.alias(v) for c, v in zip(counts, VERDICTS, strict=True)], F.coalesce(counts[0] / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("fp_rate"))
+
+
 def confirmed(feedback: DataFrame, quorum: int = 2) -> DataFrame:
     """(event_id, verdict) that enough different analysts gave."""
     return feedback.groupBy("event_id", "verdict").agg(F.count_distinct("analyst_id").alias("analysts")).where(F.col("analysts") >= quorum).select("event_id", "verdict")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import angular_distance, case_severity, confidence_band, cyclic, risk_grade
+from tidewatch.models import outliers
 from tidewatch.operators import cases, circular, evaluate, identity, monitor, scoring
 from tidewatch.plans.sql import EVENTS, user_order
 from tidewatch.sinks import formats
@@ -63,6 +64,11 @@ def _gate(s, d):
     return monitor.gated(rows, tau=0.6, jsd_floor=0.1)
 
 
+def _triage(s, d):
+    df = normalised(s, d).withColumns({"score": scoring.vote(MODELS), "threshold": F.lit(0.6), "nll": F.col("b"), "jsd": scoring.disagreement(MODELS)})
+    return outliers.triage(outliers.triage_features(df), {"f_excess": -4.0, "f_jsd": 2.0, "f_mfa": 0.5, "f_success": 0.25}, 0.1)
+
+
 def _cases(s, d):
     df = identity.signals(stream_table(s, d)).withColumn("is_anomaly", F.col("fusion_score") >= 0.3)
     return cases.aggregate(df)
@@ -110,6 +116,8 @@ QUERIES = {
     "alert_gate": lambda s, d: _gate(s, d).select("event_index", "ensemble_fired", "temporal_fired", "jsd_fired", "n_signals", "passes"),
     "alert_dedup": lambda s, d: monitor.deduplicated(stream_table(s, d), 86400, 2).select("event_index", "emitted"),
     "alert_severity": lambda s, d: normalised(s, d).select("event_index", monitor.alert_severity(scoring.vote(MODELS), F.lit(0.3), scoring.disagreement(MODELS) * 5).alias("severity")),
+    "feedback_summary": lambda s, d: rounded(monitor.feedback_summary(_feedback(s, d))),
+    "triage": lambda s, d: rounded(_triage(s, d)),
     "feedback_confirmed": lambda s, d: monitor.confirmed(_feedback(s, d), 12),
     "feedback_fp_rates": lambda s, d: rounded(monitor.false_positive_rates(_feedback(s, d), 34)),
     "feedback_poisoning": lambda s, d: rounded(monitor.poisoning_analysts(_feedback(s, d), 12, 5, 0.2)),
@@ -199,6 +207,8 @@ s AS (SELECT user_id, i, event_index, [us] AS kept, true AS emitted FROM r WHERE
 SELECT event_index, emitted FROM s""",
     "alert_severity": f"""WITH {NORM}, x AS (SELECT event_index, ((a + b + c) / 3 - 0.3) / 0.3 AS r, {_JSD} * 5 > 0.5 AS j FROM nrm)
 SELECT event_index, ['info', 'low', 'medium', 'high', 'critical'][1 + least((CASE WHEN r < 0.1 THEN 1 WHEN r < 0.5 THEN 2 WHEN r < 1.0 THEN 3 ELSE 4 END) + j::INT, 4)] AS severity FROM x""",
+    "feedback_summary": f"WITH {_FB} SELECT count(*) AS total, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'unsure') AS unsure, round(avg((verdict = 'fp')::INT), 6) AS fp_rate FROM fb",
+    "triage": f"""WITH {NORM}, p AS (SELECT event_index, 1 / (1 + exp(-(0.1 - 4.0 * ((a + b + c) / 3 - 0.6) + 2.0 * {_JSD} + 0.5 * mfa_used::INT + 0.25 * success::INT))) AS p FROM nrm) SELECT event_index, round(p, 6) AS fp_probability, round(abs(p - 0.5) * 2, 6) AS confidence FROM p""",
     "feedback_confirmed": f"WITH {_FB}, {_conf(12)} SELECT * FROM cf",
     "feedback_fp_rates": f"""WITH {_FB}, {_conf(34)} SELECT user_id, count(*) AS events, round(avg((event_id IN (SELECT event_id FROM cf WHERE verdict = 'fp'))::INT), 6) AS fp_rate FROM (SELECT DISTINCT user_id, event_id FROM fb) GROUP BY 1""",
     "feedback_poisoning": f"""WITH {_FB}, {_conf(12)}, w AS (SELECT *, row_number() OVER () AS i FROM fb WHERE analyst_id <> 'anon'), a AS (SELECT w.i, w.analyst_id, max((cf.event_id IS NOT NULL)::INT) AS bad FROM w LEFT JOIN cf ON cf.event_id = w.event_id AND cf.verdict <> w.verdict GROUP BY ALL)
