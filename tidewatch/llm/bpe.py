@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,8 +27,8 @@ from tidewatch.llm._shared import ship, trim
 
 #: Characters above Latin-1: none is white space or sentencepiece's own space mark.
 SHIFT = 0x100
-#: Pre-tokens that a worker keeps encoded, and the longest that it keeps.
-CACHE, CACHED_CHARS = 50_000, 32
+#: Pre-tokens that a worker keeps encoded: the first that it meets, among which are the frequent ones; and the longest that it keeps.
+CACHE, CACHED_CHARS = 80_000, 32
 #: Characters of a text that are split into pre-tokens at a time.
 WINDOW = 1 << 20
 
@@ -49,8 +51,11 @@ def _field(number: int, value: int | bytes | float) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(value)) + value
 
 
+_CHARACTERS = "".join(chr(b + SHIFT) for b in range(256))
+
+
 def mapped(data: bytes) -> str:
-    return "".join(map(chr, (b + SHIFT for b in data)))
+    return data.decode("latin-1").translate(_CHARACTERS)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,35 +77,29 @@ def serialised_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes texts to ids as little-endian unsigned 32-bit integers, and back to bytes."""
+    """Encodes texts to ids as little-endian unsigned 32-bit integers, and back to bytes. Native order is used, so a big-endian host is refused."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         import sentencepiece
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed in native order, which must be little-endian 32-bit here")
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.ranks))
         self.pattern, self.cut = regex.compile(pattern), regex.compile(r"(?<=\S)(?= \p{L})")
         self.bytes_of = [bytes(ord(c) - SHIFT for c in self.model.id_to_piece(i)) for i in range(len(self.ranks))]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        codec = self
-
-        class Young(dict):
-            def __missing__(self, token: str) -> bytes:
-                found = codec.old.get(token) or codec.encode_token(token)
-                if len(token) <= CACHED_CHARS:
-                    self[token] = found
-                return found
-
-        self.fresh = Young
-        self.young = Young()
-
-    def encode_token(self, token: str) -> bytes:
-        data = token.encode()
-        rank = self.ranks.get(data)
-        ids = [rank] if rank is not None else self.model.encode(mapped(data))
-        return np.asarray(ids, "<u4").tobytes()
+        self.kept: dict[str, bytes] = {}
+
+    def encode_tokens(self, tokens: list[str]) -> dict[str, bytes]:
+        """Each pre-token's ids: its rank if it is an entry of the vocabulary, else by the model, all of them in one call."""
+        data = [t.encode() for t in tokens]
+        whole = [self.ranks.get(d) for d in data]
+        rest = [k for k, r in enumerate(whole) if r is None]
+        out = {tokens[k]: array("I", [r]).tobytes() for k, r in enumerate(whole) if r is not None}
+        for k, ids in zip(rest, self.model.encode([mapped(data[k]) for k in rest], num_threads=1), strict=True):
+            out[tokens[k]] = array("I", ids).tobytes()
+        return out
 
     def pre_tokens(self, text: str) -> Iterator[list[str]]:
         """Windows of pre-tokens. A window ends before a single space between a non-space and a letter: no match of the pattern crosses it."""
@@ -111,11 +110,24 @@ class Codec:
             yield self.pattern.findall(text, at, end)
             at = end
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the pre-tokens of all of them that are new are encoded together."""
+        split = [list(self.pre_tokens(t)) for t in texts]
+        seen: set[str] = set()
+        for windows in split:
+            for tokens in windows:
+                seen.update(tokens)
+        kept = self.kept
+        table = {t: kept[t] for t in seen.intersection(kept)}
+        new = self.encode_tokens(list(seen.difference(kept)))
+        table |= new
+        if len(kept) < CACHE:
+            kept.update((t, x) for t, x in new.items() if len(t) <= CACHED_CHARS)
+        get = table.__getitem__
+        return [b"".join([b"".join(map(get, tokens)) for tokens in windows]) for windows in split]
+
     def encode(self, text: str) -> bytes:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, self.fresh()
-        get = self.young.__getitem__
-        return b"".join([b"".join(map(get, tokens)) for tokens in self.pre_tokens(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> Iterator[bytes]:
         table = self.bytes_of
@@ -150,9 +162,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 20):
+            for part in slices(batch, "__text", 1 << 21):
                 texts = part.column("__text").to_pylist()
-                ids = [own.encode(t or "") for t in texts]
+                ids = own.encode_all([t or "" for t in texts])
                 back = [b"".join(own.decode(x)) for x in ids]
                 exact = [b == (t or "").encode() for b, t in zip(back, texts, strict=True)]
                 columns = [part.column("__key"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(exact)]
@@ -172,10 +184,9 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 20):
+            for part in slices(batch, "__text", 1 << 21):
                 counts, ids_sha, decoded_sha = [], [], []
-                for t in part.column("__text").to_pylist():
-                    ids = own.encode(t or "")
+                for ids in own.encode_all([t or "" for t in part.column("__text").to_pylist()]):
                     counts.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     h = hashlib.sha256()
