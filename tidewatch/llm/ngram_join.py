@@ -29,7 +29,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Chance that a pair at exactly SIMILARITY shares a band, and the most hash functions spent on it.
 RECALL, MOST_HASHES = 0.9999, 192
 #: Members and n-grams that a block holds, about.
-BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 400_000
+BLOCK_MEMBERS, BLOCK_NGRAMS = 64, 400_000
 #: Dropped rows up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
