@@ -80,7 +80,7 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 #: Bytes of an Arrow batch between Spark and its Python workers: texts are long, and both sides hold a batch twice.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ from tidewatch.llm._shared import ship, trim
 #: Characters above Latin-1: none is white space or sentencepiece's own space mark.
 SHIFT = 0x100
 #: Pre-tokens that a worker keeps encoded: the first that it meets, among which are the frequent ones; and the longest that it keeps.
-CACHE, CACHED_CHARS = 80_000, 32
+CACHE, CACHED_CHARS = 30_000, 32
 #: Characters of a text that are split into pre-tokens at a time.
 WINDOW = 1 << 20
 
@@ -162,7 +162,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 21):
+            for part in slices(batch, "__text", 1 << 19):
                 texts = part.column("__text").to_pylist()
                 ids = own.encode_all([t or "" for t in texts])
                 back = [b"".join(own.decode(x)) for x in ids]
@@ -184,7 +184,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 21):
+            for part in slices(batch, "__text", 1 << 19):
                 counts, ids_sha, decoded_sha = [], [], []
                 for ids in own.encode_all([t or "" for t in part.column("__text").to_pylist()]):
                     counts.append(len(ids) // 4)

@@ -108,7 +108,7 @@ def scored(df: DataFrame, model: Model, text: str, out: str, keep_text: bool = T
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 21):
+            for part in slices(batch, text, 1 << 20):
                 values = _floats(likelihoods(part.column(text), model))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], values], [*names, out])
 

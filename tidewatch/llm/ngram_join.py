@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, key: str, text: str, bands: int, rows: int, widt
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 grams, start = ngrams(part.column("text"), width)
                 values = band_hashes(minhashes(grams, start, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * bands, pa.int32()), pa.array(values.ravel()))
@@ -226,7 +226,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     def grams_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 grams, start = ngrams(part.column("text"), width)
                 sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("rep", "cluster", "blocks", "side")] + [pa.array(sets, pa.binary())], ["rep", "cluster", "blocks", "side", "grams"])
