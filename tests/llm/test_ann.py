@@ -50,3 +50,22 @@ def test_graph_search_finds_nearest_centroids():
     exact = np.argsort(((index.centroids[None] - q[:, None]) ** 2).sum(2), 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(lists, exact, strict=True)]) >= 9
     assert (np.diff(dist, axis=1) >= 0).all()
+
+
+def unit(n, seed=9, width=64):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def test_recall_holds_with_many_lists():
+    x = unit(40_000)
+    index = ann.build(x[:20_000], len(x), 1.0)
+    assert len(index.centroids) > 300
+    asked = np.arange(100)
+    scores = x[asked] @ x.T
+    scores[asked, asked] = -2
+    near = np.argsort(-scores, 1)[:, :20]
+    homes = index.replicas(index.lifted(x[near.ravel()]))
+    reads = index.probes(np.concatenate([x[asked], np.zeros((100, 1))], 1).astype(np.float32))
+    hits = [bool(set(home) & set(reads[i // 20])) for i, home in enumerate(homes)]
+    assert np.mean(hits) >= 0.9

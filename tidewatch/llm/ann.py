@@ -2,18 +2,21 @@
 
 Vectors are put into lists around centroids. The centroids come from balanced
 halvings of a bounded sample; a graph over them, searched best-first in memory,
-finds the nearest ones. A vector near a boundary is put into every list whose
-centroid is within a distance ratio of the nearest, unless a list taken before
-lies closer to that centroid than the vector does. A query reads the lists
-whose centroids are within a ratio of its nearest, and scores their vectors
-exactly. Inner products become distances by one added coordinate that gives
-all vectors the same length.
+finds the nearest ones. Squared distances to centroids are compared as their
+excess over the nearest, in units of the mean centroid's excess, because in
+many dimensions all of them share a large common part. A vector near a boundary
+is put into every list whose
+centroid is within a distance ratio of the nearest. A query reads the lists up to an
+excess that is fitted so that sampled queries find TARGET of their neighbours;
+their number has no limit and grows with the lists. Vectors read are scored
+exactly. Inner products become distances by one added coordinate that gives all
+vectors the same length. Lists next to each other travel in bundles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,15 @@ from tidewatch.llm._shared import materialise, ship
 
 #: Vectors that the centroids are fitted on at most: those of the smallest hashes.
 SAMPLE = 40_000
-#: Vectors to a list, about, and the most lists; beyond, lists grow and are scored in chunks.
-LIST_SIZE, MOST_LISTS, CHUNK = 128, 8192, 2048
+#: Vectors to a list, about, and the most lists; beyond, lists grow. Bundles of lists are scored in chunks.
+LIST_SIZE, MOST_LISTS, CHUNK = 128, 8192, 4096
 DEGREE, BEAM = 24, 96
 #: Replicas: the ratio of distances up to which a boundary vector is repeated, and how often at most.
 REPLICA_RATIO, MOST_REPLICAS = 1.15, 4
-#: Pruning: the ratio of distances up to which a query reads lists, and how many at least and at most.
-PRUNE_RATIO, LEAST_PROBES, MOST_PROBES = 1.35, 24, 64
+#: Pruning: how many lists a query reads at least, the share of neighbours that fitting queries must find, how many fit, and their neighbours.
+LEAST_PROBES, TARGET, FITTING, NEIGHBOURS = 24, 0.97, 256, 20
+#: Lists to a bundle: a query that reads one of them reads all.
+BUNDLE = 16
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,11 @@ class Index:
     graph: np.ndarray
     entries: np.ndarray
     length: float
+    prune: float = np.inf
+
+    def squares(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of each row of ``x`` to all centroids."""
+        return np.maximum((x * x).sum(1)[:, None] + (self.centroids**2).sum(1)[None, :] - 2 * x @ self.centroids.T, 0)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.length**2 - (x * x).sum(1), 0))
@@ -98,11 +108,18 @@ class Index:
             out.append(chosen)
         return out
 
+    def excess(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to all centroids less the least, 1 at their mean; the LEAST_PROBES nearest count as 0."""
+        squares = self.squares(x)
+        first = squares.min(1, keepdims=True)
+        out = (squares - first) / np.maximum(squares.mean(1, keepdims=True) - first, 1e-12)
+        if out.shape[1] <= LEAST_PROBES:
+            return np.zeros_like(out)
+        return np.where(out <= np.partition(out, LEAST_PROBES - 1, 1)[:, LEAST_PROBES - 1 : LEAST_PROBES], 0, out)
+
     def probes(self, x: np.ndarray) -> list[list[int]]:
         """The lists that each query reads."""
-        lists, dist = self.nearest(x, MOST_PROBES)
-        within = (dist <= PRUNE_RATIO * dist[:, :1]) | (np.arange(dist.shape[1]) < LEAST_PROBES)
-        return [[c for c, ok in zip(a, b, strict=True) if ok and c < len(self.centroids)] for a, b in zip(lists.tolist(), within.tolist(), strict=True)]
+        return [np.flatnonzero(row).tolist() for row in self.excess(x) <= self.prune]
 
 
 def _halved(x: np.ndarray, n_lists: int) -> np.ndarray:
@@ -145,7 +162,34 @@ def build(sample: np.ndarray, n_vectors: int, length: float) -> Index:
             graph[a : a + 1024, :degree] = np.argpartition(d, degree - 1, 1)[:, :degree]
         graph[a : a + 1024, -4:] = rng.integers(0, m, (len(d), 4))  # long edges keep the graph in one piece
     entries = rng.permutation(m)[: min(m, BEAM // 2)]
-    return Index(centroids, graph, entries, length)
+    index = Index(centroids, graph, entries, length)
+    return replace(index, prune=_fitted_prune(index, sample))
+
+
+def _fitted_prune(index: Index, sample: np.ndarray) -> float:
+    """The excess up to which sampled queries find TARGET of their neighbours in the sample.
+
+    Neighbours in a sample are farther than those in the whole table, which
+    lie in nearer lists, and replicas aren't counted, so the excess errs to the
+    large side.
+    """
+    if len(index.centroids) <= LEAST_PROBES:
+        return np.inf
+    rng = np.random.default_rng(13)
+    needed = []
+    for a in np.array_split(rng.permutation(len(sample))[:FITTING], 8):
+        scores = sample[a] @ sample.T
+        scores[np.arange(len(a)), a] = -np.inf
+        k = min(NEIGHBOURS, len(sample) - 1)
+        near = np.argpartition(-scores, k - 1, 1)[:, :k]
+        excess = index.excess(_asking(sample[a]))
+        home = np.concatenate([index.squares(index.lifted(sample[some])).argmin(1) for some in near])
+        needed.append(np.take_along_axis(excess, home.reshape(near.shape), 1).ravel())
+    return float(np.quantile(np.concatenate(needed), TARGET, method="higher"))
+
+
+def _asking(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.zeros((len(x), 1))], 1).astype(np.float32)
 
 
 def vectors(rows: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -199,7 +243,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = _matrix(part.column("v"))
-                lists = index.probes(np.concatenate([x, np.zeros((len(x), 1))], 1).astype(np.float32)) if probes else index.replicas(index.lifted(x))
+                lists = index.probes(_asking(x)) if probes else index.replicas(index.lifted(x))
+                lists = [sorted({c // BUNDLE for c in s}) for s in lists]
                 lengths = [len(s) for s in lists]
                 take = pa.array(np.repeat(np.arange(len(x)), lengths))
                 yield pa.RecordBatch.from_arrays([pa.array([c for s in lists for c in s], pa.int32()), *[part.column(c).take(take) for c in ("name", "ids", "v")]], ["list", "name", "ids", "v"])
@@ -209,7 +254,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     lists, _ = materialise(lists, "lists")
     chunks = lists.groupBy(F.col("list").alias("l")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     chunks, _ = materialise(chunks, "chunks")
-    right = F.broadcast(chunks)  # one row per list, of which there are MOST_LISTS at most
+    right = F.broadcast(chunks)  # one row per bundle, of which there are MOST_LISTS / BUNDLE at most
     held = lists.join(right, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("side"), "name", "ids", "v")
     unique = asked.groupBy("name").agg(F.first("v").alias("v")).select("name", F.array().cast("array<long>").alias("ids"), "v")
     reads = unique.mapInArrow(lambda b: posted(b, True), kind).join(right, F.col("list") == F.col("l"))
