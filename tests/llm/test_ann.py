@@ -69,3 +69,12 @@ def test_recall_holds_with_many_lists():
     reads = index.probes(np.concatenate([x[asked], np.zeros((100, 1))], 1).astype(np.float32))
     hits = [bool(set(home) & set(reads[i // 20])) for i, home in enumerate(homes)]
     assert np.mean(hits) >= 0.9
+
+
+def test_replicas_and_pruning_act_on_spread_vectors():
+    x = unit(20_000)
+    index = ann.build(x, len(x), 1.0)
+    copies = [len(lists) for lists in index.replicas(index.lifted(x[:2000]))]
+    assert 1.1 < np.mean(copies) < ann.MOST_REPLICAS and min(copies) == 1
+    reads = [len(lists) for lists in index.probes(np.concatenate([x[:200], np.zeros((200, 1))], 1).astype(np.float32))]
+    assert np.isfinite(index.prune) and ann.LEAST_PROBES <= min(reads) and max(reads) < len(index.centroids)

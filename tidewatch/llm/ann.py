@@ -5,8 +5,7 @@ halvings of a bounded sample; a graph over them, searched best-first in memory,
 finds the nearest ones. Squared distances to centroids are compared as their
 excess over the nearest, in units of the mean centroid's excess, because in
 many dimensions all of them share a large common part. A vector near a boundary
-is put into every list whose
-centroid is within a distance ratio of the nearest. A query reads the lists up to an
+is put into every list whose excess is small. A query reads the lists up to an
 excess that is fitted so that sampled queries find TARGET of their neighbours;
 their number has no limit and grows with the lists. Vectors read are scored
 exactly. Inner products become distances by one added coordinate that gives all
@@ -30,8 +29,8 @@ SAMPLE = 40_000
 #: Vectors to a list, about, and the most lists; beyond, lists grow. Bundles of lists are scored in chunks.
 LIST_SIZE, MOST_LISTS, CHUNK = 128, 8192, 4096
 DEGREE, BEAM = 24, 96
-#: Replicas: the ratio of distances up to which a boundary vector is repeated, and how often at most.
-REPLICA_RATIO, MOST_REPLICAS = 1.15, 4
+#: Replicas: the excess up to which a boundary vector is repeated, and how often at most.
+REPLICA_EXCESS, MOST_REPLICAS = 0.05, 4
 #: Pruning: how many lists a query reads at least, the share of neighbours that fitting queries must find, how many fit, and their neighbours.
 LEAST_PROBES, TARGET, FITTING, NEIGHBOURS = 24, 0.97, 256, 20
 #: Lists to a bundle: a query that reads one of them reads all.
@@ -52,6 +51,10 @@ class Index:
         """Squared distances of each row of ``x`` to all centroids."""
         return np.maximum((x * x).sum(1)[:, None] + (self.centroids**2).sum(1)[None, :] - 2 * x @ self.centroids.T, 0)
 
+    def common(self, x: np.ndarray) -> np.ndarray:
+        """The mean squared distance of each row of ``x`` to the centroids."""
+        return (x * x).sum(1) + (self.centroids**2).sum(1).mean() - 2 * x @ self.centroids.mean(0)
+
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.length**2 - (x * x).sum(1), 0))
         return np.concatenate([x, rest[:, None]], 1).astype(np.float32)
@@ -95,18 +98,12 @@ class Index:
 
     def replicas(self, x: np.ndarray) -> list[list[int]]:
         """The lists that each vector is put into."""
-        lists, dist = self.nearest(x, MOST_REPLICAS * 3)
-        out = []
-        for some, d in zip(lists.tolist(), dist.tolist(), strict=True):
-            chosen: list[int] = []
-            for c, far in zip(some, d, strict=True):
-                if c == len(self.centroids) or chosen and far > REPLICA_RATIO * d[0] or len(chosen) == MOST_REPLICAS:
-                    break
-                apart = ((self.centroids[chosen] - self.centroids[c]) ** 2).sum(1)
-                if not chosen or apart.min() > far * far:
-                    chosen.append(c)
-            out.append(chosen)
-        return out
+        lists, dist = self.nearest(x, MOST_REPLICAS)
+        squares = dist**2
+        first = squares[:, :1]
+        within = squares - first <= REPLICA_EXCESS * (self.common(x)[:, None] - first)
+        within[:, 0] = True
+        return [[c for c, ok in zip(a, b, strict=True) if ok and c < len(self.centroids)] for a, b in zip(lists.tolist(), within.tolist(), strict=True)]
 
     def excess(self, x: np.ndarray) -> np.ndarray:
         """Squared distances to all centroids less the least, 1 at their mean; the LEAST_PROBES nearest count as 0."""
