@@ -162,3 +162,36 @@ def test_feedback(spark, tmp_path):
     assert monitor.false_positive_rates(df).first()["fp_rate"] == 1.0
     assert [r["analyst_id"] for r in monitor.poisoning_analysts(df).collect()] == ["z"]
     assert monitor.confirmed_since(df, "fp", "2025-01-01").count() == 6
+
+
+def test_outlier_factor_uses_all_rows_exactly(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(3000, 2)) * [1, 5], 2)
+    x[:60] = x[0]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "event_index long, a double, b double")
+    model = outliers.LocalOutlierFactor(k=10, cell=100).fit(df, ["a", "b"])
+    assert model.points.agg(F.sum("n")).first()[0] == 3000 and len(model.cells[1]) > 8
+    got = {r["event_index"]: r["score"] for r in model.score(df).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    own = d.copy()
+    np.fill_diagonal(own, np.inf)
+    reach = np.sort(own, 1)[:, 9]
+    found = {r["at"]: r["reach"] for r in model.known.collect()}
+    ids = {r["event_index"]: r["id"] for r in model._points(outliers.numeric(df, ["a", "b"])).collect()}
+    assert len(got) == 3000 and np.allclose([found[ids[i]] for i in range(3000)], reach, atol=1e-9)
+    near = np.argsort(own, 1, kind="stable")[:, :10]
+    density = 1 / (np.maximum(np.take_along_axis(own, near, 1), reach[near]).mean(1) + 1e-10)
+    near = np.argsort(d, 1, kind="stable")[:, :10]
+    want = 1.5 - density[near].mean(1) * (np.maximum(np.take_along_axis(d, near, 1), reach[near]).mean(1) + 1e-10)
+    assert np.mean(np.isclose([got[i] for i in range(3000)], want, rtol=1e-6)) > 0.9  # rows whose last neighbours tie may differ
+
+
+def test_registered_outlier_factor_fits_every_event(spark, monkeypatch):
+    from tidewatch.plans import queries_engine
+
+    fitted = []
+    fit = outliers.LocalOutlierFactor.fit
+    monkeypatch.setattr(outliers.LocalOutlierFactor, "fit", lambda self, df, features: fitted.append(fit(self, df, features)) or fitted[0])
+    queries_engine.QUERIES["lof"](spark, "/root/testdata/sf0.01")
+    assert fitted[0].points.agg(F.sum("n")).first()[0] == 10_000

@@ -1,8 +1,8 @@
 """Outlier models: scaler, isolation forest, local outlier factor, ensemble, explanations, registry.
 
 Scores are low for outliers. Fitted state is small: scaler moments, at most
-``psi`` rows a tree, the training rows of the local outlier factor up to a cap
-that the caller sets. Scoring is a vectorised function over batches, or plain
+``psi`` rows a tree; the local outlier factor keeps its training rows as a
+distributed table. Scoring is a vectorised function over batches, or plain
 columns.
 """
 
@@ -173,61 +173,143 @@ class IsolationForest:
 @register("lof")
 @dataclass
 class LocalOutlierFactor:
-    """Density of a row against that of its ``k`` nearest training rows, of which at most ``most`` are kept (documented cap of the model)."""
+    """Density of a row against that of its ``k`` nearest training rows: all rows, or the ``most`` rows of the smallest hashes if that is given.
+
+    Neighbours are exact. Equal rows are one point with a count. Points are
+    dealt into cells of a k-d tree, whose cuts come from a sample; a point
+    finds its nearest in its own cell and then in each cell whose box is no
+    farther than the last of them. Equal distances go to the smaller hash.
+    """
 
     k: int = 20
-    most: int = 20_000
+    most: int | None = None
     seed: int = 42
     contamination: float = 0.05
     features: list[str] = field(default_factory=list)
     scaler: Scaler = field(default_factory=Scaler)
     offset: float = 0.0
+    #: Points to a cell, about, and points that the cuts are found from.
+    cell: int = 2048
+    cut_rows: int = 50_000
+
+    def _points(self, rows: DataFrame) -> DataFrame:
+        """(id, x): scaled rows with the hash of their values."""
+        scaled = self.scaler.transform(rows)
+        return scaled.select("event_index", F.array(*[F.col(c) + 0.0 for c in self.features]).alias("x")).withColumn("id", F.xxhash64("x"))
+
+    def _cells(self, points: DataFrame):
+        """Cells of the training points: the function that places rows, the least and greatest corners by cell."""
+        total = points.count()
+        sample = np.array([r["x"] for r in points.orderBy("id").select("x").limit(self.cut_rows).collect()])
+        nodes: list[list] = []
+
+        def grow(rows: np.ndarray, wanted: int) -> int:
+            at = len(nodes)
+            nodes.append([-1, 0.0, at, at])
+            if wanted > 1 and len(rows) > 1:
+                d = int(np.argmax(sample[rows].max(0) - sample[rows].min(0)))
+                cut = float(np.median(sample[rows, d]))
+                left = sample[rows, d] < cut
+                if left.any() and not left.all():
+                    nodes[at] = [d, cut, grow(rows[left], wanted // 2), grow(rows[~left], wanted - wanted // 2)]
+            return at
 
-    def _search(self):
-        """A function (rows, whether they are the training rows) -> (places, distances) that carries its data with it."""
-        rows, k = self.rows, self.k
-        norms = (rows**2).sum(1)
-
-        def nearest(x: np.ndarray, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
-            most = min(k, len(rows) - (1 if skip_self else 0))
-            ids, dist = [], []
-            for a in range(0, len(x), 512):
-                part = x[a : a + 512]
-                d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + norms[None, :] - 2 * part @ rows.T, 0))
-                if skip_self:
-                    d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-                near = np.argsort(d, 1, kind="stable")[:, :most]
-                ids.append(near)
-                dist.append(np.take_along_axis(d, near, 1))
-            return np.concatenate(ids), np.concatenate(dist)
-
-        return nearest
+        grow(np.arange(len(sample)), max(1, total // self.cell))
+        dims, cuts, lefts, rights = (np.array(c) for c in zip(*nodes, strict=True))
+
+        @F.pandas_udf("int")
+        def place(xs: pd.Series) -> pd.Series:
+            x, at = np.stack(xs.to_list()) if len(xs) else np.zeros((0, 1)), np.zeros(len(xs), int)
+            while True:
+                live = np.flatnonzero(dims[at] >= 0)
+                if not len(live):
+                    return pd.Series(at.astype("int32"))
+                here = at[live]
+                at[live] = np.where(x[live, dims[here]] < cuts[here], lefts[here], rights[here])
+
+        placed = points.withColumn("cell", place("x"))
+        n = range(len(self.features))
+        boxes = placed.groupBy("cell").agg(F.array(*[F.min(F.get("x", F.lit(i))) for i in n]).alias("low"), F.array(*[F.max(F.get("x", F.lit(i))) for i in n]).alias("high")).orderBy("cell").collect()  # one row per cell
+        return place, [r["cell"] for r in boxes], np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes])
+
+    def _nearest(self, asked: DataFrame) -> DataFrame:
+        """(id, hits): the ``k + 1`` nearest training points (d, id, n) of each point in ``asked`` (id, x), nearest first."""
+        place, cells, low, high = self.cells
+        most, numbers = self.k + 1, np.array(cells)
+        hit = "array<struct<d:double,id:bigint,n:bigint>>"
+
+        def best(x: np.ndarray, held: pd.DataFrame) -> list[list[dict]]:
+            if not len(held):
+                return [[] for _ in x]
+            y, ids, counts = np.stack(held["x"].to_list()), held["id"].to_numpy(), held["n"].to_numpy()
+            out = []
+            for a in range(0, len(x), 256):
+                d = np.sqrt(sum((x[a : a + 256, i, None] - y[None, :, i]) ** 2 for i in range(y.shape[1])))
+                edge = np.partition(d, min(most, len(y)) - 1, 1)[:, min(most, len(y)) - 1]
+                for row, far in zip(d, edge, strict=True):
+                    near = np.flatnonzero(row <= far)
+                    near = near[np.lexsort((ids[near], row[near]))][:most]
+                    out.append([{"d": far, "id": i, "n": n} for far, i, n in zip(row[near].tolist(), ids[near].tolist(), counts[near].tolist(), strict=True)])
+            return out
+
+        def first(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(some):
+                return pd.DataFrame(columns=["id", "x", "hits", "others"], dtype=object)
+            x = np.stack(some["x"].to_list())
+            hits, others = best(x, held), []
+            for v, found in zip(x, hits, strict=True):
+                reach = found[-1]["d"] if len(found) == most else np.inf
+                gap = np.sqrt((np.maximum(np.maximum(low - v, v - high), 0) ** 2).sum(1))
+                others.append(numbers[(gap <= reach * (1 + 1e-9)) & (numbers != some["cell"].iloc[0])].tolist())
+            return pd.DataFrame({"id": some["id"], "x": some["x"], "hits": hits, "others": others})
+
+        def second(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(some):
+                return pd.DataFrame(columns=["id", "hits"], dtype=object)
+            return pd.DataFrame({"id": some["id"], "hits": best(np.stack(some["x"].to_list()), held)})
+
+        held = self.points.select(*[F.col(c).alias(c) for c in ("id", "x", "n")], place("x").alias("cell")).groupBy("cell")
+        own = asked.select(*[F.col(c).alias(c) for c in ("id", "x")], place("x").alias("cell")).groupBy("cell").cogroup(held).applyInPandas(first, f"id bigint, x array<double>, hits {hit}, others array<int>").persist()
+        beyond = own.select("id", "x", F.explode("others").alias("cell")).groupBy("cell").cogroup(held).applyInPandas(second, f"id bigint, hits {hit}")
+        both = own.select("id", "hits").unionByName(beyond).groupBy("id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        return both.select("id", F.slice(F.array_sort("hits"), 1, most).alias("hits"))
+
+    def _taken(self, hits: DataFrame, skip_self: bool) -> DataFrame:
+        """(id, d, at, last): each of the ``k`` nearest rows by its distance and point; equal rows count each."""
+        def repeated(h: Column) -> Column:
+            n = h["n"] - ((h["id"] == F.col("id")) & F.lit(skip_self)).cast("int")
+            return F.array_repeat(h, F.least(n, F.lit(self.k)).cast("int"))
+
+        rows = hits.withColumn("taken", F.slice(F.flatten(F.transform("hits", repeated)), 1, self.k))
+        return rows.select("id", F.explode("taken").alias("h"), F.array_max("taken.d").alias("last")).select("id", F.col("h")["d"].alias("d"), F.col("h")["id"].alias("at"), "last")
 
     def fit(self, df: DataFrame, features: list[str]) -> LocalOutlierFactor:
         self.features = list(features)
         rows = numeric(df, self.features)
         self.scaler.fit(rows, self.features)
-        kept = self.scaler.transform(rows).orderBy(F.xxhash64(F.lit(self.seed), "event_index"), "event_index").limit(self.most).toPandas()
-        self.rows = kept[self.features].to_numpy(float)
-        ids, dist = self._search()(self.rows, True)
-        self.reach = dist[:, -1]
-        self.density = 1.0 / (np.maximum(dist, self.reach[ids]).mean(1) + 1e-10)
-        self.offset = float(self.score(df).agg(F.percentile("score", self.contamination)).first()[0])
+        if self.most:
+            rows = rows.orderBy(F.xxhash64(F.lit(self.seed), "event_index"), "event_index").limit(self.most)
+        self.points = self._points(rows).groupBy("id", "x").agg(F.count("*").alias("n")).persist()
+        self.cells = self._cells(self.points)
+        hits = self._nearest(self.points).persist()
+        taken = self._taken(hits, True)
+        reach = taken.groupBy(F.col("id").alias("at")).agg(F.max("last").alias("reach")).persist()
+        density = taken.join(reach, "at").groupBy("id").agg((1.0 / (F.avg(F.greatest("d", "reach")) + 1e-10)).alias("density"))
+        self.known = density.join(reach.withColumnRenamed("at", "id"), "id").withColumnRenamed("id", "at").persist()
+        scores = self._factor(hits).join(self.points.select("id", "n"), "id") if not self.most else self.score(df).withColumn("n", F.lit(1))
+        self.offset = float(scores.agg(F.percentile("score", self.contamination, F.col("n"))).first()[0])
         return self
 
+    def _factor(self, hits: DataFrame) -> DataFrame:
+        near = self._taken(hits, False).join(self.known, "at").groupBy("id")
+        own = 1.0 / (F.avg(F.greatest("d", "reach")) + 1e-10)
+        return near.agg((1.5 - F.avg("density") / own).alias("score"))
+
     def score(self, df: DataFrame) -> DataFrame:
         """(event_index, score): minus the outlier factor, plus 1.5."""
-        nearest, reach, density = self._search(), self.reach, self.density
-
-        @F.pandas_udf("double")
-        def factor(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(float) for c in columns])
-            ids, dist = nearest(x, False)
-            own = 1.0 / (np.maximum(dist, reach[ids]).mean(1) + 1e-10)
-            return pd.Series(1.5 - density[ids].mean(1) / own)
-
-        rows = self.scaler.transform(numeric(df, self.features))
-        return rows.select("event_index", factor(*[F.col(c) for c in self.features]).alias("score"))
+        rows = self._points(numeric(df, self.features))
+        asked = rows.select("id", "x").dropDuplicates(["id"])
+        return rows.select("event_index", "id").join(self._factor(self._nearest(asked)), "id").select("event_index", "score")
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("prediction", F.when(F.col("score") < self.offset, -1).otherwise(1))

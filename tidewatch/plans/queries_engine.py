@@ -55,7 +55,7 @@ QUERIES = {
     "robust_scale": _scaled("robust"),
     "explain_features": _explained,
     "isolation_forest": lambda s, d: rounded(IsolationForest(trees=50).fit(models(s, d), FEATURES).predict(models(s, d))),
-    "lof": lambda s, d: rounded(LocalOutlierFactor(most=2000).fit(models(s, d), FEATURES).predict(models(s, d))),
+    "lof": lambda s, d: rounded(LocalOutlierFactor().fit(models(s, d), FEATURES).predict(models(s, d))),
     "validate_stats": lambda s, d: engine.statistics(stream_table(s, d)),
     "type_counts": lambda s, d: stream_table(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("success"), 1)).alias("successes")),
     "event_predicates": lambda s, d: stream_table(s, d).select("event_index", flag(F.col("event_type").isin("failed_login", "mfa_failure")).alias("is_failure"), (F.weekday("timestamp") >= 5).alias("is_weekend"), F.hour("timestamp").cast("long").alias("hour")),
