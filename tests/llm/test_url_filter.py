@@ -52,3 +52,18 @@ def test_components_match_union_find(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in parent}
+
+
+def test_links_resolve_relative_targets_in_any_order(spark):
+    rows = [
+        ("http://h.org/a/b.html", "<link rel=canonical href='page.html'>", {"http://h.org/a/page.html"}),
+        ("http://h.org/a/b/c", '<link href="../x" rel="canonical"><link rel=canonical href="./y">', {"http://h.org/a/x", "http://h.org/a/b/y"}),
+        ("http://h.org/a?q=1", "<link rel=canonical href='?id=2'>", {"http://h.org/a?id=2"}),
+        ("http://h.org", '<meta content="0; url=z" http-equiv=refresh>', {"http://h.org/z"}),
+        ("http://h.org/a/", '<link rel=canonical href="..">', {"http://h.org/"}),
+        ("http://h.org/a", '<link rel=canonical href="mailto:x"><link rel=canonical href="#f"><link rel=icon href="i">', set()),
+    ]
+    got = {}
+    for r in u.links(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect():
+        got.setdefault(r["a"], set()).add(r["b"])
+    assert got == {a: to for a, _, to in rows if to}

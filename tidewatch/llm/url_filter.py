@@ -38,7 +38,7 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 DEFAULT = "allow"
-#: Link elements that name another address of the same page: canonical links in both attribute orders, and refreshes.
+#: What the oracle reads: the first canonical link in either attribute order and the first refresh; ``links`` reads all of them.
 LINKS = (
     r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)",
     r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*\brel\s*=\s*[\"']?canonical\b",
@@ -73,14 +73,39 @@ def node(url: Column) -> Column:
     return F.md5(F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def resolved(to: Column, url: Column) -> Column:
+    """``to`` as an address, resolved against the address ``url``; null for other schemes and for a bare fragment."""
+    host = F.concat(F.lit("http://"), host_of(url))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    local = F.when(to.startswith("/"), to).when(to.startswith("?"), F.concat(path, to)).otherwise(F.concat(folder, to))
+    steps = F.split(F.regexp_extract(local, r"(?s)^/([^?#]*)", 1), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    left = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.array_append(done, x)))
+    left = F.when(F.element_at(steps, -1).isin(".", ".."), F.array_append(left, F.lit(""))).otherwise(left)
+    whole = F.concat(host, F.lit("/"), F.array_join(left, "/"), F.regexp_extract(local, r"(?s)([?#].*)$", 1))
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), None).otherwise(whole)
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page's address and one that its markup redirects to or calls canonical, resolved against its host."""
-    found = [F.nullif(F.regexp_extract(F.col(html), p, 1), F.lit("")) for p in LINKS]
-    base = F.concat(F.lit("http://"), host_of(F.col(url)))
-    to = F.explode(F.array(*found))
-    named = pages.where(F.col(html).rlike(r"(?i)canonical|refresh") & F.col(url).contains("://")).select(F.col(url).alias("a"), base.alias("base"), to.alias("to"))
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat("base", "to"))
-    return named.select("a", whole.alias("b")).where("b IS NOT NULL")
+    """(a, b): each page's address and all that its markup redirects to or calls canonical, resolved against its address.
+
+    Attributes may stand in any order. Left out: ``<base>`` elements, entities in
+    targets, tags with ``>`` inside an attribute, targets after their first
+    space, redirects by script, and schemes without ``://``.
+    """
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+
+    def target(tag: Column) -> Column:
+        canonical = tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
+        refresh = tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
+        href = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+        to = F.regexp_extract(tag, r"(?is)[;,\s\"']url\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)
+        return F.when(canonical, href).when(refresh, to)
+
+    to = F.explode(F.filter(F.transform(tags, target), lambda x: x != ""))
+    named = pages.where(F.col(html).rlike(r"(?i)canonical|refresh") & F.col(url).contains("://")).select(F.col(url).alias("a"), to.alias("to"))
+    return named.select("a", resolved(F.col("to"), F.col("a")).alias("b")).where("b IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, default: str = DEFAULT, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
