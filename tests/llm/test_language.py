@@ -37,3 +37,18 @@ def test_keep(docs, empty, clashing):
     assert {0, 10, 100, 400} <= ids and {200, 201}.isdisjoint(ids)
     assert ids == {r["doc_id"] for r in language.keep(docs).collect()}
     assert language.keep(empty).count() == 0
+
+
+def test_rare_labels_have_models(spark):
+    rows = [(i, text("en", 20, i), "en") for i in range(6000)] + [(10_000 + i, text("fr", 20, i), "fr") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(df, rows=20).languages == ("en", "fr")
+
+
+def test_languages_without_a_model_are_rejected(spark):
+    rows = [(i, text(lang, 60, i), lang) for i in range(60) for lang in SYLLABLES]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pages = [(i, text("en", 40, i), "h.org", "en") for i in range(50)] + [(100, "Жуки живут в тёмном лесу у реки " * 3, "h.org", "en")]
+    out = language.identify(spark.createDataFrame(pages, "doc_id long, body string, host string, declared string"), model, "body", "host", "declared")
+    got = {r["doc_id"]: r["verdict"] for r in out.collect()}
+    assert got[100]["language"] is None and not got[100]["kept"] and all(got[i]["kept"] for i in range(50))

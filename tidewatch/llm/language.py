@@ -17,14 +17,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm._shared import fresh, let, materialise, ship
 from tidewatch.llm.bpe import slices
 
-#: Labelled rows that the models are fitted on at most, chosen by a hash of their keys.
-SAMPLE_ROWS = 2000
+#: Labelled rows that the models are fitted on, chosen by a hash of their keys: so many of all, and so many of each label at least if it has them.
+SAMPLE_ROWS, LABEL_ROWS = 2000, 100
 BUCKETS = 1 << 16
 #: Trigrams that each language's counts are scaled to.
 TOTAL = 1_000_000.0
@@ -35,6 +35,8 @@ DECLARED, SUFFIX = 0.90, 0.80
 #: Rows that a prior level is worth to the level below it.
 SHRINK = 10.0
 LEAST_POSTERIOR = 0.5
+#: Odds against a text in a language without a model; its trigrams are letters at random, or anything, in equal shares.
+UNKNOWN_ODDS = 1000.0
 #: Country suffixes of addresses and the languages that they suggest.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 #: Hosts up to which their table is broadcast; beyond, the join is by shuffle.
@@ -43,10 +45,11 @@ BROADCAST_HOSTS = 50_000
 
 @dataclass(frozen=True)
 class Model:
-    """``table[l, trigram]``: log probabilities by language."""
+    """``table[l, trigram]``: log probabilities by language; ``unknown[trigram]``: those of a language without a model."""
 
     languages: tuple[str, ...]
     table: np.ndarray
+    unknown: np.ndarray
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,24 +72,42 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Trigram models of the labelled languages, from ``rows`` rows at most: those of the smallest key hashes."""
-    h = F.xxhash64(key)
-    chosen = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), h.alias("h")).orderBy("h", "k").limit(rows).select("k").distinct()
-    found = labelled.join(F.broadcast(chosen), F.col(key) == F.col("k"), "left_semi").select(label, text).where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    """Trigram models of the labelled languages, from the ``rows`` rows of the smallest key hashes and LABEL_ROWS of each label."""
+    usable = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
+    named = usable.select(F.col(key).alias("k"), F.col(label).alias("l"), F.xxhash64(key).alias("h"))
+    own = Window.partitionBy("l").orderBy("h", "k")  # Spark keeps the first LABEL_ROWS of each task before the shuffle
+    floor = named.withColumn("r", F.row_number().over(own)).where(F.col("r") <= LABEL_ROWS).select("k", "l")
+    chosen = named.orderBy("h", "k").limit(rows).select("k", "l").unionByName(floor).distinct()
+    found = usable.join(F.broadcast(chosen), (F.col(key) == F.col("k")) & (F.col(label) == F.col("l")), "left_semi").select(label, text)
     sample = found.toPandas()
     languages = tuple(sorted(sample[label].unique()))
     table = np.zeros((len(languages), BUCKETS), np.float32)
+    letters = np.zeros(256)
     for i, language in enumerate(languages):
-        codes, first, end = trigrams(pa.array(sample[text][sample[label] == language].tolist(), pa.large_string()))
+        texts = sample[text][sample[label] == language].tolist()
+        codes, first, end = trigrams(pa.array(texts, pa.large_string()))
         counts = sum((np.bincount(codes[a:z], minlength=BUCKETS) for a, z in zip(first, end, strict=True)), np.zeros(BUCKETS))
         # brought to one total, so that a trigram that no language has speaks for none of them
         scaled = counts * (TOTAL / max(counts.sum(), 1.0)) + 0.5
         table[i] = np.log(scaled / (TOTAL + 0.5 * BUCKETS))
-    return Model(languages, table)
+        own_letters = np.bincount(_LOWER[np.frombuffer("".join(texts).encode("utf-8", "replace"), np.uint8)], minlength=256)
+        letters += own_letters / max(own_letters.sum(), 1)
+    return Model(languages, table, _at_random(letters / max(letters.sum(), 1e-12)))
+
+
+def _at_random(letters: np.ndarray) -> np.ndarray:
+    """Log probabilities of trigrams whose bytes are drawn one by one, mixed in equal shares with any trigram."""
+    used = np.flatnonzero(letters).astype(np.uint32)
+    share = letters[used]
+    total = np.zeros(BUCKETS)
+    for a, p in zip(used, share, strict=True):
+        codes = (((a << np.uint32(16)) | (used[:, None] << np.uint32(8)) | used[None, :]) * np.uint32(2654435761)) >> np.uint32(16)
+        total += p * np.bincount(codes.ravel(), (share[:, None] * share[None, :]).ravel(), BUCKETS)
+    return np.log(0.5 * total + 0.5 / BUCKETS).astype(np.float32)
 
 
 def likelihoods(column: pa.Array, model: Model) -> np.ndarray:
-    """Tempered log likelihoods, one row per text; zeros where there is nothing to read."""
+    """Tempered log likelihoods, one row per text; zeros where there is nothing to read or the language has no model."""
     codes, first, end = trigrams(column)
     n = (end - first).astype(np.float64)
     scale = TEMPER * np.minimum(n, EFFECTIVE) / np.maximum(n, 1)
@@ -94,6 +115,10 @@ def likelihoods(column: pa.Array, model: Model) -> np.ndarray:
     for i in range(len(model.languages)):
         sums = np.concatenate([[0.0], np.cumsum(model.table[i][codes], dtype=np.float64)])
         out[:, i] = (sums[np.minimum(end, len(codes))] - sums[np.minimum(first, len(codes))]) * scale
+    if len(model.languages):
+        sums = np.concatenate([[0.0], np.cumsum(model.unknown[codes], dtype=np.float64)])
+        unknown = (sums[np.minimum(end, len(codes))] - sums[np.minimum(first, len(codes))]) * scale
+        out[unknown > out.max(1) + np.log(UNKNOWN_ODDS)] = 0.0
     return out
 
 
@@ -207,8 +232,8 @@ def declared_language(html: Column) -> Column:
 def identify(rows: DataFrame, model: Model, text: str, host: str, declared: str | None = None, suffix: str | None = None) -> DataFrame:
     """``rows`` without the text, with ``verdict`` (language, posterior, kept).
 
-    Null or unreadable texts (under three bytes) get no language and aren't
-    kept; null hosts, declarations and suffixes add no evidence; repeated rows
+    Null or unreadable texts (under three bytes) and texts in a language without
+    a model get no language and aren't kept; null hosts, declarations and suffixes add no evidence; repeated rows
     are judged alike; an empty table gives an empty result.
     """
     done, _ = materialise(scored(rows, model, text, "logs", keep_text=False), "language")
