@@ -61,3 +61,31 @@ def test_files(docs, empty, clashing, spark):
         assert bytes(r["ids"]) in want[r["doc_id"]]
         start += r["n_tokens"]
     assert huffman.query(empty).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_are_told_apart_by_their_bytes(docs, monkeypatch):
+    tokenizer, own = Tokenizer.from_file(PATH), huffman.Encoder(PATH)
+    texts = [" ".join(thue_morse(n, x) for x in ("ab", "ba", "12", "21")) for n in (1024, 2048, 4096)] + [r["text"] or "" for r in docs.collect()]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [list(np.frombuffer(x, own.kind)) for x in own.encode_all(pa.array(texts), 2)] == want
+    real = huffman.hash_runs
+    monkeypatch.setattr(huffman, "hash_runs", lambda *a: real(*a) & np.uint64(31))  # nearly all words collide
+    poor = huffman.Encoder(PATH)
+    for _ in range(2):
+        assert [list(np.frombuffer(x, own.kind)) for x in poor.encode_all(pa.array(texts), 2)] == want
+    assert len(poor.place) <= 32 < len(poor.odd)
+
+
+def test_a_full_table_starts_anew(docs, monkeypatch):
+    own = huffman.Encoder(PATH)
+    texts = pa.array([r["text"] or "" for r in docs.collect()])
+    want = own.encode_all(texts, 2)
+    monkeypatch.setattr(huffman, "WORDS", 10)
+    assert own.encode_all(texts, 2) == want
+    monkeypatch.setattr(huffman, "WORDS", 1 << 30)
+    monkeypatch.setattr(huffman, "WORD_BYTES", 10)
+    assert own.encode_all(texts, 2) == want

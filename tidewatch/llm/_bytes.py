@@ -8,8 +8,9 @@ import pyarrow as pa
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at a time, so that a long text's arrays stay bounded.
-PIECE = 1 << 20
+#: Bytes of a run that are read in strides of eight; what is longer goes through xxhash, or a comparison, run by run.
+STRIDED = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -18,15 +19,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers of an odd number, or of its inverse, modulo 2^64."""
-    if len(_powers[kind]) < n:
-        base = PRIME if kind == "up" else np.uint64(pow(int(PRIME), -1, 1 << 64))
-        _powers[kind] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
-    return _powers[kind][:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end: a view with strides of one byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,15 +49,37 @@ def runs(inside: np.ndarray, bounds: np.ndarray, breaks: np.ndarray | None = Non
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs: polynomials from prefix sums, then mixed."""
-    out = np.empty(len(starts), np.uint64)
+    """64-bit hashes of byte runs: length and then eight bytes at a time are mixed in, so runs of up to eight bytes and equal length never collide."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) * PRIME)
+    view = eights(data)
+    rest = np.flatnonzero((size > 0) & (size <= STRIDED))
     at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
-        low, high = starts[at], ends[to - 1]
-        values = (data[low:high].astype(np.uint64) + np.uint64(1)) * _power("up", high - low)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mixed((sums[e] - sums[s]) * _power("down", high - low)[s])
-        at = to
+    while len(rest):
+        out[rest] = mixed(out[rest] ^ (view[starts[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    long = np.flatnonzero(size > STRIDED)
+    if len(long):
+        import xxhash
+
+        for i in long.tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
     return out
+
+
+def equal_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each byte run of ``data`` equals the run of ``other`` at the same place of the lists, byte by byte."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    a, b = eights(data), eights(other)
+    rest = np.flatnonzero(same & (size > 0))
+    at = 0
+    while len(rest) and at < STRIDED:
+        differ = (a[starts[rest] + at] ^ b[other_starts[rest] + at]) & _MASK[np.minimum(size[rest] - at, 8)]
+        same[rest[differ != 0]] = False
+        at += 8
+        rest = rest[(differ == 0) & (size[rest] > at)]
+    for i in rest.tolist():
+        same[i] = np.array_equal(data[starts[i] + at : ends[i]], other[other_starts[i] + at : other_ends[i]])
+    return same

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._bytes import hash_runs, runs, text_bytes
+from tidewatch.llm._bytes import equal_runs, hash_runs, runs, text_bytes
 from tidewatch.llm._shared import materialise, remove, scratch_path, ship
 from tidewatch.llm.bpe import slices
 
@@ -32,8 +32,8 @@ STRIDE = 128
 #: Ids after which a block is closed, at the end of a document.
 BLOCK_IDS = 1 << 19
 END_ID = 2
-#: Words after which a worker starts its table anew.
-WORDS = 1_500_000
+#: Words, and bytes of them, after which a worker starts its table anew.
+WORDS, WORD_BYTES = 1_500_000, 48 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ALNUM = np.zeros(256, bool)
@@ -142,8 +142,9 @@ class Encoder:
     are lower-cased, and a full stop or comma between a letter or digit and a
     blank is a word of its own. Words are found and hashed as numpy arrays; the
     tokenizers library encodes each new one: those of letters only in one text,
-    cut apart after ids that end a word, all others one by one. Words are told
-    apart by 64-bit hashes.
+    cut apart after ids that end a word, all others one by one. Hashes only find
+    words: each occurrence is compared with its word's bytes, and words that
+    share a hash with another one are kept in a table by their bytes.
     """
 
     def __init__(self, path: str):
@@ -159,38 +160,72 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[int, int] = {}
+        self.odd: dict[bytes, int] = {}
         self.begin = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, self.kind)
+        self.bytes_begin = np.zeros(1025, np.int64)
+        self.bytes = np.zeros(4096, np.uint8)
         self.n_words = self.n_used = 0
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Encode new words and append their ids to the table."""
         texts = [w.decode() for w in words]
         plain = [k for k, w in enumerate(texts) if w.isalpha()]
         rest = range(len(texts))
+        coded: list = [None] * len(texts)
         if plain:
             ids = np.asarray(self.tokenizer.encode(" ".join([texts[k] for k in plain]), add_special_tokens=False).ids, self.kind)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(plain):  # each word was one pre-token
-                self._append([hashes[k] for k in plain], ids, np.diff(ends, prepend=0))
-                rest = sorted(set(rest).difference(plain))
+                for k, a, z in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    coded[k] = ids[a:z]
+                rest = [k for k, x in enumerate(coded) if x is None]
         if rest:
-            coded = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
-            self._append([hashes[k] for k in rest], np.asarray([i for x in coded for i in x], self.kind), np.array([len(x) for x in coded], np.int64))
-
-    def _append(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, m = self.n_words + len(counts), self.n_used + len(ids)
-        if n > len(self.begin):
-            self.begin, self.count = np.resize(self.begin, 2 * n), np.resize(self.count, 2 * n)
+            for k, x in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+                coded[k] = np.asarray(x.ids, self.kind)
+        counts = np.array([len(x) for x in coded], np.int64)
+        own = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words], np.int64)
+        n, m = self.n_words + len(counts), self.n_used + int(counts.sum())
+        used = int(self.bytes_begin[self.n_words])
+        if n >= len(self.begin):
+            self.begin, self.count, self.bytes_begin = np.resize(self.begin, 2 * n), np.resize(self.count, 2 * n), np.resize(self.bytes_begin, 2 * n + 1)
         if m > len(self.ids):
             self.ids = np.resize(self.ids, 2 * m)
+        if used + len(own) > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * (used + len(own)))
         self.begin[self.n_words : n] = self.n_used + np.cumsum(counts) - counts
         self.count[self.n_words : n] = counts
-        self.ids[self.n_used : m] = ids
-        self.place.update(zip(hashes, range(self.n_words, n), strict=True))
+        self.ids[self.n_used : m] = np.concatenate(coded)
+        self.bytes_begin[self.n_words + 1 : n + 1] = used + np.cumsum(sizes)
+        self.bytes[used : used + len(own)] = own
         self.n_words, self.n_used = n, m
 
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place in the table of each word, learnt if it is new."""
+        hashes, some, which = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
+        named = hashes.tolist()
+        slots = np.array([self.place.get(h, -1) for h in named], np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            first = self.n_words
+            self._learn([data[a:b].tobytes() for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)])
+            slots[new] = np.arange(first, self.n_words)
+            self.place.update((named[k], s) for k, s in zip(new.tolist(), slots[new].tolist(), strict=True))
+        out = slots[which]
+        own = slice(0, int(self.bytes_begin[self.n_words]))
+        other = np.flatnonzero(~equal_runs(data, starts, ends, self.bytes[own], self.bytes_begin[out], self.bytes_begin[out + 1]))
+        if len(other):  # words that share a hash with another word
+            words = [data[starts[i] : ends[i]].tobytes() for i in other.tolist()]
+            unknown = list(dict.fromkeys(w for w in words if w not in self.odd))
+            if unknown:
+                first = self.n_words
+                self._learn(unknown)
+                self.odd.update(zip(unknown, range(first, self.n_words), strict=True))
+            out[other] = [self.odd[w] for w in words]
+        return out
+
     def _prepared(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes lower-cased, and the places of stops and commas that are words of their own, in texts that allow both."""
         high = np.concatenate([[0], np.cumsum(data >= 0xCC, dtype=np.int64)])
@@ -218,22 +253,12 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array, end_id: int) -> list[bytes]:
         """The ids of each text of an Arrow column and ``end_id`` after them, as integers of ``kind``."""
-        if self.n_words > WORDS:
+        if self.n_words > WORDS or self.bytes_begin[self.n_words] > WORD_BYTES:
             self._forget()
         raw, bounds = text_bytes(texts)
         data, stops = self._prepared(raw, bounds)
         starts, ends, first = runs((raw != 0x20) & (raw != 0x0A), bounds, stops)
-        hashes, some, which = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
-        slots = [self.place.get(h, -1) for h in hashes.tolist()]
-        new = [k for k, s in enumerate(slots) if s < 0]
-        if new:
-            view = data.tobytes()
-            spans = zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)
-            named = hashes[new].tolist()
-            self._learn(named, [view[a:b] for a, b in spans])
-            for k, h in zip(new, named, strict=True):
-                slots[k] = self.place[h]
-        word = np.asarray(slots, np.int64)[which] if len(slots) else np.zeros(0, np.int64)
+        word = self._places(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
         counts = self.count[word]
         stop = np.cumsum(counts)
         total = int(stop[-1]) if len(stop) else 0
