@@ -1,19 +1,20 @@
 """Token counts kept by deltas: signed inserts, deletes and revisions add up to totals by source, language and tokenizer version.
 
 A batch is a table of signed changes. It is summed by group, written, and
-committed by creating its marker, which fails if the marker is there already:
-a batch that is replayed, by the same or another writer, changes nothing. Totals
-are sums over committed batches; folding writes them as one snapshot.
+committed by an empty file named after it: a batch that is replayed, by the same
+or another writer, changes nothing. Totals are sums over committed batches;
+folding writes them as one snapshot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm._shared import _fs, materialise, remove, scratch_path, ship
@@ -43,19 +44,25 @@ def _tokenizer(path: str, pattern: str):
     return count
 
 
-def count_tokens(docs: DataFrame, versions: dict[str, str], pattern: str, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """(doc, source, lang, body, counts): each whole text's md5 and its count by tokenizer version (name to vocabulary file). A null text has no tokens."""
+def count_tokens(docs: DataFrame, versions: dict[str, str], pattern: str, only: dict[str, Column] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """(doc, source, lang, body, counts): each whole text's md5 and its count by tokenizer version (name to vocabulary file).
+
+    A null text has no tokens. ``only`` may say by version which rows need its
+    count; the others have null there.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [_tokenizer(path, pattern) for path in versions.values()]
         for batch in batches:
             for part in slices(batch, "text"):
-                counts = [[count(t or "") for count in own] for t in part.column("text").to_pylist()]
+                rows = zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True)
+                counts = [[count(t or "") if need else None for count, need in zip(own, wanted, strict=True)] for t, wanted in rows]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc", "source", "lang", "body")], pa.array(counts, pa.list_(pa.int64()))], ["doc", "source", "lang", "body", "counts"])
 
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.col(text).alias("text"))
+    wanted = F.array(*[F.coalesce((only or {}).get(v, F.lit(True)), F.lit(False)) for v in versions])
+    rows = docs.select(F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.col(text).alias("text"), wanted.alias("wanted"))
     return rows.mapInArrow(run, f"doc {kind}, source string, lang string, body string, counts array<long>")
 
 
@@ -78,77 +85,94 @@ def revisions(rows: DataFrame, old_version, old_tokens, new_version, new_tokens)
 
 
 class Rollup:
-    """Totals below a folder that all executors share: ``data`` (summed deltas), ``commits`` and ``snapshots`` (markers that name them)."""
+    """Totals below a folder that all executors share.
+
+    ``data`` holds a table of summed changes for each written batch. A batch is
+    committed by one empty file in ``commits``, named by the hash of the batch's
+    name and its table: it is there or it isn't, and has nothing that a lost
+    writer could leave half done. Of several such files for one batch, which
+    writers at the same time can leave, the first by name counts. A snapshot is
+    a table of totals and a table of the batches in it, valid once its own empty
+    file stands in ``snapshots``. Whatever snapshot is read, each committed
+    batch counts once.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _marks(self, kind: str) -> dict[str, str]:
+    def _names(self, kind: str) -> list[str]:
         fs, folder = _fs(self.spark, f"{self.path}/{kind}")
-        if not fs.exists(folder):
-            return {}
-        out = {}
-        for s in fs.listStatus(folder):
-            stream = fs.open(s.getPath())
-            try:
-                out[s.getPath().getName()] = stream.readUTF()
-            finally:
-                stream.close()
-        return out
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
-    def _mark(self, kind: str, name: str, value: str) -> bool:
-        """Create a marker; False if there is one already."""
+    def _mark(self, kind: str, name: str) -> None:
         fs, p = _fs(self.spark, f"{self.path}/{kind}/{name}")
-        if fs.exists(p):
-            return False
-        try:
-            stream = fs.create(p, False)
-        except Exception:
-            if fs.exists(p):  # another writer was first
-                return False
-            raise
-        stream.writeUTF(value)
-        stream.close()
-        return True
+        fs.create(p, True).close()
+
+    @staticmethod
+    def _key(batch: str) -> str:
+        return hashlib.sha256(batch.encode()).hexdigest()
+
+    def _committed(self) -> dict[str, str]:
+        """The table of each committed batch, by the hash of its name."""
+        out: dict[str, str] = {}
+        for name in self._names("commits"):
+            key, _, data = name.partition(".")
+            out.setdefault(key, data)
+        return out
+
+    def _state(self) -> tuple[str | None, dict[str, str]]:
+        """(latest snapshot, the committed batches that it doesn't hold), all from one reading."""
+        snapshots = self._names("snapshots")
+        committed = self._committed()
+        if not snapshots:
+            return None, committed
+        last = snapshots[-1]
+        held = self.spark.read.schema("batch string").parquet(f"{self.path}/data/{last}/batches").collect()  # one short row per batch
+        for r in held:
+            committed.pop(r["batch"], None)
+        return last, committed
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch of signed changes once; False, and no change, if ``batch`` was committed before."""
-        if batch in self._marks("commits"):
+        """Apply a batch of signed changes once; False, and no change, if ``batch`` was committed before.
+
+        A batch may have any name that isn't null.
+        """
+        key = self._key(batch)
+        if key in self._committed():
             return False
-        name = f"{batch}-{uuid.uuid4().hex[:12]}"
+        name = uuid.uuid4().hex
         summed = changes.groupBy(*GROUPS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         summed.where("docs <> 0 OR tokens <> 0").coalesce(1).write.parquet(f"{self.path}/data/{name}")
-        if self._mark("commits", batch, name):
-            return True
-        remove(self.spark, f"{self.path}/data/{name}")
-        return False
-
-    def _parts(self) -> tuple[list[str], list[str]]:
-        """(folders that hold the totals, batches among them); the latest snapshot stands for the batches that it names."""
-        commits = self._marks("commits")
-        snapshots = self._marks("snapshots")
-        names, folded = [], set()
-        if snapshots:
-            data, _, rest = snapshots[max(snapshots)].partition("|")
-            names, folded = [data], set(rest.split("|"))
-        names += [data for batch, data in sorted(commits.items()) if batch not in folded]
-        return names, sorted(commits)
+        self._mark("commits", f"{key}.{name}")
+        return self._committed()[key] == name
 
-    def totals(self) -> DataFrame:
-        """(source, lang, version, docs, tokens) over all committed batches; groups that came to nothing are left out."""
-        names, _ = self._parts()
-        read = [self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{n}") for n in names]
-        if not read:
+    def _sum(self, snapshot: str | None, batches: dict[str, str]) -> DataFrame:
+        """One scan over all tables, however many there are."""
+        paths = [f"{self.path}/data/{snapshot}/totals"] * bool(snapshot) + [f"{self.path}/data/{n}" for n in sorted(batches.values())]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        summed = reduce(DataFrame.unionByName, read).groupBy(*GROUPS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        summed = self.spark.read.schema(SCHEMA).parquet(*paths).groupBy(*GROUPS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return summed.where("docs <> 0 OR tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, version, docs, tokens) over all committed batches; groups that came to nothing are left out."""
+        return self._sum(*self._state())
+
     def fold(self) -> None:
-        """Write the totals as a snapshot, so that reads don't grow with the number of batches."""
-        _, batches = self._parts()
-        name = f"snapshot-{uuid.uuid4().hex[:12]}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/data/{name}")
-        self._mark("snapshots", f"{len(self._marks('snapshots')):09d}", "|".join([name, *batches]))
+        """Write the totals as a snapshot, so that reads don't grow with the number of batches.
+
+        The snapshot holds exactly the batches of one reading: what is
+        committed meanwhile stays outside it and counts from its own table.
+        """
+        snapshot, batches = self._state()
+        number = 1 + int(snapshot.partition("-")[0]) if snapshot else 0
+        name = f"{number:012d}-{uuid.uuid4().hex}"
+        self._sum(snapshot, batches).coalesce(1).write.parquet(f"{self.path}/data/{name}/totals")
+        held = self.spark.createDataFrame([(k,) for k in sorted(batches)], "batch string")
+        if snapshot:
+            held = held.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/data/{snapshot}/batches"))
+        held.coalesce(1).write.parquet(f"{self.path}/data/{name}/batches")
+        self._mark("snapshots", name)
 
 
 def maintain(docs: DataFrame, versions: dict[str, str], pattern: str, path: str | None = None) -> Rollup:
@@ -163,20 +187,21 @@ def maintain(docs: DataFrame, versions: dict[str, str], pattern: str, path: str
     """
     spark = docs.sparkSession
     first, second = (F.lit(v) for v in versions)
-    counted, _ = materialise(count_tokens(docs, versions, pattern), "counts")
-    rollup = Rollup(spark, path or scratch_path(spark, "rollup"))
     foreign = F.coalesce(F.col("lang") != "en", F.lit(True))
+    counted, counted_path = materialise(count_tokens(docs, versions, pattern, {list(versions)[1]: foreign}), "counts")
+    rollup = Rollup(spark, path or scratch_path(spark, "rollup"))
     revised = revisions(counted.where(foreign), first, F.get("counts", F.lit(0)), second, F.get("counts", F.lit(1)))
     rollup.commit("1-load", inserts(counted, first, F.get("counts", F.lit(0))))
     rollup.commit("2-revision", revised)
     kept = counted.groupBy(F.col("body").alias("b")).agg(F.min("doc").alias("kept"))
-    kept, _ = materialise(kept, "kept")  # a table, so that AQE can split the rows of a large group in the join
+    kept, kept_path = materialise(kept, "kept")  # a table, so that AQE can split the rows of a large group in the join
     copies = counted.join(kept, F.col("body") == F.col("b")).where("doc > kept")
     now = F.when(foreign, second).otherwise(first)
     tokens = F.when(foreign, F.get("counts", F.lit(1))).otherwise(F.get("counts", F.lit(0)))
     rollup.commit("3-copies", deletes(copies, now, tokens))
     rollup.fold()
     rollup.commit("2-revision", revised)
+    remove(spark, counted_path, kept_path)
     return rollup
 
 
