@@ -1,8 +1,9 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 from tidewatch.llm import mixing
+from tidewatch.llm._shared import running
 
 
 def brute_targets(sizes):
@@ -53,12 +54,91 @@ def test_permutation_is_one_and_inverts(spark):
         assert all(r["back"] == r["id"] for r in rows)
 
 
+def parts(docs, shard_slots=64):
+    placed, sources = mixing.plan(docs.select("doc_id", "text", "source"))
+    drawn = mixing.draws(sources, shard_slots)
+    return placed, sources, drawn, mixing.slot_table(sources, drawn, shard_slots)
+
+
 def test_slots_are_dealt_once(docs):
-    _, sources = mixing.plan(docs.select("doc_id", "text", "source"))
-    slots = mixing.slot_table(sources, shard_slots=64)
+    _, sources, drawn, slots = parts(docs)
     n = sources.agg(F.sum("n_slots")).first()[0]
-    assert slots.count() == n == slots.select("slot").distinct().count()
-    assert slots.agg(F.max("slot")).first()[0] == n - 1
+    rows = slots.collect()
+    assert sorted(r["slot"] for r in rows) == list(range(n))
+    assert all(r["shard"] == r["slot"] // 64 for r in rows)
+    assert Counter((r["shard"], r["source"]) for r in rows) == {(r["shard"], r["source"]): r["n"] for r in drawn.collect()}
+    for s in sources.collect():  # each pass takes every block of the source once, the last one some of them
+        own = [r for r in rows if r["source"] == s["source"]]
+        assert sorted(r["number"] for r in own) == list(range(s["n_slots"]))
+        seen = Counter((r["pass"], r["block"]) for r in own)
+        assert all(c == 1 for c in seen.values()) and all(0 <= b < s["n_blocks"] for _, b in seen)
+
+
+def test_drawn_counts_vary_like_draws_without_replacement(spark):
+    sources = spark.createDataFrame([("a", 40_000, 0), ("b", 20_000, 40_000), ("c", 4_000, 60_000)], "source string, n_slots long, first_slot long")
+    total, size = 64_000, 64
+    rows = mixing.draws(sources, size).collect()
+    for name, quota in (("a", 40_000), ("b", 20_000), ("c", 4_000)):
+        counts = [r["n"] for r in rows if r["source"] == name] + [0] * (total // size - sum(r["source"] == name for r in rows))
+        share = quota / total
+        mean, var = sum(counts) / len(counts), sum((c - size * share) ** 2 for c in counts) / len(counts)
+        want = size * share * (1 - share) * (total - size) / (total - 1)
+        assert mean == size * share and 0.8 * want < var < 1.25 * want
+
+
+def test_result_equals_a_brute_force_block_mix(docs):
+    placed, sources, _, slots = parts(docs, mixing.SHARD_SLOTS)
+    rows, by_source = placed.collect(), defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    words = defaultdict(list)  # the documents of each word of a source, in order
+    for s, own in by_source.items():
+        for r in sorted(own, key=lambda r: (r["start"], r["size"])):
+            assert r["start"] == len(words[s])
+            words[s] += [(r["in_doc_id"], r["size"])] * r["size"]
+    taken, uses = defaultdict(int), defaultdict(set)
+    for r in slots.collect():
+        held = words[r["source"]][r["block"] * mixing.BLOCK : (r["block"] + 1) * mixing.BLOCK]
+        for d in held:
+            taken[d, r["source"]] += 1
+            uses[d, r["source"]].add(r["slot"])
+    got, want = defaultdict(int), {}
+    where = {r["in_doc_id"]: r["source"] for r in rows}
+    for r in mixing.query(docs).collect():
+        k = ((r["doc_id"], r["size"]), where[r["doc_id"]])
+        got[k] += r["taken"]
+        if r["doc_id"] != 301:  # a repeated row shares its key
+            own = uses.get(k, set())
+            assert (r["first_slot"], r["last_slot"], r["n_uses"]) == (min(own, default=None), max(own, default=None), len(own))
+    want = {k: taken.get(k, 0) for k in got}
+    assert got == want
+
+
+def test_another_draw_gives_another_mix(docs, monkeypatch):
+    mixed = lambda: {r["in_doc_id"]: (r["taken"], r["first_slot"]) for r in mixing.mix(docs.select("doc_id", "text", "source"), shard_slots=64).collect()}
+    one = mixed()
+    in_order = lambda index, n, key, inverse=False: index.cast("long")
+    real = mixing.permuted
+    monkeypatch.setattr(mixing, "draws", lambda s, n, seed: _drawn_in_order(s, n, seed, monkeypatch, in_order, real))
+    two = mixed()
+    assert sum(one[k] != two[k] for k in one) > len(one) / 2
+    assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in two.items()}  # quotas don't depend on the draw
+
+
+def _drawn_in_order(sources, shard_slots, seed, monkeypatch, in_order, real, draws=mixing.draws):
+    """Shards filled source after source: no draw at all."""
+    monkeypatch.setattr(mixing, "permuted", in_order)
+    out = draws(sources, shard_slots, seed)
+    monkeypatch.setattr(mixing, "permuted", real)
+    return out
+
+
+def test_running_sums(spark):
+    rows = [(s, i, (i * 7 + len(s or "")) % 11) for s in ("a", "b", None) for i in range(0, 50, 1 + len(s or ""))]
+    got = running(spark.createDataFrame(rows, "g string, at long, v long"), "g", "at", "v", "before", span=8).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["before"] == sum(v for g, at, v in rows if g == r["g"] and at < r["at"])
 
 
 def test_edges(empty, clashing, docs):

@@ -15,7 +15,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -173,3 +173,20 @@ def ranked(df: DataFrame, group: str | None, order: list[str], name: str, partit
         .withColumn(name, F.col("__at") + F.col("__shift"))
         .drop("__at", "__group", "__part", "__shift")
     )
+
+
+def running(df: DataFrame, group: str, at: str, value: str, name: str, span: int = 4096) -> DataFrame:
+    """``df``, one row per ``group`` and place ``at``, with ``name``: the sum of ``value`` over the group's smaller places.
+
+    Sums of spans of places run first, then places within their span, so that
+    no window holds all places of a large group.
+    """
+    g, s, b = fresh(df, "__running_group", "__running_span", "__running_before")
+    placed = df.withColumn(s, F.floor(F.col(at) / span).cast("long"))
+    earlier = Window.partitionBy(g).orderBy(f"{s}_").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy(F.col(group).alias(g), F.col(s).alias(f"{s}_")).agg(F.sum(value).alias(b))
+    spans = spans.withColumn(b, F.coalesce(F.sum(b).over(earlier), F.lit(0)))
+    inside = Window.partitionBy(group, s).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = placed.join(spans, F.col(group).eqNullSafe(F.col(g)) & (F.col(s) == F.col(f"{s}_")), "left")
+    return joined.withColumn(name, F.col(name) + F.col(b)).drop(g, s, b, f"{s}_")

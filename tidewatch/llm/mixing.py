@@ -1,13 +1,14 @@
 """Mixing sources to target weights: fixed-length blocks, drawn shards, permuted indices, one join by index.
 
 The words of a source, documents one after another, are packed into blocks of
-``block`` words. An output of as many words is dealt into slots of one block
-each. Slots are mapped by pseudorandom permutations: the first, over all
-slots, decides the source of each slot, so that the counts per output shard are
-multinomial draws conditioned on the quotas (no source drifts from its
-target); the second, one per source and pass, turns a source's slot number into
-a block index. A permutation is computed per index, nothing is sorted or
-gathered for it. Joining blocks by (source, index) yields the mix.
+``block`` words. The output is as many slots, of one block each, in shards of
+``shard_slots``. First, how many slots each source has in each shard is drawn:
+multinomial counts conditioned on the sources' quotas, so that no source drifts
+from its target and no document exceeds its share. Then the counts are spelled
+out into slots: a shard's slots are permuted among its sources, and a source's
+slots, numbered through all shards, are mapped by a permutation of its own for
+each pass to block indices. A permutation is computed per index, nothing is
+sorted or gathered for it. Joining blocks by (source, index) yields the mix.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm._shared import fresh, materialise, n_words
+from tidewatch.llm._shared import fresh, materialise, n_words, running
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a block; a source's taken words miss its target by about one block at most.
 BLOCK = 64
-#: Slots of a source that one task spells out at a time.
-CHUNK = 16_384
+#: Slots of an output shard, and of a source that one task draws at a time.
+SHARD_SLOTS, CHUNK = 4096, 16_384
 ROUNDS = 24
 SEED = 20240229
 #: Documents that one bucket of a source's order holds, about.
@@ -99,40 +100,49 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
     buckets = max(1, -(-rows // BUCKET_ROWS))
     keys = [f"in_{c}" for c in rest if c == "doc_id"] + ["__text"]
     sized = sized.withColumn("__bucket", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets)))
-    sums = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
-    so_far = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(so_far), F.lit(0)).alias("__before"))
+    sums = running(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__n")), "source", "__bucket", "__n", "__before")
+    offsets = sums.select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), "__before")
     within = Window.partitionBy("source", "__bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["__source"]) & (placed["__bucket"] == offsets["__b"]), "left")
     return placed.withColumn("start", F.col("__within") + F.col("__before")).drop("__within", "__before", "__source", "__b", "__bucket", "__text"), sources
 
 
-def slot_table(sources: DataFrame, shard_slots: int = 4096, seed: int = SEED) -> DataFrame:
-    """Every slot of the output: (shard, slot, source, number within the source, pass, block).
+def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(shard, source, n): how many slots of each output shard each source has drawn.
 
-    A source owns a range of drawn places; a place's slot is its image under
-    the permutation of all slots. ``shard`` is slot div ``shard_slots``;
-    grouping by (shard, source) gives the drawn counts. Ranges are cut into
-    chunks that are dealt out before they are spelled out, so that a large
-    source doesn't fall to one task.
+    All slots are in an urn, each marked with its source, and shards draw
+    ``shard_slots`` of them without putting any back: multinomial counts given
+    that every source ends at its quota. The urn is a permutation, so draws of
+    all sources run side by side. Ranges are cut into chunks that are dealt out
+    before they are spelled out, so that a large source doesn't fall to one task.
     """
     total = F.lit(max(1, sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]))
-    some = sources.where(F.col("n_slots") > 0).select("source", "n_blocks", "n_slots", "first_slot")
     # a fixed number of partitions: chunks are a few bytes each, which AQE would put into one task
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sources.where(F.col("n_slots") > 0).select("source", "n_slots", "first_slot")
     chunks = some.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1, F.lit(CHUNK)))).repartition(tasks, "source", "from")
-    drawn = chunks.withColumn("number", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, F.col("n_slots")) - 1)))
-    drawn = drawn.withColumn("pass", F.floor(F.col("number") / F.col("n_blocks")))
-    slot = permuted(F.col("first_slot") + F.col("number"), total, F.lit(seed))
-    key = F.xxhash64(F.lit(seed), "source", "pass")
-    drawn = drawn.withColumn("slot", slot).withColumn("shard", F.floor(F.col("slot") / shard_slots))
-    return drawn.select("shard", "slot", "source", "number", "pass", permuted(F.pmod("number", "n_blocks"), F.col("n_blocks"), key).alias("block"))
+    marked = chunks.withColumn("mark", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, F.col("n_slots")) - 1)))
+    drawn = permuted(F.col("first_slot") + F.col("mark"), total, F.lit(seed))
+    return marked.select(F.floor(drawn / shard_slots).alias("shard"), "source").groupBy("shard", "source").agg(F.count("*").alias("n"))
 
 
-def uses(sources: DataFrame, seed: int = SEED) -> DataFrame:
-    """How often each block is in the output: (source, block, times), blocks never drawn left out."""
-    return slot_table(sources, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times"))
+def slot_table(sources: DataFrame, drawn: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """Every slot of the output: (shard, slot, source, number within the source, pass, block), from the drawn counts.
+
+    ``slot`` counts through all shards, each of which has ``shard_slots`` but the last.
+    """
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = running(drawn, "source", "shard", "n", "from").withColumnRenamed("source", "__source")
+    named = numbered.join(sources.select("source", "n_blocks"), F.col("__source").eqNullSafe(F.col("source"))).drop("__source").repartition(tasks, "shard")
+    own = Window.partitionBy("shard")
+    inside = own.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = named.withColumns({"__at": F.coalesce(F.sum("n").over(inside), F.lit(0)), "__all": F.sum("n").over(own)})
+    each = placed.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = each.withColumn("number", F.col("from") + F.col("__k")).withColumn("pass", F.floor(F.col("number") / F.col("n_blocks")))
+    slot = F.col("shard") * shard_slots + permuted(F.col("__at") + F.col("__k"), F.col("__all"), F.xxhash64(F.lit(seed + 1), "shard"))
+    block = permuted(F.pmod("number", "n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "source", "pass"))
+    return each.select("shard", slot.alias("slot"), "source", "number", "pass", block.alias("block"))
 
 
 def fragments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -143,27 +153,31 @@ def fragments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.withColumn("words", F.least(last, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Each document with ``size``, ``source_size``, ``target`` (its source's) and ``taken``: the words the mix takes, repeats counted.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Each document with ``size``, ``source_size``, ``target`` (its source's), ``taken``, ``first_slot``, ``last_slot`` and ``n_uses``.
 
-    Columns of ``docs`` other than text and source come back with the prefix
-    ``in_``. A null text has no words, a null source is a source of its own,
-    texts without words are taken 0 times, repeated rows count apiece (which of
-    two equal rows comes first doesn't matter to the multiset of results), an
-    empty table gives an empty result. No block is taken more than ``most``
-    times, so no document exceeds that. The same rows give the same mix.
+    ``taken`` is the words that the mix takes, repeats counted; the slots are
+    the first and last of the output that hold words of the document, null if
+    none does, and ``n_uses`` is how many do. Columns of ``docs`` other than
+    text and source come back with the prefix ``in_``. A null text has no
+    words, a null source is a source of its own, texts without words are taken
+    0 times, repeated rows count apiece (which of two equal rows comes first
+    doesn't matter to the multiset of results), an empty table gives an empty
+    result. No block is taken more than ``most`` times, so no document exceeds
+    that. The same rows give the same mix.
     """
     placed, sources = plan(docs, text, source, weights, most, block, seed)
     (uid,) = fresh(placed, "__row")
     placed, _ = materialise(placed.withColumn(uid, F.monotonically_increasing_id()), "mix-placed")
-    used = uses(sources, seed).withColumnRenamed("source", "__source")
+    drawn, _ = materialise(draws(sources, shard_slots, seed), "mix-draws")
+    slots = slot_table(sources, drawn, shard_slots, seed).select(F.col("source").alias("__source"), F.col("block").alias("__block"), "slot")
     cut = fragments(placed.select(uid, "source", "size", "start"), block)
     # sizes of what comes from the slots are estimated from the few source rows, so the join is told to shuffle
-    joined = cut.join(used.hint("merge"), cut["source"].eqNullSafe(used["__source"]) & (cut["block"] == used["block"]))
-    taken = joined.groupBy(F.col(uid).alias("__uid")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    joined = cut.join(slots.hint("merge"), cut["source"].eqNullSafe(F.col("__source")) & (cut["block"] == F.col("__block")))
+    taken = joined.groupBy(F.col(uid).alias("__uid")).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count("*").alias("n_uses"))
     small = sources.select(F.col("source").alias("__source"), "source_size", "target")
-    out = placed.join(taken, F.col(uid) == F.col("__uid"), "left").join(F.broadcast(small), F.col("source").eqNullSafe(F.col("__source")), "left")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop(uid, "__uid", "__source", "start")
+    out = placed.join(taken, F.col(uid) == F.col("__uid"), "left").join(small, F.col("source").eqNullSafe(F.col("__source")), "left")
+    return out.withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long"), "n_uses": F.coalesce("n_uses", F.lit(0))}).drop(uid, "__uid", "__source", "start")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -172,7 +186,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     A row of ``size`` words of which ``taken`` are taken comes taken / size
     times, the fraction rounded up or down by a hash of its key, so that sums
     stay near the targets. Rows of one key, text and source share what they
-    are given.
+    are given. Null and empty texts have no words to take and don't come; a
+    null key or source is a value like any other; an empty table stays empty.
     """
     h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     mixed = mix(docs.select(F.col(key).alias("key"), h.alias("hash"), F.col(text).alias("text"), F.col(source).alias("source")))
@@ -187,4 +202,4 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
 def query(docs: DataFrame) -> DataFrame:
     mixed = mix(docs.select("doc_id", "text", "source"))
-    return mixed.select(F.col("in_doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.select(F.col("in_doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "last_slot", "n_uses")
