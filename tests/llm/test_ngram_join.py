@@ -79,3 +79,37 @@ def test_minhash_estimates_similarity(prose):
     mins = ngram_join.minhashes(grams, start, 192)
     x, y = set(grams[start[0] : start[1]].tolist()), set(grams[start[1] : start[2]].tolist())
     assert abs((mins[0] == mins[1]).mean() - len(x & y) / len(x | y)) < 0.12
+
+
+def test_chains_are_compared_along_their_links_only(spark, monkeypatch):
+    """Texts that slide over one long text: neighbours share buckets, far ones only a chain of others."""
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 4)
+    long = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(long[10 * i : 10 * i + 120])) for i in range(380)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.query(frame).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out} == brute(rows)
+    bands, per = ngram_join.banding()
+    signed = ngram_join.signatures(frame, "doc_id", "text", bands, per, 5)
+    placed, pairs, _ = ngram_join.blocks(signed.withColumnRenamed("doc", "rep"))
+    n = placed.select("block").distinct().count()
+    assert pairs.count() < n * 12 < n * (n + 1) / 2
+
+
+def test_two_texts_under_one_key_are_both_compared(spark, prose):
+    base, other = prose(200, 31), prose(200, 32)
+    near = lambda t: t.replace(t.split()[100], "changed", 1)
+    rows = [(1, base), (1, other), (2, near(base)), (3, near(other)), (3, near(other))]
+    out = ngram_join.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_links"] == 1 for r in out) and len(out) == 5
+    assert sorted((r["doc_id"], r["class_id"]) for r in out) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+
+
+def test_long_words_don_t_collide():
+    def thue_morse(n, x):
+        return "".join(x[bin(i).count("1") & 1] for i in range(n))
+
+    texts = [thue_morse(n, x) for n in (8, 64, 1024, 4096) for x in ("ab", "ba")] + ["ab" * k for k in range(1, 60)]
+    grams, start = ngram_join.ngrams(pa.array(texts + texts))
+    assert len(set(grams.tolist())) == len(texts) and (np.diff(start) == 1).all()
+    assert (grams[: len(texts)] == grams[len(texts) :]).all()

@@ -1,13 +1,14 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets decide.
 
-Equal texts are one class and are compared once, through a representative.
-Representatives that share a band hash form candidate clusters (components of
-the star from each bucket's smallest member). Within a cluster, members are
-dealt into blocks; a task compares one pair of blocks by the exact
+Equal texts are one class and are compared once. Different texts that share a
+band hash stand in one bucket. Each text has a home, the largest bucket that it
+shares, and homes are dealt into blocks of bounded size. Two blocks are compared
+if some bucket holds members of both, so each pair of texts that shares a bucket
+is compared, once, however many buckets it shares; texts that are only linked
+through chains of others aren't. A task compares one pair of blocks by the exact
 intersections of their n-gram sets, as products of incidence matrices, and
-returns per member its links and a spanning forest, never the pairs. So every
-pair of a cluster is verified, no bucket is capped, and rows stay in proportion
-to members and blocks.
+returns per member its links and a spanning forest, never the pairs. No bucket
+is capped. N-grams are told apart by 64-bit hashes of their words' hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm._bytes import PRIME, SPACE, hash_runs, mixed, runs, text_bytes
-from tidewatch.llm._shared import fresh, materialise, ship
+from tidewatch.llm._shared import fresh, materialise, remove, ship
 from tidewatch.llm.bpe import slices
 from tidewatch.llm.components import connected_components
 
@@ -32,6 +33,8 @@ RECALL, MOST_HASHES = 0.9999, 192
 BLOCK_MEMBERS, BLOCK_NGRAMS = 64, 400_000
 #: Dropped rows up to which they are broadcast.
 BROADCAST_ROWS = 500_000
+
+
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows to a band, thus the fewest false candidates, that reach ``recall`` within ``most`` hashes."""
     best = None
@@ -148,51 +151,75 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _verified(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows of a block pair stand together; per member: its links in the pair and the least member joined to it."""
+    """Rows of a pair of blocks stand together; per member: its links in the pair and the least member joined to it."""
     held: list[tuple] = []
     name = None
     out: list[tuple] = []
 
     def close() -> None:
-        reps = [r for r, _, _ in held]
+        members = [m for m, _, _ in held]
         side = np.array([s for _, s, _ in held])
         found = linked([np.frombuffer(x, np.uint64) for _, _, x in held], similarity)
-        if name[1] != name[2]:  # links within a block belong to the pair of the block with itself
+        if name[0] != name[1]:  # links within a block belong to the pair of the block with itself
             found &= side[:, None] != side[None, :]
-        order = np.argsort(np.array(reps, dtype=object), kind="stable")
-        label = np.empty(len(reps), np.int64)
-        label[order] = np.arange(len(reps))
+        label = np.arange(len(members))  # members come sorted
         while True:
-            least = np.minimum(label, np.where(found, label[None, :], len(reps)).min(1))
+            least = np.minimum(label, np.where(found, label[None, :], len(members)).min(1))
             if (least == label).all():
                 break
             label = least
         for i, n in enumerate(found.sum(1).tolist()):
             if n:
-                out.append((reps[i], reps[order[label[i]]], n))
+                out.append((members[i], members[label[i]], n))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "rep", "side")]
+        columns = [batch.column(c).to_pylist() for c in ("i", "j", "body", "block")]
         grams = batch.column("grams")
-        for k, (c, i, j, rep, s) in enumerate(zip(*columns, strict=True)):
-            if (c, i, j) != name:
+        for k, (i, j, member, block) in enumerate(zip(*columns, strict=True)):
+            if (i, j) != name:
                 if len(held) > 1:
                     close()
-                name, held = (c, i, j), []
-            held.append((rep, s, grams[k].as_py()))
+                name, held = (i, j), []
+            if not held or held[-1][0] != member:  # repeated rows of one text are one member
+                held.append((member, block, grams[k].as_py()))
         if len(out) > 5000:
-            yield _batch(out, batch.schema.field("rep").type)
+            yield _batch(out)
             out.clear()
-        kind = batch.schema.field("rep").type
     if len(held) > 1:
         close()
     if out:
-        yield _batch(out, kind)
+        yield _batch(out)
 
 
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     a, b, n = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(n, pa.int64())], ["a", "b", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+
+def blocks(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(placed, pairs, scratch tables): (body, rep, block) of each text that shares a bucket, and the pairs (block, other) to compare, each once.
+
+    ``texts`` has body, rep, n_grams and the band hashes.
+    """
+    spread = texts.select("body", F.explode("bands").alias("bucket"))
+    counted = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b"), "c")
+    # the joins shuffle at every size: what they move follows the input, with no jump where a side outgrows a broadcast
+    shared, shared_path = materialise(spread.join(counted.hint("merge"), F.col("bucket") == F.col("b")).select("body", "bucket", "c"), "shared")
+    homes = shared.groupBy("body").agg(F.max(F.struct("c", "bucket"))["bucket"].alias("home")).select(F.col("body").alias("body_"), "home")
+    homed, homed_path = materialise(texts.select("body", "rep", "n_grams").join(homes, F.col("body") == F.col("body_")).drop("body_"), "homes")
+    need = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_grams") / BLOCK_NGRAMS))
+    sizes = homed.groupBy(F.col("home").alias("h")).agg(need.alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("body"), F.col("parts")))
+    placed, placed_path = materialise(homed.join(sizes, F.col("home") == F.col("h")).select("body", "rep", block.alias("block")), "placed")
+    at = placed.select(F.col("body").alias("body_"), "block")
+    present = shared.select("body", "bucket").join(at.hint("merge"), F.col("body") == F.col("body_")).select("bucket", "block").distinct()
+    present, present_path = materialise(present, "present")
+    lone = present.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"))
+    several = present.join(lone, F.col("bucket") == F.col("b"), "left_semi")
+    other = several.select(F.col("bucket").alias("b"), F.col("block").alias("other"))
+    across = several.join(other, (F.col("bucket") == F.col("b")) & (F.col("block") < F.col("other"))).select("block", "other")
+    pairs, pairs_path = materialise(across.unionByName(present.select("block", F.col("block").alias("other"))).distinct(), "pairs")
+    return placed, pairs, [shared_path, homed_path, placed_path, present_path, pairs_path]
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
@@ -208,61 +235,51 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     null classes unless another row has its text. An empty table gives an empty
     result; other columns are ignored.
     """
+    spark = docs.sparkSession
     bands, rows = banding(similarity, recall)
-    signed, _ = materialise(signatures(docs, key, text, bands, rows, width), "signatures")
+    signed, signed_path = materialise(signatures(docs, key, text, bands, rows, width), "signatures")
     texts = signed.where("n_grams > 0").groupBy("body").agg(F.min("doc").alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).where("rep IS NOT NULL")
-    texts, _ = materialise(texts, "texts")
-    spread = texts.select("rep", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select(F.col("bucket").alias("b"), "leader")
-    # both joins shuffle at every size: what they move follows the input, with no jump where a side outgrows a broadcast
-    stars = spread.join(buckets.hint("merge"), F.col("bucket") == F.col("b")).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    clusters = connected_components(stars).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
-    members = texts.select("rep", "body", "n_grams").join(clusters, F.col("rep") == F.col("member")).drop("member")
-    members, _ = materialise(members, "members")
-    sizes = members.groupBy(F.col("cluster").alias("c")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_grams") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
-    placed = members.join(sizes, F.col("cluster") == F.col("c")).select(F.col("rep").alias("doc_"), F.col("body").alias("body_"), "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("side"))
+    texts, texts_path = materialise(texts, "texts")
+    placed, pairs, scratch = blocks(texts)
+    members = placed.select(F.col("rep").alias("rep_"), F.col("body").alias("body_"), "block")
     bodies = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    bodies = bodies.join(placed.hint("shuffle_hash"), (F.col("rep") == F.col("doc_")) & (F.md5("text") == F.col("body_")))
+    bodies = bodies.join(members.hint("shuffle_hash"), (F.col("rep") == F.col("rep_")) & (F.md5("text") == F.col("body_"))).select(F.col("body_").alias("body"), "text", "block")
 
     def grams_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 grams, start = ngrams(part.column("text"), width)
                 sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("rep", "cluster", "blocks", "side")] + [pa.array(sets, pa.binary())], ["rep", "cluster", "blocks", "side", "grams"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    sets = bodies.select("rep", "text", "cluster", "blocks", "side").mapInArrow(grams_of, f"rep {kind}, cluster {kind}, blocks int, side int, grams binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "side", "grams")
-    # repeated rows of one key and text are one member
-    together = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
-    together = together.mapInArrow(_once, f"cluster {kind}, i int, j int, rep {kind}, side int, grams binary")
-    verified, _ = materialise(together.mapInArrow(lambda it: _verified(it, similarity), f"a {kind}, b {kind}, n long"), "verified")
+                yield pa.RecordBatch.from_arrays([part.column("body"), part.column("block"), pa.array(sets, pa.binary())], ["body", "block", "grams"])
+
+    sets = bodies.mapInArrow(grams_of, "body string, block long, grams binary")
+    both = pairs.select(F.col("block").alias("i"), F.col("other").alias("j"))
+    partners = both.select(F.col("i").alias("of"), "i", "j").unionByName(both.where("i <> j").select(F.col("j").alias("of"), "i", "j"))
+    together = sets.join(partners.hint("shuffle_hash"), F.col("block") == F.col("of")).select("i", "j", "body", "block", "grams")
+    together = together.repartition("i", "j").sortWithinPartitions("i", "j", "body")
+    verified, verified_path = materialise(together.mapInArrow(lambda it: _verified(it, similarity), "a string, b string, n long"), "verified")
     links = verified.groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n_links"))
     joined = connected_components(verified.select("a", "b")).select(F.col("node").alias("inside"), "component")
-    by_text = texts.select(F.col("body").alias("body_"), "rep").join(links, F.col("rep") == F.col("linked"), "left").join(joined, F.col("rep") == F.col("inside"), "left")
-    by_text = by_text.select("body_", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = texts.select(F.col("body").alias("body_"), "rep").join(joined, F.col("body_") == F.col("inside"))
+    named, named_path = materialise(named.select("body_", "rep", "component"), "components")
+    least = named.groupBy(F.col("component").alias("whole")).agg(F.min("rep").alias("class_of"))
+    linked_ = named.join(least, F.col("component") == F.col("whole")).join(links, F.col("body_") == F.col("linked")).select(F.col("body_").alias("inside"), "class_of", "n_links")
+    by_text = texts.select(F.col("body").alias("body_"), "rep").join(linked_, F.col("body_") == F.col("inside"), "left")
     out = signed.select("doc", "body", "n_grams").join(by_text, (F.col("body") == F.col("body_")) & (F.col("n_grams") > 0), "left")
-    return out.select("doc", "body", F.coalesce("rep", "doc").alias("copy_of"), F.coalesce("component", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows without those that repeat the one before in cluster, block pair and member."""
-    last = None
-    for batch in batches:
-        names = list(zip(*[batch.column(c).to_pylist() for c in ("cluster", "i", "j", "rep")], strict=True))
-        keep = [k for k, x in enumerate(names) if x != (names[k - 1] if k else last)]
-        last = names[-1] if names else last
-        yield batch.take(pa.array(keep, pa.int64())) if len(keep) < len(names) else batch
+    out = out.select("doc", "body", F.coalesce("rep", "doc").alias("copy_of"), F.coalesce("class_of", "rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out, _ = materialise(out, "classes")
+    remove(spark, texts_path, verified_path, named_path, signed_path, *scratch)
+    return out
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, that of the smallest key, with the columns of ``docs``; of repeated rows of one key and text one stays.
 
-    Rows with a null key stay if no other row has their text, and all of them
-    stay otherwise too: they can't be told apart.
+    Rows with a null key stay, whether another row has their text or not: they
+    can't be told apart. Null texts and texts without words are like no other,
+    so they stay; an empty table stays empty.
     """
-    marked, _ = materialise(classes(docs, key, text), "classes")
+    marked = classes(docs, key, text)
     dropped = marked.where("doc IS NOT NULL AND doc <> class_id").select("doc", "body").distinct()
     k, b, n = fresh(docs, "key_", "body_", "copy_")
     dropped = dropped.select(F.col("doc").alias(k), F.col("body").alias(b))
