@@ -32,6 +32,39 @@ def test_recall_and_exact_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_tasks_that_hand_over_their_candidates_often_agree(spark, monkeypatch):
+    x = np.round(3 * np.random.default_rng(3).normal(size=(3000, 6)))  # many ties and copies, all products exact
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    want = sorted(tuple(r) for r in ann.search(df, asked, 7).collect())
+    monkeypatch.setattr(ann, "HELD", 50)
+    assert sorted(tuple(r) for r in ann.search(df, asked, 7).collect()) == want
+    names = [(q, v) for q, _, v, _ in want]
+    assert len(set(names)) == len(names) == 7 * 150
+    if len(ann.build(x, len(x), 99.0).centroids) <= ann.LEAST_PROBES:  # all lists are read
+        for q in range(0, 3000, 20):
+            assert [v for a, _, v, _ in want if a == q] == truth(np.arange(3000), x, q, 7)
+
+
+def test_best_of_each_query():
+    rng = np.random.default_rng(4)
+    q, ids = rng.integers(0, 9, 500), rng.integers(0, 40, 500)
+    scores = np.round(rng.normal(size=500), 1)
+    got = list(zip(*[a.tolist() for a in ann._best(q, ids, scores, 5)], strict=True))
+    for one in range(9):
+        top = {}
+        for a, i, s in zip(q, ids, scores, strict=True):
+            if a == one:
+                top[i] = max(top.get(i, -9), s)
+        assert [(i, s) for a, i, s in got if a == one] == sorted(top.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_an_id_with_two_vectors_is_one_query_and_one_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 0.5]), (2, [0.5, 1.0])]
+    got = ann.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(0, 1), (0, 2)] and {r["vec_id"] for r in got} == {1, 2}
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (40, [0.0, 0.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]

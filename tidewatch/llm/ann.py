@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm._shared import materialise, ship
+from tidewatch.llm._shared import materialise, remove, ship
 
 #: Vectors that the centroids are fitted on at most: those of the smallest hashes.
 SAMPLE = 40_000
@@ -35,6 +35,8 @@ REPLICA_EXCESS, MOST_REPLICAS = 0.05, 4
 LEAST_PROBES, TARGET, FITTING, NEIGHBOURS = 24, 0.97, 256, 20
 #: Lists to a bundle: a query that reads one of them reads all.
 BUNDLE = 16
+#: Candidates that a scoring task holds before it cuts them down to the best of each query.
+HELD = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -215,19 +217,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     Vectors that are null, zero, of an odd length or hold null or non-finite
     numbers take no part on either side; null keys don't either. Equal vectors
     are scored once, with their ``k + 1`` smallest ids, more of which no result
-    can need. Repeated rows of one id are one candidate; a query row that is
-    repeated has one result. Fewer candidates give fewer ranks; empty tables
-    give an empty result; other columns are ignored.
+    can need. Repeated rows of one id are one candidate, or one query; an id with
+    several vectors stands for that of the smallest hash. Fewer candidates give
+    fewer ranks; empty tables give an empty result; other columns are ignored.
     """
     spark = rows.sparkSession
     ship(spark)
-    given, _ = materialise(vectors(rows, key, embedding).dropDuplicates(["vec_id", "name"]), "vectors")
-    asked = vectors(queries, key, embedding).dropDuplicates(["vec_id", "name"]).select(F.col("vec_id").alias("query_id"), "name", "v")
-    asked, _ = materialise(asked, "queries")
+    one = lambda x: x.groupBy("vec_id").agg(F.min(F.struct("name", "v")).alias("x")).select("vec_id", "x.name", "x.v")
+    given, given_path = materialise(one(vectors(rows, key, embedding)), "vectors")
+    asked, asked_path = materialise(one(vectors(queries, key, embedding)).withColumnRenamed("vec_id", "query_id"), "queries")
     first = Window.partitionBy("name").orderBy("vec_id")
     few = given.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k + 1)
     distinct = few.groupBy("name").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
-    distinct, _ = materialise(distinct, "distinct")
+    distinct, distinct_path = materialise(distinct, "distinct")
     stats = distinct.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not stats[0]:
@@ -248,9 +250,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
 
     kind = "list int, name string, ids array<long>, v array<double>"
     lists = distinct.select("name", "ids", "v").mapInArrow(lambda b: posted(b, False), kind)
-    lists, _ = materialise(lists, "lists")
+    lists, lists_path = materialise(lists, "lists")
     chunks = lists.groupBy(F.col("list").alias("l")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    chunks, _ = materialise(chunks, "chunks")
+    chunks, chunks_path = materialise(chunks, "chunks")
     right = F.broadcast(chunks)  # one row per bundle, of which there are MOST_LISTS / BUNDLE at most
     held = lists.join(right, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("side"), "name", "ids", "v")
     unique = asked.groupBy("name").agg(F.first("v").alias("v")).select("name", F.array().cast("array<long>").alias("ids"), "v")
@@ -259,44 +261,88 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     together = held.unionByName(reads).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "side", "name")
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blocks, block, names = None, [], None, []
+        """The best of all that the task's lists hold for each query: (name, ids, scores)."""
+        at, blocks, block, least = None, [], None, None
+        asking: dict[str, int] = {}
+        copies: dict[int, list[int]] = {}
+        kept, held = [], 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _best(*[np.concatenate(x) for x in zip(*kept, strict=True)], k + 1)
+
+        def results() -> Iterator[pa.RecordBatch]:
+            q, ids, scores = best()
+            names = list(asking)
+            cuts = np.flatnonzero(np.diff(q)) + 1
+            for group in np.array_split(np.arange(len(cuts) + 1), -(-(len(cuts) + 1) // 512)):
+                out = ([], [], [])
+                for g in group.tolist():
+                    a, z = cuts[g - 1] if g else 0, cuts[g] if g < len(cuts) else len(q)
+                    rows = [(i, x) for c, x in zip(ids[a:z].tolist(), scores[a:z].tolist(), strict=True) for i in copies.get(c, (c,))]
+                    for column, value in zip(out, (names[q[a]], *zip(*rows, strict=True)), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["name", "ids", "scores"])
+
         for batch in batches:
             mark = np.stack([batch.column(c).to_numpy() for c in ("list", "chunk", "side")], 1)
             cuts = np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(mark)], strict=True):
                 here, side = tuple(mark[a, :2]), mark[a, 2]
                 if here != at:
-                    at, blocks, block, names = here, [], None, []
+                    at, blocks, block, least = here, [], None, []
                 part = batch.slice(a, z - a)
                 if side == 0:
                     blocks.append(_matrix(part.column("v")))
-                    names += part.column("ids").to_pylist()
+                    for ids in part.column("ids").to_pylist():
+                        least.append(ids[0])
+                        if len(ids) > 1:
+                            copies[ids[0]] = ids
                     continue
                 if not blocks:
                     continue
-                block = np.concatenate(blocks) if block is None else block
-                least = np.array([i[0] for i in names])
+                if block is None:
+                    block, least = np.concatenate(blocks), np.array(least)
                 for b in range(0, z - a, 512):
                     some = part.slice(b, 512)
                     scores = _matrix(some.column("v")) @ block.T
-                    out_ids, out_scores = [], []
-                    for row in scores:
-                        near = np.arange(len(row))
-                        if len(row) > k + 1:
-                            edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                            near = np.flatnonzero(row >= edge)
-                        near = near[np.lexsort((least[near], -row[near]))][: k + 1]
-                        out_ids.append([i for c in near.tolist() for i in names[c]])
-                        out_scores.append([s for c, s in zip(near.tolist(), row[near].tolist(), strict=True) for _ in names[c]])
-                    yield pa.RecordBatch.from_arrays([some.column("name"), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], ["name", "ids", "scores"])
+                    edge = np.partition(scores, -min(k + 1, len(block)), 1)[:, -min(k + 1, len(block)), None]
+                    row, column = np.nonzero(scores >= edge)  # ties at the edge included
+                    q = np.array([asking.setdefault(n, len(asking)) for n in some.column("name").to_pylist()])
+                    kept.append((q[row], least[column], scores[row, column]))
+                    held += len(row)
+                if held > HELD:
+                    kept = [best()]
+                    held = len(kept[0][0])
+                    if held > HELD // 2:
+                        yield from results()
+                        kept, held = [], 0
+                        asking.clear()
+        if kept:
+            yield from results()
 
     found = together.mapInArrow(scored, "name string, ids array<long>, scores array<double>")
-    hits = F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("i"))
-    best = found.withColumn("hits", F.slice(F.sort_array(hits), 1, k + 1)).groupBy("name").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    best = best.select(F.col("name").alias("n"), F.slice(F.array_sort(F.array_distinct("hits")), 1, k + 1).alias("hits"))
-    own = asked.select("query_id", "name").join(best, F.col("name") == F.col("n"))
-    ranked = own.select("query_id", F.posexplode(F.slice(F.filter("hits", lambda h: h["i"] != F.col("query_id")), 1, k)).alias("p", "h"))
-    return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h")["i"].alias("vec_id"), (-F.col("h")["s"]).alias("score"))
+    hits = found.select("name", F.inline(F.arrays_zip(F.col("ids").alias("i"), F.col("scores").alias("s")))).groupBy("name", "i").agg(F.max("s").alias("s"))
+    place = Window.partitionBy("name").orderBy(F.desc("s"), "i")
+    hits = hits.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1).withColumnRenamed("name", "n")
+    own = asked.select("query_id", "name").join(hits, F.col("name") == F.col("n")).where("i <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "i"))
+    ranked = own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("i").alias("vec_id"), F.col("s").alias("score"))
+    out, _ = materialise(ranked, "neighbours")
+    remove(spark, given_path, asked_path, distinct_path, lists_path, chunks_path)
+    return out
+
+
+def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best of each query, best first, ties to smaller ids; an id that occurs twice counts once."""
+    order = np.lexsort((-scores, ids, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    first = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]) if len(q) else np.zeros(0, bool)
+    q, ids, scores = q[first], ids[first], scores[first]
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    begin = np.searchsorted(q, q)
+    near = np.arange(len(q)) - begin < most
+    return q[near], ids[near], scores[near]
 
 
 def query(rows: DataFrame) -> DataFrame:
