@@ -5,7 +5,8 @@ several leaves is split along its widest dimension at the weighted median, so
 that bytes stand in the ratio of the leaves on either side, until each leaf
 holds its target bytes. Medians of all nodes of a level are found together, by
 descending over the digits of a sort key: each pass sums weights by (node,
-digit), so that only digit sums, a bounded number, reach the driver.
+digit) and picks each node's digit in the cluster, so that one row per node
+reaches the driver.
 
 Equal texts share their coordinates (the least of their rows') and a hash in
 the sort key, so they stay together. A group of equal texts that outweighs
@@ -15,7 +16,10 @@ split falls into such a group do its pieces part, because bytes come first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,24 +30,42 @@ TOLERANCE = 0.01
 GRID, HASH_BITS, PIECE_BITS, DIGIT = 32767, 32, 16, 13
 
 
-def coordinate(df: DataFrame, name: str) -> Column:
-    """A number that keeps a column's order: numbers as they are, strings by their first six bytes; null comes first."""
-    if isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType)):
+#: Splits of a level up to which their table is broadcast; beyond, the join is by shuffle.
+BROADCAST_SPLITS = 100_000
+
+
+def is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType))
+
+
+def coordinate(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """A number that keeps a column's order: numbers as they are, strings by six bytes after the ``skip`` first; null comes first."""
+    if is_number(df, name):
         x = F.col(name).cast("double")
         return F.when(F.isnan(x), None).otherwise(x)
-    prefix = F.substring(F.rpad(F.hex(F.col(name).cast("string")), 12, "0"), 1, 12)
-    return F.conv(prefix, 16, 10).cast("double")
+    some = F.substring(F.rpad(F.substring(F.hex(F.col(name).cast("string")), 2 * skip + 1, 12), 12, "0"), 1, 12)
+    return F.when(F.col(name).isNotNull(), F.conv(some, 16, 10).cast("double"))
+
+
+def common_prefixes(df: DataFrame, names: tuple[str, ...]) -> dict[str, int]:
+    """The number of bytes that all values of each string column begin with: those that the least and the greatest share."""
+    some = [n for n in names if not is_number(df, n)]
+    if not some:
+        return {}
+    ends = df.agg(*[f(F.col(n).cast("string")).alias(f"{i}{k}") for i, n in enumerate(some) for k, f in (("a", F.min), ("b", F.max))]).first()
+    return {n: len(os.path.commonprefix([(ends[f"{i}a"] or "").encode(), (ends[f"{i}b"] or "").encode()])) for i, n in enumerate(some)}
 
 
 def keyed_rows(docs: DataFrame, dims: tuple[str, ...], text: str, key: str, n_leaves: int) -> tuple[DataFrame, list[str]]:
     """One row per document: key, size, text_crc32 and the sort key of each dimension; with the scratch tables to remove."""
     body = F.coalesce(F.col(text), F.lit(""))
+    shared = common_prefixes(docs, dims)
     base = docs.select(
         F.col(key).alias("doc"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("crc"),
         F.xxhash64(body).alias("hash"),
-        *[coordinate(docs, d).alias(f"x{i}") for i, d in enumerate(dims)],
+        *[coordinate(docs, d, shared.get(d, 0)).alias(f"x{i}") for i, d in enumerate(dims)],
     )
     base, base_path = materialise(base, "kd-base")
     n = range(len(dims))
@@ -66,56 +88,55 @@ def keyed_rows(docs: DataFrame, dims: tuple[str, ...], text: str, key: str, n_le
     return rows, [rows_path]
 
 
-def _assign(df: DataFrame, levels: list[list[tuple]]) -> DataFrame:
-    """``df`` with ``node``: the first leaf of the node that each row lies in after the given levels of splits."""
-    df = df.withColumn("node", F.lit(0))
-    for splits in levels:
-        small = df.sparkSession.createDataFrame(splits, "n int, dim int, bound long, right int")  # one row per split of the level
-        df = df.join(F.broadcast(small), F.col("node") == F.col("n"), "left")
-        df = df.withColumn("node", F.when(F.col("n").isNotNull() & (F.element_at("keys", F.col("dim") + 1) >= F.col("bound")), F.col("right")).otherwise(F.col("node"))).drop("n", "dim", "bound", "right")
-    return df
+def _per_node(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of one row per node, marked for broadcast while it is small."""
+    small = spark.createDataFrame(rows, schema)
+    return F.broadcast(small) if len(rows) <= BROADCAST_SPLITS else small
+
+
+def _assign(df: DataFrame, splits: list[tuple]) -> DataFrame:
+    """``df`` with ``node`` after the splits of one level: the first leaf of the node that each row lies in."""
+    small = _per_node(df.sparkSession, splits, "n int, dim int, bound long, right int")
+    df = df.join(small, F.col("node") == F.col("n"), "left")
+    return df.withColumn("node", F.when(F.col("n").isNotNull() & (F.element_at("keys", F.col("dim") + 1) >= F.col("bound")), F.col("right")).otherwise(F.col("node"))).drop("n", "dim", "bound", "right")
 
 
 def _medians(units: DataFrame, wanted: dict[int, tuple[int, float]]) -> dict[int, int]:
     """The first key right of the split for each node; ``wanted`` has its dimension and the bytes that go left."""
     spark = units.sparkSession
-    state = {node: (0, 0.0) for node in wanted}  # key digits so far, bytes before them
+    state = {node: (0, 0) for node in wanted}  # key digits so far, bytes before them
     bound = {}
-    bits = 15 + HASH_BITS + PIECE_BITS
-    shift = bits
+    shift = 15 + HASH_BITS + PIECE_BITS
+    in_order = Window.partitionBy("n").orderBy("digit")  # 2^DIGIT rows of a node at most
     while shift > 0:
         step = min(DIGIT, shift)
-        small = spark.createDataFrame([(n, wanted[n][0], p) for n, (p, _) in state.items()], "n int, dim int, prefix long")
+        small = _per_node(spark, [(n, wanted[n][0], p, float(wanted[n][1] - before)) for n, (p, before) in state.items()], "n int, dim int, prefix long, goal double")
         key = F.element_at("keys", F.col("dim") + 1)
-        near = units.join(F.broadcast(small), F.col("node") == F.col("n")).where(F.shiftright(key, shift) == F.col("prefix"))
+        near = units.join(small, F.col("node") == F.col("n")).where(F.shiftright(key, shift) == F.col("prefix"))
         shift -= step
-        digit = F.shiftright(key, shift).bitwiseAND((1 << step) - 1).alias("digit")
-        sums: dict[int, list] = {n: [] for n in state}
-        for r in near.groupBy("n", digit).agg(F.sum("weight").alias("w")).collect():  # at most nodes x 2^DIGIT rows
-            sums[r["n"]].append((r["digit"], r["w"]))
-        for n, found in sums.items():
+        digit = F.shiftright(key, shift).bitwiseAND((1 << step) - 1)
+        sums = near.groupBy("n", "goal", digit.alias("digit")).agg(F.sum("weight").alias("w"))
+        sums = sums.withColumns({"upto": F.sum("w").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), "more": F.lead("digit").over(in_order)})
+        found = sums.where("upto >= goal OR more IS NULL").groupBy("n").agg(F.min(F.struct("digit", "upto", "w")).alias("x")).select("n", "x.*")
+        for n, chosen, upto, w in found.collect():  # one row per node
             prefix, before = state[n]
-            for digit_value, w in sorted(found):
-                chosen, weight = digit_value, w
-                if before + w >= wanted[n][1]:
-                    break
-                before += w
-            else:
-                before -= weight
-            state[n] = ((prefix << step) + chosen, before)
+            state[n] = ((prefix << step) + chosen, before + upto - w)
             if not shift:  # one unit straddles the median: it goes where it leaves the smaller error
-                nearer_left = wanted[n][1] - before > before + weight - wanted[n][1]
-                bound[n] = state[n][0] + int(nearer_left)
+                rest = wanted[n][1] - state[n][1]
+                bound[n] = state[n][0] + int(rest > w - rest)
     return bound
 
 
 def grow(units: DataFrame, n_dims: int, n_leaves: int) -> list[list[tuple]]:
-    """The tree as levels of (node, dimension, first key to the right, right child); nodes are named by their first leaf."""
+    """The tree as levels of (node, dimension, first key to the right, right child); nodes are named by their first leaf.
+
+    ``units`` has keys and weights; each level is written once with the nodes of its units.
+    """
     leaves = {0: n_leaves}
     levels: list[list[tuple]] = []
+    placed, path = units.withColumn("node", F.lit(0)), None
+    here = [F.shiftright(F.element_at("keys", i + 1), HASH_BITS + PIECE_BITS) for i in range(n_dims)]
     while any(k > 1 for k in leaves.values()):
-        placed = _assign(units, levels)
-        here = [F.shiftright(F.element_at("keys", i + 1), HASH_BITS + PIECE_BITS) for i in range(n_dims)]
         spans = placed.groupBy("node").agg(F.sum("weight").alias("w"), *[(F.max(x) - F.min(x)).alias(f"w{i}") for i, x in enumerate(here)]).collect()  # one row per node
         wanted = {}
         for r in spans:
@@ -128,6 +149,13 @@ def grow(units: DataFrame, n_dims: int, n_leaves: int) -> list[list[tuple]]:
         bounds = _medians(placed, wanted)
         levels.append([(n, wanted[n][0], b, n + leaves[n] // 2) for n, b in bounds.items()])
         leaves = {m: c for n, k in leaves.items() for m, c in (((n, k // 2), (n + k // 2, k - k // 2)) if n in bounds else ((n, 1),))}
+        if any(k > 1 for k in leaves.values()):
+            following, new_path = materialise(_assign(placed, levels[-1]), "kd-level")
+            if path:
+                remove(units.sparkSession, path)
+            placed, path = following, new_path
+    if path:
+        remove(units.sparkSession, path)
     return levels
 
 
@@ -147,7 +175,7 @@ def shard(docs: DataFrame, n_leaves: int | None = None, target_bytes: int | None
     rows, scratch = keyed_rows(docs, dims, text, key, n_leaves)
     units, units_path = materialise(rows.groupBy("keys").agg(F.sum("size").alias("weight")), "kd-units")
     levels = grow(units, len(dims), n_leaves)
-    placed = _assign(rows, levels).select("doc", "size", "crc", F.col("node").alias("shard"))
+    placed = reduce(_assign, levels, rows.withColumn("node", F.lit(0))).select("doc", "size", "crc", F.col("node").alias("shard"))
     out = ranked(placed, "shard", ["doc", "crc", "size"], "slot")
     remove(docs.sparkSession, units_path, *scratch)
     return out.select(F.col("doc").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
