@@ -7,6 +7,10 @@ that the address suffix suggests; and a host prior. Priors are smoothed along
 host, registered domain and all hosts: each level's counts of text-only
 posteriors, grouped sums, are shrunk towards the level above, without the row's
 own part.
+
+A labelled row is never judged by a model that its own text and label went
+into: models are fitted on two halves of the sample, and each half is judged by
+the other's.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm._shared import fresh, let, materialise, ship
+from tidewatch.llm._shared import fresh, let, materialise, remove, ship
 from tidewatch.llm.bpe import slices
 
 #: Labelled rows that the models are fitted on, chosen by a hash of their keys: so many of all, and so many of each label at least if it has them.
@@ -35,6 +40,8 @@ DECLARED, SUFFIX = 0.90, 0.80
 #: Rows that a prior level is worth to the level below it.
 SHRINK = 10.0
 LEAST_POSTERIOR = 0.5
+#: Posterior of another language from which a text contradicts its label.
+CONTRADICTION = 0.9
 #: Odds against a text in a language without a model; its trigrams are letters at random, or anything, in equal shares.
 UNKNOWN_ODDS = 1000.0
 #: Country suffixes of addresses and the languages that they suggest.
@@ -71,20 +78,27 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, first, np.maximum(first, offsets[1:] - offsets[0] - 2)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Trigram models of the labelled languages, from the ``rows`` rows of the smallest key hashes and LABEL_ROWS of each label."""
+def _sample(labelled: DataFrame, text: str, label: str, key: str, rows: int) -> pd.DataFrame:
+    """(label, text, fold): the ``rows`` labelled rows of the smallest key hashes and LABEL_ROWS of each label."""
     usable = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     named = usable.select(F.col(key).alias("k"), F.col(label).alias("l"), F.xxhash64(key).alias("h"))
     own = Window.partitionBy("l").orderBy("h", "k")  # Spark keeps the first LABEL_ROWS of each task before the shuffle
     floor = named.withColumn("r", F.row_number().over(own)).where(F.col("r") <= LABEL_ROWS).select("k", "l")
     chosen = named.orderBy("h", "k").limit(rows).select("k", "l").unionByName(floor).distinct()
-    found = usable.join(F.broadcast(chosen), (F.col(key) == F.col("k")) & (F.col(label) == F.col("l")), "left_semi").select(label, text)
-    sample = found.toPandas()
-    languages = tuple(sorted(sample[label].unique()))
+    found = usable.join(F.broadcast(chosen), (F.col(key) == F.col("k")) & (F.col(label) == F.col("l")), "left_semi")
+    return found.select(F.col(label).alias("label"), F.col(text).alias("text"), fold_of(F.col(key)).alias("fold")).toPandas()
+
+
+def fold_of(key: Column) -> Column:
+    """The half, 0 or 1, that a row belongs to."""
+    return F.coalesce(F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(2)).cast("int"), F.lit(0))
+
+
+def _model(sample: pd.DataFrame, languages: tuple[str, ...]) -> Model:
     table = np.zeros((len(languages), BUCKETS), np.float32)
     letters = np.zeros(256)
     for i, language in enumerate(languages):
-        texts = sample[text][sample[label] == language].tolist()
+        texts = sample["text"][sample["label"] == language].tolist()
         codes, first, end = trigrams(pa.array(texts, pa.large_string()))
         counts = sum((np.bincount(codes[a:z], minlength=BUCKETS) for a, z in zip(first, end, strict=True)), np.zeros(BUCKETS))
         # brought to one total, so that a trigram that no language has speaks for none of them
@@ -95,6 +109,26 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return Model(languages, table, _at_random(letters / max(letters.sum(), 1e-12)))
 
 
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
+    """Trigram models of the labelled languages, for texts that aren't among the labelled rows."""
+    return fit_folds(labelled, text, label, key, rows)[2]
+
+
+def fit_folds(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> tuple[Model, Model, Model]:
+    """Models for the rows of fold 0 and of fold 1, each fitted on the other fold, and one for other texts, fitted on both.
+
+    All have the same languages; one that the other fold doesn't have is fitted on all its rows.
+    """
+    sample = _sample(labelled, text, label, key, rows)
+    languages = tuple(sorted(sample["label"].unique()))
+    folds = []
+    for fold in (0, 1):
+        other = sample["fold"] != fold
+        lost = ~sample["label"].isin(sample["label"][other].unique())
+        folds.append(_model(sample[other | lost], languages))
+    return (*folds, _model(sample, languages))
+
+
 def _at_random(letters: np.ndarray) -> np.ndarray:
     """Log probabilities of trigrams whose bytes are drawn one by one, mixed in equal shares with any trigram."""
     used = np.flatnonzero(letters).astype(np.uint32)
@@ -126,16 +160,29 @@ def _floats(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
 
 
-def scored(df: DataFrame, model: Model, text: str, out: str, keep_text: bool = True) -> DataFrame:
-    """``df`` with the array ``out`` of tempered log likelihoods, the text dropped unless ``keep_text``."""
+def scored(df: DataFrame, models: tuple[Model, ...], text: str, out: str, fold: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``df`` with the array ``out`` of tempered log likelihoods, the text dropped unless ``keep_text``.
+
+    The column ``fold``, which is dropped, names the model of each row; without it there is one model.
+    """
     ship(df.sparkSession)
-    names = [c for c in df.columns if keep_text or c != text]
+    names = [c for c in df.columns if c != fold and (keep_text or c != text)]
+
+    def values(part: pa.RecordBatch) -> np.ndarray:
+        texts = part.column(text)
+        if fold is None:
+            return likelihoods(texts, models[0])
+        own = part.column(fold).to_numpy()
+        result = np.zeros((len(own), len(models[0].languages)))
+        for i in np.unique(own).tolist():
+            at = np.flatnonzero(own == i)
+            result[at] = likelihoods(texts.take(pa.array(at)), models[i])
+        return result
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
-                values = _floats(likelihoods(part.column(text), model))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], values], [*names, out])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], _floats(values(part))], [*names, out])
 
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names], f"`{out}` array<double>"])
     return df.mapInArrow(run, fields)
@@ -189,15 +236,16 @@ def host_priors(rows: DataFrame, host: str, logs: str, n: int) -> DataFrame:
     return joined.select("host_", "n_host", F.array(*[F.col(f"c{i}") for i in range(n)]).alias("c_host"), "prior")
 
 
-def fused(rows: DataFrame, priors: DataFrame, model: Model, host: str, declared: str | None, suffix: str | None, logs: str, out: str) -> DataFrame:
-    """``rows`` with the struct ``out``: language, posterior, kept."""
-    n = len(model.languages)
+def fused(rows: DataFrame, priors: DataFrame, languages: tuple[str, ...], host: str, declared: str | None, suffix: str | None, logs: str, out: str) -> DataFrame:
+    """``rows`` with the struct ``out``: language, posterior, all (posteriors of all languages), kept. ``priors`` is a table, not a plan to run."""
+    n = len(languages)
     if not n:
-        return rows.withColumn(out, F.struct(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept")))
+        return rows.withColumn(out, F.struct(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.array().cast("array<double>").alias("all"), F.lit(False).alias("kept")))
     at, prior = fresh(rows, "host_", "prior_")
     right = priors.select(F.col("host_").alias(at), F.struct("n_host", "c_host", "prior").alias(prior))
     joined = rows.join(right if priors.count() > BROADCAST_HOSTS else F.broadcast(right), F.col(host) == F.col(at), "left")
     known = F.col(prior)
+
     def log_prior(own: Column) -> Column:
         rest = lambda i: F.get(known["c_host"], i) - F.get(own, i) + SHRINK * F.get(known["prior"], i) + 1e-6
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.log(rest(i) / (known["n_host"] - 1 + SHRINK)))
@@ -206,66 +254,93 @@ def fused(rows: DataFrame, priors: DataFrame, model: Model, host: str, declared:
     flat = F.array(*[F.lit(0.0)] * n)
     evidence = [F.col(logs), F.coalesce(shrunk, flat)]
     if declared:
-        evidence.append(_vote(F.col(declared), model.languages, DECLARED))
+        evidence.append(_vote(F.col(declared), languages, DECLARED))
     if suffix:
-        evidence.append(_vote(F.col(suffix), model.languages, SUFFIX))
-    names = F.array(*[F.lit(x) for x in model.languages])
+        evidence.append(_vote(F.col(suffix), languages, SUFFIX))
+    names = F.array(*[F.lit(x) for x in languages])
     read = F.exists(logs, lambda x: x != 0)
 
     def judged(posterior: Column) -> Column:
         language = lambda best: F.element_at(names, F.array_position(posterior, best).cast("int"))
-        return let(F.array_max(posterior), lambda best: F.struct(F.when(read, language(best)).alias("language"), F.round(best, 6).alias("posterior"), (read & (best >= LEAST_POSTERIOR)).alias("kept")))
+        return let(F.array_max(posterior), lambda best: F.struct(F.when(read, language(best)).alias("language"), F.round(best, 6).alias("posterior"), posterior.alias("all"), (read & (best >= LEAST_POSTERIOR)).alias("kept")))
 
     return joined.withColumn(out, let(_softmax(reduce(_plus, evidence)), judged)).drop(at, prior)
 
 
 def visible_text(html: Column) -> Column:
-    """Markup without scripts, styles, comments and tags."""
-    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    """Markup without scripts, styles, comments and tags; one that isn't closed reaches to the end, so each character is read once."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)", " ")
 
 
 def declared_language(html: Column) -> Column:
-    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     return F.nullif(found, F.lit(""))
 
 
-def identify(rows: DataFrame, model: Model, text: str, host: str, declared: str | None = None, suffix: str | None = None) -> DataFrame:
-    """``rows`` without the text, with ``verdict`` (language, posterior, kept).
+def identify(rows: DataFrame, models: Model | tuple[Model, ...], text: str, host: str, declared: str | None = None, suffix: str | None = None, fold: str | None = None) -> DataFrame:
+    """``rows`` without the text and ``fold``, with ``verdict`` (language, posterior, all, kept).
 
     Null or unreadable texts (under three bytes) and texts in a language without
-    a model get no language and aren't kept; null hosts, declarations and suffixes add no evidence; repeated rows
-    are judged alike; an empty table gives an empty result.
+    a model get no language and aren't kept; null hosts, declarations and
+    suffixes add no evidence; repeated rows are judged alike; an empty table
+    gives an empty result. If ``rows`` has a ``verdict``, the new one gets an
+    underscore. ``fold`` names the model of each row.
     """
-    done, _ = materialise(scored(rows, model, text, "logs", keep_text=False), "language")
-    priors = host_priors(done, host, "logs", max(1, len(model.languages)))
-    return fused(done, priors, model, host, declared, suffix, "logs", "verdict")
-
-
-def keep(docs: DataFrame, text: str = "text", label: str = "lang", host: str = "source", key: str = "doc_id", model: Model | None = None) -> DataFrame:
-    """The documents whose language is known, with the columns of ``docs``; the declared label and the source's prior count as evidence.
-
-    Texts are read twice, once for the priors of their sources and once to be
-    judged, which needs no shuffle of texts.
+    models = models if isinstance(models, tuple) else (models,)
+    logs, verdict = fresh(rows, "logs", "verdict")
+    languages = models[0].languages
+    done, _ = materialise(scored(rows, models, text, logs, fold, keep_text=False), "language")
+    priors, _ = materialise(host_priors(done, host, logs, max(1, len(languages))), "priors")
+    return fused(done, priors, languages, host, declared, suffix, logs, verdict).drop(logs)
+
+
+def contradicts(verdict: Column, label: Column, languages: tuple[str, ...]) -> Column:
+    """Whether the text speaks for another language than its label; labels that are null or have no model can't be contradicted."""
+    return F.coalesce(label.isin(*languages) & (verdict["language"] != label) & (verdict["posterior"] >= CONTRADICTION), F.lit(False))
+
+
+def keep(docs: DataFrame, wanted: tuple[str, ...] | None = None, text: str = "text", label: str = "lang", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """The documents whose text is in a ``wanted`` language (any that has a model, if None) and doesn't contradict its label, with the columns of ``docs``.
+
+    Labels are what models learn from, so they are no evidence here: a text is
+    judged by the other fold's model and its source's prior alone. Texts that
+    are null, unreadable or in no language with a model go. A null label has
+    nothing to contradict; a null key is in fold 0; a null source has no prior;
+    repeated rows stay or go together. Without any label nothing is known and
+    all rows stay; an empty table stays empty. Texts are read twice, once for
+    the priors of their sources and once to be judged, which needs no shuffle
+    of texts.
     """
-    model = model or fit(docs, text, label, key)
-    if not model.languages:
+    models = fit_folds(docs, text, label, key)
+    languages = models[0].languages
+    if not languages:
         return docs
-    logs, verdict, shadow = fresh(docs, "logs_", "verdict_", "host_key_")
-    counted, _ = materialise(scored(docs.select(F.col(host).alias("host"), F.col(text).alias("body")), model, "body", "logs", keep_text=False), "language")
-    priors, _ = materialise(host_priors(counted, "host", "logs", len(model.languages)), "priors")
-    again = scored(docs, model, text, logs).withColumn(shadow, F.col(host))
-    return fused(again, priors, model, shadow, label, None, logs, verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
+    logs, verdict, shadow, fold = fresh(docs, "logs_", "verdict_", "host_key_", "fold_")
+    own = fold_of(F.col(key))
+    counted, counted_path = materialise(scored(docs.select(F.col(host).alias("host"), F.col(text).alias("body"), own.alias("fold")), models, "body", "logs", "fold", keep_text=False), "language")
+    priors, _ = materialise(host_priors(counted, "host", "logs", len(languages)), "priors")
+    remove(docs.sparkSession, counted_path)
+    again = scored(docs.withColumn(fold, own), models, text, logs, fold).withColumn(shadow, F.col(host))
+    judged = fused(again, priors, languages, shadow, None, None, logs, verdict)
+    good = F.col(verdict)["kept"] & ~contradicts(F.col(verdict), F.col(label), languages)
+    if wanted is not None:
+        good = good & F.col(verdict)["language"].isin(*wanted)
+    return judged.where(good).select(*docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every document (its label as the declaration, its source as the host) and every page (markup, address suffix, host)."""
+    """Every document (its source as the host, its label only to compare) and every page (markup, address suffix, host).
+
+    Null texts, markup, addresses and labels add no evidence; ``label`` is the
+    document's own, ``contradicted`` whether its text speaks against it.
+    """
     from tidewatch.llm.url_filter import host_of
 
-    model = fit(docs)
+    models = fit_folds(docs)
     none = F.lit(None).cast("string")
-    rows = docs.select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), F.col("text").alias("body"), F.col("source").alias("host"), F.col("lang").alias("declared"), none.alias("suffix"))
+    rows = docs.select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), F.col("text").alias("body"), F.col("source").alias("host"), none.alias("declared"), none.alias("suffix"), F.col("lang").alias("label"), fold_of(F.col("doc_id")).alias("fold"))
     address = F.nullif(host_of(F.col("url")), F.lit(""))
-    seen = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", visible_text(F.col("html")).alias("body"), address.alias("host"), declared_language(F.col("html")).alias("declared"), suffix_language(address).alias("suffix"))
-    out = identify(rows.unionByName(seen), model, "body", "host", "declared", "suffix")
+    seen = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", visible_text(F.col("html")).alias("body"), address.alias("host"), declared_language(F.col("html")).alias("declared"), suffix_language(address).alias("suffix"), none.alias("label"), F.lit(2).alias("fold"))
+    out = identify(rows.unionByName(seen), models, "body", "host", "declared", "suffix", "fold")
     v = F.col("verdict")
-    return out.select("kind", "doc_id", "page_id", "declared", v["language"].alias("language"), v["posterior"].alias("posterior"), v["kept"].alias("kept"))
+    return out.select("kind", "doc_id", "page_id", "declared", "label", v["language"].alias("language"), v["posterior"].alias("posterior"), v["kept"].alias("kept"), contradicts(v, F.col("label"), models[0].languages).alias("contradicted"))
