@@ -160,11 +160,14 @@ def query(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", *[q[c].alias(c) for c in names])
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows whose text the rules keep, with the columns of ``docs``."""
-    (quality,) = fresh(docs, "quality")
-    judged = judge(docs)
-    return judged.where(F.col(quality)["kept"]).drop(quality)
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows whose text the rules keep, with the columns of ``docs``.
+
+    Null and empty texts have no words and go; repeated rows stay or go
+    together; an empty table stays empty. The counts are bound once, inside the
+    filter, so the optimiser has nothing to repeat for each rule.
+    """
+    return docs.where(let(features(F.col(text)), lambda stats: ~base_failed(stats) & passes(stats, rules)))
 
 
 _STOPS_SQL = ", ".join("'" + x + "'" for x in sorted({x for g in STOP_WORDS.values() for x in g}))
