@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import cyclic, flag, median
-from tidewatch.operators.patterns import DAY, HOUR, before, micros, prior_distinct, with_order
+from tidewatch.operators.patterns import DAY, HOUR, attach, before, micros, prior_distinct, sliding, with_order
 from tidewatch.operators.rules import is_failure
 
 USER = "user_id"
@@ -45,9 +45,10 @@ def temporal(df: DataFrame) -> DataFrame:
 
 def velocity(df: DataFrame) -> DataFrame:
     """Earlier events of the last hour and day, seconds since the last, and their mean step over the last day."""
-    hour, day = before(USER, within=HOUR), before(USER, within=DAY)
-    since = (micros() - F.lag(micros()).over(Window.partitionBy(USER).orderBy("ord"))) / 1e6
-    df = df.withColumns({"__h": F.count(F.lit(1)).over(hour), "__d": F.count(F.lit(1)).over(day), "__s": since, "__lo": F.min(micros()).over(day), "__hi": F.max(micros()).over(day)})
+    recent = sliding(df, F.col(USER), {"h": HOUR, "d": DAY}, first=("d",)).select("event_index", F.col("h").alias("__h"), F.col("d").alias("__d"), F.col("d_first").alias("__lo"))
+    last = F.lag(micros()).over(Window.partitionBy(USER).orderBy("ord"))
+    df = df.withColumn("__hi", last).withColumn("__s", (micros() - F.col("__hi")) / 1e6)
+    df = attach(df, recent, __h=0, __d=0)
     step = F.when(F.col("__d") >= 2, (F.col("__hi") - F.col("__lo")) / 1e6 / (F.col("__d") - 1)).otherwise(NEVER)
     return df.withColumns(
         {
@@ -92,8 +93,9 @@ def device(df: DataFrame) -> DataFrame:
 
 def session(df: DataFrame) -> DataFrame:
     """A duration against the last 100 known ones, of which there must be three: its z-score and its ratio to their median."""
-    kept = F.slice(F.reverse(F.collect_list("session_duration_seconds").over(before(USER))), 1, 100)
-    df = df.withColumn("__last", kept)
+    # rows with a duration are apart from those without, which need no frame
+    own = Window.partitionBy(USER, F.col("session_duration_seconds").isNull()).orderBy("ord").rowsBetween(-100, -1)
+    df = df.withColumn("__last", F.collect_list("session_duration_seconds").over(own))
     n, x = F.size("__last"), F.col("session_duration_seconds")
     mean = F.aggregate("__last", F.lit(0.0), lambda a, v: a + v) / F.greatest(n, F.lit(1))
     df = df.withColumns({"__mean": mean, "__mid": median(F.array_sort("__last"))})

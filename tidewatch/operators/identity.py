@@ -2,19 +2,25 @@
 
 All of them look at strictly earlier events in the order (time, event_index),
 except synchronous peers, which the caller may read as earlier rows within the
-window. Frames bounded in time run over (entity, time bucket), so a shared
-address doesn't fall to one task.
+window. What a user's own events say is computed over one partitioning by user.
+What shared entities say comes from narrow tables of (event, entity, user) as
+running sums over (entity, time bucket), joined by event, so a shared address
+doesn't fall to one task and events without the entity aren't moved.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalar import HIGH_RISK_COUNTRIES, clamp01, country_distance_km, flag, median
-from tidewatch.operators.patterns import BASE, MINUTE, SLOT, before, first_seen, gap_sessions, micros, prior_distinct, span, with_order
+from tidewatch.functions.scalar import HIGH_RISK_COUNTRIES, clamp01, country_distance_km, flag
+from tidewatch.operators.patterns import MINUTE, attach, backward, before, first_seen, gap_sessions, micros, ordered_buckets, prior_values, sliding, with_order
 from tidewatch.operators.rules import is_failure
 
 USER = "user_id"
@@ -43,55 +49,30 @@ def stage() -> Column:
 def shared_counts(df: DataFrame) -> DataFrame:
     """shared_ip_users, shared_device_users, shared_asn_users: different earlier users of the event's entity."""
     for entity, name in (("ip_address", "shared_ip_users"), ("device_fingerprint", "shared_device_users"), ("asn", "shared_asn_users")):
-        df = with_order(df, entity, "__o")
-        df = prior_distinct(df, entity, USER, "__n", "__o")
-        df = df.withColumn(name, F.when(F.col(entity).isNull(), 0.0).otherwise(F.col("__n").cast("double"))).drop("__n", "__n_new", "__o")
+        seen = prior_values(df, F.col(entity), F.col(USER), name)
+        df = attach(df, seen.select("event_index", F.col(name).cast("double").alias(name)), **{name: 0.0})
     return df
 
 
-def pair_prior_users(df: DataFrame, key: str = "pair", order: str = "__o") -> DataFrame:
-    """shared_infra_pair_users: different other users who had the pair before."""
-    df = prior_distinct(df, key, USER, "__n", order)
-    mine = F.when(F.col("__n_new") == 1, 0).otherwise(1)
-    return df.withColumn("shared_infra_pair_users", F.greatest(F.col("__n") - mine, F.lit(0)).cast("double")).drop("__n", "__n_new")
+def pair_prior_users(df: DataFrame, pair: Column) -> DataFrame:
+    """(event_index, shared_infra_pair_users): different other users who had the pair before."""
+    seen = prior_values(df, pair, F.col(USER), "n")
+    return seen.select("event_index", F.greatest(F.col("n") - 1 + F.col("n_new"), F.lit(0)).cast("double").alias("shared_infra_pair_users"))
 
 
 def _whole_seconds() -> Column:
     return F.floor(micros() / 1_000_000) * 1_000_000
 
 
-def recent(df: DataFrame, key: str, within: int, values: dict[str, Column], ties: Column | None = None, time: Column | None = None) -> DataFrame:
-    """``df`` with arrays of what strictly earlier rows of ``key`` within the window had; rows with a null key get empty ones.
-
-    ``values`` are expressions over a row, null to leave it out. Times may be
-    coarsened by ``time`` (whole seconds, say), ties keep their strict order.
-    """
-    t = time if time is not None else micros()
-    lists = [F.when(F.col(key).isNotNull(), v).alias(n) for n, v in values.items()]
-    staged = df.select("*", *[e.alias(f"__v_{n}") for n, e in zip(values, lists, strict=True)], t.alias("__t"))
-    own = F.floor(F.col("__t") / within).cast("long")
-    both = F.array(F.struct(own.alias("b"), F.lit(True).alias("a")), F.struct((own + 1).alias("b"), F.lit(False).alias("a")))
-    placed = staged.withColumn("__e", F.explode(both)).withColumn("__b", F.col("__e.b"))
-    # one partitioning by (key, bucket) serves the order key and the frames
-    rows = Window.partitionBy(key, "__b").orderBy("__t", micros(), "event_index")
-    times = Window.partitionBy(key, "__b").orderBy("__t")
-    tie = F.least(F.row_number().over(rows) - F.rank().over(times), F.lit(SLOT // 2 - 1))
-    placed = placed.withColumn("__k", (F.col("__t") - BASE) * SLOT + tie)
-    w = Window.partitionBy(key, "__b").orderBy("__k").rangeBetween(-span(within), -1)
-    placed = placed.select("*", *[F.collect_list(f"__v_{n}").over(w).alias(n) for n in values]).where("__e.a")
-    return placed.drop("__e", "__b", "__k", "__t", *[f"__v_{n}" for n in values])
-
-
 def infrastructure(df: DataFrame) -> DataFrame:
     """Pair users, recent other users and recent events on the pair (whole seconds), and synchronous peers."""
-    df = with_order(df.withColumn("pair", pair_key()), "pair", "__o")
-    df = pair_prior_users(df).drop("__o")
-    df = recent(df, "pair", RELATION, {"__pu": F.col(USER)}, time=_whole_seconds())
-    others = lambda c: F.size(F.array_remove(F.array_distinct(c), F.col(USER))).cast("double")
-    df = df.withColumns({"infra_burst_peer_count": others(F.col("__pu")), "infra_burst_event_count": F.size("__pu").cast("double")}).drop("__pu")
-    df = recent(df, "ip_address", RELATION, {"__iu": F.col(USER)})
-    df = recent(df, "device_fingerprint", RELATION, {"__du": F.col(USER)})
-    return df.withColumn("sync_peer_count", F.greatest(others(F.col("__iu")), others(F.col("__du")), F.col("infra_burst_peer_count"))).drop("__iu", "__du", "pair")
+    user, within = F.col(USER), {"r": RELATION}
+    on_pair = sliding(df, pair_key(), within, who=user, time=_whole_seconds()).select("event_index", F.col("r_others").cast("double").alias("infra_burst_peer_count"), F.col("r").cast("double").alias("infra_burst_event_count"))
+    on_ip = sliding(df, F.col("ip_address"), within, who=user).select("event_index", F.col("r_others").cast("double").alias("__ip_peers"))
+    on_device = sliding(df, F.col("device_fingerprint"), within, who=user).select("event_index", F.col("r_others").cast("double").alias("__device_peers"))
+    df = attach(attach(df, pair_prior_users(df, pair_key())), on_pair)
+    df = attach(attach(df, on_ip, __ip_peers=0.0), on_device, __device_peers=0.0)
+    return df.withColumn("sync_peer_count", F.greatest("__ip_peers", "__device_peers", "infra_burst_peer_count")).drop("__ip_peers", "__device_peers")
 
 
 def novelty(df: DataFrame) -> DataFrame:
@@ -105,9 +86,10 @@ def novelty(df: DataFrame) -> DataFrame:
 def mfa_suspicion(df: DataFrame) -> DataFrame:
     """A success known to lack a second factor after two second-factor failures, as counted at the user's last event."""
     within = max(RELATION, 30 * MINUTE)
-    w = Window.partitionBy(USER).orderBy("ord")
-    df = df.withColumn("__f", F.count(F.when(is_failure() & F.col("mfa_used"), 1)).over(w.rangeBetween(-span(within), 0)))
-    df = df.withColumn("__p", F.coalesce(F.lag("__f").over(w), F.lit(0)))
+    failed = F.coalesce(is_failure() & F.col("mfa_used"), F.lit(False)).cast("int")
+    counted = sliding(df, F.col(USER), {"__f": within}, weight=failed)
+    df = attach(df, counted, __f=0).withColumn("__f", F.col("__f") + failed)
+    df = df.withColumn("__p", F.coalesce(F.lag("__f").over(Window.partitionBy(USER).orderBy("ord")), F.lit(0)))
     return df.withColumn("mfa_bypass_suspicion", flag(F.col("success") & (F.col("mfa_used") == F.lit(False)) & (F.col("__p") >= 2))).drop("__f", "__p")
 
 
@@ -124,69 +106,106 @@ def session_context(df: DataFrame) -> DataFrame:
 
 
 def session_activity(df: DataFrame) -> DataFrame:
-    """Concurrent use of a session and replay bursts, over its earlier events within the window of its last one."""
-    here = F.struct(micros().alias("t"), F.col(USER).alias("u"), F.col("ip_address").alias("i"), F.col("user_agent").alias("a"))
-    df = with_order(df, "session_id", "__so")
-    w = Window.partitionBy("session_id").orderBy("__so")
-    df = df.withColumn("__kept", F.collect_list(here).over(w.rangeBetween(-span(RELATION), 0)))
-    df = df.withColumn("__r", F.when(F.col("session_id").isNotNull(), F.coalesce(F.lag("__kept").over(w), F.array())).otherwise(F.array()))
+    """Concurrent use of a session and replay bursts, over its earlier events within the window of its last one.
+
+    Events of a session within the window are held together, in buckets of time.
+    """
+    here = F.struct(F.col("us").alias("t"), F.col(USER).alias("u"), F.col("ip_address").alias("i"), F.col("user_agent").alias("a"))
+    rows = df.where("session_id IS NOT NULL").select("event_index", "session_id", "timestamp", micros().alias("us"), USER, "ip_address", "user_agent")
+    placed = ordered_buckets(rows, "session_id", RELATION, "__so", look_back=True)
+    placed = placed.withColumn("__kept", F.collect_list(here).over(backward(["session_id", "bucket"], RELATION, "__so"))).where("anchor")
+    placed = placed.withColumn("__r", F.coalesce(F.lag("__kept").over(Window.partitionBy("session_id").orderBy("us", "event_index")), F.array()))
     differs = lambda x, f, c: F.coalesce(x[f] != F.col(c), F.lit(False))
     apart = F.size(F.filter("__r", lambda x: (x["u"] == F.col(USER)) & (differs(x, "i", "ip_address") | differs(x, "a", "user_agent"))))
-    close = F.size(F.filter("__r", lambda x: F.abs(micros() - x["t"]) <= 5_000_000))
-    df = df.withColumns({"__apart": apart, "__close": close})
+    close = F.size(F.filter("__r", lambda x: F.abs(F.col("us") - x["t"]) <= 5_000_000))
     replay = F.when((F.size("__r") >= 3) & (F.col("__close") >= 3), clamp01(F.col("__close") / 6.0)).otherwise(0.0)
-    return df.withColumns({"session_concurrency": clamp01(F.col("__apart") / 2.0), "session_replay_burst": replay}).drop("__so", "__kept", "__r", "__close")
+    placed = placed.withColumns({"__apart": apart, "__close": close})
+    found = placed.select("event_index", "__apart", clamp01(F.col("__apart") / 2.0).alias("session_concurrency"), replay.alias("session_replay_burst"))
+    return attach(df, found, __apart=0, session_concurrency=0.0, session_replay_burst=0.0)
 
 
 def failures(df: DataFrame) -> DataFrame:
     """password_spray_score and low_and_slow_score of failures, from earlier ones of the same address within two hours."""
-    here = F.when(is_failure(), F.struct(micros().alias("t"), F.col(USER).alias("u")))
-    df = recent(df, "ip_address", 8 * RELATION, {"__slow": here})
-    now = micros()
-    near = F.filter("__slow", lambda x: now - x["t"] <= 2 * RELATION)
-    others = lambda c: F.size(F.array_remove(F.array_distinct(F.transform(c, lambda x: x["u"])), F.col(USER)))
-    df = df.withColumns({"__near": near}).withColumns({"__nu": others(F.col("__near")), "__su": others(F.col("__slow"))})
-    users = F.sort_array(F.transform("__near", lambda x: x["u"]))
-    runs = F.aggregate(
-        users,
-        F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most")),
-        lambda a, x: F.struct(x.alias("last"), F.when(a["last"] == x, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["most"], F.when(a["last"] == x, a["n"] + 1).otherwise(1)).alias("most")),
-    )["most"]
+    failed = df.where(is_failure() & F.col("ip_address").isNotNull())
+    seen = sliding(failed, F.col("ip_address"), {"near": 2 * RELATION, "slow": 8 * RELATION, "short": BURST}, who=F.col(USER), first=("slow",))
+    seen = attach(failed.select("event_index", micros().alias("us")), seen)
     up = lambda x: F.greatest(x, F.lit(0.0))
-    spray = clamp01(F.col("__nu") / 4.0 + up((F.size("__near") - 2.0) / 8.0) + up((2.0 - runs) / 4.0))
-    oldest = F.array_min(F.transform("__slow", lambda x: x["t"]))
-    spread = F.least((now - oldest) / 1e6 / (4 * RELATION / 1e6), F.lit(1.0))
-    short = F.size(F.filter("__slow", lambda x: now - x["t"] <= BURST))
-    slow = clamp01(F.col("__su") / 4.0 + spread + up((3.0 - short) / 4.0))
-    failed = is_failure() & F.col("ip_address").isNotNull()
-    df = df.withColumns(
-        {
-            "password_spray_score": F.when(failed & (F.col("__nu") >= 2), spray).otherwise(0.0),
-            "low_and_slow_score": F.when(failed & (F.size("__slow") >= 3) & (F.col("__su") >= 2), slow).otherwise(0.0),
-        }
+    twice = F.when(F.col("near") > F.col("near_all"), 2.0).otherwise(1.0)  # the most failures of one user count up to two
+    spray = clamp01(F.col("near_others") / 4.0 + up((F.col("near") - 2.0) / 8.0) + up((2.0 - twice) / 4.0))
+    spread = F.least((F.col("us") - F.col("slow_first")) / 1e6 / (4 * RELATION / 1e6), F.lit(1.0))
+    slow = clamp01(F.col("slow_others") / 4.0 + spread + up((3.0 - F.col("short")) / 4.0))
+    found = seen.select(
+        "event_index",
+        F.when(F.col("near_others") >= 2, spray).otherwise(0.0).alias("password_spray_score"),
+        F.when((F.col("slow") >= 3) & (F.col("slow_others") >= 2), slow).otherwise(0.0).alias("low_and_slow_score"),
     )
-    return df.drop("__slow", "__near", "__nu", "__su")
+    return attach(df, found, password_spray_score=0.0, low_and_slow_score=0.0)
+
+
+def gap_statistics(rows: DataFrame, history: int | None = None) -> DataFrame:
+    """(event_index, middle, spread) of (user_id, ord, event_index, gap): median and median deviation of a user's earlier gaps, null before the first.
+
+    Users' rows come one after another in order; the gaps so far are kept
+    sorted, so each row costs two binary searches and an insertion.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, gaps, queue = None, [], deque()
+
+        def deviation(middle: float) -> float:
+            n, at = len(gaps), bisect_left(gaps, middle)
+
+            def smallest(k: int) -> float:
+                """The k-th smallest distance, of which i lie to the left: there, distances rise to the left."""
+                low, high = max(0, k - (n - at)), min(k, at)
+                while low < high:
+                    i = (low + high) // 2
+                    if middle - gaps[at - 1 - i] < gaps[at + k - i - 1] - middle:
+                        low = i + 1
+                    else:
+                        high = i
+                last = [middle - gaps[at - low]] * (low > 0) + [gaps[at + k - low - 1] - middle] * (k > low)
+                return max(last)
+
+            return smallest(n // 2 + 1) if n % 2 else (smallest(n // 2) + smallest(n // 2 + 1)) / 2
+
+        for batch in batches:
+            middles, spreads = [], []
+            for who, gap in zip(batch.column("user_id").to_pylist(), batch.column("gap").to_pylist(), strict=True):
+                if who != user:
+                    user, gaps, queue = who, [], deque()
+                n = len(gaps)
+                middle = None if not n else gaps[n // 2] if n % 2 else (gaps[n // 2 - 1] + gaps[n // 2]) / 2
+                middles.append(middle)
+                spreads.append(None if not n else deviation(middle))
+                if gap is not None:
+                    insort(gaps, gap)
+                if history is not None:
+                    queue.append(gap)
+                    if len(queue) > history and (old := queue.popleft()) is not None:
+                        del gaps[bisect_left(gaps, old)]
+            yield pa.RecordBatch.from_arrays([batch.column("event_index"), pa.array(middles, pa.float64()), pa.array(spreads, pa.float64())], ["event_index", "middle", "spread"])
+
+    narrow = rows.select(USER, "ord", "event_index", "gap").repartition(USER).sortWithinPartitions(USER, "ord").drop("ord")
+    return narrow.mapInArrow(run, "event_index long, middle double, spread double")
 
 
 def rhythm(df: DataFrame, history: int | None = None) -> DataFrame:
     """interval_deviation: the step to the last event against the median and its deviation of earlier steps; burst_score.
 
-    The whole history counts unless ``history`` bounds it.
+    The whole history counts unless ``history`` bounds it to so many last events.
     """
     w = Window.partitionBy(USER).orderBy("ord")
     df = df.withColumn("gap", (micros() - F.lag(micros()).over(w)) / 1e6)
-    frame = before(USER) if history is None else w.rowsBetween(-history, -1)
-    df = df.withColumn("__g", F.array_sort(F.collect_list("gap").over(frame)))
-    df = df.withColumn("__m", F.coalesce(median(F.col("__g")), F.lit(3600.0)))
-    off = median(F.array_sort(F.transform("__g", lambda x: F.abs(x - F.col("__m")))))
-    df = df.withColumn("__a", F.greatest(F.coalesce(off, F.lit(1.0)), F.lit(1.0)))
+    df = attach(df, gap_statistics(df, history))
+    middle, spread = F.coalesce("middle", F.lit(3600.0)), F.greatest(F.coalesce("spread", F.lit(1.0)), F.lit(1.0))
     known = F.col("gap").isNotNull()
     return df.withColumns(
         {
-            "interval_deviation": F.when(known, F.least(F.abs(F.col("gap") - F.col("__m")) / F.col("__a"), F.lit(10.0))).otherwise(0.0),
+            "interval_deviation": F.when(known, F.least(F.abs(F.col("gap") - middle) / spread, F.lit(10.0))).otherwise(0.0),
             "burst_score": F.when(known, clamp01(1.0 - F.col("gap") / (BURST / 1e6))).otherwise(0.0),
         }
-    ).drop("__g", "__m", "__a")
+    ).drop("middle", "spread")
 
 
 def geography(df: DataFrame) -> DataFrame:
@@ -305,9 +324,13 @@ SIGNALS = ("shared_ip_users", "shared_device_users", "shared_asn_users", "shared
 def signals(events: DataFrame) -> DataFrame:
     """``events`` with all identity signals."""
     df = with_order(events, USER)
-    for f in (rhythm, geography, novelty, mfa_suspicion, session_context, sessions, session_activity, takeover, failures, shared_counts, infrastructure, scores):
+    for f in (rhythm, geography, novelty, mfa_suspicion, session_context, sessions, session_activity, takeover):
         df = f(df)
-    return df
+    # what other entities say needs nothing but the event, so it is computed on the events and joined
+    narrow = events.select("event_index", "timestamp", USER, "event_type", "ip_address", "device_fingerprint", "asn")
+    for f, names in ((failures, ("password_spray_score", "low_and_slow_score")), (shared_counts, ("shared_ip_users", "shared_device_users", "shared_asn_users")), (infrastructure, ("shared_infra_pair_users", "infra_burst_peer_count", "infra_burst_event_count", "sync_peer_count"))):
+        df = attach(df, f(narrow).select("event_index", *names))
+    return scores(df)
 
 
 def build(events: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.patterns import first_seen, greedy_bursts, micros, with_order
+from tidewatch.operators.patterns import attach, first_seen, greedy_bursts, micros, with_order
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 
@@ -19,10 +23,14 @@ def fleet_windows(events: DataFrame, minutes: int = 60, step: int = 1, least: in
     """
     new = with_order(events, "user_id").withColumn("is_new", first_seen("user_id", "ip_address"))
     new = new.withColumn("odd", (anomalous if anomalous is not None else F.lit(False)).cast("int"))
-    placed = new.withColumn("w", F.window("timestamp", f"{minutes} minutes", f"{step} minutes"))
-    users = placed.groupBy("w", "user_id").agg(F.max("is_new").alias("is_new"), F.max("odd").alias("odd"), F.count("*").alias("n"))
+    # windows begin and end on multiples of the step, so events of one step go through all windows together
+    tick = F.window("timestamp", f"{step} minutes")["start"]
+    steps = new.groupBy(tick.alias("tick"), "user_id").agg(F.max("is_new").alias("is_new"), F.max("odd").alias("odd"), F.count("*").alias("n"))
+    w = F.window("tick", f"{minutes} minutes", f"{step} minutes").alias("w")
+    users = steps.select(w, "user_id", "is_new", "odd", "n").groupBy("w", "user_id").agg(F.max("is_new").alias("is_new"), F.max("odd").alias("odd"), F.sum("n").alias("n"))
     totals = users.groupBy("w").agg(F.count("*").alias("users"), F.sum("is_new").alias("new_ip_users"), F.sum("odd").alias("odd_users"), F.sum("n").alias("logins"))
-    nets = placed.where("asn IS NOT NULL").groupBy("w", "asn").count().groupBy(F.col("w").alias("v")).agg(F.max("count").alias("top_asn"), F.sum("count").alias("with_asn"))
+    of_nets = new.where("asn IS NOT NULL").groupBy(tick.alias("tick"), "asn").count().select(w, "asn", F.col("count").alias("n"))
+    nets = of_nets.groupBy("w", "asn").agg(F.sum("n").alias("count")).groupBy(F.col("w").alias("v")).agg(F.max("count").alias("top_asn"), F.sum("count").alias("with_asn"))
     joined = totals.join(nets, F.col("w") == F.col("v"), "left").where(F.col("users") >= least)
     return joined.select(
         micros(F.col("w.end")).alias("window_end"),
@@ -45,7 +53,7 @@ def cooled_down(alerts: DataFrame, key: str = "alert_type", at: str = "window_en
     us = seconds * 1_000_000
     rows = alerts.withColumns({"__key": F.col(key), "__ts": F.timestamp_micros(at), "ord": F.col(at)})
     # a burst skips times up to its start plus the window; the next alert may be exactly the cooldown later
-    return greedy_bursts(rows, ["__key"], us - 1, ts="__ts").drop("__key", "__ts", "ord")
+    return greedy_bursts(rows, ["__key"], us - 1, ts="__ts", order="ord").drop("__key", "__ts", "ord")
 
 
 def gated(df: DataFrame, tau: float, floor: float = 0.97, jsd_floor: float = 0.2, least: int = 2, percentile: float = 0.95, history: int = 500, fp: Column | None = None, fp_limit: float = 0.8) -> DataFrame:
@@ -68,25 +76,28 @@ def gated(df: DataFrame, tau: float, floor: float = 0.97, jsd_floor: float = 0.2
 def deduplicated(alerts: DataFrame, seconds: int = 60, most: int = 3) -> DataFrame:
     """``alerts`` with ``emitted``: at most so many of a user within the window of time, counting those emitted.
 
-    Emissions depend on earlier emissions only, so times are folded per user
-    and per stretch without a gap longer than the window.
+    Emissions depend on earlier emissions only, so a user's times are streamed
+    in order and the last few emitted ones are held.
     """
     us = seconds * 1_000_000
-    df = with_order(alerts, "user_id")
-    w = Window.partitionBy("user_id").orderBy("ord")
-    apart = F.coalesce((micros() - F.lag(micros()).over(w) > us).cast("int"), F.lit(0))
-    df = df.withColumn("__c", F.sum(apart).over(w))
-    rows = F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), micros().alias("t"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        near = F.filter(a["kept"], lambda t: r["t"] - t <= us)
-        take = F.size(near) < most
-        return F.struct(F.when(take, F.concat(near, F.array(r["t"]))).otherwise(near).alias("kept"), F.when(take, F.concat(a["out"], F.array(r["o"]))).otherwise(a["out"]).alias("out"))
-
-    out = df.groupBy(F.col("user_id").alias("__u"), F.col("__c").alias("__d")).agg(F.aggregate(rows, start, step)["out"].alias("__out")).select("__u", F.explode("__out").alias("__o"))
-    joined = df.join(out, (F.col("user_id") == F.col("__u")) & (F.col("ord") == F.col("__o")), "left")
-    return joined.withColumn("emitted", F.col("__o").isNotNull()).drop("__u", "__o", "__c", "ord")
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, kept = None, deque()
+        for batch in batches:
+            out = []
+            for who, t in zip(batch.column("user_id").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if who != user:
+                    user, kept = who, deque()
+                while kept and t - kept[0] > us:
+                    kept.popleft()
+                take = len(kept) < most
+                if take:
+                    kept.append(t)
+                out.append(take)
+            yield pa.RecordBatch.from_arrays([batch.column("event_index"), pa.array(out, pa.bool_())], ["event_index", "emitted"])
+
+    rows = alerts.select("user_id", "event_index", micros().alias("t")).repartition("user_id").sortWithinPartitions("user_id", "t", "event_index")
+    return attach(alerts, rows.mapInArrow(scan, "event_index long, emitted boolean"))
 
 
 def burst_summaries(deduped: DataFrame, score: str = "score") -> DataFrame:

@@ -1,19 +1,21 @@
-"""Reusable window patterns: unique order keys, novelty, running distinct counts, gap sessions, greedy bursts.
+"""Reusable window patterns: order, novelty, prior and sliding counts, gap sessions, greedy bursts.
 
-An order key is microseconds times SLOT plus the place among equal times, so
-RANGE frames over it follow the strict order (time, event_index): a frame that
-ends at -1 holds strictly earlier rows, whatever ties there are.
+Rows of a key follow the strict order (time, event_index), however many share
+a time. Counts over all earlier rows, or those of a span of time, are running
+sums of entries and exits over (key, time bucket) with the sums of earlier
+buckets carried, so they are linear in the rows and a busy key is cut into
+pieces of bounded time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Places that a microsecond has; up to half as many rows of a key may share one.
-SLOT = 2048
-#: Microseconds of 2000-01-01, from which order keys count.
-BASE = 946_684_800_000_000
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
@@ -23,31 +25,118 @@ def micros(ts: str | Column = "timestamp") -> Column:
     return F.unix_micros(ts)
 
 
-def _tie(part: list[str], ts: Column, index: str) -> Column:
-    """A row's place among the rows of its partition at the same time; both windows share one sort."""
-    rows = Window.partitionBy(*part).orderBy(ts, index)
-    times = Window.partitionBy(*part).orderBy(ts)
-    return F.least(F.row_number().over(rows) - F.rank().over(times), F.lit(SLOT // 2 - 1))
+def with_order(df: DataFrame, key: str, name: str = "ord", ts: str = "timestamp", index: str = "event_index") -> DataFrame:
+    """``df`` with the place, from 1, of each row within its ``key``."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(ts, index)).cast("long"))
 
 
-def with_order(df: DataFrame, key: str, name: str = "ord", ts: str = "timestamp", index: str = "event_index") -> DataFrame:
-    """``df`` with the order key of each row within its ``key``."""
-    return df.withColumn(name, (micros(ts) - BASE) * SLOT + _tie([key], F.col(ts), index))
+def before(key: str, order: str = "ord"):
+    """The strictly earlier rows of a key."""
+    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def span(us: int) -> int:
-    return us * SLOT + SLOT // 2 - 1
+def attach(df: DataFrame, part: DataFrame, index: str = "event_index", **missing) -> DataFrame:
+    """``df`` with the columns of ``part``, one row per ``index`` at most; rows that it doesn't have get the values of ``missing``."""
+    joined = df.join(part.withColumnRenamed(index, "__at"), F.col(index) == F.col("__at"), "left").drop("__at")
+    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in missing.items()}) if missing else joined
 
 
-def before(key: str, order: str = "ord", within: int | None = None):
-    """The strictly earlier rows of a key; with ``within`` those of the last so many microseconds, the limit included."""
-    w = Window.partitionBy(key).orderBy(order)
-    return w.rangeBetween(-span(within), -1) if within is not None else w.rowsBetween(Window.unboundedPreceding, -1)
+def prior_sums(rows: DataFrame, key: str, bucket: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each (name, column), the column's sum over the strictly earlier rows of the key.
+
+    Rows are sorted within (key, bucket); buckets rise with the order, and
+    one row per key and bucket carries the sums of earlier ones.
+    """
+    inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__ck").orderBy("__cb").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(key).alias("__ck"), F.col(bucket).alias("__cb")).agg(*[F.sum(c).alias(f"__c_{n}") for n, c in sums.items()])
+    carried = totals.select("__ck", "__cb", *[F.coalesce(F.sum(f"__c_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in sums])
+    here = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+    joined = here.join(carried, (F.col(key) == F.col("__ck")) & (F.col(bucket) == F.col("__cb")))
+    return joined.withColumns({n: F.col(n) + F.col(f"__c_{n}") for n in sums}).drop("__ck", "__cb", *[f"__c_{n}" for n in sums])
+
+
+def prior_values(df: DataFrame, key: Column, value: Column, name: str, index: str = "event_index", ts: str = "timestamp") -> DataFrame:
+    """(index, ``name``, ``name``_new): how many different values strictly earlier rows of the key had, and 1 if this row's is new.
+
+    Rows with a null key aren't in the result; a null value is never new.
+    """
+    rows = df.select(F.col(index), key.alias("__key"), value.alias("__value"), micros(ts).alias("__us")).where("__key IS NOT NULL")
+    own = Window.partitionBy("__key", "__value").orderBy("__us", index)
+    rows = rows.withColumn(f"{name}_new", F.when(F.col("__value").isNotNull() & (F.row_number().over(own) == 1), 1).otherwise(0))
+    rows = rows.withColumn("__bucket", F.floor(F.col("__us") / DAY).cast("long"))
+    return prior_sums(rows, "__key", "__bucket", ["__us", index], {name: f"{name}_new"}).select(index, name, f"{name}_new")
+
+
+def sliding(df: DataFrame, key: Column, spans: dict[str, int], who: Column | None = None, weight: Column | None = None, first: tuple[str, ...] = (), time: Column | None = None, index: str = "event_index", ts: str = "timestamp") -> DataFrame:
+    """What strictly earlier rows of the key amount to within spans of microseconds, limits included: (index, columns by span).
+
+    For each span ``x``: ``x`` counts rows, or sums their 0/1 ``weight``; with
+    ``who``, ``x_others`` counts different values of it other than the row's
+    own and ``x_all`` all of them; for spans in ``first``, ``x_first`` is the
+    earliest row's time. Times may be coarsened by ``time`` (whole seconds,
+    say). Rows with a null key aren't in the result.
+
+    Each row enters when it happens and leaves a span after it. A value of
+    ``who`` is there from its first row until a span after the last of a
+    chain of its rows without longer gaps, so chains' ends are counted, not
+    sets kept. As rows leave in the order in which they came, the earliest one
+    left is that whose number is the count of those gone.
+    """
+    if weight is not None and (who is not None or first):
+        raise ValueError("values and first times are those of all rows")
+    rows = df.select(F.col(index), key.alias("__key"), (time if time is not None else micros(ts)).alias("__t"), micros(ts).alias("__us"), (who if who is not None else F.lit(None).cast("string")).alias("__who"), (weight.cast("int") if weight is not None else F.lit(1)).alias("__w")).where("__key IS NOT NULL")
+    names, longest = list(spans), max(spans.values())
+    if who is not None:
+        own = Window.partitionBy("__key", "__who").orderBy("__us", index)
+        rows = rows.withColumns({"__gap": F.col("__t") - F.lag("__t").over(own), "__next": F.lead("__t").over(own) - F.col("__t")})
+
+    def deltas(at: Column, leaves: str | None) -> Column:
+        fields = [at.alias("__at"), F.lit(0 if leaves is None else 1).alias("__exit")]
+        for x in names:
+            on = leaves is None or leaves == x
+            sign = 1 if leaves is None else -1
+            fields.append((sign * F.col("__w") if on else F.lit(0)).alias(f"__n_{x}"))
+            if who is not None:
+                gap = F.col("__gap" if leaves is None else "__next")
+                fields.append((F.when(gap <= spans[x], 0).otherwise(sign) if on else F.lit(0)).alias(f"__u_{x}"))
+            if x in first:
+                fields.append(F.lit(1 if leaves == x else 0).alias(f"__x_{x}"))
+        return F.struct(*fields)
+
+    moved = F.array(deltas(F.col("__t"), None), *[deltas(F.col("__t") + spans[x], x) for x in names])
+    placed = rows.withColumn("__d", F.explode(moved)).select(index, "__key", "__t", "__us", *(["__gap"] if who is not None else []), "__d.*")
+    placed = placed.withColumn("__bucket", F.floor(F.col("__at") / longest).cast("long"))
+    sums = {x: f"__n_{x}" for x in names}
+    if who is not None:
+        sums |= {f"{x}_all": f"__u_{x}" for x in names}
+    sums |= {f"__gone_{x}": f"__x_{x}" for x in first}
+    if first:
+        sums["__number"] = "__come"
+        placed = placed.withColumn("__come", 1 - F.col("__exit"))
+    counted = prior_sums(placed, "__key", "__bucket", ["__at", "__exit", "__us", index], sums).where("__exit = 0")
+    for x in first:
+        left = counted.select(F.col("__key").alias("__fk"), F.col("__number").alias("__fn"), F.col("__t").alias(f"{x}_first"))
+        counted = counted.join(left, (F.col("__key") == F.col("__fk")) & (F.col(f"__gone_{x}") == F.col("__fn")) & (F.col(x) > 0), "left").drop("__fk", "__fn")
+    if who is not None:
+        counted = counted.withColumns({f"{x}_others": F.col(f"{x}_all") - F.when(F.col("__gap") <= spans[x], 1).otherwise(0) for x in names})
+    out = [c for x in names for c in (x, f"{x}_all", f"{x}_others", f"{x}_first") if c in counted.columns]
+    return counted.select(index, *out)
+
+
+def slot(within: int) -> int:
+    """Places that a microsecond has in an order key over two spans of ``within``."""
+    return 1 << max(2, 62 - (2 * within).bit_length())
 
 
 def onward(key: str | list[str], within: int, order: str = "ord"):
-    """A row and the later ones within so many microseconds, the limit included."""
-    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order).rangeBetween(0, span(within))
+    """A row of ``ordered_buckets`` and the later ones within so many microseconds, the limit included."""
+    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order).rangeBetween(0, within * slot(within) + slot(within) // 2 - 1)
+
+
+def backward(key: list[str], within: int, order: str = "ord"):
+    """A row of backward ``ordered_buckets`` and the earlier ones within so many microseconds, the limit included."""
+    return Window.partitionBy(*key).orderBy(order).rangeBetween(-within * slot(within) - slot(within) // 2 + 1, 0)
 
 
 def first_seen(key: str, value: str, order: str = "ord") -> Column:
@@ -57,7 +146,10 @@ def first_seen(key: str, value: str, order: str = "ord") -> Column:
 
 
 def prior_distinct(df: DataFrame, key: str, value: str, name: str, order: str = "ord") -> DataFrame:
-    """``name``: how many different values strictly earlier rows of the key had; ``name``_new: 1 if this row's value is new."""
+    """``name``: how many different values strictly earlier rows of the key had; ``name``_new: 1 if this row's value is new.
+
+    For keys whose rows fit into a task, like a user's, in the order that ``df`` has; else see ``prior_values``.
+    """
     df = df.withColumn(f"{name}_new", first_seen(key, value, order))
     return df.withColumn(name, F.coalesce(F.sum(f"{name}_new").over(before(key, order)), F.lit(0)))
 
@@ -74,24 +166,34 @@ def gap_sessions(df: DataFrame, key: str, gap: int, name: str, ts: str = "timest
     return df.withColumn(name, F.sum(new).over(w))
 
 
-def bucketed(df: DataFrame, within: int, ts: str = "timestamp", backward: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, within: int, ts: str = "timestamp", look_back: bool = False) -> DataFrame:
     """Rows with ``bucket`` and ``anchor``: each row stands in its time bucket as an anchor and in the one before as context.
 
     A forward frame of ``within`` microseconds of an anchor lies in its bucket,
     so (key, bucket) can be a partition: a busy key is cut into pieces of
-    bounded time, not left to one task. With ``backward`` the context goes to
+    bounded time, not left to one task. With ``look_back`` the context goes to
     the bucket after, for frames that look back.
     """
     own = F.floor(micros(ts) / within).cast("long")
-    other = own + 1 if backward else own - 1
+    other = own + 1 if look_back else own - 1
     both = F.array(F.struct(own.alias("bucket"), F.lit(True).alias("anchor")), F.struct(other.alias("bucket"), F.lit(False).alias("anchor")))
     return df.withColumn("__b", F.explode(both)).withColumn("bucket", F.col("__b.bucket")).withColumn("anchor", F.col("__b.anchor")).drop("__b")
 
 
-def ordered_buckets(df: DataFrame, key: str, within: int, name: str = "ord", ts: str = "timestamp", index: str = "event_index", backward: bool = False) -> DataFrame:
-    """``bucketed`` rows with their order key, all of it over the one partitioning by (key, bucket)."""
-    placed = bucketed(df, within, ts, backward)
-    return placed.withColumn(name, (micros(ts) - BASE) * SLOT + _tie([key, "bucket"], F.col(ts), index))
+def ordered_buckets(df: DataFrame, key: str, within: int, name: str = "ord", ts: str = "timestamp", index: str = "event_index", look_back: bool = False) -> DataFrame:
+    """``bucketed`` rows with their order key, all of it over the one partitioning by (key, bucket).
+
+    An order key is a row's time since its bucket began times ``slot`` plus its
+    place among rows at its time, so RANGE frames follow the strict order.
+    Millions of rows of a key may share a microsecond; more raise an error.
+    """
+    placed = bucketed(df, within, ts, look_back)
+    rows = Window.partitionBy(key, "bucket").orderBy(ts, index)
+    times = Window.partitionBy(key, "bucket").orderBy(ts)
+    tie = (F.row_number().over(rows) - F.rank().over(times)).cast("long")
+    began = (F.col("bucket") - int(look_back)) * within
+    place = F.when(F.col("__tie") < slot(within) // 2, F.col("__tie")).otherwise(F.raise_error(F.lit("too many rows of one key at one time")).cast("long"))
+    return placed.withColumn("__tie", tie).withColumn(name, (micros(ts) - began) * slot(within) + place).drop("__tie")
 
 
 #: Windows of time to a coarse bucket, over which chains of bursts are numbered.
@@ -106,7 +208,7 @@ def chains(candidates: DataFrame, keys: list[str], within: int, ts: str = "times
     all candidates of a key.
     """
     near = Window.partitionBy(*keys, "bucket").orderBy("__us").rangeBetween(-within, -1)
-    rows = bucketed(candidates.withColumn("__us", micros(ts)), within, ts, backward=True)
+    rows = bucketed(candidates.withColumn("__us", micros(ts)), within, ts, look_back=True)
     rows = rows.withColumn("__start", F.when(F.count(F.lit(1)).over(near) == 0, F.col("__us"))).where("anchor").drop("bucket", "anchor")
     rows = rows.withColumn("__part", F.floor(F.col("__us") / (within * COARSE)).cast("long"))
     names = [f"__c_{k}" for k in keys]
@@ -119,21 +221,33 @@ def chains(candidates: DataFrame, keys: list[str], within: int, ts: str = "times
     return joined.withColumn("__chain", F.coalesce("__here", "__carry")).drop("__us", "__start", "__part", "__p", "__here", "__carry", *names)
 
 
-def greedy_bursts(candidates: DataFrame, keys: list[str], within: int, ts: str = "timestamp", order: str = "ord") -> DataFrame:
-    """The candidates that a scan by time would emit which, after each burst, skips all rows up to its end.
+def greedy_bursts(candidates: DataFrame, keys: list[str], within: int, ts: str = "timestamp", order: str = "event_index") -> DataFrame:
+    """The candidates that a scan by (time, ``order``) would emit which, after each burst, skips all rows up to its end.
 
     A candidate is a row from which the window of ``within`` microseconds
-    qualifies; whether it does is independent of the scan, so only times are
-    folded, chain by chain: 16 bytes for each candidate of a chain.
+    qualifies; whether it does is independent of the scan, so only times and
+    ``order``, which names rows, are scanned: chain by chain, as a stream that
+    jumps from burst to burst and holds one batch.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), micros(ts).alias("t"))))
-    start = F.struct(F.lit(-(1 << 62)).alias("free"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(a: Column, r: Column) -> Column:
-        take = r["t"] > a["free"]
-        return F.struct(F.when(take, r["t"] + within).otherwise(a["free"]).alias("free"), F.when(take, F.concat(a["taken"], F.array(r["o"]))).otherwise(a["taken"]).alias("taken"))
 
-    taken = chains(candidates.select(*keys, ts, order), keys, within, ts).groupBy(*keys, "__chain").agg(F.aggregate(rows, start, step)["taken"].alias("__taken"))
-    taken = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], F.explode("__taken").alias("__o"))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(order) == F.col("__o")]
-    return candidates.join(taken, on, "left_semi")
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, free = None, 0
+        for batch in batches:
+            t, of = batch.column("t").to_numpy(), batch.column("chain").to_pylist()
+            cuts = [k for k in range(1, len(of)) if of[k] != of[k - 1]]
+            taken = []
+            for a, z in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                if z > a and of[a] != chain:
+                    chain, free = of[a], int(t[a]) - 1
+                at = a + int(np.searchsorted(t[a:z], free, "right"))
+                while at < z:
+                    taken.append(at)
+                    free = int(t[at]) + within
+                    at = a + int(np.searchsorted(t[a:z], free, "right"))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(taken, pa.int64())) for c in ("k", "o")], ["k", "o"])
+
+    rows = chains(candidates.select(*keys, ts, order), keys, within, ts)
+    rows = rows.select(F.to_json(F.struct(*keys, "__chain")).alias("chain"), F.xxhash64(*keys).alias("k"), micros(ts).alias("t"), F.col(order).cast("long").alias("o"))
+    taken = rows.repartition("chain").sortWithinPartitions("chain", "t", "o").mapInArrow(scan, "k long, o long")
+    taken = taken.select(F.col("k").alias("__k"), F.col("o").alias("__o"))
+    return candidates.join(taken, (F.xxhash64(*keys) == F.col("__k")) & (F.col(order) == F.col("__o")), "left_semi")
