@@ -7,8 +7,8 @@ if some bucket holds members of both, so each pair of texts that shares a bucket
 is compared, once, however many buckets it shares; texts that are only linked
 through chains of others aren't. A task compares one pair of blocks by the exact
 intersections of their n-gram sets, as products of incidence matrices, and
-returns per member its links and a spanning forest, never the pairs. No bucket
-is capped. N-grams are told apart by 64-bit hashes of their words' hashes.
+returns per member its links and a spanning forest, never the pairs. A block
+travels as one row. No bucket is capped. N-grams are told apart by 64-bit hashes of their words' hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Chance that a pair at exactly SIMILARITY shares a band, and the most hash functions spent on it.
 RECALL, MOST_HASHES = 0.9999, 192
 #: Members and n-grams that a block holds, about.
-BLOCK_MEMBERS, BLOCK_NGRAMS = 64, 400_000
+BLOCK_MEMBERS, BLOCK_NGRAMS = 128, 400_000
 #: Dropped rows up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -150,45 +150,63 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return found
 
 
-def _verified(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows of a pair of blocks stand together; per member: its links in the pair and the least member joined to it."""
-    held: list[tuple] = []
-    name = None
-    out: list[tuple] = []
-
-    def close() -> None:
-        members = [m for m, _, _ in held]
-        side = np.array([s for _, s, _ in held])
-        found = linked([np.frombuffer(x, np.uint64) for _, _, x in held], similarity)
-        if name[0] != name[1]:  # links within a block belong to the pair of the block with itself
-            found &= side[:, None] != side[None, :]
-        label = np.arange(len(members))  # members come sorted
-        while True:
-            least = np.minimum(label, np.where(found, label[None, :], len(members)).min(1))
-            if (least == label).all():
-                break
-            label = least
-        for i, n in enumerate(found.sum(1).tolist()):
-            if n:
-                out.append((members[i], members[label[i]], n))
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block, (block, bodies, grams), from sorted rows; repeated rows of one text are one member."""
+    name, bodies, grams = None, [], []
 
+    def row() -> pa.RecordBatch:
+        columns = [pa.array([name], pa.int64()), pa.array([bodies], pa.list_(pa.string())), pa.array([grams], pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "bodies", "grams"])
+
+    for batch in batches:
+        for block, body, data in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), batch.column("grams"), strict=True):
+            if block != name:
+                if bodies:
+                    yield row()
+                name, bodies, grams = block, [], []
+            if not bodies or bodies[-1] != body:
+                bodies.append(body)
+                grams.append(data.as_py())
+    if bodies:
+        yield row()
+
+
+def _links(members: list[str], found: np.ndarray) -> list[tuple[str, str, int]]:
+    """(member, least member joined to it, its links) of those that have any."""
+    order = np.argsort(np.array(members, dtype=object), kind="stable")
+    label = np.empty(len(members), np.int64)
+    label[order] = np.arange(len(members))
+    while True:
+        least = np.minimum(label, np.where(found, label[None, :], len(members)).min(1))
+        if (least == label).all():
+            break
+        label = least
+    return [(members[k], members[order[label[k]]], n) for k, n in enumerate(found.sum(1).tolist()) if n]
+
+
+def _inside(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links within each block."""
+    for batch in batches:
+        for bodies, grams in zip(batch.column("bodies").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            if len(bodies) > 1 and (out := _links(bodies, linked([np.frombuffer(x, np.uint64) for x in grams], similarity))):
+                yield _batch(out)
+
+
+def _across(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links between the two blocks of each pair, whose rows stand together."""
+    before = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("i", "j", "body", "block")]
-        grams = batch.column("grams")
-        for k, (i, j, member, block) in enumerate(zip(*columns, strict=True)):
-            if (i, j) != name:
-                if len(held) > 1:
-                    close()
-                name, held = (i, j), []
-            if not held or held[-1][0] != member:  # repeated rows of one text are one member
-                held.append((member, block, grams[k].as_py()))
-        if len(out) > 5000:
-            yield _batch(out)
-            out.clear()
-    if len(held) > 1:
-        close()
-    if out:
-        yield _batch(out)
+        for k in range(batch.num_rows):
+            name, bodies, grams = (batch.column("i")[k].as_py(), batch.column("j")[k].as_py()), batch.column("bodies")[k].as_py(), batch.column("grams")[k].as_py()
+            if before is None or before[0] != name:
+                before = (name, bodies, grams)
+                continue
+            found = linked([np.frombuffer(x, np.uint64) for x in before[2] + grams], similarity)
+            found[: len(before[1]), : len(before[1])] = False
+            found[len(before[1]) :, len(before[1]) :] = False
+            if out := _links(before[1] + bodies, found):
+                yield _batch(out)
+            before = None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,7 +215,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def blocks(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(placed, pairs, scratch tables): (body, rep, block) of each text that shares a bucket, and the pairs (block, other) to compare, each once.
+    """(placed, pairs, scratch tables): (body, rep, block) of each text that shares a bucket, and the pairs of different blocks (block < other) to compare, each once.
 
     ``texts`` has body, rep, n_grams and the band hashes.
     """
@@ -218,7 +236,7 @@ def blocks(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     several = present.join(lone, F.col("bucket") == F.col("b"), "left_semi")
     other = several.select(F.col("bucket").alias("b"), F.col("block").alias("other"))
     across = several.join(other, (F.col("bucket") == F.col("b")) & (F.col("block") < F.col("other"))).select("block", "other")
-    pairs, pairs_path = materialise(across.unionByName(present.select("block", F.col("block").alias("other"))).distinct(), "pairs")
+    pairs, pairs_path = materialise(across.distinct(), "pairs")
     return placed, pairs, [shared_path, homed_path, placed_path, present_path, pairs_path]
 
 
@@ -253,11 +271,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
                 yield pa.RecordBatch.from_arrays([part.column("body"), part.column("block"), pa.array(sets, pa.binary())], ["body", "block", "grams"])
 
     sets = bodies.mapInArrow(grams_of, "body string, block long, grams binary")
+    packed = sets.repartition("block").sortWithinPartitions("block", "body").mapInArrow(_packed, "block long, bodies array<string>, grams array<binary>")
+    packed, packed_path = materialise(packed, "packed")
     both = pairs.select(F.col("block").alias("i"), F.col("other").alias("j"))
-    partners = both.select(F.col("i").alias("of"), "i", "j").unionByName(both.where("i <> j").select(F.col("j").alias("of"), "i", "j"))
-    together = sets.join(partners.hint("shuffle_hash"), F.col("block") == F.col("of")).select("i", "j", "body", "block", "grams")
-    together = together.repartition("i", "j").sortWithinPartitions("i", "j", "body")
-    verified, verified_path = materialise(together.mapInArrow(lambda it: _verified(it, similarity), "a string, b string, n long"), "verified")
+    partners = both.select(F.col("i").alias("of"), "i", "j").unionByName(both.select(F.col("j").alias("of"), "i", "j"))
+    together = packed.join(partners.hint("shuffle_hash"), F.col("block") == F.col("of")).select("i", "j", "bodies", "grams")
+    together = together.repartition("i", "j").sortWithinPartitions("i", "j")
+    schema = "a string, b string, n long"
+    verified = packed.mapInArrow(lambda it: _inside(it, similarity), schema).unionByName(together.mapInArrow(lambda it: _across(it, similarity), schema))
+    verified, verified_path = materialise(verified, "verified")
     links = verified.groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n_links"))
     joined = connected_components(verified.select("a", "b")).select(F.col("node").alias("inside"), "component")
     named = texts.select(F.col("body").alias("body_"), "rep").join(joined, F.col("body_") == F.col("inside"))
@@ -268,7 +290,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     out = signed.select("doc", "body", "n_grams").join(by_text, (F.col("body") == F.col("body_")) & (F.col("n_grams") > 0), "left")
     out = out.select("doc", "body", F.coalesce("rep", "doc").alias("copy_of"), F.coalesce("class_of", "rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out, _ = materialise(out, "classes")
-    remove(spark, texts_path, verified_path, named_path, signed_path, *scratch)
+    remove(spark, texts_path, packed_path, verified_path, named_path, signed_path, *scratch)
     return out
 
 
