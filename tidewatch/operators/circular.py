@@ -80,3 +80,51 @@ def drift(observations: DataFrame, window: int = 7, hours: float = 24.0, warn: f
     df = df.withColumn("velocity", F.avg("step").over(w.rowsBetween(2 - window, 0)) * (24.0 / max(hours, 0.1)))
     level = F.when(F.col("moved") >= critical, "CRITICAL").when(F.col("velocity") >= warn, "WARNING")
     return df.where("step IS NOT NULL").withColumn("severity", level).where("severity IS NOT NULL").select("user_id", "at", "severity", "velocity", "moved")
+
+
+def online_state(events: DataFrame, before: DataFrame | None = None, decay: float = DECAY) -> DataFrame:
+    """(user_id, c, s, w): the decayed sums of each user after ``events``, going on from the state ``before`` them.
+
+    A state is a table, so it is saved and read like any other.
+    """
+    sums = online(events, decay)
+    last = sums.join(with_order(events, "user_id").select(F.col("event_index").alias("__i"), F.col("ord").alias("__n")), F.col("event_index") == F.col("__i"))
+    new = last.groupBy("user_id").agg(F.max_by(F.struct("c", "s", "w"), "__n").alias("x"), F.max("__n").alias("n")).select("user_id", "x.*", "n")
+    if before is None:
+        return new.drop("n")
+    old = before.select(F.col("user_id").alias("__u"), *[F.col(x).alias(f"__{x}") for x in "csw"])
+    joined = new.join(old, F.col("user_id") == F.col("__u"), "full")
+    faded = F.pow(F.lit(decay), F.coalesce("n", F.lit(0)))
+    kept = [(F.coalesce(F.col(x), F.lit(0.0)) + faded * F.coalesce(F.col(f"__{x}"), F.lit(0.0))).alias(x) for x in "csw"]
+    return joined.select(F.coalesce("user_id", "__u").alias("user_id"), *kept)
+
+
+def forget(state: DataFrame, users: list[str]) -> DataFrame:
+    """A state, or a table of drift baselines, without these users: they begin anew."""
+    return state.where(~F.col("user_id").isin(*users)) if users else state
+
+
+def drift_baselines(observations: DataFrame, before: DataFrame | None = None, resets: DataFrame | None = None) -> DataFrame:
+    """(user_id, at, degrees): the angle that a user's drift is measured from: a reset, else the one known before, else the first seen."""
+    first = observations.groupBy("user_id").agg(F.min(F.struct("at", "degrees")).alias("x")).select("user_id", "x.*", F.lit(2).alias("rank"))
+    rows = first
+    for rank, table in ((1, before), (0, resets)):
+        if table is not None:
+            rows = rows.unionByName(table.select("user_id", F.col("at").cast(observations.schema["at"].dataType).alias("at"), "degrees", F.lit(rank).alias("rank")))
+    return rows.groupBy("user_id").agg(F.min_by(F.struct("at", "degrees"), F.struct("rank", F.unix_micros(F.col("at").cast("timestamp")))).alias("x")).select("user_id", "x.*")
+
+
+def drift_status(observations: DataFrame, baselines: DataFrame, window: int = 7) -> DataFrame:
+    """(user_id, status, baseline, current, moved, n_recent) of each user with a baseline or an observation; users without a baseline say so."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at")))
+    recent = observations.withColumn("__p", place).where(F.col("__p") <= window).groupBy("user_id").agg(F.max_by("degrees", "at").alias("current"), F.count("*").alias("n_recent"))
+    known = baselines.select(F.col("user_id").alias("__u"), F.col("degrees").alias("baseline"))
+    joined = recent.join(known, F.col("user_id") == F.col("__u"), "full")
+    return joined.select(
+        F.coalesce("user_id", "__u").alias("user_id"),
+        F.when(F.col("baseline").isNull(), "no_baseline").otherwise("tracked").alias("status"),
+        "baseline",
+        "current",
+        F.coalesce(angular_distance(F.col("baseline"), F.col("current")), F.lit(0.0)).alias("moved"),
+        F.coalesce("n_recent", F.lit(0)).alias("n_recent"),
+    )

@@ -63,6 +63,27 @@ def slices(df: DataFrame, masks: dict, score: str, baseline: str, flagged: str)
     return one.select(F.inline(F.array(*rows)))
 
 
+def standard_masks(truth: str) -> dict:
+    """The nine conditions that a benchmark reports on: true attacks that show in one family of identity signals.
+
+    Fixed values: the limits of each signal.
+    """
+    c, true = F.col, F.coalesce(F.col(truth).cast("boolean"), F.lit(False))
+    at = lambda **limits: reduce(lambda a, b: a | b, [c(n) >= x for n, x in limits.items()])
+    coordinated = at(relationship_score=0.2, sync_peer_count=1, infra_burst_peer_count=1, shared_ip_users=1, shared_device_users=1)
+    return {
+        "takeover_only": true & at(takeover_score=0.5, takeover_support=0.55),
+        "coordination_heavy": true & coordinated,
+        "infra_reuse_heavy": true & at(shared_infra_pair_users=1, infra_burst_peer_count=1),
+        "mfa_bypass_focus": true & at(mfa_bypass_suspicion=1),
+        "session_concurrency_focus": true & at(session_concurrency=0.5, session_replay_burst=0.5, session_fingerprint_drift=0.5),
+        "geo_velocity_focus": true & at(geo_velocity_score=0.5, geo_velocity_flag=1, high_risk_country=1),
+        "spray_focus": true & at(password_spray_score=0.5),
+        "low_and_slow_focus": true & at(low_and_slow_score=0.5),
+        "campaign_focus": true & (at(campaign_score=0.5) | coordinated),
+    }
+
+
 def benchmark(train: DataFrame, test: DataFrame, models: list[str], truth: str, contamination: float = 0.05) -> DataFrame:
     """Detection rates of the fitted pipeline and of the plain mean of raw scores, for the same targets."""
     engine = scoring.Pipeline(models, contamination=contamination).fit(train)

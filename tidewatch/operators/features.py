@@ -77,10 +77,11 @@ def geographic(df: DataFrame, threats: DataFrame | None = None) -> DataFrame:
 
 
 def listed(df: DataFrame, threats: DataFrame | None) -> DataFrame:
-    """is_threat_ip, is_threat_asn: 1 if (kind, indicator) lists it and it isn't the user's first event."""
+    """is_threat_ip, is_threat_asn, is_threat_country: 1 if (kind, indicator) lists it and it isn't the user's first event."""
+    kinds = (("ip", "ip_address"), ("asn", "asn"), ("country", "country_code"))
     if threats is None:
-        return df.withColumns({"is_threat_ip": F.lit(0.0), "is_threat_asn": F.lit(0.0)})
-    for kind, column in (("ip", "ip_address"), ("asn", "asn")):
+        return df.withColumns({f"is_threat_{kind}": F.lit(0.0) for kind, _ in kinds})
+    for kind, column in kinds:
         some = threats.where(F.col("kind") == kind).select(F.col("indicator").alias("__i")).distinct()
         df = df.join(some, F.col(column) == F.col("__i"), "left").withColumn(f"is_threat_{kind}", flag(F.col("__i").isNotNull() & (F.col("seen") > 0))).drop("__i")
     return df

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import HIGH_RISK_COUNTRIES, clamp01, country_distance_km, flag
-from tidewatch.operators.patterns import MINUTE, attach, backward, before, first_seen, gap_sessions, micros, ordered_buckets, prior_values, sliding, with_order
+from tidewatch.operators.patterns import MINUTE, attach, backward, before, first_seen, gap_sessions, micros, ordered_buckets, prior_values, sliding, stacked, with_order
 from tidewatch.operators.rules import is_failure
 
 USER = "user_id"
@@ -46,12 +46,28 @@ def stage() -> Column:
     )
 
 
+_ENTITIES = {"ip": "ip_address", "device": "device_fingerprint", "asn": "asn"}
+
+
+def _by_kind(kind: str, value: Column) -> Column:
+    """The value of an event's row of a kind, 0 if it has none."""
+    return F.coalesce(F.max(F.when(F.substring_index("__key", "|", 1) == kind, value)), F.lit(0)).cast("double")
+
+
+def entity_history(events: DataFrame) -> DataFrame:
+    """(event_index, shared_ip_users, shared_device_users, shared_asn_users, shared_infra_pair_users): different earlier users.
+
+    Of the pair, other ones than the event's own.
+    """
+    rows = stacked(events, {n: F.col(c) for n, c in _ENTITIES.items()} | {"pair": pair_key()}, "event_index", "timestamp", USER)
+    seen = prior_values(rows, F.col("key"), F.col(USER), "n")
+    others = F.greatest(F.col("n") - 1 + F.col("n_new"), F.lit(0))
+    return seen.groupBy("event_index").agg(*[_by_kind(n, F.col("n")).alias(f"shared_{n}_users") for n in _ENTITIES], _by_kind("pair", others).alias("shared_infra_pair_users"))
+
+
 def shared_counts(df: DataFrame) -> DataFrame:
     """shared_ip_users, shared_device_users, shared_asn_users: different earlier users of the event's entity."""
-    for entity, name in (("ip_address", "shared_ip_users"), ("device_fingerprint", "shared_device_users"), ("asn", "shared_asn_users")):
-        seen = prior_values(df, F.col(entity), F.col(USER), name)
-        df = attach(df, seen.select("event_index", F.col(name).cast("double").alias(name)), **{name: 0.0})
-    return df
+    return attach(df, entity_history(df).drop("shared_infra_pair_users"))
 
 
 def pair_prior_users(df: DataFrame, pair: Column) -> DataFrame:
@@ -64,15 +80,22 @@ def _whole_seconds() -> Column:
     return F.floor(micros() / 1_000_000) * 1_000_000
 
 
+def entity_neighbours(events: DataFrame) -> DataFrame:
+    """(event_index, infra_burst_peer_count, infra_burst_event_count, sync_peer_count): recent other users and events.
+
+    Those of the pair are read in whole seconds; synchronous peers are those of
+    the address, the device or the pair, whichever has most.
+    """
+    rows = stacked(events, {"pair": pair_key(), "ip": F.col("ip_address"), "device": F.col("device_fingerprint")}, "event_index", "timestamp", USER)
+    time = F.when(F.col("kind") == "pair", _whole_seconds()).otherwise(micros())
+    near = sliding(rows, F.col("key"), {"r": RELATION}, who=F.col(USER), time=time, with_row=True)
+    found = near.groupBy("event_index").agg(*[_by_kind(n, F.col("r_others")).alias(f"__{n}") for n in ("pair", "ip", "device")], _by_kind("pair", F.col("r")).alias("infra_burst_event_count"))
+    return found.select("event_index", F.col("__pair").alias("infra_burst_peer_count"), "infra_burst_event_count", F.greatest("__ip", "__device", "__pair").alias("sync_peer_count"))
+
+
 def infrastructure(df: DataFrame) -> DataFrame:
     """Pair users, recent other users and recent events on the pair (whole seconds), and synchronous peers."""
-    user, within = F.col(USER), {"r": RELATION}
-    on_pair = sliding(df, pair_key(), within, who=user, time=_whole_seconds()).select("event_index", F.col("r_others").cast("double").alias("infra_burst_peer_count"), F.col("r").cast("double").alias("infra_burst_event_count"))
-    on_ip = sliding(df, F.col("ip_address"), within, who=user).select("event_index", F.col("r_others").cast("double").alias("__ip_peers"))
-    on_device = sliding(df, F.col("device_fingerprint"), within, who=user).select("event_index", F.col("r_others").cast("double").alias("__device_peers"))
-    df = attach(attach(df, pair_prior_users(df, pair_key())), on_pair)
-    df = attach(attach(df, on_ip, __ip_peers=0.0), on_device, __device_peers=0.0)
-    return df.withColumn("sync_peer_count", F.greatest("__ip_peers", "__device_peers", "infra_burst_peer_count")).drop("__ip_peers", "__device_peers")
+    return attach(attach(df, entity_history(df).select("event_index", "shared_infra_pair_users")), entity_neighbours(df))
 
 
 def novelty(df: DataFrame) -> DataFrame:
@@ -83,14 +106,21 @@ def novelty(df: DataFrame) -> DataFrame:
     return df.withColumn("session_novelty", flag((first_seen(USER, "session_id") == 1) & late))
 
 
+def factor_failures(events: DataFrame) -> DataFrame:
+    """(event_index, __p): second-factor failures within the window up to the user's last event."""
+    failed = F.coalesce(is_failure() & F.col("mfa_used"), F.lit(False))
+    seen = sliding(events, F.col(USER), {"__f": max(RELATION, 30 * MINUTE)}, weight=failed, with_row=True)
+    last = F.lag(F.col("__f") + F.col("__w")).over(Window.partitionBy("__key").orderBy("__us", "event_index"))
+    return seen.select("event_index", F.coalesce(last, F.lit(0)).alias("__p"))
+
+
+def _suspicion() -> Column:
+    return flag(F.col("success") & (F.col("mfa_used") == F.lit(False)) & (F.col("__p") >= 2))
+
+
 def mfa_suspicion(df: DataFrame) -> DataFrame:
     """A success known to lack a second factor after two second-factor failures, as counted at the user's last event."""
-    within = max(RELATION, 30 * MINUTE)
-    failed = F.coalesce(is_failure() & F.col("mfa_used"), F.lit(False)).cast("int")
-    counted = sliding(df, F.col(USER), {"__f": within}, weight=failed)
-    df = attach(df, counted, __f=0).withColumn("__f", F.col("__f") + failed)
-    df = df.withColumn("__p", F.coalesce(F.lag("__f").over(Window.partitionBy(USER).orderBy("ord")), F.lit(0)))
-    return df.withColumn("mfa_bypass_suspicion", flag(F.col("success") & (F.col("mfa_used") == F.lit(False)) & (F.col("__p") >= 2))).drop("__f", "__p")
+    return attach(df, factor_failures(df)).withColumn("mfa_bypass_suspicion", _suspicion()).drop("__p")
 
 
 def session_context(df: DataFrame) -> DataFrame:
@@ -105,10 +135,11 @@ def session_context(df: DataFrame) -> DataFrame:
     return df.withColumn("__agent", F.when(F.col("__in") & (F.col("__f_user_agent") != F.col("user_agent")), 0.5).otherwise(0.0)).drop("__in", *[f"__f_{c}" for c in (*fields, "user_agent")])
 
 
-def session_activity(df: DataFrame) -> DataFrame:
-    """Concurrent use of a session and replay bursts, over its earlier events within the window of its last one.
+def session_use(df: DataFrame) -> DataFrame:
+    """(event_index, __apart, session_concurrency, session_replay_burst): concurrent use of a session and replay bursts.
 
-    Events of a session within the window are held together, in buckets of time.
+    They look at its earlier events within the window of its last one, which
+    are held together, in buckets of time. Events without a session aren't there.
     """
     here = F.struct(F.col("us").alias("t"), F.col(USER).alias("u"), F.col("ip_address").alias("i"), F.col("user_agent").alias("a"))
     rows = df.where("session_id IS NOT NULL").select("event_index", "session_id", "timestamp", micros().alias("us"), USER, "ip_address", "user_agent")
@@ -120,26 +151,39 @@ def session_activity(df: DataFrame) -> DataFrame:
     close = F.size(F.filter("__r", lambda x: F.abs(F.col("us") - x["t"]) <= 5_000_000))
     replay = F.when((F.size("__r") >= 3) & (F.col("__close") >= 3), clamp01(F.col("__close") / 6.0)).otherwise(0.0)
     placed = placed.withColumns({"__apart": apart, "__close": close})
-    found = placed.select("event_index", "__apart", clamp01(F.col("__apart") / 2.0).alias("session_concurrency"), replay.alias("session_replay_burst"))
-    return attach(df, found, __apart=0, session_concurrency=0.0, session_replay_burst=0.0)
+    return placed.select("event_index", "__apart", clamp01(F.col("__apart") / 2.0).alias("session_concurrency"), replay.alias("session_replay_burst"))
 
 
-def failures(df: DataFrame) -> DataFrame:
-    """password_spray_score and low_and_slow_score of failures, from earlier ones of the same address within two hours."""
+_NO_SESSION = {"__apart": 0, "session_concurrency": 0.0, "session_replay_burst": 0.0}
+
+
+def session_activity(df: DataFrame) -> DataFrame:
+    """Concurrent use of a session and replay bursts."""
+    return attach(df, session_use(df), **_NO_SESSION)
+
+
+def failure_history(df: DataFrame) -> DataFrame:
+    """(event_index, password_spray_score, low_and_slow_score) of failures, from earlier ones of the same address within two hours."""
     failed = df.where(is_failure() & F.col("ip_address").isNotNull())
-    seen = sliding(failed, F.col("ip_address"), {"near": 2 * RELATION, "slow": 8 * RELATION, "short": BURST}, who=F.col(USER), first=("slow",))
-    seen = attach(failed.select("event_index", micros().alias("us")), seen)
+    seen = sliding(failed, F.col("ip_address"), {"near": 2 * RELATION, "slow": 8 * RELATION, "short": BURST}, who=F.col(USER), first=("slow",), with_row=True)
     up = lambda x: F.greatest(x, F.lit(0.0))
     twice = F.when(F.col("near") > F.col("near_all"), 2.0).otherwise(1.0)  # the most failures of one user count up to two
     spray = clamp01(F.col("near_others") / 4.0 + up((F.col("near") - 2.0) / 8.0) + up((2.0 - twice) / 4.0))
-    spread = F.least((F.col("us") - F.col("slow_first")) / 1e6 / (4 * RELATION / 1e6), F.lit(1.0))
+    spread = F.least((F.col("__us") - F.col("slow_first")) / 1e6 / (4 * RELATION / 1e6), F.lit(1.0))
     slow = clamp01(F.col("slow_others") / 4.0 + spread + up((3.0 - F.col("short")) / 4.0))
-    found = seen.select(
+    return seen.select(
         "event_index",
         F.when(F.col("near_others") >= 2, spray).otherwise(0.0).alias("password_spray_score"),
         F.when((F.col("slow") >= 3) & (F.col("slow_others") >= 2), slow).otherwise(0.0).alias("low_and_slow_score"),
     )
-    return attach(df, found, password_spray_score=0.0, low_and_slow_score=0.0)
+
+
+_NO_FAILURE = {"password_spray_score": 0.0, "low_and_slow_score": 0.0}
+
+
+def failures(df: DataFrame) -> DataFrame:
+    """password_spray_score and low_and_slow_score of failures; 0 for other events."""
+    return attach(df, failure_history(df), **_NO_FAILURE)
 
 
 def gap_statistics(rows: DataFrame, history: int | None = None) -> DataFrame:
@@ -190,22 +234,24 @@ def gap_statistics(rows: DataFrame, history: int | None = None) -> DataFrame:
     return narrow.mapInArrow(run, "event_index long, middle double, spread double")
 
 
+def gaps(df: DataFrame) -> DataFrame:
+    """gap: seconds since the user's last event, null for the first; burst_score."""
+    df = df.withColumn("gap", (micros() - F.lag(micros()).over(Window.partitionBy(USER).orderBy("ord"))) / 1e6)
+    return df.withColumn("burst_score", F.when(F.col("gap").isNotNull(), clamp01(1.0 - F.col("gap") / (BURST / 1e6))).otherwise(0.0))
+
+
+def _deviation() -> Column:
+    middle, spread = F.coalesce("middle", F.lit(3600.0)), F.greatest(F.coalesce("spread", F.lit(1.0)), F.lit(1.0))
+    return F.when(F.col("gap").isNotNull(), F.least(F.abs(F.col("gap") - middle) / spread, F.lit(10.0))).otherwise(0.0)
+
+
 def rhythm(df: DataFrame, history: int | None = None) -> DataFrame:
     """interval_deviation: the step to the last event against the median and its deviation of earlier steps; burst_score.
 
     The whole history counts unless ``history`` bounds it to so many last events.
     """
-    w = Window.partitionBy(USER).orderBy("ord")
-    df = df.withColumn("gap", (micros() - F.lag(micros()).over(w)) / 1e6)
-    df = attach(df, gap_statistics(df, history))
-    middle, spread = F.coalesce("middle", F.lit(3600.0)), F.greatest(F.coalesce("spread", F.lit(1.0)), F.lit(1.0))
-    known = F.col("gap").isNotNull()
-    return df.withColumns(
-        {
-            "interval_deviation": F.when(known, F.least(F.abs(F.col("gap") - middle) / spread, F.lit(10.0))).otherwise(0.0),
-            "burst_score": F.when(known, clamp01(1.0 - F.col("gap") / (BURST / 1e6))).otherwise(0.0),
-        }
-    ).drop("middle", "spread")
+    df = gaps(df)
+    return attach(df, gap_statistics(df, history)).withColumn("interval_deviation", _deviation()).drop("middle", "spread")
 
 
 def geography(df: DataFrame) -> DataFrame:
@@ -241,8 +287,7 @@ def takeover(df: DataFrame) -> DataFrame:
     df = df.withColumn("__g2", good)
     progress = F.when(F.col("__ok2"), 1).when((F.col("__st") == 3) & in_time & (F.col("__g2") > F.col("__o1")), 2).otherwise(0)
     df = df.withColumns({"takeover_transition": step, "privileged_escalation": flag(followed), "takeover_sequence_score": clamp01(progress / 2.0)})
-    drift = F.greatest(F.col("__agent"), F.when(F.col("__apart") > 0, 1.0).otherwise(0.0), F.col("takeover_transition"))
-    return df.withColumn("session_fingerprint_drift", drift).drop("__n", "__st", "__sec", "__s1", "__o1", "__s2", "__o2", "__ok2", "__g2")
+    return df.drop("__n", "__st", "__sec", "__s1", "__o1", "__s2", "__o2", "__ok2", "__g2")
 
 
 def sessions(df: DataFrame) -> DataFrame:
@@ -322,15 +367,21 @@ SIGNALS = ("shared_ip_users", "shared_device_users", "shared_asn_users", "shared
 
 
 def signals(events: DataFrame) -> DataFrame:
-    """``events`` with all identity signals."""
+    """``events`` with all identity signals.
+
+    First what a user's own events say, in one partitioning by user; then
+    narrow tables of what needs others, joined by event.
+    """
     df = with_order(events, USER)
-    for f in (rhythm, geography, novelty, mfa_suspicion, session_context, sessions, session_activity, takeover):
+    for f in (gaps, geography, novelty, session_context, sessions, takeover):
         df = f(df)
-    # what other entities say needs nothing but the event, so it is computed on the events and joined
-    narrow = events.select("event_index", "timestamp", USER, "event_type", "ip_address", "device_fingerprint", "asn")
-    for f, names in ((failures, ("password_spray_score", "low_and_slow_score")), (shared_counts, ("shared_ip_users", "shared_device_users", "shared_asn_users")), (infrastructure, ("shared_infra_pair_users", "infra_burst_peer_count", "infra_burst_event_count", "sync_peer_count"))):
-        df = attach(df, f(narrow).select("event_index", *names))
-    return scores(df)
+    narrow = events.select("event_index", "timestamp", USER, "event_type", "ip_address", "device_fingerprint", "asn", "user_agent", "session_id", "mfa_used")
+    own = gaps(with_order(narrow, USER))
+    for table, missing in ((gap_statistics(own), {}), (factor_failures(narrow), {}), (session_use(narrow), _NO_SESSION), (failure_history(narrow), _NO_FAILURE), (entity_history(narrow), {}), (entity_neighbours(narrow), {})):
+        df = attach(df, table, **missing)
+    drift = F.greatest(F.col("__agent"), F.when(F.col("__apart") > 0, 1.0).otherwise(0.0), F.col("takeover_transition"))
+    df = df.withColumns({"interval_deviation": _deviation(), "mfa_bypass_suspicion": _suspicion(), "session_fingerprint_drift": drift})
+    return scores(df.drop("middle", "spread"))
 
 
 def build(events: DataFrame) -> DataFrame:

@@ -56,8 +56,14 @@ def prior_sums(rows: DataFrame, key: str, bucket: str, order: list[str], sums: d
     return joined.withColumns({n: F.col(n) + F.col(f"__c_{n}") for n in sums}).drop("__ck", "__cb", *[f"__c_{n}" for n in sums])
 
 
+def stacked(df: DataFrame, keys: dict[str, Column], *columns: str) -> DataFrame:
+    """A row for each of several keys that a row has, with ``columns``, ``kind`` and ``key`` (kind, bar, value): one pass serves all of them."""
+    entries = F.array(*[F.when(k.isNotNull(), F.struct(F.lit(n).alias("kind"), F.concat(F.lit(f"{n}|"), k.cast("string")).alias("key"))) for n, k in keys.items()])
+    return df.select(*columns, F.inline(F.filter(entries, lambda x: x.isNotNull())))
+
+
 def prior_values(df: DataFrame, key: Column, value: Column, name: str, index: str = "event_index", ts: str = "timestamp") -> DataFrame:
-    """(index, ``name``, ``name``_new): how many different values strictly earlier rows of the key had, and 1 if this row's is new.
+    """(index, ``name``, ``name``_new, __key): how many different values strictly earlier rows of the key had, and 1 if this row's is new.
 
     Rows with a null key aren't in the result; a null value is never new.
     """
@@ -65,17 +71,18 @@ def prior_values(df: DataFrame, key: Column, value: Column, name: str, index: st
     own = Window.partitionBy("__key", "__value").orderBy("__us", index)
     rows = rows.withColumn(f"{name}_new", F.when(F.col("__value").isNotNull() & (F.row_number().over(own) == 1), 1).otherwise(0))
     rows = rows.withColumn("__bucket", F.floor(F.col("__us") / DAY).cast("long"))
-    return prior_sums(rows, "__key", "__bucket", ["__us", index], {name: f"{name}_new"}).select(index, name, f"{name}_new")
+    return prior_sums(rows, "__key", "__bucket", ["__us", index], {name: f"{name}_new"}).select(index, name, f"{name}_new", "__key")
 
 
-def sliding(df: DataFrame, key: Column, spans: dict[str, int], who: Column | None = None, weight: Column | None = None, first: tuple[str, ...] = (), time: Column | None = None, index: str = "event_index", ts: str = "timestamp") -> DataFrame:
+def sliding(df: DataFrame, key: Column, spans: dict[str, int], who: Column | None = None, weight: Column | None = None, first: tuple[str, ...] = (), time: Column | None = None, index: str = "event_index", ts: str = "timestamp", with_row: bool = False) -> DataFrame:
     """What strictly earlier rows of the key amount to within spans of microseconds, limits included: (index, columns by span).
 
     For each span ``x``: ``x`` counts rows, or sums their 0/1 ``weight``; with
     ``who``, ``x_others`` counts different values of it other than the row's
     own and ``x_all`` all of them; for spans in ``first``, ``x_first`` is the
     earliest row's time. Times may be coarsened by ``time`` (whole seconds,
-    say). Rows with a null key aren't in the result.
+    say). Rows with a null key aren't in the result. ``with_row`` adds the
+    row's own ``__key``, ``__us`` and ``__w``.
 
     Each row enters when it happens and leaves a span after it. A value of
     ``who`` is there from its first row until a span after the last of a
@@ -105,7 +112,7 @@ def sliding(df: DataFrame, key: Column, spans: dict[str, int], who: Column | Non
         return F.struct(*fields)
 
     moved = F.array(deltas(F.col("__t"), None), *[deltas(F.col("__t") + spans[x], x) for x in names])
-    placed = rows.withColumn("__d", F.explode(moved)).select(index, "__key", "__t", "__us", *(["__gap"] if who is not None else []), "__d.*")
+    placed = rows.withColumn("__d", F.explode(moved)).select(index, "__key", "__t", "__us", "__w", *(["__gap"] if who is not None else []), "__d.*")
     placed = placed.withColumn("__bucket", F.floor(F.col("__at") / longest).cast("long"))
     sums = {x: f"__n_{x}" for x in names}
     if who is not None:
@@ -121,7 +128,7 @@ def sliding(df: DataFrame, key: Column, spans: dict[str, int], who: Column | Non
     if who is not None:
         counted = counted.withColumns({f"{x}_others": F.col(f"{x}_all") - F.when(F.col("__gap") <= spans[x], 1).otherwise(0) for x in names})
     out = [c for x in names for c in (x, f"{x}_all", f"{x}_others", f"{x}_first") if c in counted.columns]
-    return counted.select(index, *out)
+    return counted.select(index, *out, *(("__key", "__us", "__w") if with_row else ()))
 
 
 def slot(within: int) -> int:

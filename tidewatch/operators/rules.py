@@ -222,3 +222,18 @@ def correlate_by_failures(events: DataFrame, min_users: int = 3, min_failures: i
     users = events.where(is_failure()).groupBy("user_id").agg(F.count("*").alias("n"), F.min("timestamp").alias("first")).where(F.col("n") >= min_failures)
     one = users.agg(F.count("*").alias("n_users"), F.sum("n").alias("n_events"), F.min("first").alias("first")).where(F.col("n_users") >= min_users)
     return one.select(F.lit("shared_failure_pattern").alias("correlation"), "n_users", "n_events", micros("first").alias("first_at"))
+
+
+def correlate(events: DataFrame, min_users: int = 3, ip_minutes: int = 30, timing_minutes: int = 5, min_failures: int = 3) -> DataFrame:
+    """Clusters of all three correlations: those of a match with ``cluster_id``, numbered from 1 by strategy, then time.
+
+    Numbers run over clusters, which are few beside the events; they go
+    through one window.
+    """
+    shared, timed = correlate_by_ip(events, min_users, ip_minutes), correlate_by_timing(events, min_users, timing_minutes)
+    failing = events.where(is_failure()).groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "event_index")).alias("first")).where(F.col("n") >= min_failures)
+    one = failing.agg(F.sort_array(F.collect_list("user_id")).alias("names"), F.sum("n").alias("n_events"), F.min("first").alias("first")).where(F.size("names") >= min_users)
+    failed = _match(one, "shared_failure_pattern", "medium", F.lit("all"), F.col("n_events"), F.col("names"), first=F.col("first")["event_index"], at=F.col("first")["timestamp"])
+    order = F.when(F.col("rule_id") == "shared_ip", 1).when(F.col("rule_id") == "timing_burst", 2).otherwise(3)
+    numbered = Window.partitionBy().orderBy(order, "matched_at", "first_event", "key")
+    return shared.unionByName(timed).unionByName(failed).withColumn("cluster_id", F.row_number().over(numbered))

@@ -39,9 +39,9 @@ def _injected(kind):
 
 
 def _threats(s, d):
-    listed = s.createDataFrame([("ip", "10.0.0.3"), ("asn", "AS64501")], "kind string, indicator string")
+    listed = s.createDataFrame([("ip", "10.0.0.3"), ("asn", "AS64501"), ("country", "RU"), ("ip", "10.0.0.3")], "kind string, indicator string")
     df = features.listed(features.ordered(stream_table(s, d)), listed)
-    return df.select("event_index", "is_threat_ip", "is_threat_asn")
+    return df.select("event_index", "is_threat_ip", "is_threat_asn", "is_threat_country")
 
 
 def _known_vectors(s, d):
@@ -54,7 +54,7 @@ QUERIES = {
     "standard_scale": _scaled("standard"),
     "robust_scale": _scaled("robust"),
     "explain_features": _explained,
-    "isolation_forest": lambda s, d: rounded(IsolationForest(trees=50).fit(models(s, d), FEATURES).predict(models(s, d))),
+    "isolation_forest": lambda s, d: rounded(IsolationForest().fit(models(s, d), FEATURES).predict(models(s, d))),
     "lof": lambda s, d: rounded(LocalOutlierFactor().fit(models(s, d), FEATURES).predict(models(s, d))),
     "validate_stats": lambda s, d: engine.statistics(stream_table(s, d)),
     "type_counts": lambda s, d: stream_table(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("success"), 1)).alias("successes")),
@@ -74,6 +74,6 @@ SELECT event_index, string_agg(f, ',' ORDER BY i) AS top FROM r WHERE i <= 2 GRO
     "validate_stats": f"""WITH {EVENTS} SELECT count(*) AS n_events, count(DISTINCT user_id) AS n_users, count(DISTINCT event_type) AS n_types, min(us) AS first_at, max(us) AS last_at, {', '.join(f'count({c}) AS with_{c}' for c in ('ip_address', 'asn', 'country_code', 'user_agent', 'device_fingerprint', 'session_id', 'session_duration_seconds', 'mfa_used', 'success'))}, 0::BIGINT AS with_auth_method FROM ev""",
     "type_counts": f"WITH {EVENTS} SELECT event_type, count(*) AS n, count(*) FILTER (success) AS successes FROM ev GROUP BY 1",
     "event_predicates": f"WITH {EVENTS} SELECT event_index, failed::INT::DOUBLE AS is_failure, isodow(timestamp) >= 6 AS is_weekend, hour(timestamp) AS hour FROM ev",
-    "threat_flags": f"WITH {EVENTS}, s AS (SELECT *, {_SEEN} AS seen FROM ev) SELECT event_index, (seen AND ip_address = '10.0.0.3')::INT::DOUBLE AS is_threat_ip, (seen AND asn = 'AS64501')::INT::DOUBLE AS is_threat_asn FROM s",
+    "threat_flags": f"WITH {EVENTS}, s AS (SELECT *, {_SEEN} AS seen FROM ev) SELECT event_index, (seen AND ip_address = '10.0.0.3')::INT::DOUBLE AS is_threat_ip, (seen AND asn = 'AS64501')::INT::DOUBLE AS is_threat_asn, (seen AND country_code = 'RU')::INT::DOUBLE AS is_threat_country FROM s",
     "vector_stats": "SELECT count(*) AS n, count(DISTINCT len(embedding)) AS lengths, round(avg(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS mean_square FROM embeddings",
 }

@@ -43,9 +43,9 @@ QUERIES = {f"{n}_features": _group(n) for n in features.GROUPS} | {
     "session_context": _identity(identity.session_context, columns=("session_deltas", "session_context_shift")),
     "session_activity": _identity(identity.session_activity, columns=("session_concurrency", "session_replay_burst")),
     "failure_scores": _identity(identity.failures, columns=("password_spray_score", "low_and_slow_score")),
-    "geo_velocity": _identity(identity.rhythm, identity.geography, columns=("burst_score", "geo_velocity_flag", "geo_velocity_score", "high_risk_country")),
+    "geo_velocity": _identity(identity.gaps, identity.geography, columns=("burst_score", "geo_velocity_flag", "geo_velocity_score", "high_risk_country")),
     "interval_deviation": _identity(identity.rhythm, columns=("interval_deviation",)),
-    "takeover": _identity(identity.rhythm, identity.session_context, identity.session_activity, identity.takeover, columns=("takeover_transition", "privileged_escalation", "takeover_sequence_score")),
+    "takeover": _identity(identity.gaps, identity.session_context, identity.takeover, columns=("takeover_transition", "privileged_escalation", "takeover_sequence_score")),
     "identity_sessions": _identity(identity.sessions, columns=("session_position", "session_size")),
     "identity_signals": lambda spark, d: identity.build(stream_table(spark, d)).withColumn("reasons", F.concat_ws(";", "reasons")),
 }
@@ -164,3 +164,50 @@ SELECT event_index, round(CASE WHEN gap < 900 AND n >= 2 AND event_type IN ('log
 h AS (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY us, event_index) AS n FROM g)
 SELECT event_index, (n > 1)::INT::DOUBLE AS session_position, n::DOUBLE AS session_size FROM h"""),
 }
+
+
+def _exact(sql: str) -> str:
+    """An oracle without its rounding, as a subquery."""
+    while (at := sql.find("round(")) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}({sql[at + 6 : end - 1].rsplit(',', 1)[0]}){sql[end:]}"
+    return f"({sql})"
+
+
+def _weighed(weights: dict[str, float]) -> str:
+    return _CLAMP.format(" + ".join(f"{w} * {n}" for n, w in weights.items()))
+
+
+_PARTS = ("shared_entity_counts", "infrastructure", "novelty", "mfa_bypass_suspicion", "session_context", "session_activity", "failure_scores", "geo_velocity", "interval_deviation", "takeover", "identity_sessions")
+_RHYTHM, _VOLUME = _CLAMP.format("interval_deviation / 6.0"), _CLAMP.format("infra_burst_event_count / 20.0")
+_NETWORK, _SYNC = "greatest(ip_novelty, country_novelty, asn_novelty)", _CLAMP.format("sync_peer_count / 10.0")
+_SHARED = {n: _CLAMP.format(f"(shared_{n}_users - 1) / 10.0") for n in ("ip", "device", "asn", "infra_pair")}
+_SEQUENCE = {"burst_score": 0.2, _RHYTHM: 0.2, "geo_velocity_flag": 0.15, "geo_velocity_score": 0.2, _NETWORK: 0.1, "device_novelty": 0.1, "session_novelty": 0.1, "session_context_shift": 0.15, "session_concurrency": 0.2, "session_replay_burst": 0.1, "takeover_transition": 0.2, "privileged_escalation": 0.15, "takeover_sequence_score": 0.2}
+_RELATION = {_SHARED["ip"]: 0.25, _SHARED["device"]: 0.25, _SHARED["asn"]: 0.1, _SHARED["infra_pair"]: 0.15, _SYNC: 0.12, _CLAMP.format("infra_burst_peer_count / 10.0"): 0.08, _VOLUME: 0.05, "fanout_score": 0.1, "password_spray_score": 0.12, "low_and_slow_score": 0.1}
+_CAMPAIGN = {"password_spray_score": 0.45, "low_and_slow_score": 0.35, _SYNC: 0.1, _VOLUME: 0.05, "fanout_score": 0.1}
+_TAKEOVER = {"takeover_sequence_score": 0.3, "takeover_transition": 0.35, "session_context_shift": 0.25, "session_concurrency": 0.25, "session_replay_burst": 0.15, "session_fingerprint_drift": 0.15, "geo_velocity_score": 0.15, "high_risk_country": 0.1, "privileged_escalation": 0.2, "mfa_bypass_suspicion": 0.2, "campaign_score": 0.1, "session_novelty": 0.1, f"greatest({_NETWORK}, device_novelty)": 0.1}
+#: (condition, words, a column whose value stands in their middle): what an analyst reads, in order.
+_SAID = (
+    ("burst_score >= 0.7", "'Very fast events of ' || user_id || '.'"), ("interval_deviation >= 3", "'Event timing is far from the rhythm of ' || user_id || '.'"), ("geo_velocity_flag > 0", "'The country changed within minutes.'"),
+    ("geo_velocity_score >= 0.5", "'No traveller moves that fast.'"), ("high_risk_country > 0", "'The country is on the list of high risk.'"), (f"{_NETWORK} > 0", "'The network is new for ' || user_id || '.'"), ("device_novelty > 0", "'The device is new for ' || user_id || '.'"),
+    ("session_novelty > 0", "'A session is used that never began.'"), ("session_context_shift >= 0.6", "'A session changed several parts of its context.'"), ("session_concurrency >= 0.5", "'A session is used from two contexts at once.'"), ("session_replay_burst >= 0.5", "'A session repeats requests within seconds.'"),
+    ("session_fingerprint_drift >= 0.5", "'A session''s client changed.'"), ("takeover_transition >= 0.6", "'The context changed as a session went on.'"), ("privileged_escalation > 0", "'A privileged action followed a change of context.'"), ("takeover_sequence_score >= 0.5", "'Login, refresh and privileged action came in order.'"),
+    ("mfa_bypass_suspicion > 0", "'A success without a second factor followed failures with one.'"), ("password_spray_score >= 0.5", "'Failures of many users come from one address.'"), ("low_and_slow_score >= 0.5", "'Failures from one address are spread over hours.'"), ("campaign_score >= 0.5", "'Neighbouring events look like one campaign.'"),
+    ("shared_ip_users > 2", "'The address has had ' || shared_ip_users::INT || ' users.'"), ("shared_device_users > 1", "'The device has had ' || shared_device_users::INT || ' users.'"), ("shared_infra_pair_users >= 1", "'Another user has had this address and network.'"),
+    ("infra_burst_peer_count >= 1", "'Other users were just now on this address and network.'"), ("infra_burst_event_count >= 3", "'This address and network are busy.'"), ("sync_peer_count > 0", "'Just now active too: ' || sync_peer_count::INT || ' other users.'"),
+)
+#: All signals of all events, unrounded, as the table ``sig``.
+SIGNALS = f"""WITH {EVENTS}, {', '.join(f'p{i} AS MATERIALIZED {_exact(ORACLES[n])}' for i, n in enumerate(_PARTS))},
+ag AS (SELECT event_index, CASE WHEN first(user_agent) OVER s <> user_agent THEN 0.5 ELSE 0 END AS agent FROM ev WINDOW s AS (PARTITION BY user_id, session_id ORDER BY us, event_index)),
+s1 AS (SELECT * FROM ev JOIN ag USING (event_index) {' '.join(f'JOIN p{i} USING (event_index)' for i in range(len(_PARTS)))}),
+s2 AS (SELECT *, {_CLAMP.format('greatest(shared_ip_users, shared_device_users, shared_asn_users, shared_infra_pair_users, infra_burst_peer_count) / 10.0')} AS fanout_score,
+       greatest(agent, CASE WHEN session_concurrency > 0 THEN 1.0 ELSE 0 END, takeover_transition) AS session_fingerprint_drift FROM s1),
+s3 AS (SELECT *, {_weighed(_SEQUENCE)} AS sequence_score, {_weighed(_RELATION)} AS relationship_score, {_weighed(_CAMPAIGN)} AS campaign_score,
+       greatest(session_context_shift, session_concurrency, session_replay_burst, session_fingerprint_drift, takeover_sequence_score, takeover_transition, privileged_escalation) AS takeover_support FROM s2),
+sig AS MATERIALIZED (SELECT *, {_weighed(_TAKEOVER)} AS takeover_score, (sequence_score + relationship_score) / 2 AS fusion_score FROM s3)"""
+SAID = ", ".join(f"CASE WHEN {a} THEN {b} END" for a, b in _SAID)
+ORACLES["identity_signals"] = f"""{SIGNALS} SELECT event_index, user_id, {', '.join(f'round({c}::DOUBLE, 6) + 0 AS {c}' for c in identity.SIGNALS)},
+ array_to_string(list_filter([{SAID}], lambda x: x IS NOT NULL), ';') AS reasons FROM sig"""

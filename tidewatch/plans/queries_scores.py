@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import angular_distance, case_severity, confidence_band, cyclic, risk_grade
 from tidewatch.models import outliers
-from tidewatch.operators import cases, circular, evaluate, identity, monitor, scoring
-from tidewatch.plans.sql import EVENTS, user_order
+from tidewatch.operators import cases, circular, evaluate, identity, monitor, rules, scoring
+from tidewatch.plans.queries_features import SAID, SIGNALS
+from tidewatch.plans.sql import EVENTS, bursts, user_order
 from tidewatch.sinks import formats
 from tidewatch.sources.readers import stream_table
 
@@ -71,7 +72,7 @@ def _triage(s, d):
 
 def _cases(s, d):
     df = identity.signals(stream_table(s, d)).withColumn("is_anomaly", F.col("fusion_score") >= 0.3)
-    return cases.aggregate(df)
+    return cases.aggregate(df).withColumn("reasons", F.concat_ws(";", "reasons")).drop("indices")
 
 
 def _lines(write):
@@ -88,6 +89,14 @@ def _drift(s, d):
     return monitor_drift(df.select(who.alias("user_id"), day.alias("at"), F.degrees("mean_angle").alias("degrees")))
 
 
+def _drift_status(s, d):
+    df = circular.moments(stream_table(s, d).withColumn("user_id", F.concat_ws("@", "user_id", F.date_format("timestamp", "yyyy-MM-dd"))), least=1)
+    who, day = F.substring_index("user_id", "@", 1), F.substring_index("user_id", "@", -1)
+    seen = df.select(who.alias("user_id"), day.alias("at"), F.degrees("mean_angle").alias("degrees"))
+    resets = seen.where("user_id = 'u1'").groupBy("user_id").agg(F.max("at").alias("at"), F.lit(90.0).alias("degrees"))
+    return rounded(circular.drift_status(seen, circular.drift_baselines(seen, resets=resets)), 4)
+
+
 def monitor_drift(df):
     return rounded(circular.drift(df), 4).withColumnRenamed("at", "day")
 
@@ -122,6 +131,8 @@ QUERIES = {
     "feedback_fp_rates": lambda s, d: rounded(monitor.false_positive_rates(_feedback(s, d), 34)),
     "feedback_poisoning": lambda s, d: rounded(monitor.poisoning_analysts(_feedback(s, d), 12, 5, 0.2)),
     "identity_cases": lambda s, d: rounded(_cases(s, d)),
+    "correlate": lambda s, d: rules.correlate(stream_table(s, d), min_failures=60).drop("details"),
+    "drift_status": lambda s, d: _drift_status(s, d),
     "detection_rates": lambda s, d: rounded(evaluate.detection_rates(models(s, d).withColumn("truth", F.col("event_type") == "failed_login"), "b", "truth")),
     "robustness": lambda s, d: rounded(evaluate.robustness(normalised(s, d).withColumns({"truth": F.col("event_type") == "failed_login", "e": scoring.vote(MODELS)}).withColumn("flag", F.col("e") >= 0.6), MODELS, "e", "flag", "truth")),
     "slices": lambda s, d: rounded(evaluate.slices(normalised(s, d), {"failures": F.col("event_type").isin("failed_login", "mfa_failure"), "night": F.hour("timestamp") < 6, "no_mfa": ~F.col("mfa_used"), "all": F.lit(True)}, "a", "b", "success")),
@@ -159,6 +170,52 @@ f AS (SELECT e AS window_end, users, round(fresh / users, 6) AS new_ip_share, ro
 _FB = """fb AS (SELECT 'e' || regexp_extract(props, '[0-9]+') AS event_id, ['fp', 'tp', 'unsure'][1 + event_id % 3] AS verdict, 'a' || (user_id % 40) AS analyst_id, 'u' || (event_id % 50) AS user_id FROM events)"""
 
 
+def _key(*parts: str) -> str:
+    return f"concat_ws(chr(1), {', '.join(parts)})"
+
+
+#: Cases: (type, which, key, gap in minutes, users needed).
+_KINDS = (
+    ("session_takeover_case", "fusion_score >= 0.3 AND (takeover_score >= 0.58 OR takeover_sequence_score >= 0.5)", _key("user_id", "coalesce(session_id, ip_address, 'no-session')"), 30, 1),
+    ("password_spray_case", "password_spray_score >= 0.5", _key("coalesce(ip_address, 'no-ip')", "coalesce(asn, 'no-asn')"), 30, 1),
+    ("low_and_slow_campaign_case", "low_and_slow_score >= 0.5", _key("coalesce(ip_address, 'no-ip')", "coalesce(asn, 'no-asn')"), 180, 1),
+    ("coordinated_identity_campaign_case", "campaign_score >= 0.55 OR relationship_score >= 0.55", _key("coalesce(ip_address, 'no-ip')", "coalesce(device_fingerprint, user_agent, 'no-device')", "coalesce(asn, 'no-asn')"), 30, 2),
+)
+_CASES = f"""{SIGNALS}, mk AS ({' UNION ALL '.join(f"SELECT *, '{kind}' AS case_type, {key} AS key, {gap * 60_000_000} AS gap_us, {least} AS least FROM sig WHERE {which}" for kind, which, key, gap, least in _KINDS)}),
+st AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY case_type, key ORDER BY us, event_index) > gap_us)::INT, 0) AS starts FROM mk),
+nm AS (SELECT *, sum(starts) OVER (PARTITION BY case_type, key ORDER BY us, event_index) AS cs FROM st),
+wy AS (SELECT case_type, key, cs, us, event_index, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS why FROM (SELECT *, list_filter([{SAID}], lambda x: x IS NOT NULL) AS w FROM nm)),
+fw AS (SELECT case_type, key, cs, why, min((us, event_index, pos)) AS f FROM wy GROUP BY ALL),
+rw AS (SELECT case_type, key, cs, string_agg(why, ';' ORDER BY f) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY case_type, key, cs ORDER BY f) AS i FROM fw) WHERE i <= 4 GROUP BY ALL),
+ag1 AS (SELECT case_type, key, cs, max(least) AS least, list_sort(list(DISTINCT event_index)) AS ids, max(greatest(takeover_score, takeover_sequence_score, campaign_score, password_spray_score, low_and_slow_score)) AS score, min(us) AS first_seen, max(us) AS last_seen, count(DISTINCT user_id) AS n_users,
+  {', '.join(f"array_to_string(list_sort(list(DISTINCT {c})), ',') AS {n}" for c, n in (('user_id', 'users'), ('session_id', 'sessions'), ('ip_address', 'ips'), ('asn', 'asns')))},
+  array_to_string(list_sort(list_distinct(list_concat(list(DISTINCT device_fingerprint), list(DISTINCT user_agent)))), ',') AS devices FROM nm GROUP BY ALL)
+SELECT case_type || ':' || substr(sha1(case_type || ':' || array_to_string(ids, ',')), 1, 12) AS case_id, case_type,
+ CASE WHEN score >= 0.85 OR len(ids) >= 8 THEN 'critical' WHEN score >= 0.7 OR len(ids) >= 5 THEN 'high' WHEN score >= 0.55 OR len(ids) >= 3 THEN 'medium' ELSE 'low' END AS severity,
+ CASE WHEN score >= 0.85 THEN 'very_high' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence,
+ round(score, 6) + 0 AS score, len(ids)::INT AS n_events, first_seen, last_seen, users, sessions, ips, devices, asns, array_to_string(ids[:12], ',') AS representatives, coalesce(reasons, 'The events were joined by their signals alone.') AS reasons
+FROM ag1 LEFT JOIN rw USING (case_type, key, cs) WHERE n_users >= least"""
+#: I1/I0 by its continued fraction, and concentrations by halving an interval until the ratio meets the resultant.
+_RATIO = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(80, 0, -1), lambda j: j::DOUBLE)), lambda y, j: mid / (2 * j + mid * y))"
+_FITTED = f"""WITH RECURSIVE {EVENTS}, m AS (SELECT user_id, count(*) AS n, round(avg(cos({_ANGLE})), 12) + 0 AS c, round(avg(sin({_ANGLE})), 12) + 0 AS s FROM ev GROUP BY 1),
+r AS (SELECT user_id, n, CASE WHEN n >= 10 THEN {_mod('atan2(s, c)')} ELSE 0 END AS mean_angle, CASE WHEN n >= 10 THEN sqrt(c * c + s * s) ELSE 0 END AS length FROM m),
+half AS (SELECT user_id, length, 0.0::DOUBLE AS low, 200.0::DOUBLE AS high, 100.0::DOUBLE AS mid, 0 AS step FROM r WHERE length >= 1e-9
+         UNION ALL SELECT user_id, length, low, high, (low + high) / 2, step + 1 FROM (SELECT user_id, length, step, CASE WHEN {_RATIO} < length THEN mid ELSE low END AS low, CASE WHEN {_RATIO} < length THEN high ELSE mid END AS high FROM half WHERE step < 60)),
+fitted AS (SELECT r.user_id, n, mean_angle, coalesce(mid, 0) AS kappa FROM r LEFT JOIN (SELECT * FROM half WHERE step = 60) h USING (user_id))"""
+_I0 = "1 + list_sum(list_transform(range(1, 40), lambda j: pow(kappa / 2, 2 * j) / pow(gamma(j + 1.0), 2)))"
+
+
+def _subquery(key: str, minutes: int, part: str | None, name: str) -> str:
+    return bursts(key, minutes, "count(*) OVER w AS n, list_sort(list_distinct(list(user_id) OVER w)) AS names", "len(names) >= 3", f"'{name}' AS rule_id, cand.k AS key, event_index AS first_event, n AS n_events, names, us AS matched_at", "ip_address IS NOT NULL" if part is None else "TRUE", part)
+
+
+_CORRELATE = f"""WITH a AS ({_subquery('ip_address', 30, None, 'shared_ip')}), b AS ({_subquery("'all'", 5, '', 'timing_burst')}), {EVENTS},
+f AS (SELECT user_id, count(*) AS n, min((us, event_index)) AS first FROM ev WHERE failed GROUP BY 1 HAVING count(*) >= 60),
+c AS (SELECT 'shared_failure_pattern' AS rule_id, 'all' AS key, struct_extract(min(first), 2) AS first_event, sum(n)::BIGINT AS n_events, list_sort(list(user_id)) AS names, struct_extract(min(first), 1) AS matched_at FROM f HAVING count(*) >= 3),
+z AS (SELECT *, 1 AS o FROM a UNION ALL SELECT *, 2 FROM b UNION ALL SELECT *, 3 FROM c)
+SELECT rule_id, CASE WHEN o = 2 OR o = 1 AND len(names) >= 5 THEN 'high' ELSE 'medium' END AS severity, key, first_event, n_events, array_to_string(names, ',') AS users, matched_at, row_number() OVER (ORDER BY o, matched_at, first_event, key)::INT AS cluster_id FROM z"""
+
+
 def _conf(q: int) -> str:
     return f"cf AS (SELECT event_id, verdict FROM fb GROUP BY ALL HAVING count(DISTINCT analyst_id) >= {q})"
 
@@ -186,6 +243,8 @@ SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least
     "cyclic_features": f"""WITH {EVENTS} SELECT event_index, {', '.join(f"round({f}({v} * 2 * pi() / {p}), 6) + 0 AS {n}_{f}" for n, v, p in (('hour', 'hour(timestamp)', 24), ('day', '(isodow(timestamp) - 1)', 7), ('month', '(month(timestamp) - 1)', 12)) for f in ('sin', 'cos'))} FROM ev""",
     "von_mises_moments": f"""WITH {EVENTS}, m AS (SELECT user_id, count(*) AS n, round(avg(cos({_ANGLE})), 12) + 0 AS c, round(avg(sin({_ANGLE})), 12) + 0 AS s FROM ev GROUP BY 1)
 SELECT user_id, n, round(CASE WHEN n >= 10 THEN {_mod('atan2(s, c)')} ELSE 0 END, 5) AS mean_angle, round(CASE WHEN n >= 10 THEN sqrt(c * c + s * s) ELSE 0 END, 5) AS resultant FROM m""",
+    "von_mises_fit": f"""{_FITTED} SELECT user_id, n, round(mean_angle, 4) AS mean_angle, round(kappa, 4) AS kappa FROM fitted""",
+    "hour_surprise": f"""{_FITTED} SELECT event_index, user_id, round(CASE WHEN kappa > 0 THEN greatest(ln(2 * pi()) + ln({_I0}) - kappa * cos({_ANGLE} - mean_angle), 0) ELSE 0 END, 4) + 0 AS nll FROM ev JOIN fitted USING (user_id)""",
     "online_von_mises": f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER ({O}) AS i FROM ev)
 SELECT x.event_index, x.user_id, round(sum(pow(0.995, x.i - y.i) * cos((hour(y.timestamp) + minute(y.timestamp) / 60.0) * 2 * pi() / 24)), 5) AS c, round(sum(pow(0.995, x.i - y.i) * sin((hour(y.timestamp) + minute(y.timestamp) / 60.0) * 2 * pi() / 24)), 5) AS s, round(sum(pow(0.995, x.i - y.i)), 5) AS w
 FROM r x JOIN r y ON x.user_id = y.user_id AND y.i <= x.i GROUP BY x.event_index, x.user_id""",
@@ -213,6 +272,12 @@ SELECT event_index, ['info', 'low', 'medium', 'high', 'critical'][1 + least((CAS
     "feedback_fp_rates": f"""WITH {_FB}, {_conf(34)} SELECT user_id, count(*) AS events, round(avg((event_id IN (SELECT event_id FROM cf WHERE verdict = 'fp'))::INT), 6) AS fp_rate FROM (SELECT DISTINCT user_id, event_id FROM fb) GROUP BY 1""",
     "feedback_poisoning": f"""WITH {_FB}, {_conf(12)}, w AS (SELECT *, row_number() OVER () AS i FROM fb WHERE analyst_id <> 'anon'), a AS (SELECT w.i, w.analyst_id, max((cf.event_id IS NOT NULL)::INT) AS bad FROM w LEFT JOIN cf ON cf.event_id = w.event_id AND cf.verdict <> w.verdict GROUP BY ALL)
 SELECT analyst_id, count(*) AS labels, round(avg(bad), 6) AS disagreement FROM a GROUP BY 1 HAVING count(*) >= 5 AND avg(bad) > 0.2""",
+    "identity_cases": _CASES,
+    "correlate": _CORRELATE,
+    "drift_status": f"""WITH {EVENTS}, m AS (SELECT user_id, strftime(timestamp, '%Y-%m-%d') AS day, round(avg(cos({_ANGLE})), 12) + 0 AS c, round(avg(sin({_ANGLE})), 12) + 0 AS s FROM ev GROUP BY ALL),
+g AS (SELECT user_id, day, degrees({_mod('atan2(s, c)')}) AS deg, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS back FROM m),
+u AS (SELECT user_id, CASE WHEN user_id = 'u1' THEN 90.0 ELSE arg_min(deg, day) END AS baseline, arg_max(deg, day) AS current, least(count(*), 7) AS n_recent FROM g GROUP BY 1)
+SELECT user_id, 'tracked' AS status, round(baseline, 4)::DOUBLE AS baseline, round(current, 4) AS current, round(least(abs(baseline - current), 360 - abs(baseline - current)), 4)::DOUBLE AS moved, n_recent FROM u""",
     "detection_rates": f"""WITH {RAW}, v AS (SELECT b, sum((event_type = 'failed_login')::INT) AS p, count(*) AS n FROM raw GROUP BY 1), c AS (SELECT sum(p) OVER (ORDER BY b DESC) AS tp, sum(n - p) OVER (ORDER BY b DESC) AS fp, sum(p) OVER () AS ap, sum(n - p) OVER () AS an FROM v)
 SELECT t AS target_fpr, round(coalesce((SELECT max(tp / ap) FROM c WHERE fp / an <= t), 0), 6) AS detection_rate FROM (SELECT unnest([0.01, 0.05, 0.10, 0.20]::DOUBLE[]) AS t)""",
     "robustness": f"""WITH {NORM}, x AS (SELECT *, event_type = 'failed_login' AS truth, (a + b + c) / 3 AS e, {_SOFT} AS h, {_VAR} AS v FROM nrm)

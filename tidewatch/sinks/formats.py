@@ -6,7 +6,7 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import log_safe, risk_grade
@@ -89,6 +89,43 @@ def report(summary: DataFrame, top: int = 20, title: str = "Risk report") -> str
     return "\n".join(lines) + "\n"
 
 
+def benchmark_report(tables: dict[str, DataFrame], setup: dict | None = None, most_cases: int = 8) -> str:
+    """A Markdown report of a benchmark's tables: rates, robustness, slices, case detection and the ``most_cases`` highest cases."""
+    lines = ["# Benchmark", ""] + [f"- {k}: {v}" for k, v in (setup or {}).items()]
+    rates: dict = {}
+    for r in tables["rates"].collect():  # a row per method and limit
+        rates.setdefault(r["target_fpr"], {})[r["method"]] = r["detection_rate"]
+    methods = sorted({m for x in rates.values() for m in x})
+    lines += ["", "## Detection rates", "", "| false positives | " + " | ".join(methods) + " |", "|-|" + "-|" * len(methods)]
+    lines += [f"| {limit} | " + " | ".join(f"{x.get(m) or 0.0:.3f}" for m in methods) + " |" for limit, x in sorted(rates.items())]
+    for name, title in (("robustness", "Robustness"), ("slices", "Slices"), ("cases", "Case detection")):
+        if name in tables:
+            df = tables[name]
+            lines += ["", f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+            lines += ["| " + " | ".join("-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in df.collect()]
+    if "found" in tables:
+        lines += ["", "## Cases", ""]
+        for r in tables["found"].orderBy(F.desc("score"), "case_id").limit(most_cases).collect():
+            lines += [f"### {r['case_id']}", "", f"{r['case_type']}, {r['severity']}, confidence {r['confidence']}, score {r['score']:.3f}, events {r['representatives']}, users {r['users']}", ""] + [f"- {x}" for x in r["reasons"]] + [""]
+    return "\n".join(lines) + "\n"
+
+
+def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Results or user summaries as ``write_ndjson`` wrote them, also one JSON document with them under ``events`` or in an envelope.
+
+    Give the schema of what was written to get its types back; times without
+    one come back as text.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    lines = reader.json(path)
+    names = set(lines.columns)
+    if schema is None and (names <= {"events", "users", "_corrupt_record"} or {"kind", "payload"} <= names):
+        whole = spark.read.option("multiLine", True).json(path)
+        whole = whole.select("payload.*") if "payload" in whole.columns else whole
+        return whole.select(F.inline("events" if "events" in whole.columns else "users"))
+    return lines
+
+
 def timeline(events: DataFrame, width: int = 40) -> str:
     """Events by hour of the day as bars of text."""
     counts = {r["h"]: r["n"] for r in events.groupBy(F.hour("timestamp").alias("h")).agg(F.count("*").alias("n")).collect()}
