@@ -89,3 +89,55 @@ def test_entry_points(spark):
     assert e.entry(spark).count() > 0
     queries, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(queries) and len(oracles) >= 70
+
+
+def test_saved_models_score_alike(spark, events, tmp_path):  # noqa: F811
+    from tidewatch.models import outliers
+
+    df = many(events).withColumn("a", F.col("session_duration_seconds")).withColumn("b", F.hour("timestamp").cast("double"))
+    fitted = [outliers.IsolationForest(trees=20), outliers.LocalOutlierFactor(k=5)]
+    fitted.append(outliers.Ensemble([outliers.IsolationForest(trees=20), outliers.LocalOutlierFactor(k=5)]))
+    for i, model in enumerate(fitted):
+        model.fit(df, ["a", "b"])
+        outliers.save(model, spark, str(tmp_path / f"m{i}"))
+        again = outliers.load(spark, str(tmp_path / f"m{i}"))
+        rows = lambda m: sorted((r["event_index"], round(r["score"], 9), r["prediction"]) for r in m.predict(df).collect())
+        assert rows(again) == rows(model)
+        (top,) = again.explain(df.where("event_index = 3"), 1).collect()
+        assert top["top"][0]["feature"] in ("a", "b")
+    assert all(len(t["feature"]) > 1 for t in fitted[0].forest)
+
+
+def test_train_then_detect_and_watch_from_the_command_line(spark, events, tmp_path):  # noqa: F811
+    (tmp_path / "c.json").write_text(json.dumps({"features": {"groups": ["velocity", "auth"], "identity": False}, "model": {"contamination": 0.1}}))
+    config = ["--config", str(tmp_path / "c.json")]
+    rows = many(events).drop("raw_fields").toPandas()
+    (tmp_path / "in").mkdir()
+    rows.to_csv(tmp_path / "in" / "one.csv", index=False)
+    rows.assign(timestamp=rows["timestamp"].astype(str)).to_json(tmp_path / "in" / "two.jsonl", orient="records", lines=True)
+    assert cli.main(["train", str(tmp_path / "in" / "one.csv"), str(tmp_path / "model"), *config]) == 0
+    seen = []
+    live.watch_files(spark, str(tmp_path / "in"), lambda e, path: seen.append((path.rsplit("/", 1)[-1], e.count())), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == [("one.csv", 120), ("two.jsonl", 120)]
+    from tidewatch.models.outliers import load
+    from tidewatch.sources.readers import read_events
+
+    log = read_events(spark, str(tmp_path / "in" / "one.csv"))
+    found = engine.detect(None, log, Config.load(str(tmp_path / "c.json")), model=load(spark, str(tmp_path / "model")))
+    assert found.results.count() == 120 and found.users.count() == 6
+
+
+def test_online_state_goes_on_and_drift_status(spark, events):  # noqa: F811
+    from tidewatch.operators import circular
+
+    df = many(events, 60)
+    whole = {r["user_id"]: (r["c"], r["s"], r["w"]) for r in circular.online_state(df).collect()}
+    first = circular.online_state(df.where("event_index < 30"))
+    later = {r["user_id"]: (r["c"], r["s"], r["w"]) for r in circular.online_state(df.where("event_index >= 30"), first).collect()}
+    assert set(whole) == set(later) and all(abs(a - b) < 1e-9 for u in whole for a, b in zip(whole[u], later[u], strict=True))
+    assert circular.forget(first, ["u1"]).where("user_id = 'u1'").count() == 0
+    seen = spark.createDataFrame([("a", "2026-01-01", 10.0), ("a", "2026-01-02", 50.0), ("b", "2026-01-01", 350.0)], "user_id string, at string, degrees double")
+    resets = spark.createDataFrame([("b", "2026-01-03", 20.0)], "user_id string, at string, degrees double")
+    status = {r["user_id"]: (r["status"], r["baseline"], r["current"], r["moved"], r["n_recent"]) for r in circular.drift_status(seen, circular.drift_baselines(seen, resets=resets)).collect()}
+    assert status == {"a": ("tracked", 10.0, 50.0, 40.0, 2), "b": ("tracked", 20.0, 350.0, 30.0, 1)}
+    assert circular.drift_status(seen, circular.forget(circular.drift_baselines(seen), ["a"])).where("status = 'no_baseline'").count() == 1

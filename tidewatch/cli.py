@@ -1,4 +1,4 @@
-"""Command line: run, detect, rules, correlate, report, export, baseline, info, bench, doctor."""
+"""Command line: run, train, detect, watch, rules, correlate, report, export, baseline, info, bench, doctor."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from pyspark.sql import SparkSession
 
 from tidewatch import engine
 from tidewatch.config import Config
+from tidewatch.models.outliers import REGISTRY, load
 from tidewatch.operators import features, rules
 from tidewatch.operators.inject import TYPES
 from tidewatch.sinks import formats
-from tidewatch.sources.readers import read_events
+from tidewatch.sources.readers import exists, read_events
+from tidewatch.streaming import live
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,8 +28,20 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--config")
         if name == "export":
             c.add_argument("--format", choices=("cef", "syslog", "stix", "json", "csv"), default="cef")
-    d = sub.add_parser("detect", help="score a log by a model of another")
-    d.add_argument("train")
+    t = sub.add_parser("train", help="fit a detector on a log and save it")
+    t.add_argument("log")
+    t.add_argument("model")
+    t.add_argument("--detector", choices=sorted(REGISTRY), default="isolation_forest")
+    t.add_argument("--config")
+    w = sub.add_parser("watch", help="score each file that appears in a folder")
+    w.add_argument("folder")
+    w.add_argument("out")
+    w.add_argument("--model")
+    w.add_argument("--pattern", default="*")
+    w.add_argument("--every", help="seconds between looks; without it, what is there is scored")
+    w.add_argument("--config")
+    d = sub.add_parser("detect", help="score a log by a saved model, or by one of another log")
+    d.add_argument("train", help="a folder that train wrote, or a log")
     d.add_argument("log")
     d.add_argument("--out")
     d.add_argument("--config")
@@ -52,26 +66,38 @@ def main(arguments: list[str] | None = None) -> int:
         print(json.dumps({"spark": spark.version, "python": sys.version.split()[0], "rows": spark.range(3).count()}))
         return 0
     config = Config.load(a.config) if a.config else Config()
+    if a.command == "watch":
+        model = load(spark, a.model) if a.model else None
+
+        def scored(events, path):
+            """Without a model, each file is judged by one of its own."""
+            name = path.rstrip("/").rsplit("/", 1)[-1]
+            formats.write_ndjson(engine.detect(events, events, config, model=model).results, f"{a.out}/{name}")
+
+        live.watch_files(spark, a.folder, scored, f"{a.out}/.checkpoint", a.pattern, every=f"{a.every} seconds" if a.every else None).awaitTermination()
+        return 0
     events = read_events(spark, a.log)
+    if a.command == "train":
+        engine.train(events, config, a.detector, a.model)
+        return 0
     show = lambda df: df.write.json(a.out) if getattr(a, "out", None) else df.show(20, truncate=60)
     if a.command == "info":
         show(engine.statistics(events))
     elif a.command == "rules":
         show(rules.evaluate(events, parameters=config.rules))
     elif a.command == "correlate":
-        show(rules.correlate_by_ip(events).unionByName(rules.correlate_by_timing(events)))
+        show(rules.correlate(events))
     elif a.command == "baseline":
         show(features.profiles(events))
     elif a.command == "run":
         show(engine.run(events, config).cases)
     elif a.command == "detect":
-        show(engine.detect(read_events(spark, a.train), events, config).users)
+        saved = exists(spark, f"{a.train.rstrip('/')}/model")
+        show(engine.detect(None if saved else read_events(spark, a.train), events, config, model=load(spark, a.train) if saved else None).users)
     elif a.command == "report":
         print(formats.report(engine.detect(events, events, config).users))
     elif a.command == "bench":
-        for name, df in engine.benchmark(events, a.attack, config).items():
-            print(name)
-            df.show(50, truncate=60)
+        print(formats.benchmark_report(engine.benchmark(events, a.attack, config), {"log": a.log, "attack": a.attack}))
     elif a.command == "export":
         results = engine.run(events, config).results
         lines = {"cef": formats.cef, "syslog": formats.syslog, "stix": formats.stix_objects}

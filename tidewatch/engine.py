@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import Config
+from tidewatch.models import outliers
 from tidewatch.models.outliers import create
 from tidewatch.operators import cases, evaluate, features, identity, rules, scoring
 from tidewatch.operators.inject import inject
+from tidewatch.operators.patterns import attach
 from tidewatch.operators.rules import is_failure
 
 #: Identity signals that vote beside the models.
@@ -44,17 +46,19 @@ def statistics(events: DataFrame) -> DataFrame:
 
 
 def featured(events: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
-    """Events with base features and identity signals, and the names of the numeric ones."""
-    df = features.ordered(events)
+    """Events with base features and identity signals, and the names of the numeric ones.
+
+    The table is kept (in memory, else on disk): models pass over it many
+    times, and its windows and joins are dearer than all of that.
+    """
     groups = config.features.groups or list(features.GROUPS)
-    for g in groups:
-        df = features.GROUPS[g](df)
     names = [n for g in groups for n in features.NAMES[g]]
-    df = df.drop("ord", "seen")
+    df = identity.signals(events) if config.features.identity else events
+    # both begin at the events, so neither plan holds the other
+    df = attach(df.drop(*names), features.build(events, groups).drop("user_id"))
     if config.features.identity:
-        df = identity.signals(df)
         names += list(identity.SIGNALS)
-    return df, names
+    return df.persist(), names
 
 
 def with_models(train: DataFrame, test: DataFrame, names: list[str], config: Config) -> tuple[DataFrame, list[str], list]:
@@ -84,13 +88,22 @@ def run(events: DataFrame, config: Config | None = None) -> Run:
     return Run(df, scored, cases.aggregate(scored, config.cases.window_minutes), model=pipeline)
 
 
-def detect(train: DataFrame, events: DataFrame, config: Config | None = None, detector: str = "isolation_forest") -> Run:
-    """A model fitted on ``train`` scores ``events``; rules, user summaries and cases go with it. Low scores are anomalous."""
+def train(events: DataFrame, config: Config | None = None, detector: str = "isolation_forest", path: str | None = None):
+    """A detector fitted on the features of ``events``; written below ``path`` if that is given."""
     config = config or Config()
-    base, names = featured(train, config)
-    df, _ = featured(events, config)
+    df, names = featured(events, config)
     model = create(detector, contamination=config.model.contamination)
-    model.fit(base, names)
+    model.fit(df, names)
+    if path is not None:
+        outliers.save(model, events.sparkSession, path)
+    return model
+
+
+def detect(train_events: DataFrame | None, events: DataFrame, config: Config | None = None, detector: str = "isolation_forest", model=None) -> Run:
+    """A model, given or fitted on ``train_events``, scores ``events``; rules, user summaries and cases go with it. Low scores are anomalous."""
+    config = config or Config()
+    model = model if model is not None else train(train_events, config, detector)
+    df, _ = featured(events, config)
     df = df.join(model.score(df).select(F.col("event_index").alias("__i"), "score"), F.col("event_index") == F.col("__i")).drop("__i")
     floor = None
     if config.engine.floor_enabled and config.features.identity:
@@ -115,9 +128,13 @@ def benchmark(events: DataFrame, kind: str, config: Config | None = None, magnit
     rates = evaluate.detection_rates(scored, "ensemble", "synthetic").withColumn("method", F.lit("pipeline"))
     naive = evaluate.detection_rates(b2.withColumn("ensemble", scoring.vote(models)), "ensemble", "synthetic").withColumn("method", F.lit("mean"))
     masks = {"all": F.lit(True), "injected": F.col("synthetic"), "ordinary": ~F.col("synthetic"), "failures": is_failure()}
+    if config.features.identity:
+        masks |= evaluate.standard_masks("synthetic")
+    scored = scored.persist()
     return {
         "rates": reduce(DataFrame.unionByName, [rates, naive]),
         "cases": cases.detection(found, mixed.where("synthetic"), kind),
+        "found": found,
         "slices": evaluate.slices(scored.withColumn("mean_raw", scoring.vote(models)), masks, "ensemble", "mean_raw", "is_anomaly"),
     }
 

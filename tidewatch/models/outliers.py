@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, type] = {}
@@ -116,23 +116,41 @@ class IsolationForest:
         node(np.arange(len(x)), 0)
         return tree
 
+    def _samples(self, rows: DataFrame) -> list[np.ndarray]:
+        """For each tree its ``psi`` rows of the smallest hashes among all rows, each tree with hashes of its own.
+
+        Rows whose hash is far above what the smallest can be are left out
+        before they are sorted; trees x psi rows reach the driver.
+        """
+        n = rows.count()
+        share = min(1.0, (self.psi + 8 * self.psi**0.5 + 16) / max(n, 1))
+        drawn = F.filter(
+            F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(self.seed), t, F.col("event_index")).alias("hash"))),
+            lambda x: (x["hash"].cast("double") / 2.0**64 + 0.5 < share) | F.lit(share >= 1.0),
+        )
+        placed = rows.select("event_index", F.array(*[F.col(c) for c in self.features]).alias("x"), F.inline(drawn))
+        first = Window.partitionBy("tree").orderBy("hash", "event_index")
+        found = placed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= self.psi).select("tree", "place", "x").toPandas().sort_values(["tree", "place"])
+        return [np.array(g["x"].tolist(), float) for _, g in found.groupby("tree")]
+
     def fit(self, df: DataFrame, features: list[str]) -> IsolationForest:
         self.features = list(features)
         rows = numeric(df, self.features)
         self.scaler.fit(rows, self.features)
-        most = self.psi * 16
-        pool = self.scaler.transform(rows).orderBy(F.xxhash64(F.lit(self.seed), "event_index"), "event_index").limit(most).toPandas()[self.features].to_numpy(float)
+        samples = self._samples(self.scaler.transform(rows))
         rng = np.random.default_rng(self.seed)
-        size = min(self.psi, len(pool))
+        size = max((len(x) for x in samples), default=0)
         limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
-        self.forest = [self._grow(pool[rng.choice(len(pool), size, replace=False)], rng, limit) for _ in range(self.trees)]
+        self.forest = [self._grow(x, rng, limit) for x in samples]
         self.size = size
         tau = self.score(df).agg(F.percentile("score", self.contamination)).first()[0]
         self.offset = float(tau or 0.0)
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
-        """(event_index, score)."""
+        """(event_index, score); 0 if the forest was fitted on nothing."""
+        if not self.forest:
+            return df.select("event_index", F.lit(0.0).alias("score"))
         forest = [{k: np.asarray(v) for k, v in t.items()} for t in self.forest]
         norm = float(average_path(self.size)) or 1.0
 
@@ -159,6 +177,16 @@ class IsolationForest:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("prediction", F.when(F.col("score") < self.offset, -1).otherwise(1))
 
+    def explain(self, df: DataFrame, k: int = 5) -> DataFrame:
+        return explained(df, self.features, self.scaler, k)
+
+    def state(self) -> tuple[dict, dict[str, DataFrame]]:
+        return json.loads(self.dumps()), {}
+
+    @classmethod
+    def restore(cls, raw: dict, table) -> IsolationForest:
+        return cls.loads(json.dumps(raw))
+
     def dumps(self) -> str:
         return json.dumps({"features": self.features, "forest": self.forest, "size": self.size, "offset": self.offset, "centre": self.scaler.centre, "width": self.scaler.width})
 
@@ -170,6 +198,23 @@ class IsolationForest:
         return out
 
 
+def _placer(nodes: list[list]):
+    """The function that finds the cell of a row in a tree of (dimension or -1, cut, left, right)."""
+    dims, cuts, lefts, rights = (np.array(c) for c in zip(*nodes, strict=True))
+
+    @F.pandas_udf("int")
+    def place(xs: pd.Series) -> pd.Series:
+        x, at = np.stack(xs.to_list()) if len(xs) else np.zeros((0, 1)), np.zeros(len(xs), int)
+        while True:
+            live = np.flatnonzero(dims[at] >= 0)
+            if not len(live):
+                return pd.Series(at.astype("int32"))
+            here = at[live]
+            at[live] = np.where(x[live, dims[here]] < cuts[here], lefts[here], rights[here])
+
+    return place
+
+
 @register("lof")
 @dataclass
 class LocalOutlierFactor:
@@ -215,18 +260,9 @@ class LocalOutlierFactor:
             return at
 
         grow(np.arange(len(sample)), max(1, total // self.cell))
-        dims, cuts, lefts, rights = (np.array(c) for c in zip(*nodes, strict=True))
-
-        @F.pandas_udf("int")
-        def place(xs: pd.Series) -> pd.Series:
-            x, at = np.stack(xs.to_list()) if len(xs) else np.zeros((0, 1)), np.zeros(len(xs), int)
-            while True:
-                live = np.flatnonzero(dims[at] >= 0)
-                if not len(live):
-                    return pd.Series(at.astype("int32"))
-                here = at[live]
-                at[live] = np.where(x[live, dims[here]] < cuts[here], lefts[here], rights[here])
 
+        self.nodes = [[int(d), float(c), int(a), int(b)] for d, c, a, b in nodes]
+        place = _placer(self.nodes)
         placed = points.withColumn("cell", place("x"))
         n = range(len(self.features))
         boxes = placed.groupBy("cell").agg(F.array(*[F.min(F.get("x", F.lit(i))) for i in n]).alias("low"), F.array(*[F.max(F.get("x", F.lit(i))) for i in n]).alias("high")).orderBy("cell").collect()  # one row per cell
@@ -314,6 +350,21 @@ class LocalOutlierFactor:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("prediction", F.when(F.col("score") < self.offset, -1).otherwise(1))
 
+    def explain(self, df: DataFrame, k: int = 5) -> DataFrame:
+        return explained(df, self.features, self.scaler, k)
+
+    def state(self) -> tuple[dict, dict[str, DataFrame]]:
+        _, cells, low, high = self.cells
+        raw = {"k": self.k, "features": self.features, "centre": self.scaler.centre, "width": self.scaler.width, "offset": self.offset, "nodes": self.nodes, "cells": cells, "low": low.tolist(), "high": high.tolist()}
+        return raw, {"points": self.points, "known": self.known}
+
+    @classmethod
+    def restore(cls, raw: dict, table) -> LocalOutlierFactor:
+        out = cls(k=raw["k"], features=raw["features"], scaler=Scaler(centre=raw["centre"], width=raw["width"]), offset=raw["offset"])
+        out.nodes, out.points, out.known = raw["nodes"], table("points"), table("known")
+        out.cells = (_placer(out.nodes), raw["cells"], np.array(raw["low"]), np.array(raw["high"]))
+        return out
+
 
 @register("ensemble")
 @dataclass
@@ -354,6 +405,53 @@ class Ensemble:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("prediction", F.when(F.col("score") < self.offset, -1).otherwise(1))
 
+    def explain(self, df: DataFrame, k: int = 5) -> DataFrame:
+        """(event_index, top): the ``k`` features with the largest mean |z| over the members that name them."""
+        named = None
+        for m in self.members:
+            part = m.explain(df, k).select("event_index", F.inline("top"))
+            named = part if named is None else named.unionByName(part)
+        means = named.groupBy("event_index", "feature").agg(F.first("value").alias("value"), F.avg("z").alias("z"))
+        order = F.struct((-F.abs("z")).alias("order"), "feature", "value", "z")
+        tops = means.groupBy("event_index").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("t"))
+        return tops.select("event_index", F.transform("t", lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), x["z"].alias("z"))).alias("top"))
+
+    def state(self) -> tuple[dict, dict[str, DataFrame]]:
+        raw, tables = [], {}
+        for i, m in enumerate(self.members):
+            own, held = m.state()
+            raw.append({"kind": kind_of(m), "state": own})
+            tables |= {f"{i}-{n}": t for n, t in held.items()}
+        return {"members": raw, "strategy": self.strategy, "ranges": self.ranges, "offset": self.offset}, tables
+
+    @classmethod
+    def restore(cls, raw: dict, table) -> Ensemble:
+        members = [REGISTRY[m["kind"]].restore(m["state"], lambda n, i=i: table(f"{i}-{n}")) for i, m in enumerate(raw["members"])]
+        return cls(members=members, strategy=raw["strategy"], ranges=[tuple(r) for r in raw["ranges"]], offset=raw["offset"])
+
+
+def explained(df: DataFrame, features: list[str], scaler: Scaler, k: int) -> DataFrame:
+    """(event_index, top): the ``k`` features of each row that lie farthest from the training mean."""
+    return numeric(df, features).select("event_index", explain(features, scaler, k).alias("top"))
+
+
+def kind_of(model) -> str:
+    return next(name for name, cls in REGISTRY.items() if type(model) is cls)
+
+
+def save(model, spark: SparkSession, path: str) -> None:
+    """Write a fitted detector below ``path``: one JSON line, and its tables. What is there already is an error."""
+    raw, tables = model.state()
+    spark.createDataFrame([(json.dumps({"kind": kind_of(model), "state": raw}),)], "value string").coalesce(1).write.text(f"{path}/model")
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str):
+    """The detector that ``save`` wrote."""
+    raw = json.loads(spark.read.text(f"{path}/model").first()[0])
+    return REGISTRY[raw["kind"]].restore(raw["state"], lambda name: spark.read.parquet(f"{path}/{name}"))
+
 
 def triage_features(df: DataFrame) -> DataFrame:
     """Nine columns that a triage model reads off a scored event."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import HIGH_RISK_COUNTRIES, clamp01, country_distance_km, flag
-from tidewatch.operators.patterns import MINUTE, attach, backward, before, first_seen, gap_sessions, micros, ordered_buckets, prior_values, sliding, stacked, with_order
+from tidewatch.operators.patterns import MINUTE, attach, attach_all, backward, before, first_seen, gap_sessions, micros, ordered_buckets, prior_values, sliding, stacked, with_order
 from tidewatch.operators.rules import is_failure
 
 USER = "user_id"
@@ -100,10 +100,9 @@ def infrastructure(df: DataFrame) -> DataFrame:
 
 def novelty(df: DataFrame) -> DataFrame:
     """ip, device, country, asn and session novelty of an event for its user."""
-    for c, n in (("ip_address", "ip"), ("device_fingerprint", "device"), ("country_code", "country"), ("asn", "asn")):
-        df = df.withColumn(f"{n}_novelty", first_seen(USER, c).cast("double"))
     late = F.col("event_type").isin("session_refresh", "privileged_action")
-    return df.withColumn("session_novelty", flag((first_seen(USER, "session_id") == 1) & late))
+    new = {f"{n}_novelty": first_seen(USER, c).cast("double") for c, n in (("ip_address", "ip"), ("device_fingerprint", "device"), ("country_code", "country"), ("asn", "asn"))}
+    return df.withColumns(new | {"session_novelty": flag((first_seen(USER, "session_id") == 1) & late)})
 
 
 def factor_failures(events: DataFrame) -> DataFrame:
@@ -377,8 +376,7 @@ def signals(events: DataFrame) -> DataFrame:
         df = f(df)
     narrow = events.select("event_index", "timestamp", USER, "event_type", "ip_address", "device_fingerprint", "asn", "user_agent", "session_id", "mfa_used")
     own = gaps(with_order(narrow, USER))
-    for table, missing in ((gap_statistics(own), {}), (factor_failures(narrow), {}), (session_use(narrow), _NO_SESSION), (failure_history(narrow), _NO_FAILURE), (entity_history(narrow), {}), (entity_neighbours(narrow), {})):
-        df = attach(df, table, **missing)
+    df = attach_all(df, [(gap_statistics(own), {}), (factor_failures(narrow), {}), (session_use(narrow), _NO_SESSION), (failure_history(narrow), _NO_FAILURE), (entity_history(narrow), {}), (entity_neighbours(narrow), {})])
     drift = F.greatest(F.col("__agent"), F.when(F.col("__apart") > 0, 1.0).otherwise(0.0), F.col("takeover_transition"))
     df = df.withColumns({"interval_deviation": _deviation(), "mfa_bypass_suspicion": _suspicion(), "session_fingerprint_drift": drift})
     return scores(df.drop("middle", "spread"))

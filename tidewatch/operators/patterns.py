@@ -35,10 +35,19 @@ def before(key: str, order: str = "ord"):
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def attach_all(df: DataFrame, parts: list[tuple[DataFrame, dict]], index: str = "event_index") -> DataFrame:
+    """``df`` with the columns of all parts, each one row per ``index`` at most; rows that a part doesn't have get its missing values."""
+    out, joined = [F.col(c) for c in df.columns], df
+    for i, (part, missing) in enumerate(parts):
+        names = [c for c in part.columns if c != index]
+        joined = joined.join(part.select(F.col(index).alias(f"__at{i}"), *names), F.col(index) == F.col(f"__at{i}"), "left")
+        out += [F.coalesce(F.col(n), F.lit(missing[n])).alias(n) if n in missing else F.col(n) for n in names]
+    return joined.select(*out)
+
+
 def attach(df: DataFrame, part: DataFrame, index: str = "event_index", **missing) -> DataFrame:
-    """``df`` with the columns of ``part``, one row per ``index`` at most; rows that it doesn't have get the values of ``missing``."""
-    joined = df.join(part.withColumnRenamed(index, "__at"), F.col(index) == F.col("__at"), "left").drop("__at")
-    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in missing.items()}) if missing else joined
+    """``df`` with the columns of one part."""
+    return attach_all(df, [(part, missing)], index)
 
 
 def prior_sums(rows: DataFrame, key: str, bucket: str, order: list[str], sums: dict[str, str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import engine
 from tidewatch.functions.scalar import flag
-from tidewatch.models.outliers import IsolationForest, LocalOutlierFactor, Scaler, explain
+from tidewatch.models.outliers import Ensemble, IsolationForest, LocalOutlierFactor, Scaler, explain
 from tidewatch.operators import features
 from tidewatch.operators.inject import TYPES, inject
 from tidewatch.plans.queries_scores import RAW, models, rounded
@@ -38,6 +38,11 @@ def _injected(kind):
     return run
 
 
+def _ensemble(s, d):
+    df = models(s, d)
+    return rounded(Ensemble([IsolationForest(), LocalOutlierFactor()]).fit(df, FEATURES).predict(df))
+
+
 def _threats(s, d):
     listed = s.createDataFrame([("ip", "10.0.0.3"), ("asn", "AS64501"), ("country", "RU"), ("ip", "10.0.0.3")], "kind string, indicator string")
     df = features.listed(features.ordered(stream_table(s, d)), listed)
@@ -56,6 +61,7 @@ QUERIES = {
     "explain_features": _explained,
     "isolation_forest": lambda s, d: rounded(IsolationForest().fit(models(s, d), FEATURES).predict(models(s, d))),
     "lof": lambda s, d: rounded(LocalOutlierFactor().fit(models(s, d), FEATURES).predict(models(s, d))),
+    "ensemble": _ensemble,
     "validate_stats": lambda s, d: engine.statistics(stream_table(s, d)),
     "type_counts": lambda s, d: stream_table(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("success"), 1)).alias("successes")),
     "event_predicates": lambda s, d: stream_table(s, d).select("event_index", flag(F.col("event_type").isin("failed_login", "mfa_failure")).alias("is_failure"), (F.weekday("timestamp") >= 5).alias("is_weekend"), F.hour("timestamp").cast("long").alias("hour")),

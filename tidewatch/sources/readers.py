@@ -129,6 +129,11 @@ def read_host_events(spark: SparkSession, path: str, base_time: str = "2010-01-0
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_events(spark: SparkSession, path: str, overrides: dict[str, str] | None = None) -> DataFrame:
     """Dispatch on the suffix: .csv, ``*auth*.txt``, .json, .jsonl or .ndjson, .parquet; anything else is an error."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()

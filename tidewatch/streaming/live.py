@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.sources.readers import read_events
 from tidewatch.sources.schema import EVENT
 
 
@@ -19,6 +20,28 @@ def watch(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFra
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def watch_files(spark: SparkSession, folder: str, handle: Callable[[DataFrame, str], None], checkpoint: str, pattern: str = "*", files_per_batch: int = 1, every: str | None = None):
+    """Hand the canonical events of each new file of any kind that ``read_events`` knows to ``handle``, with the file's path.
+
+    The stream carries names only; a file is read by the reader of its kind.
+    Files that fail are named together at the end of their batch.
+    """
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    names = names.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).load(folder).select("path")
+
+    def each(batch: DataFrame, number: int) -> None:
+        failed = []
+        for path in sorted(r["path"] for r in batch.collect()):  # ``files_per_batch`` names at most
+            try:
+                handle(read_events(batch.sparkSession, path), path)
+            except Exception as e:
+                failed.append(f"{path}: {e}")
+        if failed:
+            raise RuntimeError("; ".join(failed))
+
+    return run_batches(names, each, checkpoint, every)
+
+
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Hand each micro-batch to ``handle``; without ``every`` what is there is read and the query ends."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
