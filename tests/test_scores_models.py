@@ -195,3 +195,11 @@ def test_registered_outlier_factor_fits_every_event(spark, monkeypatch):
     monkeypatch.setattr(outliers.LocalOutlierFactor, "fit", lambda self, df, features: fitted.append(fit(self, df, features)) or fitted[0])
     queries_engine.QUERIES["lof"](spark, "/root/testdata/sf0.01")
     assert fitted[0].points.agg(F.sum("n")).first()[0] == 10_000
+
+
+def test_bessel_logarithms_are_exact_to_twelve_digits(spark):
+    ks = [0.0, 0.3, 1.7, 3.74, 3.76, 12.0, 19.99, 20.01, 60.0, 200.0]
+    df = spark.createDataFrame([(k,) for k in ks], "k double").select("k", scalar.bessel_log_i0(F.col("k")).alias("log"))
+    grid = np.arange(4096) * (2 * math.pi / 4096)  # equal steps over a whole period: the mean is exact
+    for r in df.collect():
+        assert r["log"] == pytest.approx(math.log(np.exp(r["k"] * (np.cos(grid) - 1)).mean()) + r["k"], abs=1e-12)

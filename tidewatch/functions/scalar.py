@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,12 +93,16 @@ def log_safe(text: Column, most: int = 256) -> Column:
 
 
 def bessel_log_i0(x: Column) -> Column:
-    """log I0 by the usual polynomials in x/3.75 and 3.75/x (absolute error under 2e-7)."""
-    small = (1.0, 3.5156229, 3.0899424, 1.2067492, 0.2659732, 0.0360768, 0.0045813)
-    large = (0.39894228, 0.01328592, 0.00225319, -0.00157565, 0.00916281, -0.02057706, 0.02635537, -0.01647633, 0.00392377)
-    poly = lambda c, t: reduce(lambda a, k: a * t + k, reversed(c[:-1]), F.lit(c[-1]))
+    """log I0 in double precision: the power series up to 20, the asymptotic one beyond."""
+    series = [1.0]
+    for j in range(1, 46):
+        series.append(series[-1] / (j * j))
+    beyond = [1.0]
+    for k in range(1, 31):
+        beyond.append(beyond[-1] * (2 * k - 1) ** 2 / (8 * k))
+    poly = lambda c, t: F.aggregate(F.array(*[F.lit(v) for v in reversed(c)]), F.lit(0.0), lambda total, v: total * t + v)
     a = F.abs(x)
-    return F.when(a < 3.75, F.log(poly(small, F.pow(a / 3.75, 2)))).otherwise(a - F.log(a) / 2 + F.log(poly(large, 3.75 / a)))
+    return F.when(a < 20, F.log(poly(series, a * a / 4))).otherwise(a - F.log(2 * math.pi * a) / 2 + F.log(poly(beyond, 1 / a)))
 
 
 def bessel_ratio(x: Column) -> Column:

@@ -32,8 +32,9 @@ def fit(events: DataFrame, least: int = LEAST) -> DataFrame:
 
 def surprise(events: DataFrame, models: DataFrame) -> DataFrame:
     """event_index, user_id and nll: negative log likelihood of the hour, at least 0; 0 for flat or unknown users."""
-    joined = events.join(models.select(F.col("user_id").alias("__u"), "mean_angle", "kappa"), F.col("user_id") == F.col("__u"), "left")
-    nll = math.log(2 * math.pi) + bessel_log_i0(F.col("kappa")) - F.col("kappa") * F.cos(angle() - F.col("mean_angle"))
+    flat = math.log(2 * math.pi) + bessel_log_i0(F.col("kappa"))  # once a user
+    joined = events.join(models.select(F.col("user_id").alias("__u"), "mean_angle", "kappa", flat.alias("__flat")), F.col("user_id") == F.col("__u"), "left")
+    nll = F.col("__flat") - F.col("kappa") * F.cos(angle() - F.col("mean_angle"))
     return joined.select("event_index", "user_id", F.when(F.col("kappa") > 0, F.greatest(nll, F.lit(0.0))).otherwise(0.0).alias("nll"))
 
 
