@@ -203,3 +203,15 @@ def test_bessel_logarithms_are_exact_to_twelve_digits(spark):
     grid = np.arange(4096) * (2 * math.pi / 4096)  # equal steps over a whole period: the mean is exact
     for r in df.collect():
         assert r["log"] == pytest.approx(math.log(np.exp(r["k"] * (np.cos(grid) - 1)).mean()) + r["k"], abs=1e-12)
+
+
+def test_gate_interpolates_with_one_rounding(spark, events):  # noqa: F811
+    pairs = [(random.Random(i).random(), random.Random(-i - 1).random(), i / 997) for i in range(997)]
+    df = spark.createDataFrame(pairs, "a double, b double, f double")
+    for a, b, f, got in df.select("a", "b", "f", scalar.between(F.col("a"), F.col("b"), F.col("f"))).collect():
+        assert got == math.fma(a, 1 - f, b * f)
+    # of 12 values the percentile lies nine twentieths between the last two: 52 + 9 of 99, what the next row has
+    df = events([("a", m, {}) for m in range(13)])
+    nll = F.when(F.col("event_index") == 12, 61.0).when(F.col("event_index") == 11, 72.0).otherwise(52.0) / 99
+    fired = monitor.gated(df.withColumns({"score": F.lit(0.0), "nll": nll, "jsd": F.lit(0.0)}), tau=0.6).where("temporal_fired")
+    assert sorted(r["event_index"] for r in fired.collect()) == [11, 12]

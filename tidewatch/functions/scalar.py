@@ -68,6 +68,27 @@ def median(sorted_values: Column) -> Column:
     return F.when(n % 2 == 1, middle).otherwise((F.get(sorted_values, F.floor(n / 2).cast("int") - 1) + middle) / 2)
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share as a fused multiply-add gives it: the first product isn't rounded on its own.
+
+    Its rounding error is found by halves of the factors (Dekker), that of the
+    sum by what the sum lost (Knuth), and both are added back.
+    """
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * 134217729.0
+        top = big - (big - x)
+        return top, x - top
+
+    rest, added = 1.0 - share, high * share
+    product = low * rest
+    (a, b), (c, d) = halves(low), halves(rest)
+    lost = ((a * c - product) + a * d + b * c) + b * d
+    total = product + added
+    part = total - product
+    return total + (((product - (total - part)) + (added - part)) + lost)
+
+
 def risk_grade(rate: Column, least: Column) -> Column:
     """A to F by the rate of anomalies and the lowest score."""
     limits = ((0.5, -0.5, "F"), (0.3, -0.3, "D"), (0.15, -0.15, "C"), (0.05, -0.05, "B"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scalar import between
 from tidewatch.operators.patterns import attach, first_seen, greedy_bursts, micros, with_order
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
@@ -65,7 +66,10 @@ def gated(df: DataFrame, tau: float, floor: float = 0.97, jsd_floor: float = 0.2
     false positive, which vetoes.
     """
     w = Window.partitionBy("user_id").orderBy("ord").rowsBetween(-history, -1)
-    df = with_order(df, "user_id").withColumns({"__n": F.count("nll").over(w), "__p": F.percentile("nll", percentile).over(w)})
+    df = with_order(df, "user_id").withColumn("__v", F.sort_array(F.collect_list("nll").over(w)))
+    df = df.withColumns({"__n": F.size("__v"), "__at": percentile * (F.size("__v") - 1)})
+    low, high = (F.get("__v", f("__at").cast("int")) for f in (F.floor, F.ceil))
+    df = df.withColumn("__p", between(low, high, F.col("__at") - F.floor("__at"))).drop("__v", "__at")
     signals = {"ensemble_fired": F.col("score") >= tau, "temporal_fired": F.coalesce((F.col("__n") >= 10) & (F.col("nll") > F.col("__p")), F.lit(False)), "jsd_fired": F.col("jsd") >= jsd_floor}
     df = df.withColumns(signals).withColumn("hard_bypass", F.col("score") >= floor)
     n = sum((F.col(s).cast("int") for s in signals), F.lit(0))
