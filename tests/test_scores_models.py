@@ -215,3 +215,20 @@ def test_gate_interpolates_with_one_rounding(spark, events):  # noqa: F811
     nll = F.when(F.col("event_index") == 12, 61.0).when(F.col("event_index") == 11, 72.0).otherwise(52.0) / 99
     fired = monitor.gated(df.withColumns({"score": F.lit(0.0), "nll": nll, "jsd": F.lit(0.0)}), tau=0.6).where("temporal_fired")
     assert sorted(r["event_index"] for r in fired.collect()) == [11, 12]
+
+
+def test_distances_of_angles_are_rounded_once(spark):
+    rng = random.Random(8)
+    pairs = [(rng.random() * 360, rng.random() * 360) for _ in range(500)]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    for a, b, got in df.select("a", "b", scalar.angular_distance(F.col("a"), F.col("b"))).collect():
+        assert got == min(abs(a - b), 360 - abs(a - b))
+
+
+def test_mean_angles_equal_the_c_library(events):  # noqa: F811
+    df = events([(f"u{m}", m, {}) for m in range(0, 1440, 3)])
+    got = {r["user_id"]: r["mean_angle"] for r in circular.moments(df, 1).collect()}
+    for r in df.selectExpr("user_id", "hour(timestamp) h", "minute(timestamp) m").collect():
+        a = (r["h"] + r["m"] / 60) * 2 * math.pi / 24
+        c, s = (math.floor(abs(x) * 1e12 + 0.5) / 1e12 * math.copysign(1, x) + 0.0 for x in (math.cos(a), math.sin(a)))
+        assert got[r["user_id"]] == math.atan2(s, c) % (2 * math.pi)

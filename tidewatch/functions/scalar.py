@@ -43,7 +43,7 @@ def fractional_hour(ts: Column) -> Column:
 
 
 def angular_distance(a: Column, b: Column, circle: float = 360.0) -> Column:
-    d = F.abs(F.pmod(a - b, F.lit(circle)))
+    d = F.pmod(F.abs(a - b), F.lit(circle))  # the other way round a negative difference would be rounded once more
     return F.least(d, circle - d)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +15,37 @@ LEAST, DECAY = 10, 0.995
 
 
 def angle() -> Column:
-    return fractional_hour(F.col("timestamp")) * (2 * math.pi / 24)
+    return fractional_hour(F.col("timestamp")) * 2 * math.pi / 24
+
+
+def turned(cosine: bool) -> Column:
+    """The cosine or sine of ``angle``, which has 1,440 values, as the C library rounds them."""
+    f = math.cos if cosine else math.sin
+    values = F.array(*[F.lit(f((m // 60 + m % 60 / 60.0) * 2 * math.pi / 24)) for m in range(1440)])
+    return F.get(values, F.hour("timestamp") * 60 + F.minute("timestamp"))
+
+
+def scaled_round(x: Column, digits: int) -> Column:
+    """``x`` to so many digits, halves away from 0, rounded as a multiple of the last digit's unit."""
+    return F.signum(x) * F.floor(F.abs(x) * 10.0**digits + 0.5) / 10.0**digits + 0.0
+
+
+def direction(s: str, c: str) -> Column:
+    """The angle of a vector by the C library, whose last digit is right where Java's often isn't."""
+
+    @F.pandas_udf("double")
+    def angles(s: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([math.atan2(y, x) for y, x in zip(s, c, strict=True)], dtype=float)
+
+    return angles(s, c)
 
 
 def moments(events: DataFrame, least: int = LEAST) -> DataFrame:
     """(user_id, n, mean_angle, resultant): the mean direction and resultant length of a user's hours; flat below ``least`` events."""
-    one = events.groupBy("user_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.cos(angle())), 12) + 0.0).alias("c"), (F.round(F.avg(F.sin(angle())), 12) + 0.0).alias("s"))  # opposite hours cancel out exactly
+    one = events.groupBy("user_id").agg(F.count("*").alias("n"), scaled_round(F.avg(turned(True)), 12).alias("c"), scaled_round(F.avg(turned(False)), 12).alias("s"))  # opposite hours cancel out exactly
     enough = F.col("n") >= least
-    mu = F.pmod(F.atan2("s", "c"), F.lit(2 * math.pi))
-    return one.select("user_id", "n", F.when(enough, mu).otherwise(0.0).alias("mean_angle"), F.when(enough, F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s"))).otherwise(0.0).alias("resultant"))
+    one = one.withColumn("mu", F.pmod(direction("s", "c"), F.lit(2 * math.pi)))
+    return one.select("user_id", "n", F.when(enough, F.col("mu")).otherwise(0.0).alias("mean_angle"), F.when(enough, F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s"))).otherwise(0.0).alias("resultant"))
 
 
 def fit(events: DataFrame, least: int = LEAST) -> DataFrame:
