@@ -9,10 +9,11 @@ pieces of bounded time.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -267,3 +268,112 @@ def greedy_bursts(candidates: DataFrame, keys: list[str], within: int, ts: str =
     taken = rows.repartition("chain").sortWithinPartitions("chain", "t", "o").mapInArrow(scan, "k long, o long")
     taken = taken.select(F.col("k").alias("__k"), F.col("o").alias("__o"))
     return candidates.join(taken, (F.xxhash64(*keys) == F.col("__k")) & (F.col(order) == F.col("__o")), "left_semi")
+
+
+#: Windows to a bucket in which rows are counted, and starts to a row in which they are scanned.
+WINDOWS, STARTS = 4, 512
+
+
+def window_bursts(events: DataFrame, key: Column, within: int, qualifies: Callable[[dict], np.ndarray], aggregates: dict[str, Column], sums: dict[str, Column] | None = None, crowd: tuple[int, int] | None = None, columns: tuple[str, ...] = (), who: str = "user_id", index: str = "event_index", ts: str = "timestamp") -> DataFrame:
+    """(__key, ``index``, ``timestamp``, aggregates) of the bursts that a scan by (time, ``index``) finds which skips all rows up to a burst's end.
+
+    A burst starts at a row from which the rows of its key within so many
+    microseconds qualify: ``qualifies`` gets arrays by start of ``n`` rows,
+    different ``who`` (not null), 0/1 ``sums``, the ``span`` up to the last
+    row's time, and with ``crowd`` (microseconds, rows) whether more rows than
+    that lie so close together. Rows with a null key take no part.
+
+    Counts of all starts are running sums over a bucket of some windows and the
+    one after; a value is counted from the row after its last one, or where
+    its window begins, to its row. Bursts don't overlap, so each row is
+    aggregated at most once, and no row carries the values of its window.
+    """
+    sums = sums or {}
+    names, wide, longest = list(sums), WINDOWS * within, STARTS
+    rows = events.select(key.alias("__key"), micros(ts).alias("__t"), F.col(index).cast("long").alias("__o"), F.col(who).alias("__who"), *[F.coalesce(c, F.lit(False)).alias(f"__s_{n}") for n, c in sums.items()], *columns).where("__key IS NOT NULL")
+    own = F.floor(F.col("__t") / wide).cast("long")
+    parts = F.when(F.pmod("__t", F.lit(wide)) < within, F.array(own, own - 1)).otherwise(F.array(own))
+    placed = rows.select("__key", F.explode(parts).alias("__part"), "__t", "__o", "__who", *[f"__s_{n}" for n in names])
+
+    def starts(table: pa.Table) -> pa.RecordBatch:
+        whole = table.combine_chunks()
+        keys = whole.column("__key").combine_chunks().dictionary_encode()
+        codes, part, t, o = keys.indices.to_numpy(), whole.column("__part").to_numpy(), whole.column("__t").to_numpy(), whole.column("__o").to_numpy()
+        m = len(t)
+        opens = np.r_[True, (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])]
+        group = np.cumsum(opens) - 1
+        at = group * (2 * wide + 2 * within) + (t - part * wide)
+        end, i = np.searchsorted(at, at + within, "right"), np.arange(m)
+        found = {"n": end - i, "span": at[end - 1] - at}
+        values = whole.column("__who").combine_chunks().dictionary_encode().indices
+        known = ~np.asarray(values.is_null())
+        pair = group * (m + 1) + values.fill_null(0).to_numpy()
+        order = np.flatnonzero(known)
+        order = order[np.argsort(pair[order], kind="stable")]
+        before = np.full(m, -1)
+        again = np.flatnonzero(pair[order][1:] == pair[order][:-1])
+        before[order[again + 1]] = order[again]
+        began = np.maximum(np.searchsorted(at, at - within, "left"), before + 1)
+        found["users"] = np.cumsum(np.bincount(began[known], minlength=m + 1) - np.bincount(i[known] + 1, minlength=m + 1))[:m]
+        for n in names:
+            run = np.r_[0, np.cumsum(np.asarray(whole.column(f"__s_{n}")).astype(np.int64))]
+            found[n] = run[end] - run[i]
+        if crowd:
+            short, cap = crowd
+            late = np.full(m, np.iinfo(np.int64).max)
+            if m > cap:
+                close = (at[cap:] - at[: m - cap] <= short) & (group[cap:] == group[: m - cap])
+                late[: m - cap][close] = at[cap:][close]
+            found["crowded"] = np.minimum.accumulate(late[::-1])[::-1] <= at + within
+        takes = np.flatnonzero((t - part * wide < wide) & qualifies(found))
+        takes = takes[np.r_[True, at[takes][1:] != at[takes][:-1]]] if len(takes) else takes
+        place = np.arange(len(takes)) - np.searchsorted(group[takes], group[takes], "left")
+        first = np.flatnonzero(place % longest == 0)
+        offsets = pa.array(np.r_[first, len(takes)].astype("int32"))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[takes], pa.int64())) for x in (t, o)]
+        return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(codes[takes][first])).cast(pa.string()), pa.array(t[takes][first], pa.int64()), *lists], ["k", "t0", "t", "o"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, p = batch.column("__key"), batch.column("__part").to_numpy()
+            same = np.asarray(pa.compute.equal(k, k[-1]).fill_null(False)) & (p == p[-1])
+            cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut == 0 and held and (held[-1].column("__key")[-1].as_py(), held[-1].column("__part")[-1].as_py()) != (k[0].as_py(), int(p[0])):
+                yield starts(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield starts(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield starts(pa.Table.from_batches(held))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, 0
+        for batch in batches:
+            keys, times, places = [], [], []
+            offsets, t, o = batch.column("t").offsets.to_numpy(), batch.column("t").values.to_numpy(), batch.column("o").values.to_numpy()
+            for j, k in enumerate(batch.column("k").to_pylist()):
+                a, z = offsets[j], offsets[j + 1]
+                if k != key:
+                    key, free = k, int(t[a]) - 1
+                at = a + int(np.searchsorted(t[a:z], free, "right"))
+                while at < z:
+                    keys.append(k)
+                    times.append(int(t[at]))
+                    places.append(int(o[at]))
+                    free = times[-1] + within
+                    at = a + int(np.searchsorted(t[a:z], free, "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(times, pa.int64()), pa.array(places, pa.int64())], ["__k", "__from", "__first"])
+
+    candidates = placed.repartition("__key", "__part").sortWithinPartitions("__key", "__part", "__t", "__o").mapInArrow(count, "k string, t0 long, t array<long>, o array<long>")
+    taken = candidates.repartition("k").sortWithinPartitions("k", "t0").mapInArrow(scan, "__k string, __from long, __first long")
+    bucket = lambda c: F.floor(c / within).cast("long")
+    taken = taken.withColumn("__b", F.explode(F.array(bucket(F.col("__from")), bucket(F.col("__from")) + 1)))
+    inside = (F.col("__t") <= F.col("__from") + within) & ((F.col("__t") > F.col("__from")) | ((F.col("__t") == F.col("__from")) & (F.col("__o") >= F.col("__first"))))
+    joined = rows.withColumn("__at", bucket(F.col("__t"))).join(taken, (F.col("__key") == F.col("__k")) & (F.col("__at") == F.col("__b")) & inside)
+    sets = joined.groupBy("__key", "__first", "__from").agg(*[c.alias(n) for n, c in aggregates.items()])
+    return sets.select("__key", F.col("__first").alias(index), F.timestamp_micros("__from").alias(ts), *aggregates)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.patterns import DAY, MINUTE, before, first_seen, greedy_bursts, last_before, micros, onward, ordered_buckets, with_order
+from tidewatch.operators.patterns import DAY, MINUTE, before, first_seen, greedy_bursts, last_before, micros, onward, ordered_buckets, window_bursts, with_order
 from tidewatch.sources.schema import FAILURES
 
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], str]] = {}
@@ -59,6 +59,10 @@ def _users(w) -> Column:
     return F.sort_array(F.collect_set("user_id").over(w))
 
 
+def _names() -> Column:
+    return F.sort_array(F.collect_set("__who"))
+
+
 def _count(condition: Column | None = None):
     return lambda w: F.count(F.lit(1) if condition is None else F.when(condition, 1)).over(w)
 
@@ -201,10 +205,8 @@ def evaluate(events: DataFrame, names: list[str] | None = None, parameters: dict
 
 def correlate_by_ip(events: DataFrame, min_users: int = 3, window_minutes: int = 30) -> DataFrame:
     """Clusters of users that share an address within the window."""
-    w = window_minutes * MINUTE
-    found = burst_candidates(events, ["ip_address"], w, {"n": _count(), "names": _users})
-    found = greedy_bursts(found.where(F.size("names") >= min_users), ["__key"], w)
-    return _match(found, "shared_ip", "medium", F.col("ip_address"), F.col("n"), F.col("names")).withColumn("severity", F.when(F.size(F.split("users", ",")) >= 5, "high").otherwise("medium"))
+    found = window_bursts(events, F.col("ip_address"), window_minutes * MINUTE, lambda c: c["users"] >= min_users, {"n": F.count(F.lit(1)), "names": _names()})
+    return _match(found, "shared_ip", "medium", F.col("__key"), F.col("n"), F.col("names")).withColumn("severity", F.when(F.size(F.split("users", ",")) >= 5, "high").otherwise("medium"))
 
 
 def correlate_by_timing(events: DataFrame, min_users: int = 3, window_minutes: int = 5) -> DataFrame:
