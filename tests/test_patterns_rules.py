@@ -173,3 +173,10 @@ def test_bursts_go_on_over_batches(spark, events):
         assert matched(rules.correlate_by_ip(events(rows), 4, 5)) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_timing_keeps_no_sets_per_row(events):
+    rows = dense_rows(2, 300)
+    found = rules.correlate_by_timing(events(rows), 4, 5)
+    assert matched(found) == scan_by_hand(rows, lambda r: "all", 5, lambda b: len({x[2][0] for x in b}) >= 4)
+    assert no_row_carries_its_window(found)

@@ -211,11 +211,8 @@ def correlate_by_ip(events: DataFrame, min_users: int = 3, window_minutes: int =
 
 def correlate_by_timing(events: DataFrame, min_users: int = 3, window_minutes: int = 5) -> DataFrame:
     """Clusters of events of several users within a short window, whatever else they share."""
-    w = window_minutes * MINUTE
-    placed = ordered_buckets(events.withColumn("__key", F.lit("all")), "__key", w)
-    v = onward(["bucket"], w)
-    found = placed.select("*", F.count(F.lit(1)).over(v).alias("n"), _users(v).alias("names"), F.size(F.collect_set("ip_address").over(v)).alias("ips")).where("anchor").drop("bucket", "anchor")
-    found = greedy_bursts(found.where(F.size("names") >= min_users), ["__key"], w)
+    counts = {"n": F.count(F.lit(1)), "names": _names(), "ips": F.size(F.collect_set("ip_address"))}
+    found = window_bursts(events, F.lit("all"), window_minutes * MINUTE, lambda c: c["users"] >= min_users, counts, columns=("ip_address",))
     return _match(found, "timing_burst", "high", F.lit("all"), F.col("n"), F.col("names"), unique_ips=F.col("ips"))
 
 
