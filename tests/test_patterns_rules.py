@@ -180,3 +180,13 @@ def test_timing_keeps_no_sets_per_row(events):
     found = rules.correlate_by_timing(events(rows), 4, 5)
     assert matched(found) == scan_by_hand(rows, lambda r: "all", 5, lambda b: len({x[2][0] for x in b}) >= 4)
     assert no_row_carries_its_window(found)
+
+
+def test_stuffing_keeps_no_sets_per_row(events):
+    rows = dense_rows(4)
+    failed = lambda b: sum("event_type" in x[2][2] for x in b)
+    found = rules.credential_stuffing(events(rows), 3, 4, 10, 0.3)
+    want = scan_by_hand(rows, lambda r: r["ip_address"], 10, lambda b: len({x[2][0] for x in b}) >= 3 and failed(b) >= 4 and (len(b) - failed(b)) / len(b) <= 0.3)
+    assert want
+    assert matched(found) == want
+    assert no_row_carries_its_window(found)

@@ -89,11 +89,10 @@ def impossible_travel(events: DataFrame, max_minutes: int = 60) -> DataFrame:
 @rule("credential_stuffing", "critical")
 def credential_stuffing(events: DataFrame, min_users: int = 3, min_attempts: int = 6, window_minutes: int = 15, max_success_rate: float = 0.2) -> DataFrame:
     """Many users and failures from one address within the window, few of them successful."""
-    w = window_minutes * MINUTE
-    counts = {"n": _count(), "failed": _count(is_failure()), "won": _count(F.col("success")), "names": _users}
-    found = burst_candidates(events, ["ip_address"], w, counts)
-    found = found.where((F.size("names") >= min_users) & (F.col("failed") >= min_attempts) & (F.col("won") / F.col("n") <= max_success_rate))
-    return _match(greedy_bursts(found, ["__key"], w), "credential_stuffing", "critical", F.col("ip_address"), F.col("n"), F.col("names"), failed=F.col("failed"))
+    sums = {"failed": is_failure(), "won": F.col("success")}
+    fits = lambda c: (c["users"] >= min_users) & (c["failed"] >= min_attempts) & (c["won"] / c["n"] <= max_success_rate)
+    found = window_bursts(events, F.col("ip_address"), window_minutes * MINUTE, fits, {"n": F.count(F.lit(1)), "names": _names(), "failed": F.count_if("__s_failed")}, sums)
+    return _match(found, "credential_stuffing", "critical", F.col("__key"), F.col("n"), F.col("names"), failed=F.col("failed"))
 
 
 @rule("off_hours_login", "low")
