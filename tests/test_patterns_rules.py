@@ -190,3 +190,19 @@ def test_stuffing_keeps_no_sets_per_row(events):
     assert want
     assert matched(found) == want
     assert no_row_carries_its_window(found)
+
+
+def test_slow_campaigns_keep_no_lists_per_row(events):
+    rows = dense_rows(5, 150, 3000)
+
+    def fits(b):
+        times = [x[0] for x in b]
+        crowded = any(sum(t <= y <= t + 15 for y in times[i:]) > 3 for i, t in enumerate(times))
+        return len(b) >= 5 and len({x[2][0] for x in b}) >= 3 and times[-1] - times[0] >= 30 and not crowded
+
+    failures = [r if "event_type" in r[2] else (r[0], r[1], {**r[2], "ip_address": None}) for r in rows]
+    found = rules.low_and_slow(events(rows))
+    want = scan_by_hand(failures, lambda r: r["ip_address"], 180, fits)
+    assert want
+    assert matched(found) == want
+    assert no_row_carries_its_window(found)

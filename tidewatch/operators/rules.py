@@ -171,17 +171,13 @@ def low_and_slow(events: DataFrame, min_users: int = 3, min_failures: int = 5, w
     """Failures of several users from one address, spread over a long window without short bursts.
 
     The largest short burst among a window's failures is the largest forward
-    count of its rows, each cut off at the window's end, as times in order show.
+    count of its rows, each cut off at the window's end.
     """
-    w, short = window_minutes * MINUTE, short_burst_minutes * MINUTE
-    times = lambda v: F.array_sort(F.collect_list(micros()).over(v))
-    found = burst_candidates(events, ["ip_address"], w, {"n": _count(), "names": _users, "times": times}, is_failure())
-    found = found.where((F.col("n") >= min_failures) & (F.size("names") >= min_users))
-    spread = F.element_at("times", -1) - F.element_at("times", 1)
-    # a burst of more than cap within the short window: some time and the cap-th after it lie that close together
-    crowded = F.exists(F.transform("times", lambda t, i: F.get("times", i + short_burst_cap) - t), lambda d: F.coalesce(d <= short, F.lit(False)))
-    found = found.where((spread >= min_span_minutes * MINUTE) & ~crowded)
-    return _match(greedy_bursts(found, ["__key"], w), "low_and_slow_campaign", "high", F.col("ip_address"), F.col("n"), F.col("names"), span_minutes=F.floor(spread / MINUTE))
+    span, short = min_span_minutes * MINUTE, short_burst_minutes * MINUTE
+    fits = lambda c: (c["n"] >= min_failures) & (c["users"] >= min_users) & (c["span"] >= span) & ~c["crowded"]
+    counts = {"n": F.count(F.lit(1)), "names": _names(), "span": F.max("__t") - F.min("__t")}
+    found = window_bursts(events.where(is_failure()), F.col("ip_address"), window_minutes * MINUTE, fits, counts, crowd=(short, short_burst_cap))
+    return _match(found, "low_and_slow_campaign", "high", F.col("__key"), F.col("n"), F.col("names"), span_minutes=F.floor(F.col("span") / MINUTE))
 
 
 @rule("shared_infrastructure_burst", "critical")
