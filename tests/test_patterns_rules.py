@@ -206,3 +206,10 @@ def test_slow_campaigns_keep_no_lists_per_row(events):
     assert want
     assert matched(found) == want
     assert no_row_carries_its_window(found)
+
+
+def test_all_correlations_keep_no_sets_per_row(events):
+    rows = dense_rows(3)
+    found = rules.correlate(events(rows), 4, 5, 5, 3)
+    assert found.where("rule_id <> 'shared_failure_pattern'").count() == rules.correlate_by_ip(events(rows), 4, 5).count() + rules.correlate_by_timing(events(rows), 4, 5).count()
+    assert no_row_carries_its_window(found)
