@@ -232,3 +232,18 @@ def test_mean_angles_equal_the_c_library(events):  # noqa: F811
         a = (r["h"] + r["m"] / 60) * 2 * math.pi / 24
         c, s = (math.floor(abs(x) * 1e12 + 0.5) / 1e12 * math.copysign(1, x) + 0.0 for x in (math.cos(a), math.sin(a)))
         assert got[r["user_id"]] == math.atan2(s, c) % (2 * math.pi)
+
+
+def test_outlier_factor_finds_training_rows_scores_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(np.r_[rng.normal(size=(900, 3)), rng.normal(size=(300, 3)) * 0.01 + 4, np.repeat(rng.normal(size=(2, 3)) * 9, 40, 0)], 2)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "event_index long, a double, b double, c double")
+    model = outliers.LocalOutlierFactor(k=7, cell=90).fit(df, ["a", "b", "c"])
+    scores = lambda: {r["event_index"]: r["score"] for r in model.score(df).collect()}
+    nearest = outliers.LocalOutlierFactor._nearest
+    monkeypatch.setattr(outliers.LocalOutlierFactor, "_nearest", lambda *a: pytest.fail("searched again"))
+    kept = scores()
+    monkeypatch.setattr(outliers.LocalOutlierFactor, "_nearest", nearest)
+    model.scored = None  # as if loaded: every row is searched for
+    assert len(kept) == len(x)
+    assert kept == pytest.approx(scores(), rel=1e-9, abs=1e-9)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -236,6 +237,8 @@ class LocalOutlierFactor:
     #: Points to a cell, about, and points that the cuts are found from.
     cell: int = 2048
     cut_rows: int = 50_000
+    #: (id, score) of the training points; a loaded model finds them anew.
+    scored: DataFrame | None = None
 
     def _points(self, rows: DataFrame) -> DataFrame:
         """(id, x): scaled rows with the hash of their values."""
@@ -319,6 +322,117 @@ class LocalOutlierFactor:
         rows = hits.withColumn("taken", F.slice(F.flatten(F.transform("hits", repeated)), 1, self.k))
         return rows.select("id", F.explode("taken").alias("h"), F.array_max("taken.d").alias("last")).select("id", F.col("h")["d"].alias("d"), F.col("h")["id"].alias("at"), "last")
 
+    def _tables(self) -> tuple[DataFrame, object]:
+        """Training points by cell with the points of other cells that any of theirs may have as a neighbour, and the function that finds neighbours.
+
+        A leaf of a cell is some points that lie together. Its points' nearest
+        in the cell bound how far others can be; the leaf's box asks other
+        cells for their points within that, so few boxes travel, and each
+        point that another cell needs goes there once.
+        """
+        place, cells, low, high = self.cells
+        k, most, numbers = self.k, self.k + 1, np.array(cells)
+
+        def gap(x, a, b):
+            return np.sqrt((np.maximum(np.maximum(a - x, x - b), 0) ** 2).sum(-1))
+
+        def leaves(x: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+            out, todo = [], [rows]
+            while todo:
+                some = todo.pop()
+                spread = np.ptp(x[some], axis=0)
+                if len(some) <= 3 * most or not spread.any():
+                    out += [some[i : i + 256] for i in range(0, len(some), 256)]
+                    continue
+                order = some[np.argsort(x[some, int(spread.argmax())], kind="stable")]
+                todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+            return out
+
+        def nearest(x: np.ndarray, ids: np.ndarray, own: np.ndarray):
+            """For each leaf of the own points: its rows, the places and distances of their ``most`` nearest by (distance, id), padded with -1."""
+            by_id = np.argsort(ids, kind="stable")
+            sorted_x = x[by_id]
+            for leaf in leaves(x, np.flatnonzero(own)):
+                q = x[leaf]
+                d = np.sqrt(sum((q[:, i, None] - q[None, :, i]) ** 2 for i in range(x.shape[1])))
+                far = np.partition(d, most - 1, 1)[:, most - 1].max() if len(leaf) >= most else np.inf
+                some = np.flatnonzero(gap(sorted_x, q.min(0), q.max(0)) <= far * (1 + 1e-9))
+                d = np.sqrt(sum((q[:, i, None] - sorted_x[None, some, i]) ** 2 for i in range(x.shape[1])))
+                edge = np.partition(d, min(most, len(some)) - 1, 1)[:, min(most, len(some)) - 1]
+                row, col = np.nonzero(d <= edge[:, None])
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                row, col, rank = row[rank < most], col[rank < most], rank[rank < most]
+                at, dist = np.full((len(leaf), most), -1), np.zeros((len(leaf), most))
+                at[row, rank], dist[row, rank] = by_id[some[col]], d[row, col]
+                yield leaf, at, dist
+
+        def taken(n, at, leaf, skip_self: bool) -> np.ndarray:
+            """How many rows of each hit are among the ``k`` nearest."""
+            rows = np.where(at >= 0, n[at] - (skip_self & (at == leaf[:, None])), 0)
+            return np.clip(k - (np.cumsum(rows, 1) - rows), 0, rows)
+
+        def read(table: pa.Table):
+            x = table.column("x").combine_chunks()
+            return np.asarray(x.values).reshape(len(x), -1), table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("own").combine_chunks().to_numpy(zero_copy_only=False)
+
+        def ask(table: pa.Table) -> pa.Table:
+            x, ids, _, own = read(table)
+            here, out = table.column("cell")[0].as_py(), []
+            for leaf, at, dist in nearest(x, ids, own):
+                far = dist[:, -1].max() if (at >= 0).all() else np.inf
+                a, b = x[leaf].min(0), x[leaf].max(0)
+                apart = np.sqrt((np.maximum(np.maximum(low - b, a - high), 0) ** 2).sum(1))
+                out += [(int(c), here, a, b, far * (1 + 1e-9)) for c in numbers[(apart <= far * (1 + 1e-9)) & (numbers != here)]]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            return pa.table({"cell": pa.array(columns[0], pa.int32()), "asker": pa.array(columns[1], pa.int32()), "a": pa.array([v.tolist() for v in columns[2]], pa.list_(pa.float64())), "b": pa.array([v.tolist() for v in columns[3]], pa.list_(pa.float64())), "far": pa.array(columns[4], pa.float64())})
+
+        def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+            empty = pa.table({"cell": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64())), "n": pa.array([], pa.int64())})
+            if not len(asked) or not len(held):
+                return empty
+            x = np.asarray(held.column("x").combine_chunks().values).reshape(len(held), -1)
+            a, b = (np.asarray(asked.column(c).combine_chunks().values).reshape(len(asked), -1) for c in "ab")
+            askers, far, out = asked.column("asker").to_numpy(), asked.column("far").to_numpy(), [empty]
+            for asker in np.unique(askers):
+                wanted = np.zeros(len(x), bool)
+                for i in np.flatnonzero(askers == asker):
+                    wanted |= gap(x, a[i], b[i]) <= far[i]
+                rows = held.select(["id", "x", "n"]).take(pa.array(np.flatnonzero(wanted)))
+                out.append(pa.table({"cell": pa.array(np.full(len(rows), asker), pa.int32()), **{c: rows.column(c) for c in rows.column_names}}))
+            return pa.concat_tables(out)
+
+        own = self.points.select(place("x").alias("cell"), "id", "x", "n", F.lit(True).alias("own"))
+        asked = own.groupBy("cell").applyInArrow(ask, "cell int, asker int, a array<double>, b array<double>, far double")
+        guests = asked.groupBy("cell").cogroup(self.points.select(place("x").alias("cell"), "id", "x", "n").groupBy("cell")).applyInArrow(answer, "cell int, id bigint, x array<double>, n bigint")
+        both = own.unionByName(guests.withColumn("own", F.lit(False))).persist()
+
+        def over(what: str, known: DataFrame | None = None) -> DataFrame:
+            """(id, value): the reach, density or score of every training point, from what is known of neighbours."""
+
+            def values(table: pa.Table) -> pa.Table:
+                x, ids, n, mine = read(table)
+                reach = None if what == "reach" else table.column("reach").to_numpy()
+                density = table.column("density").to_numpy() if what == "score" else None
+                out = np.full(len(x), np.nan)
+                for leaf, at, dist in nearest(x, ids, mine):
+                    rows = taken(n, at, leaf, what != "score")
+                    total = rows.sum(1)
+                    if what == "reach":
+                        out[leaf] = np.where(total > 0, np.where(rows > 0, dist, 0).max(1), np.nan)
+                        continue
+                    total = np.maximum(total, 1)
+                    mean = (np.maximum(dist, reach[at]) * rows).sum(1) / total + 1e-10
+                    out[leaf] = 1 / mean if what == "density" else 1.5 - (density[at] * rows).sum(1) / total * mean
+                kept = np.flatnonzero(mine & ~np.isnan(out))
+                return pa.table({"id": pa.array(ids[kept]), what: pa.array(out[kept])})
+
+            rows = both if known is None else both.join(known.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).drop("__id")
+            return rows.groupBy("cell").applyInArrow(values, f"id bigint, {what} double")
+
+        return both, over
+
     def fit(self, df: DataFrame, features: list[str]) -> LocalOutlierFactor:
         self.features = list(features)
         rows = numeric(df, self.features)
@@ -327,13 +441,16 @@ class LocalOutlierFactor:
             rows = rows.orderBy(F.xxhash64(F.lit(self.seed), "event_index"), "event_index").limit(self.most)
         self.points = self._points(rows).groupBy("id", "x").agg(F.count("*").alias("n")).persist()
         self.cells = self._cells(self.points)
-        hits = self._nearest(self.points).persist()
-        taken = self._taken(hits, True)
-        reach = taken.groupBy(F.col("id").alias("at")).agg(F.max("last").alias("reach")).persist()
-        density = taken.join(reach, "at").groupBy("id").agg((1.0 / (F.avg(F.greatest("d", "reach")) + 1e-10)).alias("density"))
-        self.known = density.join(reach.withColumnRenamed("at", "id"), "id").withColumnRenamed("id", "at").persist()
-        scores = self._factor(hits).join(self.points.select("id", "n"), "id") if not self.most else self.score(df).withColumn("n", F.lit(1))
+        both, over = self._tables()
+        reach = over("reach").persist()
+        density = over("density", reach)
+        known = reach.join(density, "id").persist()
+        self.known = known.withColumnRenamed("id", "at")
+        self.scored = over("score", known).persist()
+        scores = self.scored.join(self.points.select("id", "n"), "id") if not self.most else self.score(df).withColumn("n", F.lit(1))
         self.offset = float(scores.agg(F.percentile("score", self.contamination, F.col("n"))).first()[0])
+        both.unpersist()
+        reach.unpersist()
         return self
 
     def _factor(self, hits: DataFrame) -> DataFrame:
@@ -344,8 +461,17 @@ class LocalOutlierFactor:
     def score(self, df: DataFrame) -> DataFrame:
         """(event_index, score): minus the outlier factor, plus 1.5."""
         rows = self._points(numeric(df, self.features))
-        asked = rows.select("id", "x").dropDuplicates(["id"])
-        return rows.select("event_index", "id").join(self._factor(self._nearest(asked)), "id").select("event_index", "score")
+        if self.scored is None:
+            asked = rows.select("id", "x").dropDuplicates(["id"])
+            return rows.select("event_index", "id").join(self._factor(self._nearest(asked)), "id").select("event_index", "score")
+        # training points have their scores already; only others are searched for
+        seen = rows.select("event_index", "id", "x").join(self.scored.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
+        new = seen.where("__id IS NULL")
+        old = seen.where("__id IS NOT NULL").select("event_index", "score")
+        asked = new.select("id", "x").dropDuplicates(["id"]).persist()
+        if asked.isEmpty():
+            return old
+        return old.unionByName(new.select("event_index", "id").join(self._factor(self._nearest(asked)), "id").select("event_index", "score"))
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("prediction", F.when(F.col("score") < self.offset, -1).otherwise(1))
