@@ -247,3 +247,13 @@ def test_outlier_factor_finds_training_rows_scores_once(spark, monkeypatch):
     model.scored = None  # as if loaded: every row is searched for
     assert len(kept) == len(x)
     assert kept == pytest.approx(scores(), rel=1e-9, abs=1e-9)
+
+
+def test_ensemble_scores_each_member_once_in_fitting(table, monkeypatch):
+    scored = []
+    score = outliers.LocalOutlierFactor.score
+    monkeypatch.setattr(outliers.LocalOutlierFactor, "score", lambda self, df: scored.append(1) or score(self, df))
+    model = outliers.Ensemble([outliers.IsolationForest(trees=10), outliers.LocalOutlierFactor(k=5)]).fit(table, ["a", "b"])
+    assert len(scored) == 1
+    flagged = model.predict(table).where("prediction = -1").count()
+    assert 0 < flagged <= 15

@@ -504,19 +504,26 @@ class Ensemble:
     offset: float = 0.0
 
     def fit(self, df: DataFrame, features: list[str]) -> Ensemble:
-        self.ranges = []
+        self.ranges, scores = [], []
         for m in self.members:
             m.fit(df, features)
-            low, high = m.score(df).agg(F.min("score"), F.max("score")).first()
+            scores.append(m.score(df).persist())
+            low, high = scores[-1].agg(F.min("score"), F.max("score")).first()
             self.ranges.append((float(low), float(high)))
-        self.offset = float(self.score(df).agg(F.percentile("score", self.contamination)).first()[0])
+        self.offset = float(self._combined(scores).agg(F.percentile("score", self.contamination)).first()[0])
+        for x in scores:
+            x.unpersist()
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
+        return self._combined([m.score(df) for m in self.members])
+
+    def _combined(self, scores: list[DataFrame]) -> DataFrame:
+        """(event_index, score) from the scores of the members."""
         out = None
-        for i, (m, (low, high)) in enumerate(zip(self.members, self.ranges, strict=True)):
+        for i, (found, (low, high)) in enumerate(zip(scores, self.ranges, strict=True)):
             scaled = F.least(F.greatest((F.col("score") - low) / max(high - low, 1e-12), F.lit(0.0)), F.lit(1.0))
-            part = m.score(df).select("event_index", scaled.alias(f"m{i}"))
+            part = found.select("event_index", scaled.alias(f"m{i}"))
             out = part if out is None else out.join(part, "event_index")
         values = F.array_sort(F.array(*[F.col(f"m{i}") for i in range(len(self.members))]))
         n = len(self.members)
