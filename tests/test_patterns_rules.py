@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -213,3 +214,60 @@ def test_all_correlations_keep_no_sets_per_row(events):
     found = rules.correlate(events(rows), 4, 5, 5, 3)
     assert found.where("rule_id <> 'shared_failure_pattern'").count() == rules.correlate_by_ip(events(rows), 4, 5).count() + rules.correlate_by_timing(events(rows), 4, 5).count()
     assert no_row_carries_its_window(found)
+
+
+@pytest.fixture
+def row_shuffles(spark):
+    """A function of a frame -> exchanges by key of its plan as it ran, without those that were used again."""
+
+    def count(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return sum("Exchange hashpartitioning(__key" in line and "Reused" not in line for line in plan.splitlines())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield count
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_of_bursts_are_shuffled_once(events, row_shuffles):
+    df = events(dense_rows(7))
+    assert row_shuffles(rules.correlate(df, 4, 5, 5, 3)) == 2
+    assert row_shuffles(rules.correlate(df, 4, 5, 5, 3).drop("details")) == 2
+    for found in (rules.correlate_by_ip(df, 4, 5), rules.correlate_by_timing(df, 4, 5), rules.credential_stuffing(df, 3, 4, 10, 0.3), rules.low_and_slow(events(dense_rows(5, 150, 3000)))):
+        assert row_shuffles(found) == 1
+
+
+def test_only_narrow_rows_are_numbered(events):
+    plan = rules.correlate(events(dense_rows(3)), 4, 5, 5, 3)._jdf.queryExecution().optimizedPlan()
+
+    def windows(p):
+        children = [p.children().apply(i) for i in range(p.children().size())]
+        return ([p] if p.nodeName() == "Window" else []) + [w for c in children for w in windows(c)]
+
+    found = windows(plan)
+    assert found and not any("users" in w.output().mkString(",") for w in found)
+
+
+def test_clusters_are_numbered_by_strategy_then_time(events):
+    rows = dense_rows(8, 900)
+    found = {r["cluster_id"]: r for r in rules.correlate(events(rows), 4, 5, 5, 3).collect()}
+    users = lambda ks: ",".join(sorted({rows[k][0] for k in ks}))
+    want = []
+    for name, key in (("shared_ip", lambda r: r["ip_address"]), ("timing_burst", lambda r: "all")):
+        own = []
+        for k, first, n in scan_by_hand(rows, key, 5, lambda b: len({x[2][0] for x in b}) >= 4):
+            at = rows[first][1]
+            burst = [i for i, r in enumerate(rows) if key(r[2]) == k and (at, first) <= (r[1], i) and r[1] <= at + 5]
+            more = {} if name == "shared_ip" else {"unique_ips": len({rows[i][2]["ip_address"] for i in burst} - {None})}
+            own.append((at, first, k, name, n, users(burst), more))
+            assert n == len(burst)
+        want += sorted(own, key=lambda x: x[:3])
+    assert len({w[3] for w in want}) == 2
+    got = [found[i + 1] for i in range(len(want))]
+    assert [(r["first_event"], r["key"], r["rule_id"], r["n_events"], r["users"]) for r in got] == [w[1:6] for w in want]
+    assert all(json.loads(r["details"])["unique_ips"] == w[6]["unique_ips"] for r, w in zip(got, want, strict=True) if w[6])
+    last = found[len(want) + 1]
+    failing = [i for i, r in enumerate(rows) if "event_type" in r[2]]
+    assert len(found) == len(want) + 1 and (last["rule_id"], last["n_events"], last["users"]) == ("shared_failure_pattern", len(failing), users(failing))
+    assert last["first_event"] == min(failing, key=lambda i: (rows[i][1], i))

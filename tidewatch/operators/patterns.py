@@ -271,11 +271,31 @@ def greedy_bursts(candidates: DataFrame, keys: list[str], within: int, ts: str =
 
 
 #: Windows to a bucket in which rows are counted, and starts to a row in which they are scanned.
-WINDOWS, STARTS = 4, 512
+WINDOWS, STARTS = 8, 512
 
 
 def window_bursts(events: DataFrame, key: Column, within: int, qualifies: Callable[[dict], np.ndarray], aggregates: dict[str, Column], sums: dict[str, Column] | None = None, crowd: tuple[int, int] | None = None, columns: tuple[str, ...] = (), who: str = "user_id", index: str = "event_index", ts: str = "timestamp") -> DataFrame:
-    """(__key, ``index``, ``timestamp``, aggregates) of the bursts that a scan by (time, ``index``) finds which skips all rows up to a burst's end.
+    """(__key, ``index``, ``timestamp``, aggregates) of the bursts of ``burst_starts``."""
+    placed, taken = burst_starts(events, key, within, qualifies, sums, crowd, columns, who, index, ts)
+    return burst_sets(placed, taken, within, aggregates, index, ts)
+
+
+def burst_sets(placed: DataFrame, taken: DataFrame, within: int, aggregates: dict[str, Column], index: str = "event_index", ts: str = "timestamp", also: tuple[str, ...] = ()) -> DataFrame:
+    """(__key, ``index``, ``timestamp``, ``also``, aggregates): ``aggregates`` over the rows of each start in ``taken``, with ``also`` of its columns.
+
+    A burst lies in the bucket in which it starts and the rows added to it, so
+    the buckets that counted starts are read again, without another shuffle.
+    """
+    # All columns are asked for by a condition that always holds and can't be moved: rows pruned earlier would be shuffled anew.
+    asis = placed.where((F.spark_partition_id() >= 0) | (F.hash(*placed.columns) == 0))
+    inside = (F.col("__t") <= F.col("__from") + within) & ((F.col("__t") > F.col("__from")) | ((F.col("__t") == F.col("__from")) & (F.col("__o") >= F.col("__first"))))
+    joined = asis.join(taken, (F.col("__key") == F.col("__k")) & (F.col("__part") == F.col("__p")) & inside)
+    sets = joined.groupBy("__key", "__part", "__first", "__from", *also).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return sets.select("__key", F.col("__first").alias(index), F.timestamp_micros("__from").alias(ts), *also, *aggregates)
+
+
+def burst_starts(events: DataFrame, key: Column, within: int, qualifies: Callable[[dict], np.ndarray], sums: dict[str, Column] | None = None, crowd: tuple[int, int] | None = None, columns: tuple[str, ...] = (), who: str = "user_id", index: str = "event_index", ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
+    """Rows in buckets, with ``columns``, and (__k, __p, __from, __first): key, bucket, time and ``index`` of the bursts that a scan by (time, ``index``) finds which skips all rows up to a burst's end.
 
     A burst starts at a row from which the rows of its key within so many
     microseconds qualify: ``qualifies`` gets arrays by start of ``n`` rows,
@@ -285,15 +305,36 @@ def window_bursts(events: DataFrame, key: Column, within: int, qualifies: Callab
 
     Counts of all starts are running sums over a bucket of some windows and the
     one after; a value is counted from the row after its last one, or where
-    its window begins, to its row. Bursts don't overlap, so each row is
-    aggregated at most once, and no row carries the values of its window.
+    its window begins, to its row. Only starts that a scan can reach leave a
+    bucket: it enters within the first window and jumps from there. They
+    travel as bytes of their steps, all lowest ones first, which compress.
+    Bursts don't overlap, so each row is aggregated at most once, and no row
+    carries the values of its window.
     """
     sums = sums or {}
     names, wide, longest = list(sums), WINDOWS * within, STARTS
     rows = events.select(key.alias("__key"), micros(ts).alias("__t"), F.col(index).cast("long").alias("__o"), F.col(who).alias("__who"), *[F.coalesce(c, F.lit(False)).alias(f"__s_{n}") for n, c in sums.items()], *columns).where("__key IS NOT NULL")
     own = F.floor(F.col("__t") / wide).cast("long")
     parts = F.when(F.pmod("__t", F.lit(wide)) < within, F.array(own, own - 1)).otherwise(F.array(own))
-    placed = rows.select("__key", F.explode(parts).alias("__part"), "__t", "__o", "__who", *[f"__s_{n}" for n in names])
+    placed = rows.select("__key", F.explode(parts).alias("__part"), "__t", "__o", "__who", *[f"__s_{n}" for n in names], *columns).repartition("__key", "__part")
+
+    def planes(x: np.ndarray) -> bytes:
+        return np.diff(x, prepend=0).astype("<i8").view("u1").reshape(-1, 8).T.tobytes()
+
+    def from_planes(x: bytes) -> np.ndarray:
+        return np.cumsum(np.frombuffer(x, "u1").reshape(8, -1).T.copy().view("<i8").ravel())
+
+    def reachable(at: np.ndarray, group: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        late = offset >= within
+        late[1:] &= (group[1:] != group[:-1]) | (offset[:-1] < within)
+        seen, after = np.zeros(len(at), bool), np.searchsorted(at, at + within, "right")
+        new = np.flatnonzero((offset < within) | late)
+        while len(new):
+            seen[new] = True
+            to = after[new]
+            onto = to < len(at)
+            new = np.unique(to[onto][group[to[onto]] == group[new[onto]]])
+        return seen
 
     def starts(table: pa.Table) -> pa.RecordBatch:
         whole = table.combine_chunks()
@@ -327,10 +368,11 @@ def window_bursts(events: DataFrame, key: Column, within: int, qualifies: Callab
             found["crowded"] = np.minimum.accumulate(late[::-1])[::-1] <= at + within
         takes = np.flatnonzero((t - part * wide < wide) & qualifies(found))
         takes = takes[np.r_[True, at[takes][1:] != at[takes][:-1]]] if len(takes) else takes
+        takes = takes[reachable(at[takes], group[takes], (t - part * wide)[takes])]
         place = np.arange(len(takes)) - np.searchsorted(group[takes], group[takes], "left")
         first = np.flatnonzero(place % longest == 0)
-        offsets = pa.array(np.r_[first, len(takes)].astype("int32"))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[takes], pa.int64())) for x in (t, o)]
+        ends = np.r_[first, len(takes)]
+        lists = [pa.array([planes(x[takes[a:z]]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in (t, o)]
         return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(codes[takes][first])).cast(pa.string()), pa.array(t[takes][first], pa.int64()), *lists], ["k", "t0", "t", "o"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,25 +397,19 @@ def window_bursts(events: DataFrame, key: Column, within: int, qualifies: Callab
         key, free = None, 0
         for batch in batches:
             keys, times, places = [], [], []
-            offsets, t, o = batch.column("t").offsets.to_numpy(), batch.column("t").values.to_numpy(), batch.column("o").values.to_numpy()
-            for j, k in enumerate(batch.column("k").to_pylist()):
-                a, z = offsets[j], offsets[j + 1]
+            for k, t, o in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "o")), strict=True):
+                t, o = from_planes(t), from_planes(o)
                 if k != key:
-                    key, free = k, int(t[a]) - 1
-                at = a + int(np.searchsorted(t[a:z], free, "right"))
-                while at < z:
+                    key, free = k, int(t[0]) - 1
+                at = int(np.searchsorted(t, free, "right"))
+                while at < len(t):
                     keys.append(k)
                     times.append(int(t[at]))
                     places.append(int(o[at]))
                     free = times[-1] + within
-                    at = a + int(np.searchsorted(t[a:z], free, "right"))
+                    at = int(np.searchsorted(t, free, "right"))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(times, pa.int64()), pa.array(places, pa.int64())], ["__k", "__from", "__first"])
 
-    candidates = placed.repartition("__key", "__part").sortWithinPartitions("__key", "__part", "__t", "__o").mapInArrow(count, "k string, t0 long, t array<long>, o array<long>")
+    candidates = placed.sortWithinPartitions("__key", "__part", "__t", "__o").mapInArrow(count, "k string, t0 long, t binary, o binary")
     taken = candidates.repartition("k").sortWithinPartitions("k", "t0").mapInArrow(scan, "__k string, __from long, __first long")
-    bucket = lambda c: F.floor(c / within).cast("long")
-    taken = taken.withColumn("__b", F.explode(F.array(bucket(F.col("__from")), bucket(F.col("__from")) + 1)))
-    inside = (F.col("__t") <= F.col("__from") + within) & ((F.col("__t") > F.col("__from")) | ((F.col("__t") == F.col("__from")) & (F.col("__o") >= F.col("__first"))))
-    joined = rows.withColumn("__at", bucket(F.col("__t"))).join(taken, (F.col("__key") == F.col("__k")) & (F.col("__at") == F.col("__b")) & inside)
-    sets = joined.groupBy("__key", "__first", "__from").agg(*[c.alias(n) for n, c in aggregates.items()])
-    return sets.select("__key", F.col("__first").alias(index), F.timestamp_micros("__from").alias(ts), *aggregates)
+    return placed, taken.select("__k", F.floor(F.col("__from") / wide).cast("long").alias("__p"), "__from", "__first")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.patterns import DAY, MINUTE, before, first_seen, greedy_bursts, last_before, micros, onward, ordered_buckets, window_bursts, with_order
+from tidewatch.operators.patterns import DAY, MINUTE, before, burst_sets, burst_starts, first_seen, greedy_bursts, last_before, micros, onward, ordered_buckets, window_bursts, with_order
 from tidewatch.sources.schema import FAILURES
 
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], str]] = {}
@@ -31,7 +31,7 @@ def is_failure() -> Column:
     return F.col("event_type").isin(*FAILURES)
 
 
-def _match(df: DataFrame, name: str, severity: str, key: Column, n: Column, users: Column, first: Column | None = None, at: Column | None = None, **details: Column) -> DataFrame:
+def _match(df: DataFrame, name: str, severity: str, key: Column, n: Column, users: Column, first: Column | None = None, at: Column | None = None, also: tuple[str, ...] = (), **details: Column) -> DataFrame:
     return df.select(
         F.lit(name).alias("rule_id"),
         F.lit(severity).alias("severity"),
@@ -41,6 +41,7 @@ def _match(df: DataFrame, name: str, severity: str, key: Column, n: Column, user
         F.concat_ws(",", users).alias("users"),
         micros(at if at is not None else F.col("timestamp")).alias("matched_at"),
         F.to_json(F.struct(*[v.alias(k) for k, v in details.items()]) if details else F.struct(F.lit(1).alias("match"))).alias("details"),
+        *also,
     )
 
 
@@ -198,17 +199,35 @@ def evaluate(events: DataFrame, names: list[str] | None = None, parameters: dict
     return out
 
 
+def _shared_starts(events: DataFrame, min_users: int, window_minutes: int) -> tuple[DataFrame, DataFrame]:
+    return burst_starts(events, F.col("ip_address"), window_minutes * MINUTE, lambda c: c["users"] >= min_users)
+
+
+def _shared(placed: DataFrame, taken: DataFrame, window_minutes: int, also: tuple[str, ...] = ()) -> DataFrame:
+    found = burst_sets(placed, taken, window_minutes * MINUTE, {"n": F.count(F.lit(1)), "names": _names()}, also=also)
+    out = _match(found, "shared_ip", "medium", F.col("__key"), F.col("n"), F.col("names"), also=also)
+    return out.withColumn("severity", F.when(F.size(F.split("users", ",")) >= 5, "high").otherwise("medium"))
+
+
+def _timed_starts(events: DataFrame, min_users: int, window_minutes: int) -> tuple[DataFrame, DataFrame]:
+    one = F.when(F.col("timestamp").isNotNull(), "all")  # a literal would leave the join and the buckets would be shuffled again
+    return burst_starts(events, one, window_minutes * MINUTE, lambda c: c["users"] >= min_users, columns=("ip_address",))
+
+
+def _timed(placed: DataFrame, taken: DataFrame, window_minutes: int, also: tuple[str, ...] = ()) -> DataFrame:
+    counts = {"n": F.count(F.lit(1)), "names": _names(), "ips": F.size(F.collect_set("ip_address"))}
+    found = burst_sets(placed, taken, window_minutes * MINUTE, counts, also=also)
+    return _match(found, "timing_burst", "high", F.lit("all"), F.col("n"), F.col("names"), also=also, unique_ips=F.col("ips"))
+
+
 def correlate_by_ip(events: DataFrame, min_users: int = 3, window_minutes: int = 30) -> DataFrame:
     """Clusters of users that share an address within the window."""
-    found = window_bursts(events, F.col("ip_address"), window_minutes * MINUTE, lambda c: c["users"] >= min_users, {"n": F.count(F.lit(1)), "names": _names()})
-    return _match(found, "shared_ip", "medium", F.col("__key"), F.col("n"), F.col("names")).withColumn("severity", F.when(F.size(F.split("users", ",")) >= 5, "high").otherwise("medium"))
+    return _shared(*_shared_starts(events, min_users, window_minutes), window_minutes)
 
 
 def correlate_by_timing(events: DataFrame, min_users: int = 3, window_minutes: int = 5) -> DataFrame:
     """Clusters of events of several users within a short window, whatever else they share."""
-    counts = {"n": F.count(F.lit(1)), "names": _names(), "ips": F.size(F.collect_set("ip_address"))}
-    found = window_bursts(events, F.lit("all"), window_minutes * MINUTE, lambda c: c["users"] >= min_users, counts, columns=("ip_address",))
-    return _match(found, "timing_burst", "high", F.lit("all"), F.col("n"), F.col("names"), unique_ips=F.col("ips"))
+    return _timed(*_timed_starts(events, min_users, window_minutes), window_minutes)
 
 
 def correlate_by_failures(events: DataFrame, min_users: int = 3, min_failures: int = 3) -> DataFrame:
@@ -221,13 +240,19 @@ def correlate_by_failures(events: DataFrame, min_users: int = 3, min_failures: i
 def correlate(events: DataFrame, min_users: int = 3, ip_minutes: int = 30, timing_minutes: int = 5, min_failures: int = 3) -> DataFrame:
     """Clusters of all three correlations: those of a match with ``cluster_id``, numbered from 1 by strategy, then time.
 
-    Numbers run over clusters, which are few beside the events; they go
-    through one window.
+    Numbers run over the starts of clusters, which are narrow and few beside
+    the events, in one window; rows and users are gathered afterwards.
     """
-    shared, timed = correlate_by_ip(events, min_users, ip_minutes), correlate_by_timing(events, min_users, timing_minutes)
+    shared, shared_at = _shared_starts(events, min_users, ip_minutes)
+    timed, timed_at = _timed_starts(events, min_users, timing_minutes)
     failing = events.where(is_failure()).groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "event_index")).alias("first")).where(F.col("n") >= min_failures)
     one = failing.agg(F.sort_array(F.collect_list("user_id")).alias("names"), F.sum("n").alias("n_events"), F.min("first").alias("first")).where(F.size("names") >= min_users)
-    failed = _match(one, "shared_failure_pattern", "medium", F.lit("all"), F.col("n_events"), F.col("names"), first=F.col("first")["event_index"], at=F.col("first")["timestamp"])
-    order = F.when(F.col("rule_id") == "shared_ip", 1).when(F.col("rule_id") == "timing_burst", 2).otherwise(3)
-    numbered = Window.partitionBy().orderBy(order, "matched_at", "first_event", "key")
-    return shared.unionByName(timed).unionByName(failed).withColumn("cluster_id", F.row_number().over(numbered))
+    failed_at = one.select(F.lit("all").alias("__k"), F.lit(0).cast("long").alias("__p"), micros("first.timestamp").alias("__from"), F.col("first.event_index").alias("__first"))
+    starts = [x.withColumn("__strategy", F.lit(i)) for i, x in enumerate((shared_at, timed_at, failed_at))]
+    numbered = Window.partitionBy().orderBy("__strategy", "__from", "__first", "__k")
+    starts = starts[0].unionByName(starts[1]).unionByName(starts[2]).withColumn("cluster_id", F.row_number().over(numbered))
+    shared_at, timed_at, failed_at = (starts.where(F.col("__strategy") == i).drop("__strategy") for i in range(3))
+    also = ("cluster_id",)
+    failed = one.join(failed_at, (micros("first.timestamp") == F.col("__from")) & (F.col("first.event_index") == F.col("__first")) & (F.col("__k") == "all") & (F.col("__p") == 0))
+    failed = _match(failed, "shared_failure_pattern", "medium", F.lit("all"), F.col("n_events"), F.col("names"), first=F.col("first")["event_index"], at=F.col("first")["timestamp"], also=also)
+    return _shared(shared, shared_at, ip_minutes, also).unionByName(_timed(timed, timed_at, timing_minutes, also)).unionByName(failed)
