@@ -127,6 +127,12 @@ def test_train_then_detect_and_watch_from_the_command_line(spark, events, tmp_pa
     assert found.results.count() == 120 and found.users.count() == 6
 
 
+def test_runs_without_identity_signals_have_no_cases(events):  # noqa: F811
+    config = Config.of({"features": {"groups": ["velocity"], "identity": False}, "model": {"detectors": ["isolation_forest"]}})
+    found = engine.run(many(events), config)
+    assert found.results.count() == 120 and found.cases.count() == 0
+
+
 def test_online_state_goes_on_and_drift_status(spark, events):  # noqa: F811
     from tidewatch.operators import circular
 

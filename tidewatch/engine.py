@@ -85,7 +85,14 @@ def run(events: DataFrame, config: Config | None = None) -> Run:
         models += [f"identity_{c}" for c in CHANNELS]
     pipeline = scoring.Pipeline(models, config.engine.strategy, config.model.contamination, normaliser=scoring.Normaliser(config.engine.normalisation)).fit(df)
     scored = pipeline.score(df).withColumn("score", -F.col("ensemble"))
-    return Run(df, scored, cases.aggregate(scored, config.cases.window_minutes), model=pipeline)
+    return Run(df, scored, cases_of(scored, config), model=pipeline)
+
+
+def cases_of(scored: DataFrame, config: Config) -> DataFrame:
+    """The cases of scored events; cases are made of identity signals, so there are none without them."""
+    if not config.features.identity:
+        scored = scored.withColumns({c: F.lit(0.0) for c in (*cases.SCORES, "relationship_score")})
+    return cases.aggregate(scored, config.cases.window_minutes)
 
 
 def train(events: DataFrame, config: Config | None = None, detector: str = "isolation_forest", path: str | None = None):
@@ -109,7 +116,7 @@ def detect(train_events: DataFrame | None, events: DataFrame, config: Config | N
     if config.engine.floor_enabled and config.features.identity:
         floor = (F.col("fusion_score") >= config.engine.floor) & (F.col("takeover_support") >= config.engine.support)
     scored = scoring.scored(df, "score", config.model.contamination, floor)
-    return Run(df, scored, cases.aggregate(scored, config.cases.window_minutes), rules.evaluate(events, parameters=config.rules), scoring.user_summary(scored, "score"), model)
+    return Run(df, scored, cases_of(scored, config), rules.evaluate(events, parameters=config.rules), scoring.user_summary(scored, "score"), model)
 
 
 def benchmark(events: DataFrame, kind: str, config: Config | None = None, magnitude: float = 2.0, seed: int = 42) -> dict[str, DataFrame]:
@@ -124,7 +131,7 @@ def benchmark(events: DataFrame, kind: str, config: Config | None = None, magnit
     b2, _, _ = with_models(a, b, names, config)
     engine = scoring.Pipeline(models, config.engine.strategy, config.model.contamination).fit(a2)
     scored = engine.score(b2)
-    found = cases.aggregate(scored, config.cases.window_minutes)
+    found = cases_of(scored, config)
     rates = evaluate.detection_rates(scored, "ensemble", "synthetic").withColumn("method", F.lit("pipeline"))
     naive = evaluate.detection_rates(b2.withColumn("ensemble", scoring.vote(models)), "ensemble", "synthetic").withColumn("method", F.lit("mean"))
     masks = {"all": F.lit(True), "injected": F.col("synthetic"), "ordinary": ~F.col("synthetic"), "failures": is_failure()}
